@@ -126,14 +126,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, fingerprint."""
     fps = checkpoint(fingerprints(docs, id_col, text_col, huge))
     groups = fps.groupBy(*KEY).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    several = groups.where("group_size > 1")
-    member = checkpoint(fps.join(several, KEY).where("doc_id <> keep_id").select(*KEY, "doc_id", "keep_id").distinct())
+    # Written first, so that both sides of the joins are plain exchanges, whose hot partitions Spark can split.
+    several = checkpoint(groups.where("group_size > 1"))
+    found = checkpoint(fps.join(bounded(several), KEY, "left").withColumns({"keep_id": F.coalesce("keep_id", "doc_id"), "group_size": F.coalesce("group_size", F.lit(1))}))
+    member = checkpoint(found.where("doc_id <> keep_id").select(*KEY, "doc_id", "keep_id").distinct())
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("b"))
     kept = member.select(F.col("keep_id").alias("doc_id")).distinct()
     other = text.join(bounded(checkpoint(kept)), "doc_id", "left_semi").select(F.col("doc_id").alias("keep_id"), F.col("b").alias("other"))
     pairs = text.join(bounded(member), "doc_id").join(other, "keep_id")
     differs = checkpoint(pairs.select(*KEY, "doc_id", "b", "other").mapInArrow(_compare, "fp_a long, fp_b long, n_bytes long, doc_id long, same boolean").where("not same").select("doc_id").distinct())
-    out = fps.join(groups, KEY)
+    out = found
     if not differs.isEmpty():
         # Different texts with equal fingerprints: the groups concerned are formed anew, by the texts themselves.
         bad = fps.join(differs, "doc_id", "left_semi").select(*KEY).distinct()
@@ -141,7 +143,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         again = text.withColumn("text_sha256", F.sha2("b", 256)).join(ids.distinct(), ["doc_id", "text_sha256"])
         by_text = again.groupBy("b").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         redone = again.join(by_text, "b").select("doc_id", "text_sha256", "keep_id", "group_size")
-        fresh = fps.join(bad, KEY, "left_anti").join(groups, KEY).select("doc_id", "text_sha256", "keep_id", "group_size", *KEY)
+        fresh = found.join(bad, KEY, "left_anti").select("doc_id", "text_sha256", "keep_id", "group_size", *KEY)
         out = fresh.unionByName(redone.join(fps.select("doc_id", "text_sha256", *KEY).distinct(), ["doc_id", "text_sha256"]))
     return out.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", F.format_string("%08x%08x", "fp_a", "fp_b").alias("fingerprint"))
 

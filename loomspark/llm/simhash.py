@@ -176,7 +176,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     roots = connected_components(links(nodes.select("fp")))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_fp = placed.join(least, "root").select("fp", "component_id")
+    # Written first, so that the hot partitions of the last join can be split.
+    by_fp = checkpoint(placed.join(least, "root").select("fp", "component_id"))
     return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
