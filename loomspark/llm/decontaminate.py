@@ -49,8 +49,9 @@ def _hashed(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def _hits(docs: DataFrame, seeds: DataFrame, masks: tuple[str, ...]) -> DataFrame:
     """Windows (doc_id, item, s, at, seen) that the seeds propose: the item's words s.. lie at the document's at.."""
+    # The outer form: before a plain explode, Spark would put a filter that computes the keys anew.
     keyed = docs.select("id", "h", F.array(*(_keys("h", m) for m in masks)).alias("keys")).select("id", "h", F.flatten("keys").alias("keys"), *(F.size(F.col("keys")[k]).alias(f"n{k}") for k in range(len(masks))))
-    probed = keyed.select("id", "h", *(f"n{k}" for k in range(len(masks))), F.posexplode("keys").alias("pos", "key")).join(F.broadcast(seeds), "key")
+    probed = keyed.select("id", "h", *(f"n{k}" for k in range(len(masks))), F.posexplode_outer("keys").alias("pos", "key")).join(F.broadcast(seeds), "key")
     p = F.col("pos")
     for k in range(len(masks) - 1):
         p = F.when(p >= F.col(f"n{k}"), p - F.col(f"n{k}")).otherwise(p) if k == 0 else p

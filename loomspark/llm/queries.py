@@ -3,22 +3,63 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomspark.llm import exact_dedup, simhash
+from loomspark.llm import decontaminate, edit_counts, exact_dedup, langid, pieces, pii, simhash
 from loomspark.llm._common import table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_of(table(spark, sf_dir, "documents"))
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.personal_data(table(spark, sf_dir, "documents")))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("fingerprint")
+
+
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"))
+
+
+def op9_edited_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three edits of each document: a replacement a third in, an insertion half way, a deletion at the start."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    n = F.length("text")
+
+    def edit(seq, start, stop, new):  # noqa: ANN001, ANN202
+        return F.struct(F.lit(seq).cast("long").alias("seq"), start.cast("long").alias("start"), stop.cast("long").alias("stop"), new.alias("new"))
+
+    third, half = F.floor(n / 3), F.floor(n / 2)
+    edits = F.array(edit(0, third, third + 12, F.lit(" amended")), edit(1, half, half, F.substring("text", 1, 24)), edit(2, F.lit(0), F.lit(5), F.lit("")))
+    return edit_counts.counts_with_edits(docs.withColumn("edits", edits))
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op3_simhash": op3_simhash,
+    "op4_language_id": op4_language_id,
+    "op5_personal_data": op5_personal_data,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_pieces": op7_pieces,
+    "op9_edited_counts": op9_edited_counts,
 }
 
-ORACLE_SQL = {}
+_EXACT = """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+"""
+
+ORACLE_SQL = {"op6_exact_dedup": _EXACT}
