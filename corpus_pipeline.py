@@ -1,10 +1,18 @@
-"""A corpus-cleaning pipeline of operators of loomspark.llm."""
+"""A corpus-cleaning pipeline of operators of loomspark.llm.
+
+Language ID drops documents without a known language, exact and near deduplication keep one document of each group,
+decontamination drops those that hold benchmark passages, and the last stage encodes what is left.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomspark.llm import exact_dedup, simhash
+from loomspark.llm import decontaminate, exact_dedup, langid, pieces, simhash
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.keep_languages(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,8 +23,23 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.drop_near_copies(docs)
 
 
-STAGES = [("exact_dedup", drop_exact_copies), ("simhash", drop_near_copies)]
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(docs)
+
+
+STAGES = [
+    ("language_id", keep_languages),
+    ("exact_dedup", drop_exact_copies),
+    ("simhash", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("pieces", encode),
+]
 
+#: Naive Bayes, SimHash and lattice search go beyond SQL; tests/llm holds the stages against plain versions.
 ORACLE_SQL = None
 
 
