@@ -33,9 +33,11 @@ from loomspark.llm._common import small_batches
 
 MODEL = "piece_bpe_32k.model"
 N_BEST = 3
-#: Segments whose lists a worker keeps: two generations of so many, of at most LONG characters.
-KEPT = 100_000
-LONG = 48
+#: Segments that a worker keeps: two generations of so many, of at most LONG characters. Those are also solved together.
+KEPT = 150_000
+LONG = 32
+#: Documents that are encoded together.
+TOGETHER = 200
 SPACE = "▁"
 OUTPUT = "doc_id long, n_tokens int, score double, ids array<int>, alternatives array<struct<score:double,edits:array<struct<at:int,drop:int,ids:array<int>>>>>, exact boolean"
 
@@ -46,8 +48,19 @@ def model_path(name: str = MODEL) -> str:
     return public_tokenizers.path(name)
 
 
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (((h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(48)).astype(np.int64)
+
+
 class Pieces:
-    """Lattice segmentation with the pieces of a model, given as the bytes of its file."""
+    """Lattice segmentation with the pieces of a model, given as the bytes of its file.
+
+    The best segmentation of short segments is found for many at once in numpy, with the cost of their second choice;
+    the A* search runs on the few segments of a document whose second choice is among its cheapest, and on others.
+    """
 
     def __init__(self, model: bytes, n_best: int = N_BEST) -> None:
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -79,6 +92,100 @@ class Pieces:
             self.segments = re.compile(r"\x20+[^\x20\n]*|[^\x20\n]+|\n" if lines else r"\x20+[^\x20]*|[^\x20]+").findall
         self.young: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
+        self.tables = self._hashed()
+
+    def _hashed(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each length: hashes, scores and ids of the pieces, and for each 16-bit slot the pieces in it."""
+        out = []
+        for size in range(1, min(self.longest, LONG) + 1):
+            own = [(p, *x) for p, x in self.piece.items() if len(p) == size]
+            h = np.zeros(len(own), dtype=np.uint64)
+            for k in range(size if own else 0):
+                h = h * _BASE + np.array([ord(p[k]) for p, _, _ in own], dtype=np.uint64)
+            slot = _slot(h)
+            order = np.argsort(slot, kind="stable")
+            sizes = np.bincount(slot, minlength=1 << 16)
+            place = np.arange(len(own)) - (np.cumsum(sizes) - sizes)[slot[order]]
+            slots = np.full((max(1, int(sizes.max(initial=0))), 1 << 16), len(own), dtype=np.int32)
+            slots[place, slot[order]] = order
+            out.append((np.append(h, np.uint64(0)), np.array([*(x for _, _, x in own), -np.inf]), np.array([*(i for _, i, _ in own), -1], dtype=np.int32), slots))
+        return out
+
+    def solve(self, segments: list[str]) -> None:
+        """Keep the best segmentation of each segment and the cost of the second, by forward and backward Viterbi.
+
+        All segments go through the lattice together, position by position; the cost of the second choice is the
+        smallest one of a path through an edge that is not on the best path. Long ones and those with characters in no
+        piece are searched one by one.
+        """
+        if len(self.young) >= KEPT:
+            self.old, self.young = self.young, {}
+        by_size: dict[int, list[str]] = {}
+        for x in segments:
+            if len(x) <= LONG and SPACE not in x and "\0" not in x:
+                by_size.setdefault(-(-len(x) // 4), []).append(x)
+        for size, part in by_size.items():
+            self._solve(part, 4 * size)
+
+    def _solve(self, words: list[str], width: int) -> None:
+        n = len(words)
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=n)
+        flat = np.frombuffer("".join(words).replace(" ", SPACE).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+        chars = np.zeros((width, n), dtype=np.uint64)
+        row = np.repeat(np.arange(n), sizes)
+        column = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        chars[column, row] = flat
+        scores, ids = [], []
+        h = np.zeros((width, n), dtype=np.uint64)
+        for size in range(1, min(len(self.tables), width) + 1):
+            h = h[: width - size + 1] * _BASE + chars[size - 1 :]
+            hashes, score, own, slots = self.tables[size - 1]
+            slot = _slot(h)
+            found = np.full(h.shape, len(own) - 1, dtype=np.int32)
+            for place in slots:
+                at = place[slot]
+                found = np.where(hashes[at] == h, at, found)
+            scores.append(score[found])
+            ids.append(own[found])
+        best = np.full((width + 1, n), -np.inf)
+        best[0] = 0.0
+        step = np.zeros((width + 1, n), dtype=np.int64)
+        for j in range(1, width + 1):
+            ways = np.stack([best[j - s] + scores[s - 1][j - s] for s in range(1, min(j, len(scores)) + 1)])
+            step[j] = ways.argmax(axis=0)
+            best[j] = ways.max(axis=0)
+        every = np.arange(n)
+        total = best[sizes, every]
+        rest = np.full((width + 1, n), -np.inf)
+        for i in range(width, -1, -1):
+            for s in range(1, min(width - i, len(scores)) + 1):
+                np.maximum(rest[i], scores[s - 1][i] + rest[i + s], out=rest[i])
+            rest[i][sizes == i] = 0.0
+        on_path = [np.zeros(x.shape, dtype=bool) for x in scores]
+        at, taken = sizes.copy(), []
+        known = np.isfinite(total)
+        while (going := (at > 0) & known).any():
+            s = np.where(going, step[at, every], 0)
+            start = at - s - 1
+            picked = np.full(n, -1, dtype=np.int32)
+            for k in np.unique(s[going]):
+                mine = np.flatnonzero(going & (s == k))
+                picked[mine] = ids[k][start[mine], mine]
+                on_path[k][start[mine], mine] = True
+            taken.append(picked)
+            at = np.where(going, start, at)
+        second = np.full(n, -np.inf)
+        for s, score in enumerate(scores, 1):
+            through = best[: width - s + 1] + score + rest[s:]
+            through[on_path[s - 1]] = -np.inf
+            np.maximum(second, through.max(axis=0), out=second)
+        gaps = np.where(np.isfinite(second), total - np.where(np.isfinite(second), second, 0.0), np.inf).tolist()
+        paths = np.array(taken[::-1], dtype=np.int32).reshape(-1, n).T.tolist() if taken else [[]] * n
+        counts = [sum(x >= 0 for x in p) for p in paths]
+        young = self.young
+        for x, p, c, t, g, ok in zip(words, paths, counts, total.tolist(), gaps, known.tolist(), strict=True):
+            if ok:
+                young[x] = (tuple(p[len(p) - c :]), t, g)
 
     def search(self, segment: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations of a segment, best first: score and ids. Spaces are ordinary characters here."""
@@ -120,40 +227,52 @@ class Pieces:
                     del heap[room:]
         return found
 
-    def listed(self, segment: str) -> tuple:
-        """(ids, score, cost of the second choice, further choices as (cost, ids)) of a segment."""
-        got = self.young.get(segment)
+    def single(self, segment: str) -> tuple:
+        """(ids, score, cost of the second choice) of a segment that isn't kept."""
+        got = self.old.get(segment)
         if got is None:
-            got = self.old.get(segment)
-            if got is None:
-                found = self.search(segment, self.n_best)
-                top, ids = found[0]
-                more = tuple((top - s, x) for s, x in found[1:])
-                got = (ids, top, more[0][0] if more else np.inf, more)
-            if len(segment) <= LONG:
-                if len(self.young) >= KEPT:
-                    self.old, self.young = self.young, {}
-                self.young[segment] = got
+            found = self.search(segment, 2)
+            got = (found[0][1], found[0][0], found[0][0] - found[1][0] if len(found) > 1 else np.inf)
+        if len(segment) <= LONG:
+            self.young[segment] = got
         return got
 
+    def choices(self, segment: str, ids: tuple[int, ...], top: float) -> list[tuple[float, tuple[int, ...]]]:
+        """The further segmentations of a segment, as (cost, ids)."""
+        return [(top - s, x) for s, x in self.search(segment, self.n_best) if x != ids][: self.n_best - 1]
+
     def encode(self, text: str | None) -> tuple[list[int], float, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]:
         """Ids and score of the best segmentation; then the next ones, each as a score and edits (at, drop, ids) of the ids."""
-        if not text:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[tuple]:
+        cut = [self.segments(" " + t) if t else [] for t in texts]
+        young, old = self.young, self.old
+        unseen = [x for x in set(chain.from_iterable(cut)) if x not in young and x not in old]
+        self.solve(unseen)
+        return [self._assemble(parts) for parts in cut]
+
+    def _assemble(self, parts: list[str]) -> tuple[list[int], float, list]:
+        if not parts:
             return [], 0.0, []
-        get, listed = self.young.get, self.listed
-        found = [get(s) or listed(s) for s in self.segments(" " + text)]
+        get, single = self.young.get, self.single
+        found = [get(s) or single(s) for s in parts]
         ids = list(chain.from_iterable([x[0] for x in found]))
         score = float(sum([x[1] for x in found]))
-        cheap = heapq.nsmallest(self.n_best - 1, [(x[2], k) for k, x in enumerate(found) if x[3]])
-        ways: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
-        for _, k in cheap:
-            ways += [(cost + more, (*chosen, (k, c))) for cost, chosen in ways for c, (more, _) in enumerate(found[k][3])]
+        gaps = np.fromiter([x[2] for x in found], dtype=float, count=len(found))
+        most = np.partition(gaps, self.n_best - 2)[self.n_best - 2] if 1 < self.n_best <= len(gaps) else np.inf
+        cheap = np.flatnonzero((gaps <= most) & (gaps < np.inf))
+        cheap = cheap[np.argsort(gaps[cheap], kind="stable")][: self.n_best - 1].tolist()
+        ways: list[tuple[float, tuple[tuple[int, tuple[int, ...]], ...]]] = [(0.0, ())]
+        for k in cheap:
+            ways += [(cost + more, (*chosen, (k, new))) for cost, chosen in ways for more, new in self.choices(parts[k], found[k][0], found[k][1])]
             ways = heapq.nsmallest(self.n_best, ways)
         others = []
         if len(ways) > 1:
-            starts = np.cumsum([0] + [len(x[0]) for x in found[: max(k for _, k in cheap) + 1]]).tolist()
+            sizes = [len(x[0]) for x in found]
+            starts = {k: sum(sizes[:k]) for k in cheap}
             for cost, chosen in ways[1:]:
-                others.append((score - cost, sorted((starts[k], len(found[k][0]), found[k][3][c][1]) for k, c in chosen)))
+                others.append((score - cost, sorted((starts[k], sizes[k], new) for k, new in chosen)))
         return ids, score, others
 
     def decode(self, ids: list[int]) -> str:
@@ -187,16 +306,16 @@ def _encoder(model, n_best: int) -> Callable:
         pieces = _pieces(model.value, n_best)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for lo in range(0, len(texts), 100):
-                part = texts[lo : lo + 100]
-                rows = [pieces.encode(x) for x in part]
+            for lo in range(0, len(texts), TOGETHER):
+                part = texts[lo : lo + TOGETHER]
+                rows = pieces.encode_all(part)
                 sizes = [len(r[0]) for r in rows]
                 flat = np.fromiter(chain.from_iterable(r[0] for r in rows), dtype=np.int32, count=sum(sizes))
                 more = [[{"score": s, "edits": [{"at": a, "drop": d, "ids": list(x)} for a, d, x in edits]} for s, edits in r[2]] for r in rows]
                 exact = [pieces.decode(r[0]) == (x or "") for r, x in zip(rows, part, strict=True)]
                 kind = pa.list_(pa.struct([("score", pa.float64()), ("edits", pa.list_(pa.struct([("at", pa.int32()), ("drop", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, 100), pa.array(sizes, pa.int32()), pa.array([r[1] for r in rows], pa.float64()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.array(flat)), pa.array(more, kind), pa.array(exact)],
+                    [batch.column(0).slice(lo, TOGETHER), pa.array(sizes, pa.int32()), pa.array([r[1] for r in rows], pa.float64()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.array(flat)), pa.array(more, kind), pa.array(exact)],
                     names=["doc_id", "n_tokens", "score", "ids", "alternatives", "exact"],
                 )
 
