@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,3 +45,20 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 def crc_mod(doc_id: str | Column, by: int) -> Column:
     """crc32 of doc_id as text, modulo by; null for a null doc_id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id.cast("string").cast("binary")) % by
+
+
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df written as a Parquet table in the shared folder (see checkpoint) and read back; by: a column to partition by."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomspark-"))
+    path = f"{sc.getCheckpointDir()}/tables/{uuid.uuid4().hex}/{name}"
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of frames that nothing refers to any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
