@@ -1,0 +1,64 @@
+"""Sources over time: fingerprints, freshness, incremental reuse, and state machines of candidates."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: What may follow a candidate's state.
+TRANSITIONS = {"staged": ("approved", "rejected"), "approved": ("promoted", "rejected"), "promoted": ("rolled-back",), "rejected": (), "rolled-back": ()}
+
+
+def source_fingerprint(files: DataFrame, by: str, path: str, size: str, modified: str) -> DataFrame:
+    """(by, file_count, total_size, fingerprint): 24 hex digits over the sorted ``path:size:modified`` of each source.
+
+    Files are hashed one by one and their hashes sorted, so what is gathered for a source is a short string a file.
+    """
+    entry = F.concat_ws(":", F.col(path).cast("string"), F.col(size).cast("string"), F.col(modified).cast("string"))
+    return files.groupBy(by).agg(F.count(F.lit(1)).alias("file_count"), F.sum(size).alias("total_size"), F.left(F.sha2(F.array_join(F.sort_array(F.collect_list(entry)), "||"), 256), F.lit(24)).alias("fingerprint"))
+
+
+def freshness(contracts: DataFrame, current: DataFrame) -> DataFrame:
+    """Adds freshness to contracts (corpus_id, tracked, snapshot) from current signatures (corpus_id, fingerprint)."""
+    rows = contracts.join(current.select("corpus_id", F.col("fingerprint").alias("now")), "corpus_id", "left")
+    state = F.when(~F.col("tracked"), "not_applicable").when(F.col("now").isNull(), "missing_source").when(F.col("snapshot").isNull(), "missing_snapshot").when(F.col("snapshot") == F.col("now"), "fresh").otherwise("stale")
+    return rows.withColumn("freshness", state)
+
+
+def delta(listed: DataFrame, prior: DataFrame, key: str, stamp: str) -> DataFrame:
+    """Adds action to a listing: reuse where the stamp is known and unchanged, else fetch."""
+    old = prior.select(key, F.col(stamp).alias("_prior"))
+    return listed.join(old, key, "left").withColumn("action", F.when(F.col(stamp) == F.col("_prior"), "reuse").otherwise("fetch")).drop("_prior")
+
+
+def scope_check(current: DataFrame, prior: DataFrame, key: str, least: float = 0.5) -> DataFrame:
+    """One row (current, prior, allowed): a listing with under ``least`` of the known ids mustn't replace them."""
+    counts = current.agg(F.count_distinct(key).alias("current")).join(F.broadcast(prior.agg(F.count_distinct(key).alias("prior"))))
+    return counts.withColumn("allowed", (F.col("prior") == 0) | (F.col("current") >= least * F.col("prior")))
+
+
+def transition(now: Column, to: Column) -> Column:
+    """Whether a candidate may go from one state to another."""
+    allowed = F.lit(False)
+    for state, following in TRANSITIONS.items():
+        allowed = F.when(now == state, to.isin(*following) if following else F.lit(False)).otherwise(allowed)
+    return allowed
+
+
+def merge_registry(existing: DataFrame, discovered: DataFrame, key: str, kept: list[str]) -> DataFrame:
+    """Both sides by key: columns in ``kept`` keep what was known, others take what was found, unseen ones stay."""
+    old = existing.select(key, *(F.col(c).alias(f"_{c}") for c in existing.columns if c != key))
+    rows = old.join(discovered, key, "full_outer")
+    out = []
+    for c in existing.columns:
+        if c != key:
+            found = F.col(c) if c in discovered.columns else F.lit(None)
+            out.append((F.coalesce(f"_{c}", found) if c in kept else F.coalesce(found, F.col(f"_{c}"))).alias(c))
+    return rows.select(key, *out)
+
+
+def migrate_ids(items: DataFrame, old: str, new: Column) -> tuple[DataFrame, DataFrame]:
+    """Items with a recomputed id, and the mapping of ids that changed; a second run changes nothing."""
+    rows = items.withColumn("_new", new)
+    mapping = rows.where(F.col(old) != F.col("_new")).select(F.col(old).alias("old_id"), F.col("_new").alias("new_id")).distinct()
+    return rows.withColumn(old, F.col("_new")).drop("_new"), mapping
