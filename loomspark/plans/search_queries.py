@@ -223,8 +223,8 @@ WITH d0 AS (SELECT doc_id, left({S.space('text')}, 600) AS text FROM documents),
   vs AS (SELECT q.item_id, v.doc_id, sum(weight) AS vector_score FROM (SELECT item_id, unnest(tokens) AS token FROM q) q JOIN v USING (token) GROUP BY ALL),
   s AS (SELECT q.item_id AS query_id, d0.doc_id AS n, len(list_filter(tokens, lambda t: contains(lower(text), t))) / len(tokens) AS coverage,
      coalesce(vector_score, 0.0) AS vector_score, CASE WHEN contains(lower(text), lower(query)) THEN 0.75 ELSE 0.0 END AS phrase,
-     CASE doc_id % 3 WHEN 0 THEN 0.7 WHEN 1 THEN 0.15 ELSE 0.25 END AS bonus,
-     CASE doc_id % 3 WHEN 0 THEN 'federated_family_brief' WHEN 1 THEN 'federated_entity_dossier' ELSE 'federated_action_cluster' END AS kind
+     CASE d0.doc_id % 3 WHEN 0 THEN 0.7 WHEN 1 THEN 0.15 ELSE 0.25 END AS bonus,
+     CASE d0.doc_id % 3 WHEN 0 THEN 'federated_family_brief' WHEN 1 THEN 'federated_entity_dossier' ELSE 'federated_action_cluster' END AS kind
      FROM q, d0 LEFT JOIN vs ON vs.item_id = q.item_id AND vs.doc_id = d0.doc_id WHERE len(tokens) > 0),
   c AS (SELECT *, printf('canon:%06d', n) AS doc_id, round(1.8 * coverage + 0.7 * vector_score + phrase + bonus, 4) AS score FROM s WHERE coverage >= 0.25 OR vector_score > 0),
   k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, kind DESC, doc_id DESC) AS rank FROM c WHERE score > 0)

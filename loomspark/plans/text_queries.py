@@ -72,16 +72,16 @@ WITH s AS (SELECT doc_id, {S.sentences('text')} AS s FROM documents),
      u AS (SELECT doc_id, {S.distinct_ignoring_case('x')}[1:6] AS x, {S.distinct_ignoring_case('y')}[1:5] AS y FROM a),
      r AS (SELECT doc_id, 'action' AS kind, unnest(x) AS item, generate_subscripts(x, 1) - 1 AS position FROM u
            UNION ALL SELECT doc_id, 'unresolved', unnest(y), generate_subscripts(y, 1) - 1 FROM u)
-SELECT doc_id, position::BIGINT AS position, item, {S.slug('item')} AS item_key FROM r WHERE kind = '{{kind}}'"""
+SELECT doc_id, position::BIGINT AS position, item, {S.slug('item')} AS item_key FROM r WHERE kind = '@'"""
 
 
-@query(_LEDGER.format(kind="action"))
+@query(_LEDGER.replace("@", "action"))
 def extract_actions(spark: SparkSession, d: str) -> DataFrame:
     rows = corpus.ledgers(table(spark, d, "documents"), "doc_id", "text").where("kind = 'action'")
     return rows.select("doc_id", F.col("position").cast("long").alias("position"), "item", "item_key")
 
 
-@query(_LEDGER.format(kind="unresolved"))
+@query(_LEDGER.replace("@", "unresolved"))
 def extract_unresolved(spark: SparkSession, d: str) -> DataFrame:
     rows = corpus.ledgers(table(spark, d, "documents"), "doc_id", "text").where("kind = 'unresolved'")
     return rows.select("doc_id", F.col("position").cast("long").alias("position"), "item", "item_key")
