@@ -35,9 +35,9 @@ MODEL = "piece_bpe_32k.model"
 N_BEST = 3
 #: Segments that a worker keeps: two generations of so many, of at most LONG characters. Those are also solved together.
 KEPT = 150_000
-LONG = 32
-#: Documents that are encoded together.
-TOGETHER = 200
+LONG = 40
+#: Characters of the documents that are encoded together, but for the last one's.
+TOGETHER = 4_000_000
 SPACE = "▁"
 OUTPUT = "doc_id long, n_tokens int, score double, ids array<int>, alternatives array<struct<score:double,edits:array<struct<at:int,drop:int,ids:array<int>>>>>, exact boolean"
 
@@ -180,12 +180,13 @@ class Pieces:
             through[on_path[s - 1]] = -np.inf
             np.maximum(second, through.max(axis=0), out=second)
         gaps = np.where(np.isfinite(second), total - np.where(np.isfinite(second), second, 0.0), np.inf).tolist()
-        paths = np.array(taken[::-1], dtype=np.int32).reshape(-1, n).T.tolist() if taken else [[]] * n
-        counts = [sum(x >= 0 for x in p) for p in paths]
-        young = self.young
-        for x, p, c, t, g, ok in zip(words, paths, counts, total.tolist(), gaps, known.tolist(), strict=True):
+        paths = np.array(taken[::-1], dtype=np.int32).reshape(-1, n).T
+        skip = (paths < 0).sum(axis=1).tolist()
+        young, name = self.young, self.bytes_of.__getitem__
+        for x, p, c, t, g, ok in zip(words, paths.tolist(), skip, total.tolist(), gaps, known.tolist(), strict=True):
             if ok:
-                young[x] = (tuple(p[len(p) - c :]), t, g)
+                ids = tuple(p[c:])
+                young[x] = (ids, t, g, b"".join(map(name, ids)) == x.encode())
 
     def search(self, segment: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations of a segment, best first: score and ids. Spaces are ordinary characters here."""
@@ -228,11 +229,12 @@ class Pieces:
         return found
 
     def single(self, segment: str) -> tuple:
-        """(ids, score, cost of the second choice) of a segment that isn't kept."""
+        """(ids, score, cost of the second choice, whether the ids stand for it) of a segment that isn't kept."""
         got = self.old.get(segment)
         if got is None:
             found = self.search(segment, 2)
-            got = (found[0][1], found[0][0], found[0][0] - found[1][0] if len(found) > 1 else np.inf)
+            ids = found[0][1]
+            got = (ids, found[0][0], found[0][0] - found[1][0] if len(found) > 1 else np.inf, b"".join(map(self.bytes_of.__getitem__, ids)) == segment.encode())
         if len(segment) <= LONG:
             self.young[segment] = got
         return got
@@ -243,37 +245,57 @@ class Pieces:
 
     def encode(self, text: str | None) -> tuple[list[int], float, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]:
         """Ids and score of the best segmentation; then the next ones, each as a score and edits (at, drop, ids) of the ids."""
-        return self.encode_all([text])[0]
+        _, ids, scores, others, _ = self.encode_all([text])
+        return ids.tolist(), scores[0], others[0]
+
+    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, list[float], list[list], list[bool]]:
+        """For all texts: where their ids start and end, the ids, scores, next segmentations, and whether ids decode to the text.
 
-    def encode_all(self, texts: list[str | None]) -> list[tuple]:
+        Decoding joins what each id stands for, so it gives a text back if its segments join to it and each comes back.
+        """
         cut = [self.segments(" " + t) if t else [] for t in texts]
-        young, old = self.young, self.old
-        unseen = [x for x in set(chain.from_iterable(cut)) if x not in young and x not in old]
-        self.solve(unseen)
-        return [self._assemble(parts) for parts in cut]
-
-    def _assemble(self, parts: list[str]) -> tuple[list[int], float, list]:
-        if not parts:
-            return [], 0.0, []
-        get, single = self.young.get, self.single
-        found = [get(s) or single(s) for s in parts]
-        ids = list(chain.from_iterable([x[0] for x in found]))
-        score = float(sum([x[1] for x in found]))
-        gaps = np.fromiter([x[2] for x in found], dtype=float, count=len(found))
-        most = np.partition(gaps, self.n_best - 2)[self.n_best - 2] if 1 < self.n_best <= len(gaps) else np.inf
-        cheap = np.flatnonzero((gaps <= most) & (gaps < np.inf))
-        cheap = cheap[np.argsort(gaps[cheap], kind="stable")][: self.n_best - 1].tolist()
+        index = {x: i for i, x in enumerate(dict.fromkeys(chain.from_iterable(cut)))}
+        young, old, single = self.young, self.old, self.single
+        self.solve([x for x in index if x not in young and x not in old])
+        young = self.young
+        found = [young.get(x) or single(x) for x in index]
+        ends = np.cumsum([0, *(len(x) for x in cut)])
+        segment = np.fromiter(map(index.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=ends[-1])
+        ways = [x[0] for x in found]
+        sizes = np.fromiter(map(len, ways), dtype=np.int64, count=len(ways))
+        flat = np.fromiter(chain.from_iterable(ways), dtype=np.int32, count=sizes.sum())
+        first = np.cumsum(sizes) - sizes
+        counts = sizes[segment]
+        after = np.concatenate([[0], np.cumsum(counts)])
+        ids = flat[np.repeat(first[segment] - after[:-1], counts) + np.arange(after[-1])]
+        totals = np.concatenate([[0.0], np.cumsum(np.array([x[1] for x in found])[segment] if found else [])])
+        gaps = np.array([x[2] for x in found])[segment] if found else np.zeros(0)
+        back = np.array([x[3] for x in found], dtype=bool)
+        wrong = np.concatenate([[0], np.cumsum(~back[segment])])
+        others, exact = [], []
+        for t, parts, lo, hi in zip(texts, cut, ends[:-1], ends[1:], strict=True):
+            at = self._cheapest(gaps[lo:hi])
+            others.append(self._others(parts, [found[i] for i in segment[at + lo]], at, after[lo : hi + 1] - after[lo], totals[hi] - totals[lo]))
+            exact.append(bool(wrong[lo] == wrong[hi]) and "".join(parts) == (" " + t if t else ""))
+        return after[ends], ids, (totals[ends[1:]] - totals[ends[:-1]]).tolist(), others, exact
+
+    def _cheapest(self, gaps: np.ndarray) -> np.ndarray:
+        """The n_best - 1 segments whose second choice costs least, the first ones of equals."""
+        n = self.n_best - 1
+        if n < len(gaps):
+            most = np.partition(gaps, n - 1)[n - 1] if n else -1.0
+            at = np.flatnonzero(gaps <= most)
+            at = at[np.argsort(gaps[at], kind="stable")][:n]
+        else:
+            at = np.argsort(gaps, kind="stable")
+        return at[gaps[at] < np.inf]
+
+    def _others(self, parts: list[str], own: list[tuple], at: np.ndarray, starts: np.ndarray, score: float) -> list:
         ways: list[tuple[float, tuple[tuple[int, tuple[int, ...]], ...]]] = [(0.0, ())]
-        for k in cheap:
-            ways += [(cost + more, (*chosen, (k, new))) for cost, chosen in ways for more, new in self.choices(parts[k], found[k][0], found[k][1])]
+        for k, (ids, top, *_) in zip(at.tolist(), own, strict=True):
+            ways += [(cost + more, (*chosen, (k, new))) for cost, chosen in ways for more, new in self.choices(parts[k], ids, top)]
             ways = heapq.nsmallest(self.n_best, ways)
-        others = []
-        if len(ways) > 1:
-            sizes = [len(x[0]) for x in found]
-            starts = {k: sum(sizes[:k]) for k in cheap}
-            for cost, chosen in ways[1:]:
-                others.append((score - cost, sorted((starts[k], sizes[k], new) for k, new in chosen)))
-        return ids, score, others
+        return [(float(score) - cost, sorted((int(starts[k]), int(starts[k + 1] - starts[k]), new) for k, new in chosen)) for cost, chosen in ways[1:]]
 
     def decode(self, ids: list[int]) -> str:
         data = b"".join(map(self.bytes_of.__getitem__, ids))
@@ -306,18 +328,21 @@ def _encoder(model, n_best: int) -> Callable:
         pieces = _pieces(model.value, n_best)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for lo in range(0, len(texts), TOGETHER):
-                part = texts[lo : lo + TOGETHER]
-                rows = pieces.encode_all(part)
-                sizes = [len(r[0]) for r in rows]
-                flat = np.fromiter(chain.from_iterable(r[0] for r in rows), dtype=np.int32, count=sum(sizes))
-                more = [[{"score": s, "edits": [{"at": a, "drop": d, "ids": list(x)} for a, d, x in edits]} for s, edits in r[2]] for r in rows]
-                exact = [pieces.decode(r[0]) == (x or "") for r, x in zip(rows, part, strict=True)]
+            lo = 0
+            while lo < len(texts):
+                chars, hi = 0, lo
+                while hi < len(texts) and chars < TOGETHER:
+                    chars += len(texts[hi] or "")
+                    hi += 1
+                part = texts[lo:hi]
+                ends, ids, scores, others, exact = pieces.encode_all(part)
+                more = [[{"score": s, "edits": [{"at": a, "drop": d, "ids": list(x)} for a, d, x in edits]} for s, edits in r] for r in others]
                 kind = pa.list_(pa.struct([("score", pa.float64()), ("edits", pa.list_(pa.struct([("at", pa.int32()), ("drop", pa.int32()), ("ids", pa.list_(pa.int32()))])))]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, TOGETHER), pa.array(sizes, pa.int32()), pa.array([r[1] for r in rows], pa.float64()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.array(flat)), pa.array(more, kind), pa.array(exact)],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(ends).astype(np.int32)), pa.array(scores, pa.float64()), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)), pa.array(more, kind), pa.array(exact)],
                     names=["doc_id", "n_tokens", "score", "ids", "alternatives", "exact"],
                 )
+                lo = hi
 
     return run
 
