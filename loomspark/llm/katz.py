@@ -38,35 +38,40 @@ FREQUENT_PAIRS = 300_000
 #: Words before that are so frequent have their pairs dealt out by the second word as well.
 SALTED_WORDS = 1_000
 #: Tokens that a task holds before it hands on their counts.
-BUFFER = 3_000_000
+BUFFER = 4_000_000
 ROWS = 100_000
+#: Words whose hashes a worker remembers.
+KEPT = 400_000
+#: Share of the documents in which the words to salt are sought; it decides only where rows are dealt to.
+SAMPLE = 0.01
 #: Hashes of the end of a text and of what stands before its first word; no word has white space.
 END = xxhash.xxh64_intdigest(b" end", 42)
 START = xxhash.xxh64_intdigest(b" start", 42)
 #: Keys of the sums that are known where a text is read.
 TOKENS, KNOWN, BASE, MODEL = range(1, 5)
+#: In the place of a salt, for the count of a word itself.
+WORD = -1
 
+#: No word has white space, so this is none.
+_END = b" "
 _hashes: dict[bytes, int] = {}
 
 
 def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, each text followed by END, and the number of each one's text."""
-    words = [(t or b"").lower().split() for t in texts]
-    sizes = np.array([len(w) + 1 for w in words], dtype=np.int64)
-    get, of = _hashes.get, xxhash.xxh64_intdigest
-    if len(_hashes) > 300_000:
+    flat, sizes = [], []
+    for t in texts:
+        words = (t or b"").lower().split()
+        words.append(_END)
+        flat += words
+        sizes.append(len(words))
+    if len(_hashes) > KEPT:
         _hashes.clear()
-
-    def every() -> Iterator[int]:
-        for text in words:
-            for w in text:
-                h = get(w)
-                if h is None:
-                    h = _hashes[w] = of(w, 42)
-                yield h
-            yield END
-
-    return np.fromiter(every(), dtype=np.uint64, count=int(sizes.sum())), np.repeat(np.arange(len(words)), sizes)
+    _hashes[_END] = END
+    of = xxhash.xxh64_intdigest
+    for w in set(flat).difference(_hashes):
+        _hashes[w] = of(w, 42)
+    return np.fromiter(map(_hashes.__getitem__, flat), dtype=np.uint64, count=len(flat)), np.repeat(np.arange(len(sizes)), sizes)
 
 
 def before(token: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -126,6 +131,9 @@ def _pair_counter(frequent) -> Callable:
             left, right = left[at], right[at]
             salt = np.where(np.isin(left, often), right >> np.uint64(58), np.uint64(0)).astype(np.int32)
             yield from _pieces([left.view(np.int64), salt, right.view(np.int64), n.astype(np.int32)], ["h", "salt", "w", "n"])
+            word, place = np.unique(right, return_inverse=True)
+            total = np.bincount(place, weights=n).astype(np.int32)
+            yield from _pieces([word.view(np.int64), np.full(len(word), WORD, dtype=np.int32), word.view(np.int64), total], ["h", "salt", "w", "n"])
 
         for batch in batches:
             token, text = tokens(batch.column(0).to_pylist())
@@ -162,7 +170,17 @@ class Model:
         spark = docs.sparkSession
         small_batches(spark)
         text = docs.select(F.col(text_col).cast("binary").alias("b"))
-        words = written(text.mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("c")), "words")
+        sample = text.sample(SAMPLE, seed=42).mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("c"))
+        often = np.array([r[0] for r in sample.orderBy(F.desc("c"), "key").limit(SALTED_WORDS).collect()], dtype=np.int64).view(np.uint64)
+        often = spark.sparkContext.broadcast(np.append(often, np.uint64(START)))
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        found = text.mapInArrow(_pair_counter(often), "h long, salt int, w long, n int").repartition(parts, "h", "salt").groupBy("h", "salt", "w").agg(F.sum("n").alias("c"))
+        found = found.where((F.col("c") >= MIN_COUNT) | (F.col("salt") == WORD)).select("h", "w", "c", (F.col("salt") == WORD).alias("word"))
+        kept = written(found, "counts", "word")
+        del found
+        release(spark)
+        words = kept.where("word").select(F.col("w").alias("key"), "c")
+        pairs = kept.where("not word").select("h", "w", "c")
         of = words.agg(F.count("c").alias("v"), F.sum("c").alias("n"), F.max(F.when(F.col("key") == _signed(END), F.col("c"))).alias("texts"), *(F.count_if(F.col("c") == r).alias(f"n{r}") for r in range(1, K + 2))).first()
         self.N, self.V, texts = of["n"] or 0, of["v"], of["texts"] or 0
         self.d1 = discounts({r: of[f"n{r}"] for r in range(1, K + 2)}, 1)
@@ -172,13 +190,6 @@ class Model:
         self.p_unknown = 1 - self.scale * left / self.N if self.N else 1.0
         p1 = F.lit(self.scale / max(1, self.N)) * _discounted(F.col("c"), self.d1)
         self.words = words.withColumn("p", p1)
-        often = np.array([r[0] for r in words.orderBy(F.desc("c"), "key").limit(SALTED_WORDS).collect()], dtype=np.int64).view(np.uint64)
-        often = spark.sparkContext.broadcast(np.append(often, np.uint64(START)))
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        found = text.mapInArrow(_pair_counter(often), "h long, salt int, w long, n int").repartition(parts, "h", "salt").groupBy("h", "salt", "w").agg(F.sum("n").alias("c"))
-        pairs = written(found.where(F.col("c") >= MIN_COUNT).select("h", "w", "c"), "pairs")
-        del found
-        release(spark)
         of = pairs.agg(F.sum("c").alias("n"), *(F.count_if(F.col("c") == r).alias(f"n{r}") for r in range(MIN_COUNT, K + 2))).first()
         n = {r: of[f"n{r}"] for r in range(MIN_COUNT, K + 2)} | {1: self.N - (of["n"] or 0)}
         self.d2 = discounts(n, MIN_COUNT)
@@ -262,7 +273,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     release(spark)
 
     def frequent(which: Column, limit: int, columns: list[str]) -> list[np.ndarray]:
-        got = weights.where(which).orderBy(F.desc("c"), "key").limit(limit).select("key", *columns).toPandas()
+        """Weights of the most frequent keys, at most ``limit``: those from a count on, found from a histogram of counts."""
+        rows = weights.where(which)
+        step = F.floor(F.log2("c") * 16)
+        least, total = None, 0
+        for r in sorted(rows.groupBy(step.alias("s")).count().collect(), key=lambda r: -r["s"]):
+            total += r["count"]
+            if total > limit:
+                break
+            least = r["s"]
+        got = rows.where(step >= least if least is not None else F.lit(False)).select("key", *columns).toPandas()
         key = got["key"].to_numpy(dtype=np.int64).view(np.uint64)
         order = np.argsort(key)
         return [key[order], *(got[c].to_numpy(dtype=float)[order] for c in columns)]
@@ -271,7 +291,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("b")).mapInArrow(_reader(shared), "doc_id long, key long, value double")
     own = spark.createDataFrame([(k, *(1.0 if k == j else 0.0 for j in (TOKENS, KNOWN, BASE, MODEL))) for k in (TOKENS, KNOWN, BASE, MODEL)], "key long, tokens double, known double, base double, model double")
     table = weights.select("key", F.lit(0.0).alias("tokens"), "known", "base", "model").unionByName(own)
-    sums = rows.join(table, "key").groupBy("doc_id").agg(*(F.sum(F.col("value") * F.col(c)).alias(c) for c in ("tokens", "known", "base", "model")))
+    sums = rows.join(table.hint("shuffle_hash"), "key").groupBy("doc_id").agg(*(F.sum(F.col("value") * F.col(c)).alias(c) for c in ("tokens", "known", "base", "model")))
     unknown = F.col("tokens") - F.col("known")
     return sums.select(
         "doc_id",
