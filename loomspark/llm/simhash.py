@@ -89,21 +89,21 @@ def _embed(fp: np.ndarray) -> np.ndarray:
 
 
 def _link_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (key, side, fp) sorted by key: links inside each key, as many as join what they connect."""
+    """Rows (key, fp) sorted by key: links inside each key, as many as join what they connect."""
     rest = None
     for batch in batches:
-        key, side, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+        key, fp = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(2))
         if rest is not None:
-            key, side, fp = (np.concatenate(x) for x in zip(rest, (key, side, fp), strict=True))
+            key, fp = (np.concatenate(x) for x in zip(rest, (key, fp), strict=True))
         last = np.searchsorted(key, key[-1], side="left") if len(key) else 0
-        rest = (key[last:], side[last:], fp[last:])
+        rest = (key[last:], fp[last:])
         if last:
-            yield _links(key[:last], side[:last], fp[:last])
+            yield _links(key[:last], fp[:last])
     if rest is not None and len(rest[0]):
         yield _links(*rest)
 
 
-def _links(key: np.ndarray, side: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+def _links(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
     bits = fp.view(np.uint64)
     point = _embed(bits)
     n = len(key)
@@ -157,14 +157,14 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     cells = point.select("fp", F.explode(F.array(*(F.xxhash64(F.lit(k), F.col("p").bitwiseAND(F.lit(m))) for k, m in enumerate(cell_masks())))).alias("key"))
     large = checkpoint(cells.groupBy("key").count().where(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("m")))
     if large.isEmpty():
-        rows = cells.select("key", F.lit(0).alias("side"), "fp")
+        rows = cells.select("key", "fp")
     else:
         dealt = cells.join(bounded(large, 500_000), "key", "left")
         own = F.pmod(F.xxhash64(F.lit("block"), "fp"), F.col("m")).cast("int")
         dealt = dealt.select("key", "fp", F.coalesce("m", F.lit(1)).alias("m"), F.coalesce(own, F.lit(0)).alias("own"))
         pair = F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("with")
         dealt = dealt.select("key", "fp", "m", "own", pair)
-        rows = dealt.select(F.when(F.col("m") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "with"), F.greatest("own", "with"))).alias("key"), F.lit(0).alias("side"), "fp")
+        rows = dealt.select(F.when(F.col("m") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "with"), F.greatest("own", "with"))).alias("key"), "fp")
     parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
     return rows.repartition(int(parts), "key").sortWithinPartitions("key").mapInArrow(_link_cells, "a long, b long").distinct()
 
