@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
-from loomspark.operators import canon, corpus, search, terms
+from loomspark.operators import canon, cascade, corpus, federation, search, terms
 from loomspark.plans import sqltext as S
 from loomspark.plans.shared import checkpoint, table
 from loomspark.plans.text_queries import PAIRS_SQL, messages
+from loomspark.sources import markdown
 
 QUERIES = {}
 SQL = {}
@@ -110,16 +111,56 @@ def conversation_queries(spark: SparkSession, d: str) -> DataFrame:
     return checkpoint(rows.withColumn("tokens", search.expand_tokens(search.query_tokens(F.col("query")))))
 
 
+def _corpus_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The search documents, as those of four corpora by thread."""
+    return search_documents(spark, d).withColumn("corpus_id", F.concat(F.lit("c"), (F.col("thread").cast("long") % 4).cast("string")))
+
+
+def _found(spark: SparkSession, d: str, mode: str | None = None) -> tuple[cascade.Found, DataFrame]:
+    queries = conversation_queries(spark, d)
+    return cascade.cascade(queries, checkpoint(search_documents(spark, d)), mode=mode), queries
+
+
 @query()
 def search_cascade(spark: SparkSession, d: str) -> DataFrame:
-    hits = search.cascade(conversation_queries(spark, d), checkpoint(search_documents(spark, d)))
+    hits = _found(spark, d)[0].hits
     return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "kind", "score")
 
 
 @query()
-def answer_state(spark: SparkSession, d: str) -> DataFrame:
-    queries = conversation_queries(spark, d)
-    return search.answer_states(checkpoint(search.cascade(queries, checkpoint(search_documents(spark, d)))), queries)
+def search_ledger_mode(spark: SparkSession, d: str) -> DataFrame:
+    hits = _found(spark, d, "action")[0].hits
+    return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "kind", "score")
+
+
+@query()
+def rank_families(spark: SparkSession, d: str) -> DataFrame:
+    return _found(spark, d)[0].family.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
+
+
+@query()
+def rerank_threads(spark: SparkSession, d: str) -> DataFrame:
+    return _found(spark, d)[0].thread.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
+
+
+@query()
+def rerank_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _found(spark, d)[0].pair.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
+
+
+@query()
+def answer_citations(spark: SparkSession, d: str) -> DataFrame:
+    found, queries = _found(spark, d)
+    cited = cascade.citations(cascade.primary_evidence(found), cascade.answer_states(found, queries))
+    return cited.withColumn("citations", F.array_join("citations", ","))
+
+
+@query()
+def corpus_selection(spark: SparkSession, d: str) -> DataFrame:
+    docs = checkpoint(_corpus_documents(spark, d))
+    found = cascade.cascade(conversation_queries(spark, d), docs, by=["query_id", "corpus_id"])
+    corpora = spark.createDataFrame([("c0", True, "pass"), ("c1", False, "warn"), ("c2", False, "fail"), ("c3", False, None)], "corpus_id string, is_default boolean, gate_state string")
+    return cascade.select_corpus(found, corpora).where("place = 1").drop("place")
 
 
 @query(f"""
@@ -235,10 +276,6 @@ def canon_search(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "kind", "score")
 
 
-def _digest(*columns: str) -> Column:
-    return F.concat_ws("|", *columns)
-
-
 @query(f"""
 SELECT source AS corpus_id, count(*) AS documents, sum(n_chars)::BIGINT AS chars, count(DISTINCT lang) AS langs,
   sum(len({S.tokens('text')}))::BIGINT AS tokens, sum(CASE WHEN contains({S.space('text')}, '?') THEN 1 ELSE 0 END)::BIGINT AS with_questions FROM documents GROUP BY source""")
@@ -253,3 +290,68 @@ WHERE source = 'src3' AND contains(lower(concat_ws(' ', doc_id::VARCHAR, text, l
 def index_filter_text(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "documents").where("source = 'src3'")
     return rows.where(F.contains(F.lower(F.concat_ws(" ", "doc_id", "text", "lang", "source")), F.lit("the"))).select("doc_id", "source", "lang")
+
+
+@query(f"""WITH RECURSIVE {_GROUPS.strip()},
+m AS (SELECT root, member_id, corpus_id, label, themes FROM g JOIN x USING (member_id)),
+t AS (SELECT root, label, row_number() OVER (PARTITION BY root ORDER BY count(*) DESC, min(member_id)) AS i FROM m GROUP BY root, label),
+u AS (SELECT root, member_id, unnest(list_sort(themes)) AS v, generate_subscripts(themes, 1) - 1 AS p FROM m),
+c AS (SELECT root, v, row_number() OVER (PARTITION BY root ORDER BY count(*) DESC, min((member_id, p))) AS i FROM u GROUP BY root, v),
+s AS (SELECT root, string_agg(v, ',' ORDER BY i) AS themes FROM c WHERE i <= 8 GROUP BY root)
+SELECT root, t.label AS canonical_title, count(*) AS member_count, string_agg(DISTINCT corpus_id, ',' ORDER BY corpus_id) AS corpora, coalesce(any_value(s.themes), '') AS themes
+FROM m JOIN t USING (root) LEFT JOIN s USING (root) WHERE t.i = 1 GROUP BY root, t.label""")
+def canon_families(spark: SparkSession, d: str) -> DataFrame:
+    records, groups = _groups(spark, d)
+    rows = federation.canonical_families(records, groups.withColumnRenamed("root", "group_id"))
+    return rows.select(F.col("group_id").alias("root"), "canonical_title", "member_count", F.array_join("corpus_ids", ",").alias("corpora"), F.coalesce(F.array_join("stable_themes", ","), F.lit("")).alias("themes"))
+
+
+_FLAT = S.space("text")
+_SNIPPET = f"""
+WITH f AS (SELECT doc_id, {_FLAT} AS t FROM documents),
+p AS (SELECT *, coalesce(list_min(list_filter([instr(lower(t), 'tion'), instr(lower(t), 'que')], lambda i: i > 0)), 1) - 1 AS first FROM f),
+s AS (SELECT *, greatest(first - 73, 0) AS start FROM p)
+SELECT doc_id, CASE WHEN length(t) <= 220 THEN t ELSE concat(CASE WHEN start > 0 THEN '...' ELSE '' END, trim(substr(t, start + 1, 220)), CASE WHEN start + 220 < length(t) THEN '...' ELSE '' END) END AS snippet FROM s"""
+
+
+@query(_SNIPPET)
+def snippet(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", T.snippet(F.col("text"), T.words_list(["tion", "que"])).alias("snippet"))
+
+
+@query(f"""
+WITH q AS (SELECT item_id, text, {S.content('text', T.SEARCH_STOP_WORDS, 2)} AS raw FROM benchmark),
+f AS (SELECT DISTINCT source, lower(left({_FLAT}, 12)) AS title FROM documents WHERE doc_id < 50),
+m AS (SELECT *, {S.content('title', T.SEARCH_STOP_WORDS, 2)} AS tt FROM f)
+SELECT item_id AS query_id, source AS family_id, title FROM q, m
+WHERE title <> '' AND (contains(lower(text), title) OR (len(tt) > 0 AND len(list_filter(tt, lambda t: NOT list_contains(raw, t))) = 0))""")
+def family_match(spark: SparkSession, d: str) -> DataFrame:
+    """Queries and the families whose title they hold, or all of whose title's words."""
+    titles = table(spark, d, "documents").where("doc_id < 50").select(F.col("source").alias("family_id"), F.lower(F.left(T.normalize_space("text"), F.lit(12))).alias("title")).distinct()
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), T.content_tokens("text", T.SEARCH_STOP_WORDS, 2).alias("raw"))
+    tokens = T.content_tokens("title", T.SEARCH_STOP_WORDS, 2)
+    known = (F.size(tokens) > 0) & (F.size(F.array_except(tokens, F.col("raw"))) == 0)
+    rows = search.paired(queries, titles)
+    return rows.where((F.col("title") != "") & (F.contains(F.lower("query"), F.col("title")) | known)).select("query_id", "family_id", "title")
+
+
+@query(f"""
+SELECT doc_id, round(CASE WHEN length(regexp_replace(text, '{S.SPACES}', '', 'g')) = 0 THEN 0.0
+  ELSE length(regexp_replace(text, '[^\\p{{L}}]', '', 'g')) / length(regexp_replace(text, '{S.SPACES}', '', 'g')) END, 6) AS alpha_ratio FROM documents""")
+def alpha_ratio_documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.round(T.alpha_ratio("text"), 6).alias("alpha_ratio"))
+
+
+@query()
+def ledger_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """Markdown-cleaned sentences that can be ledger items."""
+    rows = table(spark, d, "documents").select("doc_id", F.posexplode(markdown.candidates(markdown.clean(F.col("text")))).alias("position", "sentence"))
+    return rows.withColumn("position", F.col("position").cast("long"))
+
+
+@query()
+def decision_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Records grouped by the suggestions of high priority, as accepted decisions."""
+    records = checkpoint(_records(spark, d))
+    accepted = canon.suggestions(records, "entity-alias").where("priority = 'high'").select(F.col("review_id").alias("decision_id"), F.array("left_id", "right_id").alias("subject_ids"), F.col("subject").alias("canonical_subject"))
+    return federation.decision_groups(records, checkpoint(accepted), "entity")
