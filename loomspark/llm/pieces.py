@@ -92,6 +92,7 @@ class Pieces:
             self.segments = re.compile(r"\x20+[^\x20\n]*|[^\x20\n]+|\n" if lines else r"\x20+[^\x20]*|[^\x20]+").findall
         self.young: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
+        self.further: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
         self.tables = self._hashed()
 
     def _hashed(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -240,8 +241,15 @@ class Pieces:
         return got
 
     def choices(self, segment: str, ids: tuple[int, ...], top: float) -> list[tuple[float, tuple[int, ...]]]:
-        """The further segmentations of a segment, as (cost, ids)."""
-        return [(top - s, x) for s, x in self.search(segment, self.n_best) if x != ids][: self.n_best - 1]
+        """The further segmentations of a segment, as (cost, ids); those of frequent words are asked for again and again."""
+        got = self.further.get(segment)
+        if got is None:
+            got = [(top - s, x) for s, x in self.search(segment, self.n_best) if x != ids][: self.n_best - 1]
+            if len(segment) <= LONG:
+                if len(self.further) >= KEPT // 10:
+                    self.further.clear()
+                self.further[segment] = got
+        return got
 
     def encode(self, text: str | None) -> tuple[list[int], float, list[tuple[float, list[tuple[int, int, tuple[int, ...]]]]]]:
         """Ids and score of the best segmentation; then the next ones, each as a score and edits (at, drop, ids) of the ids."""
@@ -261,16 +269,16 @@ class Pieces:
         found = [young.get(x) or single(x) for x in index]
         ends = np.cumsum([0, *(len(x) for x in cut)])
         segment = np.fromiter(map(index.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=ends[-1])
-        ways = [x[0] for x in found]
+        ways, tops, costs, back = zip(*found, strict=True) if found else ((), (), (), ())
         sizes = np.fromiter(map(len, ways), dtype=np.int64, count=len(ways))
         flat = np.fromiter(chain.from_iterable(ways), dtype=np.int32, count=sizes.sum())
         first = np.cumsum(sizes) - sizes
         counts = sizes[segment]
         after = np.concatenate([[0], np.cumsum(counts)])
         ids = flat[np.repeat(first[segment] - after[:-1], counts) + np.arange(after[-1])]
-        totals = np.concatenate([[0.0], np.cumsum(np.array([x[1] for x in found])[segment] if found else [])])
-        gaps = np.array([x[2] for x in found])[segment] if found else np.zeros(0)
-        back = np.array([x[3] for x in found], dtype=bool)
+        totals = np.concatenate([[0.0], np.cumsum(np.array(tops, dtype=float)[segment])])
+        gaps = np.array(costs, dtype=float)[segment]
+        back = np.array(back, dtype=bool)
         wrong = np.concatenate([[0], np.cumsum(~back[segment])])
         others, exact = [], []
         for t, parts, lo, hi in zip(texts, cut, ends[:-1], ends[1:], strict=True):
