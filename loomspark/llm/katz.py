@@ -21,7 +21,9 @@ read.
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -29,19 +31,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm._common import crc_mod, release, small_batches, written
+from loomspark.llm._common import crc_mod, drop, release, small_batches, written
 
 K = 5
 MIN_COUNT = 2
 FREQUENT_WORDS = 100_000
-FREQUENT_PAIRS = 300_000
+FREQUENT_PAIRS = 1_000_000
 #: Words before that are so frequent have their pairs dealt out by the second word as well.
 SALTED_WORDS = 1_000
 #: Tokens that a task holds before it hands on their counts.
 BUFFER = 4_000_000
 ROWS = 100_000
-#: Words whose hashes a worker remembers.
-KEPT = 400_000
+#: Bytes of the texts that are scored together, but for the last one's.
+TOGETHER = 3_000_000
 #: Share of the documents in which the words to salt are sought; it decides only where rows are dealt to.
 SAMPLE = 0.01
 #: Hashes of the end of a text and of what stands before its first word; no word has white space.
@@ -52,37 +54,36 @@ TOKENS, KNOWN, BASE, MODEL = range(1, 5)
 #: In the place of a salt, for the count of a word itself.
 WORD = -1
 
-#: No word has white space, so this is none.
-_END = b" "
-_hashes: dict[bytes, int] = {}
-
-
-def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, each text followed by END, and the number of each one's text."""
-    flat, sizes = [], []
-    for t in texts:
-        words = (t or b"").lower().split()
-        words.append(_END)
-        flat += words
-        sizes.append(len(words))
-    if len(_hashes) > KEPT:
-        _hashes.clear()
-    _hashes[_END] = END
-    of = xxhash.xxh64_intdigest
-    for w in set(flat).difference(_hashes):
-        _hashes[w] = of(w, 42)
-    return np.fromiter(map(_hashes.__getitem__, flat), dtype=np.uint64, count=len(flat)), np.repeat(np.arange(len(sizes)), sizes)
-
-
-def before(token: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """For each token the one before it in its text, or START."""
-    out = np.empty_like(token)
-    out[1:] = token[:-1]
-    first = np.empty(len(text), dtype=bool)
-    first[:1] = True
-    first[1:] = text[1:] != text[:-1]
-    out[first] = START
-    return out
+#: Stand for the end of a text and what is before its first word; no word has white space.
+_END, _START = b" ", b"  "
+
+
+class Numbered:
+    """Words of some texts as numbers from 0 on, and their hashes; START is 0 and END is 1."""
+
+    def __init__(self) -> None:
+        self.number: defaultdict[bytes, int] = defaultdict(count().__next__)
+        self.number[_START], self.number[_END]
+
+    def tokens(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of all words, each text followed by END; of what is before each; the number of each one's text."""
+        flat, sizes = [], []
+        for t in texts:
+            words = (t or b"").lower().split()
+            words.append(_END)
+            flat += words
+            sizes.append(len(words))
+        token = np.fromiter(map(self.number.__getitem__, flat), dtype=np.int64, count=len(flat))
+        before = np.empty_like(token)
+        before[1:] = token[:-1]
+        before[np.cumsum([0, *sizes[:-1]], dtype=np.int64) if sizes else []] = 0
+        return token, before, np.repeat(np.arange(len(sizes)), sizes)
+
+    def hashes(self) -> np.ndarray:
+        of = xxhash.xxh64_intdigest
+        out = np.fromiter((of(w, 42) for w in self.number), dtype=np.uint64, count=len(self.number))
+        out[:2] = START, END
+        return out
 
 
 def pair_key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -96,48 +97,37 @@ def _pieces(columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(c[i : i + ROWS]) for c in columns], names=names)
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[np.ndarray] = []
-
-    def out() -> Iterator[pa.RecordBatch]:
-        if held:
-            key, n = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            yield from _pieces([key.view(np.int64), n], ["key", "n"])
-
-    for batch in batches:
-        held.append(tokens(batch.column(0).to_pylist())[0])
-        if sum(map(len, held)) >= BUFFER:
-            yield from out()
-    yield from out()
-
-
 def _pair_counter(frequent) -> Callable:
+    """Rows (text): counts of pairs (h, salt, w, n) and, with WORD in the salt's place, of words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        often = frequent.value
+        often = frequent.value if frequent is not None else None
+        words, held = Numbered(), []
 
         def out() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            left, right = (np.concatenate(x) for x in zip(*held, strict=True))
+            token, left = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            order = np.lexsort((right, left))
-            left, right = left[order], right[order]
-            new = np.ones(len(left), dtype=bool)
-            new[1:] = (left[1:] != left[:-1]) | (right[1:] != right[:-1])
-            at = np.flatnonzero(new)
-            n = np.diff(np.append(at, len(left)))
-            left, right = left[at], right[at]
-            salt = np.where(np.isin(left, often), right >> np.uint64(58), np.uint64(0)).astype(np.int32)
-            yield from _pieces([left.view(np.int64), salt, right.view(np.int64), n.astype(np.int32)], ["h", "salt", "w", "n"])
-            word, place = np.unique(right, return_inverse=True)
-            total = np.bincount(place, weights=n).astype(np.int32)
-            yield from _pieces([word.view(np.int64), np.full(len(word), WORD, dtype=np.int32), word.view(np.int64), total], ["h", "salt", "w", "n"])
+            key = words.hashes()
+            total = np.bincount(token, minlength=len(key))
+            seen = np.flatnonzero(total)
+            word = key[seen].view(np.int64)
+            yield from _pieces([word, np.full(len(seen), WORD, dtype=np.int32), word, total[seen].astype(np.int32)], ["h", "salt", "w", "n"])
+            if often is not None:
+                pairs = np.sort(left * len(key) + token)
+                at = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
+                n = np.diff(np.append(at, len(pairs)))
+                before, after = np.divmod(pairs[at], len(key))
+                salted = np.isin(key, often)
+                right = key[after]
+                salt = np.where(salted[before], right >> np.uint64(58), np.uint64(0)).astype(np.int32)
+                yield from _pieces([key[before].view(np.int64), salt, right.view(np.int64), n.astype(np.int32)], ["h", "salt", "w", "n"])
+            words.__init__()
 
         for batch in batches:
-            token, text = tokens(batch.column(0).to_pylist())
-            held.append((before(token, text), token))
+            token, left, _ = words.tokens(batch.column(0).to_pylist())
+            held.append((token, left))
             if sum(len(x[0]) for x in held) >= BUFFER:
                 yield from out()
         yield from out()
@@ -164,17 +154,21 @@ def _discounted(c: Column, d: list[float]) -> Column:
 
 
 class Model:
-    """Tables words (key, c, p, alpha) and pairs (h, w, c, p), and the numbers N, V, p_unknown, alpha of START."""
+    """The numbers N, V, p_unknown and alpha of START, and ``weights``: (key, c, known, base, model) of words and pairs.
+
+    The tables that the weights are made from are deleted when these are written.
+    """
 
     def __init__(self, docs: DataFrame, text_col: str = "text") -> None:
         spark = docs.sparkSession
         small_batches(spark)
         text = docs.select(F.col(text_col).cast("binary").alias("b"))
-        sample = text.sample(SAMPLE, seed=42).mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("c"))
+        of = "h long, salt int, w long, n int"
+        sample = text.sample(SAMPLE, seed=42).mapInArrow(_pair_counter(None), of).groupBy(F.col("w").alias("key")).agg(F.sum("n").alias("c"))
         often = np.array([r[0] for r in sample.orderBy(F.desc("c"), "key").limit(SALTED_WORDS).collect()], dtype=np.int64).view(np.uint64)
         often = spark.sparkContext.broadcast(np.append(often, np.uint64(START)))
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        found = text.mapInArrow(_pair_counter(often), "h long, salt int, w long, n int").repartition(parts, "h", "salt").groupBy("h", "salt", "w").agg(F.sum("n").alias("c"))
+        found = text.mapInArrow(_pair_counter(often), of).repartition(parts, "h", "salt").groupBy("h", "salt", "w").agg(F.sum("n").alias("c"))
         found = found.where((F.col("c") >= MIN_COUNT) | (F.col("salt") == WORD)).select("h", "w", "c", (F.col("salt") == WORD).alias("word"))
         kept = written(found, "counts", "word")
         del found
@@ -193,21 +187,23 @@ class Model:
         of = pairs.agg(F.sum("c").alias("n"), *(F.count_if(F.col("c") == r).alias(f"n{r}") for r in range(MIN_COUNT, K + 2))).first()
         n = {r: of[f"n{r}"] for r in range(MIN_COUNT, K + 2)} | {1: self.N - (of["n"] or 0)}
         self.d2 = discounts(n, MIN_COUNT)
-        lower = self.words.select(F.col("key").alias("w"), F.col("p").alias("p1"))
-        known = pairs.join(lower, "w").select("h", "w", "c", "p1", _discounted(F.col("c"), self.d2).alias("m"))
-        known = written(known, "known")
-        sums = known.groupBy("h").agg(F.sum("m").alias("m"), F.sum("p1").alias("p1"))
-        total = self.words.select(F.col("key").alias("h"), F.col("c").alias("total")).unionByName(spark.createDataFrame([(_signed(START), texts)], "h long, total long"))
+        known = written(pairs.join(words.select(F.col("key").alias("w"), F.col("c").alias("c1")), "w"), "known")
+        m, p1 = _discounted(F.col("c"), self.d2), F.lit(self.scale / max(1, self.N)) * _discounted(F.col("c1"), self.d1)
+        sums = known.groupBy("h").agg(F.sum(m).alias("m"), F.sum(p1).alias("p1"))
+        total = words.select(F.col("key").alias("h"), F.col("c").alias("total")).unionByName(spark.createDataFrame([(_signed(START), texts)], "h long, total long"))
         share = F.col("m") / F.col("total")
         most = 1 - 1 / (F.col("total") + 1)
         histories = sums.join(total, "h").select("h", "total", F.least(F.lit(1.0), most / share).alias("scale"), share.alias("share"), "p1")
         self.histories = written(histories.select("h", "total", "scale", ((1 - F.col("scale") * F.col("share")) / (1 - F.col("p1"))).alias("alpha")), "histories")
-        self.pairs = known.join(self.histories, "h").select("h", "w", "c", (F.col("scale") * F.col("m") / F.col("total")).alias("p"), "p1", "alpha")
+        self.pairs = known.join(self.histories, "h").select("h", "w", "c", (F.col("scale") * m / F.col("total")).alias("p"), p1.alias("p1"), "alpha")
         start = self.histories.where(F.col("h") == _signed(START)).first()
         self.alpha_start = start["alpha"] if start else 1.0
         release(spark)
+        self.weights = written(self._weights(), "weights")
+        drop(kept, known, self.histories)
+        release(spark)
 
-    def weights(self) -> DataFrame:
+    def _weights(self) -> DataFrame:
         """(key, c, known, base, model): what one token or pair of that key adds."""
         alpha = self.histories.select(F.col("h").alias("key"), "alpha")
         words = self.words.join(alpha, "key", "left").select("key", "c", F.lit(1.0).alias("known"), F.log10((F.col("c") + 1) / F.lit(float(self.N + self.V + 1))).alias("base"), (F.log10("p") + F.log10(F.coalesce("alpha", F.lit(1.0)))).alias("model"))
@@ -246,21 +242,31 @@ def _reader(shared) -> Callable:
             ids = np.array(batch.column(0).fill_null(0))
             null = np.array(batch.column(0).is_null())
             texts = batch.column(1).to_pylist()
-            for lo in range(0, len(texts), 200):
-                token, text = tokens(texts[lo : lo + 200])
-                m = len(texts[lo : lo + 200])
-                at, hit = look(word, token)
-                where = text[hit]
-                sums = [np.bincount(text, minlength=m).astype(float), np.bincount(where, minlength=m).astype(float), np.bincount(where, known_base[at], m), np.bincount(where, word_model[at], m) + start]
-                pairs = pair_key(before(token, text), token)
-                at, found = look(pair, pairs)
-                sums[3] += np.bincount(text[found], pair_model[at], m)
-                rows = np.concatenate([text[~hit], text[~found], *([np.arange(m)] * 4)]) + lo
-                keys = np.concatenate([token[~hit].view(np.int64), pairs[~found].view(np.int64), *(np.full(m, k) for k in (TOKENS, KNOWN, BASE, MODEL))])
-                values = np.concatenate([np.ones(len(keys) - 4 * m), *sums])
+            lo = 0
+            while lo < len(texts):
+                size, hi = 0, lo
+                while hi < len(texts) and size < TOGETHER:
+                    size += len(texts[hi] or b"")
+                    hi += 1
+                words = Numbered()
+                token, left, text = words.tokens(texts[lo:hi])
+                hashes, m = words.hashes(), hi - lo
+                at, hit = look(word, hashes)
+                weight = np.zeros((2, len(hashes)))
+                weight[0, hit], weight[1, hit] = known_base[at], word_model[at]
+                frequent = hit[token]
+                keys = pair_key(hashes[left], hashes[token])
+                at, found = look(pair, keys)
+                sums = [np.bincount(text, minlength=m).astype(float), np.bincount(text, frequent, m), np.bincount(text, weight[0][token], m), np.bincount(text, weight[1][token], m) + np.bincount(text[found], pair_model[at], m) + start]
+                rare, new = ~frequent, ~found
+                rows = np.concatenate([text[rare], text[new], *([np.arange(m)] * 4)]) + lo
+                keys = np.concatenate([hashes[token[rare]].view(np.int64), keys[new].view(np.int64), *(np.full(m, k) for k in (TOKENS, KNOWN, BASE, MODEL))])
+                values = np.ones(len(keys))
+                values[len(keys) - 4 * m :] = np.concatenate(sums)
                 for i in range(0, len(keys), ROWS):
                     part = slice(i, i + ROWS)
                     yield pa.RecordBatch.from_arrays([pa.array(ids[rows[part]], mask=null[rows[part]]), pa.array(keys[part]), pa.array(values[part])], names=["doc_id", "key", "value"])
+                lo = hi
 
     return run
 
@@ -269,8 +275,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """(doc_id, n_tokens, n_known, base_score, score) of every document."""
     spark = docs.sparkSession
     small_batches(spark)
-    weights = written(model.weights(), "weights")
-    release(spark)
+    weights = model.weights
 
     def frequent(which: Column, limit: int, columns: list[str]) -> list[np.ndarray]:
         """Weights of the most frequent keys, at most ``limit``: those from a count on, found from a histogram of counts."""
