@@ -90,9 +90,8 @@ def train(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", key:
     if 4 * BUCKETS * len(sizes) > MODEL_BYTES:
         raise ValueError(f"{len(sizes)} languages: the matrix would exceed {MODEL_BYTES} bytes")
     chosen = F.pmod(F.xxhash64(F.lit("sample"), key if key is not None else F.col("doc_id")), F.lit(1 << 20))
-    share = F.lit(0)
-    for lang, n in sizes.items():
-        share = F.when(F.col(lang_col) == lang, F.lit(-(-(per_lang << 20) // n))).otherwise(share)
+    shares = [F.lit(x) for lang, n in sizes.items() for x in (lang, -(-(per_lang << 20) // n))]
+    share = F.try_element_at(F.create_map(*shares), F.col(lang_col)) if shares else F.lit(0)
     sample = rows.where(chosen < share).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     counted = sample.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counted["lang"].unique())
