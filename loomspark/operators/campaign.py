@@ -42,12 +42,16 @@ def packet_key(ids: Column, anchor: Column) -> Column:
 def packet_issues(samples: DataFrame) -> DataFrame:
     """(packet, sample, severity, type) of samples (packet, sample, anchor, bucket, review_ids, proposed, manual)."""
     rows = samples.withColumn("key", packet_key(F.col("review_ids"), F.col("anchor")))
+
+    def issue(when: Column, severity: str, kind: str) -> Column:
+        return F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(kind).alias("type")))
+
     own = F.array_compact(F.array(
-        F.when(F.coalesce("anchor", F.lit("")) == "", F.struct(F.lit("error").alias("severity"), F.lit("missing-anchor").alias("type"))),
-        F.when(~F.coalesce("proposed", F.lit("")).isin(PROPOSED), F.struct(F.lit("error"), F.lit("invalid-proposed-outcome"))),
-        F.when(~F.coalesce("manual", F.lit("")).isin(MANUAL), F.struct(F.lit("error"), F.lit("invalid-manual-outcome"))),
-        F.when(F.coalesce("bucket", F.lit("")) == "", F.struct(F.lit("warning"), F.lit("missing-bucket"))),
-        F.when(F.size(F.filter("review_ids", lambda x: x != "")) == 0, F.struct(F.lit("warning"), F.lit("missing-review-ids"))),
+        issue(F.coalesce("anchor", F.lit("")) == "", "error", "missing-anchor"),
+        issue(~F.coalesce("proposed", F.lit("")).isin(PROPOSED), "error", "invalid-proposed-outcome"),
+        issue(~F.coalesce("manual", F.lit("")).isin(MANUAL), "error", "invalid-manual-outcome"),
+        issue(F.coalesce("bucket", F.lit("")) == "", "warning", "missing-bucket"),
+        issue(F.size(F.filter("review_ids", lambda x: x != "")) == 0, "warning", "missing-review-ids"),
     ))
     single = rows.select("packet", "sample", F.explode(own).alias("x")).select("packet", "sample", "x.severity", "x.type")
     ids = rows.select("packet", "sample", F.posexplode("review_ids").alias("p", "rid")).where("rid <> ''")

@@ -16,12 +16,13 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from loomspark.functions import text as T
 
 MESSAGE = "struct<id:string,author:struct<role:string>,create_time:double,content:struct<content_type:string,parts:array<string>,text:string,language:string>>"
-MAPPING = f"title string, create_time double, update_time double, conversation_id string, mapping map<string, struct<id:string,parent:string,children:array<string>,message:{MESSAGE}>>>"
+MAPPING = f"title string, create_time double, update_time double, conversation_id string, mapping map<string, struct<id:string,parent:string,children:array<string>,message:{MESSAGE}>>"
 ITEM = "struct<type:string,text:string,name:string,language:string,input:string,content:string,is_error:boolean,width:int,height:int,file_name:string>"
 FILE = "struct<file_name:string,name:string>"
 MESSAGES = f"uuid string, name string, summary string, created_at string, updated_at string, chat_messages array<struct<uuid:string,sender:string,created_at:string,updated_at:string,text:string,content:array<{ITEM}>,attachments:array<{FILE}>,files:array<{FILE}>>>"
@@ -134,7 +135,7 @@ def flatten_json(value: object, prefix: str = "") -> list[str]:
     return [f"{prefix}: {said}" if prefix else said] if said else []
 
 
-@F.udtf(returnType="line string")
+@F.udtf(returnType=StructType([StructField("line", StringType())]))
 class FlattenJson:
     """Table function: the lines of flatten_json; text that isn't JSON is one line."""
 
@@ -157,13 +158,13 @@ def _structured(ext: str, text: str) -> str:
     return "\n".join(" | ".join(c.strip() for c in row if c.strip()) for row in rows if any(c.strip() for c in row))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def structured_text(ext: pd.Series, text: pd.Series) -> pd.Series:
     """JSON and CSV as lines, which recursion and quoting keep from being columns."""
     return pd.Series([_structured(e, t or "") for e, t in zip(ext, text, strict=True)], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescape(text: pd.Series) -> pd.Series:
     """All character references, for pages that hold more than those of text.ENTITIES."""
     return text.map(lambda t: None if t is None else html.unescape(t))

@@ -51,7 +51,7 @@ def test_campaign(spark):
     assert campaign.packet_status(samples).first().status == "partial"
     proposals = campaign.propose(samples.where("sample < 2").withColumns({"bucket": F.lit("likely-reject"), "flags": F.array(F.lit("all-zero-overlap"))}))
     total = campaign.rollup(campaign.compared(samples.where("sample in (1, 4)"), proposals)).first()
-    assert (total.matched, total.sample_only, total.adjudicated, total.agreed, total.reject_precision) == (1, 1, 2, 1, 1.0)
+    assert (total.matched, total.sample_only, total.adjudicated, total.agreed, total.reject_precision) == (1, 1, 1, 1, 1.0)
     staged = campaign.reject_stage(samples, spark.createDataFrame([("pass",)], "gate string"))
     assert {r.review_id: r.ready for r in staged.collect()} == {"r1": True, "r2": True}
     assert not any(r.enabled for r in campaign.apply_plan(staged).collect())
