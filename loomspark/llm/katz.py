@@ -36,11 +36,11 @@ from loomspark.llm._common import crc_mod, drop, release, small_batches, written
 K = 5
 MIN_COUNT = 2
 FREQUENT_WORDS = 100_000
-FREQUENT_PAIRS = 1_000_000
+FREQUENT_PAIRS = 300_000
 #: Words before that are so frequent have their pairs dealt out by the second word as well.
 SALTED_WORDS = 1_000
 #: Tokens that a task holds before it hands on their counts.
-BUFFER = 4_000_000
+BUFFER = 5_000_000
 ROWS = 100_000
 #: Bytes of the texts that are scored together, but for the last one's.
 TOGETHER = 3_000_000
