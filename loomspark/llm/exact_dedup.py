@@ -122,9 +122,13 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(same, pa.bool_())], names=[*KEY, "doc_id", "same"])
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", huge: int = HUGE) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, fingerprint."""
-    fps = checkpoint(fingerprints(docs, id_col, text_col, huge))
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", huge: int = HUGE, moduli: tuple[int, int] = PRIMES) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, fingerprint.
+
+    moduli: what fingerprints are reduced by before they are compared; small ones make different texts collide, for tests.
+    """
+    fps = fingerprints(docs, id_col, text_col, huge)
+    fps = checkpoint(fps.withColumns({"fp_a": F.col("fp_a") % moduli[0], "fp_b": F.col("fp_b") % moduli[1]}))
     groups = fps.groupBy(*KEY).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     # Written first, so that both sides of the joins are plain exchanges, whose hot partitions Spark can split.
     several = checkpoint(groups.where("group_size > 1"))
@@ -138,13 +142,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out = found
     if not differs.isEmpty():
         # Different texts with equal fingerprints: the groups concerned are formed anew, by the texts themselves.
-        bad = fps.join(differs, "doc_id", "left_semi").select(*KEY).distinct()
-        ids = fps.join(F.broadcast(bad) if bad.count() <= 10_000 else bad, KEY, "left_semi").select("doc_id", "text_sha256")
-        again = text.withColumn("text_sha256", F.sha2("b", 256)).join(ids.distinct(), ["doc_id", "text_sha256"])
+        bad = checkpoint(fps.join(differs, "doc_id", "left_semi").select(*KEY).distinct())
+        row = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("row")
+        ids = fps.join(bounded(bad, 10_000), KEY, "left_semi").select(row, "text_sha256", *KEY).distinct()
+        again = text.select("doc_id", row, "b", F.sha2("b", 256).alias("text_sha256")).join(ids, ["row", "text_sha256"])
         by_text = again.groupBy("b").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        redone = again.join(by_text, "b").select("doc_id", "text_sha256", "keep_id", "group_size")
-        fresh = found.join(bad, KEY, "left_anti").select("doc_id", "text_sha256", "keep_id", "group_size", *KEY)
-        out = fresh.unionByName(redone.join(fps.select("doc_id", "text_sha256", *KEY).distinct(), ["doc_id", "text_sha256"]))
+        redone = again.join(by_text, "b").select("doc_id", "text_sha256", "keep_id", "group_size", *KEY)
+        fresh = found.join(bounded(bad, 10_000), KEY, "left_anti").select("doc_id", "text_sha256", "keep_id", "group_size", *KEY)
+        out = fresh.unionByName(redone)
     return out.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", F.format_string("%08x%08x", "fp_a", "fp_b").alias("fingerprint"))
 
 

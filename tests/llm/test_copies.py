@@ -35,14 +35,16 @@ def test_fingerprints_compose():
     assert X.fingerprint(b"some bytes")[0] == plain
 
 
-@pytest.mark.parametrize("huge", [X.HUGE, 50_000])
-def test_exact_groups(spark, huge):
-    got = X.exact_groups(frame(spark, DOCS), huge=huge).collect()
-    assert len(got) == len(DOCS)
+@pytest.mark.parametrize(("huge", "moduli"), [(X.HUGE, X.PRIMES), (50_000, X.PRIMES), (X.HUGE, (1, 1))])
+def test_exact_groups(spark, huge, moduli):
+    """Also with texts cut into chunk rows, and with fingerprints that tell lengths only."""
+    docs = [*DOCS, (11, "some texts"), (12, "more texts"), (13, "some texts")]
+    got = X.exact_groups(frame(spark, docs), huge=huge, moduli=moduli).collect()
+    assert len(got) == len(docs)
     by_text = {}
-    for i, t in DOCS:
+    for i, t in docs:
         by_text.setdefault(t or "", []).append(i)
-    want = sorted((str(i), str(max(x for x in by_text[t or ""] if x is not None)), len(by_text[t or ""]), i == max(x for x in by_text[t or ""] if x is not None), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in DOCS)
+    want = sorted((str(i), str(max(x for x in by_text[t or ""] if x is not None)), len(by_text[t or ""]), i == max(x for x in by_text[t or ""] if x is not None), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in docs)
     assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept, r.text_sha256) for r in got) == want
 
 
