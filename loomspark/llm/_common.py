@@ -3,30 +3,17 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a broadcast side may have: at 16 bytes a row, 16 MB.
-BROADCAST_ROWS = 1_000_000
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from loomspark.plans.shared import checkpoint, checkpoint_folder, table
 
+__all__ = ["bounded", "checkpoint", "crc_mod", "drop", "release", "small_batches", "table", "written"]
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Write df to the folder that all executors share and read it back.
-
-    The folder is the session's ``spark.checkpoint.dir``; a temporary one is set only where that is unset (tests).
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        own = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomspark-")
-        sc.setCheckpointDir(own)
-    return df.checkpoint(eager=True)
+#: Rows that a broadcast side may have: at 16 bytes a row, 16 MB.
+BROADCAST_ROWS = 1_000_000
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -49,10 +36,7 @@ def crc_mod(doc_id: str | Column, by: int) -> Column:
 
 def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """df written as a Parquet table in the shared folder (see checkpoint) and read back; by: a column to partition by."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomspark-"))
-    path = f"{sc.getCheckpointDir()}/tables/{uuid.uuid4().hex}/{name}"
+    path = f"{checkpoint_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}/{name}"
     out = df.write.option("compression", "zstd")
     (out.partitionBy(by) if by else out).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
