@@ -20,8 +20,9 @@ from __future__ import annotations
 import heapq
 import re
 from bisect import insort
+from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,9 @@ from loomspark.llm._common import small_batches
 
 MODEL = "piece_bpe_32k.model"
 N_BEST = 3
-#: Segments that a worker keeps: two generations of so many, of at most LONG characters. Those are also solved together.
-KEPT = 150_000
+#: Segments that a worker keeps, and their characters; beyond either it starts anew.
+KEPT, KEPT_CHARS = 500_000, 20_000_000
+#: Segments of at most so many characters are solved together.
 LONG = 40
 #: Characters of the documents that are encoded together, but for the last one's.
 TOGETHER = 4_000_000
@@ -90,9 +92,8 @@ class Pieces:
             self.segments = lambda text: [text]
         else:
             self.segments = re.compile(r"\x20+[^\x20\n]*|[^\x20\n]+|\n" if lines else r"\x20+[^\x20]*|[^\x20]+").findall
-        self.young: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
         self.further: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
+        self._forget()
         self.tables = self._hashed()
 
     def _hashed(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -112,23 +113,57 @@ class Pieces:
             out.append((np.append(h, np.uint64(0)), np.array([*(x for _, _, x in own), -np.inf]), np.array([*(i for _, i, _ in own), -1], dtype=np.int32), slots))
         return out
 
-    def solve(self, segments: list[str]) -> None:
-        """Keep the best segmentation of each segment and the cost of the second, by forward and backward Viterbi.
+    def _forget(self) -> None:
+        self.number: defaultdict[str, int] = defaultdict(count().__next__)
+        self.known = self.chars = 0
+        self.kept = [np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0), np.zeros(0, dtype=bool), np.zeros(0, dtype=np.int32)]
 
-        All segments go through the lattice together, position by position; the cost of the second choice is the
-        smallest one of a path through an edge that is not on the best path. Long ones and those with characters in no
-        piece are searched one by one.
+    def solve(self, segments: list[str]) -> list[np.ndarray]:
+        """Of each segment the number of ids, the score, the cost of the second choice and whether the ids stand for it;
+        then all ids.
+
+        By forward and backward Viterbi: all segments go through the lattice together, position by position; the cost of
+        the second choice is the smallest one of a path through an edge that is not on the best path. Long ones and those
+        with characters in no piece are searched one by one.
         """
-        if len(self.young) >= KEPT:
-            self.old, self.young = self.young, {}
-        by_size: dict[int, list[str]] = {}
-        for x in segments:
+        n = len(segments)
+        sizes, tops, gaps, back = np.zeros(n, dtype=np.int64), np.zeros(n), np.full(n, np.inf), np.ones(n, dtype=bool)
+        by_size: dict[int, list[int]] = defaultdict(list)
+        single = []
+        for k, x in enumerate(segments):
             if len(x) <= LONG and SPACE not in x and "\0" not in x:
-                by_size.setdefault(-(-len(x) // 4), []).append(x)
-        for size, part in by_size.items():
-            self._solve(part, 4 * size)
-
-    def _solve(self, words: list[str], width: int) -> None:
+                by_size[-(-len(x) // 4)].append(k)
+            else:
+                single.append(k)
+        parts = []
+        for size, rows in by_size.items():
+            at = np.array(rows)
+            words = [segments[k] for k in rows]
+            found, total, second, paths = self._solve(words, 4 * size)
+            single += at[~found].tolist()
+            at, paths = at[found], paths[found]
+            sizes[at], tops[at], gaps[at] = (paths >= 0).sum(axis=1), total[found], second[found]
+            flat = paths[paths >= 0]
+            parts.append((at, flat))
+            own = [w for w, ok in zip(words, found.tolist(), strict=True) if ok]
+            if b"".join(map(self.bytes_of.__getitem__, flat.tolist())) != "".join(own).encode():
+                ends = np.cumsum([0, *sizes[at]]).tolist()
+                back[at] = [b"".join(map(self.bytes_of.__getitem__, flat[a:b].tolist())) == w.encode() for a, b, w in zip(ends, ends[1:], own, strict=False)]
+        for k in single:
+            found = self.search(segments[k], 2)
+            ids = found[0][1]
+            sizes[k], tops[k], gaps[k] = len(ids), found[0][0], found[0][0] - found[1][0] if len(found) > 1 else np.inf
+            back[k] = b"".join(map(self.bytes_of.__getitem__, ids)) == segments[k].encode()
+            parts.append((np.array([k]), np.array(ids, dtype=np.int32)))
+        first = np.cumsum(sizes) - sizes
+        ids = np.zeros(int(sizes.sum()), dtype=np.int32)
+        for at, flat in parts:
+            n = sizes[at]
+            ids[np.repeat(first[at] - (np.cumsum(n) - n), n) + np.arange(len(flat))] = flat
+        return [sizes, tops, gaps, back, ids]
+
+    def _solve(self, words: list[str], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For words of at most width characters: whether one was solved, score, cost of the second choice, ids after -1."""
         n = len(words)
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=n)
         flat = np.frombuffer("".join(words).replace(" ", SPACE).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
@@ -180,14 +215,8 @@ class Pieces:
             through = best[: width - s + 1] + score + rest[s:]
             through[on_path[s - 1]] = -np.inf
             np.maximum(second, through.max(axis=0), out=second)
-        gaps = np.where(np.isfinite(second), total - np.where(np.isfinite(second), second, 0.0), np.inf).tolist()
-        paths = np.array(taken[::-1], dtype=np.int32).reshape(-1, n).T
-        skip = (paths < 0).sum(axis=1).tolist()
-        young, name = self.young, self.bytes_of.__getitem__
-        for x, p, c, t, g, ok in zip(words, paths.tolist(), skip, total.tolist(), gaps, known.tolist(), strict=True):
-            if ok:
-                ids = tuple(p[c:])
-                young[x] = (ids, t, g, b"".join(map(name, ids)) == x.encode())
+        gaps = np.where(np.isfinite(second), total - np.where(np.isfinite(second), second, 0.0), np.inf)
+        return known, total, gaps, np.array(taken[::-1], dtype=np.int32).reshape(-1, n).T
 
     def search(self, segment: str, n: int) -> list[tuple[float, tuple[int, ...]]]:
         """The n best segmentations of a segment, best first: score and ids. Spaces are ordinary characters here."""
@@ -229,24 +258,13 @@ class Pieces:
                     del heap[room:]
         return found
 
-    def single(self, segment: str) -> tuple:
-        """(ids, score, cost of the second choice, whether the ids stand for it) of a segment that isn't kept."""
-        got = self.old.get(segment)
-        if got is None:
-            found = self.search(segment, 2)
-            ids = found[0][1]
-            got = (ids, found[0][0], found[0][0] - found[1][0] if len(found) > 1 else np.inf, b"".join(map(self.bytes_of.__getitem__, ids)) == segment.encode())
-        if len(segment) <= LONG:
-            self.young[segment] = got
-        return got
-
     def choices(self, segment: str, ids: tuple[int, ...], top: float) -> list[tuple[float, tuple[int, ...]]]:
         """The further segmentations of a segment, as (cost, ids); those of frequent words are asked for again and again."""
         got = self.further.get(segment)
         if got is None:
             got = [(top - s, x) for s, x in self.search(segment, self.n_best) if x != ids][: self.n_best - 1]
             if len(segment) <= LONG:
-                if len(self.further) >= KEPT // 10:
+                if len(self.further) >= KEPT // 20:
                     self.further.clear()
                 self.further[segment] = got
         return got
@@ -261,29 +279,30 @@ class Pieces:
 
         Decoding joins what each id stands for, so it gives a text back if its segments join to it and each comes back.
         """
+        if len(self.number) > KEPT or self.chars > KEPT_CHARS:
+            self._forget()
         cut = [self.segments(" " + t) if t else [] for t in texts]
-        index = {x: i for i, x in enumerate(dict.fromkeys(chain.from_iterable(cut)))}
-        young, old, single = self.young, self.old, self.single
-        self.solve([x for x in index if x not in young and x not in old])
-        young = self.young
-        found = [young.get(x) or single(x) for x in index]
         ends = np.cumsum([0, *(len(x) for x in cut)])
-        segment = np.fromiter(map(index.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=ends[-1])
-        ways, tops, costs, back = zip(*found, strict=True) if found else ((), (), (), ())
-        sizes = np.fromiter(map(len, ways), dtype=np.int64, count=len(ways))
-        flat = np.fromiter(chain.from_iterable(ways), dtype=np.int32, count=sizes.sum())
+        segment = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), dtype=np.int64, count=ends[-1])
+        if len(self.number) > self.known:
+            new = list(islice(self.number, self.known, None))
+            self.kept = [np.concatenate(x) for x in zip(self.kept, self.solve(new), strict=True)]
+            self.known += len(new)
+            self.chars += sum(map(len, new))
+        sizes, tops, costs, back, flat = self.kept
         first = np.cumsum(sizes) - sizes
         counts = sizes[segment]
         after = np.concatenate([[0], np.cumsum(counts)])
         ids = flat[np.repeat(first[segment] - after[:-1], counts) + np.arange(after[-1])]
-        totals = np.concatenate([[0.0], np.cumsum(np.array(tops, dtype=float)[segment])])
-        gaps = np.array(costs, dtype=float)[segment]
-        back = np.array(back, dtype=bool)
+        totals = np.concatenate([[0.0], np.cumsum(tops[segment])])
+        gaps = costs[segment]
         wrong = np.concatenate([[0], np.cumsum(~back[segment])])
         others, exact = [], []
         for t, parts, lo, hi in zip(texts, cut, ends[:-1], ends[1:], strict=True):
             at = self._cheapest(gaps[lo:hi])
-            others.append(self._others(parts, [found[i] for i in segment[at + lo]], at, after[lo : hi + 1] - after[lo], totals[hi] - totals[lo]))
+            starts = after[lo : hi + 1] - after[lo]
+            own = [(tuple(ids[after[lo + k] : after[lo + k + 1]].tolist()), tops[segment[lo + k]]) for k in at.tolist()]
+            others.append(self._others(parts, own, at, starts, totals[hi] - totals[lo]))
             exact.append(bool(wrong[lo] == wrong[hi]) and "".join(parts) == (" " + t if t else ""))
         return after[ends], ids, (totals[ends[1:]] - totals[ends[:-1]]).tolist(), others, exact
 
@@ -300,7 +319,7 @@ class Pieces:
 
     def _others(self, parts: list[str], own: list[tuple], at: np.ndarray, starts: np.ndarray, score: float) -> list:
         ways: list[tuple[float, tuple[tuple[int, tuple[int, ...]], ...]]] = [(0.0, ())]
-        for k, (ids, top, *_) in zip(at.tolist(), own, strict=True):
+        for k, (ids, top) in zip(at.tolist(), own, strict=True):
             ways += [(cost + more, (*chosen, (k, new))) for cost, chosen in ways for more, new in self.choices(parts[k], ids, top)]
             ways = heapq.nsmallest(self.n_best, ways)
         return [(float(score) - cost, sorted((int(starts[k]), int(starts[k + 1] - starts[k]), new) for k, new in chosen)) for cost, chosen in ways[1:]]

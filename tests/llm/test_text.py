@@ -233,11 +233,10 @@ def test_search_and_joint_solution_agree(model):
     rnd = random.Random(8)
     words = {"".join(rnd.choice("aeinrst éü.") for _ in range(rnd.randint(1, 20))) for _ in range(400)}
     words = [" " + w.replace(" ", "") for w in words]
-    model.young.clear()
-    model.solve(words)
-    for w in words:
+    sizes, scores, gaps, back, ids = model.solve(words)
+    assert back.all() and sizes.sum() == len(ids)
+    for w, score, gap in zip(words, scores, gaps, strict=True):
         found = model.search(w, 2)
-        ids, score, gap = model.young[w]
         assert score == found[0][0]
         assert gap == (found[0][0] - found[1][0] if len(found) > 1 else float("inf"))
 
