@@ -6,7 +6,7 @@ other words get alpha(before) * p(word), where alpha makes the sum exactly one.
 the probability of an unknown word. (If discounting leaves a word before fewer than 1/(c(before) + 1), its pairs are
 scaled down so that it leaves that.)
 
-Words are known by a 64-bit hash. The log-probability of a text is a sum over its words of log p(word) + log alpha(word
+Words are known by a 64-bit hash, pairs by 56 bits. The log-probability of a text is a sum over its words of log p(word) + log alpha(word
 as the one before) plus, for each pair in the model, the difference that it makes. So the model is one table of keys with
 weights, written in partitions, and scoring is one join and a sum. The weights of the most frequent FREQUENT_WORDS words
 and FREQUENT_PAIRS pairs are broadcast (16 bytes each) and applied where the text is read, so that the join carries only
@@ -35,8 +35,8 @@ from loomspark.llm._common import crc_mod, drop, release, small_batches, written
 
 K = 5
 MIN_COUNT = 2
-FREQUENT_WORDS = 100_000
-FREQUENT_PAIRS = 300_000
+FREQUENT_WORDS = 200_000
+FREQUENT_PAIRS = 400_000
 #: Words before that are so frequent have their pairs dealt out by the second word as well.
 SALTED_WORDS = 1_000
 #: Tokens that a task holds before it hands on their counts.
@@ -87,9 +87,10 @@ class Numbered:
 
 
 def pair_key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """56 bits for a pair of word hashes; the byte less is a twelfth of what scoring shuffles."""
     x = (left ^ (left >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + right
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(31))
+    return (x ^ (x >> np.uint64(31))) >> np.uint64(8)
 
 
 def _pieces(columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
