@@ -40,7 +40,7 @@ FREQUENT_PAIRS = 400_000
 #: Words before that are so frequent have their pairs dealt out by the second word as well.
 SALTED_WORDS = 1_000
 #: Tokens that a task holds before it hands on their counts.
-BUFFER = 5_000_000
+BUFFER = 3_000_000
 ROWS = 100_000
 #: Bytes of the texts that are scored together, but for the last one's.
 TOGETHER = 3_000_000
