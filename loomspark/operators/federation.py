@@ -45,7 +45,9 @@ def query_index(ledger: DataFrame, text: str | None = None, corpus_id: str | Non
             test = test | F.coalesce(t, F.lit(False))
         rows = rows.where(test)
     if text:
-        rows = rows.where(F.contains(F.lower(F.to_json(F.struct(*ledger.columns))), F.lit(text.lower())))
+        nested = ("array", "map", "struct")
+        values = [F.to_json(c) if kind.startswith(nested) else F.col(c).cast("string") for c, kind in ledger.dtypes]
+        rows = rows.where(F.contains(F.lower(F.concat_ws(" ", *values)), F.lit(text.lower())))
     return rows.limit(limit)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
-from loomspark.operators import canon, evaluate, lifecycle, review
+from loomspark.operators import campaign, canon, contracts, evaluate, federation, lifecycle, review
 from loomspark.plans import sqltext as S
 from loomspark.plans.search_queries import SQL as SEARCH
 from loomspark.plans.search_queries import _records
@@ -298,3 +298,60 @@ SELECT n_nationkey AS corpus_id, n_nationkey = (SELECT min(n_nationkey) FROM nat
 def registry_default(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "nation").select(F.col("n_nationkey").alias("corpus_id"), F.when(F.col("n_regionkey") == 0, "retired").otherwise("active").alias("status"), (F.col("n_nationkey") % 4 == 2).alias("is_default"))
     return evaluate.one_default(rows).select("corpus_id", "is_default")
+
+
+@query(f"""
+WITH f AS ({_PARSED}), s AS (SELECT packet, sample, max(CASE WHEN key = 'Outcome' THEN lower(trim(value)) END) AS said FROM f WHERE sample > 0 GROUP BY ALL),
+m AS (SELECT packet, CASE {' '.join(f"WHEN starts_with(said, '{k}') THEN '{v}'" for k, v in review.OUTCOMES.items())} ELSE 'pending' END AS manual FROM s),
+c AS (SELECT packet, count(*) AS total, count(*) FILTER (manual <> 'pending') AS adjudicated FROM m GROUP BY packet)
+SELECT *, CASE WHEN total = 0 THEN 'empty' WHEN adjudicated = 0 THEN 'pending' WHEN adjudicated = total THEN 'complete' ELSE 'partial' END AS status FROM c""")
+def packet_summary(spark: SparkSession, d: str) -> DataFrame:
+    return campaign.packet_status(_samples(spark))
+
+
+def _reviewed(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled documents as samples: quality is the reviewer's outcome, length and toxicity stand for bucket and flags."""
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    bucket = F.when(F.col("n_chars") < 1000, "likely-reject").when(F.col("n_chars") > 5000, "alias-check").otherwise("mixed-review")
+    flags = F.array_compact(F.array(F.when(F.col("toxic") == 1, "has-high-score-disjoint-pairs"), F.when(F.col("n_chars") < 500, "all-zero-overlap")))
+    return rows.select(F.col("source").alias("packet"), F.col("doc_id").alias("sample"), F.lit("").alias("anchor"), F.array(F.col("doc_id").cast("string")).alias("review_ids"), bucket.alias("bucket"), flags.alias("flags"), F.when(F.col("quality") == 1, "keep").otherwise("reject").alias("manual"))
+
+
+_COMPARISON = """
+r AS (SELECT source AS packet, doc_id, CASE quality WHEN 1 THEN 'keep' ELSE 'reject' END AS manual,
+  CASE WHEN n_chars < 1000 AND toxic = 0 THEN 'reject' WHEN n_chars > 5000 THEN 'keep' ELSE 'needs-context' END AS outcome,
+  CASE WHEN n_chars < 500 AND toxic = 0 THEN 'high' WHEN n_chars < 1000 OR n_chars > 5000 THEN 'medium' ELSE 'low' END AS confidence
+  FROM documents JOIN labels USING (doc_id))"""
+
+
+@query(f"""WITH {_COMPARISON}
+SELECT packet, doc_id::VARCHAR AS key, manual, outcome AS assistant_outcome, confidence AS assistant_confidence, 'matched' AS side, manual = outcome AS agrees FROM r""")
+def proposal_compare(spark: SparkSession, d: str) -> DataFrame:
+    samples = _reviewed(spark, d)
+    return campaign.compared(samples, campaign.propose(samples))
+
+
+@query(f"""WITH {_COMPARISON},
+s AS (SELECT confidence AS assistant_confidence, count(*) AS matched, 0 AS sample_only, 0 AS proposal_only, count(*) AS adjudicated, count(*) FILTER (manual = outcome) AS agreed,
+  count(*) FILTER (outcome = 'reject') AS reject_proposed, count(*) FILTER (outcome = 'reject' AND manual = 'reject') AS reject_confirmed FROM r GROUP BY 1)
+SELECT *, round(agreed / adjudicated, 4) AS agreement, CASE WHEN reject_proposed > 0 THEN round(reject_confirmed / reject_proposed, 4) END AS reject_precision FROM s""")
+def rollup_confidence(spark: SparkSession, d: str) -> DataFrame:
+    samples = _reviewed(spark, d)
+    return campaign.rollup(campaign.compared(samples, campaign.propose(samples)), ["assistant_confidence"])
+
+
+@query("""
+SELECT n_nationkey::VARCHAR AS corpus_id, n_name AS title FROM nation WHERE contains(lower(concat_ws(' ', n_nationkey::VARCHAR, n_name)), '1')""")
+def federation_index(spark: SparkSession, d: str) -> DataFrame:
+    """A ledger filtered by a text in any of its values."""
+    ledger = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("corpus_id"), F.col("n_name").alias("title"))
+    return federation.query_index(ledger, "1", limit=1000)
+
+
+@query()
+def surface_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """The manifest for outside readers, of the sources as registered corpora, with what it lacks of its schema."""
+    registry = table(spark, d, "documents").select(F.col("source").alias("corpus_id"), F.lit("active").alias("status"), (F.col("source") == "src0").alias("is_default")).distinct()
+    payload = contracts.manifest(spark, registry, "2024-01-01")
+    issues = contracts.schema_issues(payload, "surface-manifest").groupBy("id").agg(F.count(F.lit(1)).alias("issues"))
+    return payload.join(issues, "id", "left").select("id", "payload", F.coalesce("issues", F.lit(0)).alias("issues"))
