@@ -114,7 +114,7 @@ def canonical_entities(records: DataFrame, groups: DataFrame) -> DataFrame:
 
 def canon_search(queries: DataFrame, docs: DataFrame, limit: int = 6) -> DataFrame:
     """Ranking of canon documents (doc_id, kind, title, text, vector_terms): coverage, vector, phrase and kind bonus."""
-    from loomspark.operators.search import paired, ranked
+    from loomspark.operators.search import lowered, paired, ranked
 
     # Bonus by kind.
     bonus = {"federated_family_brief": 0.7, "federated_project_dossier": 0.35, "federated_entity_dossier": 0.15, "federated_action_cluster": 0.25, "federated_unresolved_cluster": 0.2}
@@ -122,8 +122,8 @@ def canon_search(queries: DataFrame, docs: DataFrame, limit: int = 6) -> DataFra
     for kind, value in bonus.items():
         extra = F.when(F.col("kind") == kind, value).otherwise(extra)
     tokens = F.filter("tokens", lambda t: F.length(t) > 2)
-    rows = paired(queries.withColumn("tokens", tokens).where(F.size("tokens") > 0), docs)
-    low_title, low_text, low_query = F.lower("title"), F.lower("text"), F.lower("query")
+    rows = paired(queries.withColumn("tokens", tokens).where(F.size("tokens") > 0), lowered(docs))
+    low_title, low_text, low_query = F.col("_t"), F.col("_x"), F.lower("query")
     hits = F.filter("tokens", lambda t: F.contains(low_title, t) | F.contains(low_text, t))
     rows = rows.withColumns({"coverage": F.size(hits) / F.size("tokens"), "vector_score": F.aggregate("tokens", F.lit(0.0), lambda a, t: a + F.coalesce(F.try_element_at("vector_terms", t), F.lit(0.0)))})
     phrase = F.when(F.contains(low_title, low_query) | F.contains(low_text, low_query), 0.75).otherwise(0.0)

@@ -123,7 +123,7 @@ def test_select_corpus(spark):
 
 def test_expand_and_support(spark):
     assert one(spark, search.expand_tokens(search.query_tokens(F.col("x"))), "The duplicate alias") == ["duplicate", "alias", "same", "merge"]
-    assert one(spark, search.lexical_support(F.array(F.lit("al"), F.lit("zz")), F.lit("Alpha"), F.lit("x"))) == 0.5
+    assert one(spark, search.lexical_support(F.array(F.lit("al"), F.lit("zz")), F.lit("alpha"), F.lit("x"))) == 0.5
 
 
 def records(spark):
