@@ -151,6 +151,31 @@ def test_passages(spark):
     assert passages.repeated_passages(frame(spark, [])).count() == 0
 
 
+def test_passages_of_middle_documents(spark):
+    """Passages that hold a frequent run of words, whose every window meets documents that have the run without the passage."""
+    rnd = random.Random(12)
+
+    def new(n):
+        return [f"x{rnd.getrandbits(40)}" for _ in range(n)]
+
+    want, docs = {}, {}
+    for case in range(25):
+        passage, low = new(60), 100 * case
+        runs = [passage[k : k + 30] for k in (0, 15, 30)]
+        for k in range(5):
+            docs[low + k] = new(70) + runs[k % 3] + new(70) + runs[(k + 1) % 3] + new(70) + runs[(k + 2) % 3] + new(70)
+            docs[low + 90 + k] = new(70) + runs[k % 3] + new(70) + runs[(k + 1) % 3] + new(70) + runs[(k + 2) % 3] + new(70)
+        for k in (50, 51):
+            docs[low + k] = new(80 + k) + passage + new(80)
+            want[low + k] = 80 + k
+    rows = [(i, " ".join(w)) for i, w in docs.items()]
+    rnd.shuffle(rows)
+    found = passages.repeated_passages(frame(spark, rows)).collect()
+    for i, s in want.items():
+        assert any(r.doc_id == i and r.start_word <= s and r.end_word >= s + 60 for r in found), i
+    assert {r.doc_id for r in found} == set(want)
+
+
 # URL lists
 
 
