@@ -176,6 +176,35 @@ def test_passages_of_middle_documents(spark):
     assert {r.doc_id for r in found} == set(want)
 
 
+def test_passages_with_words_added_or_dropped(spark):
+    rnd = random.Random(13)
+
+    def new(n):
+        return [f"y{rnd.getrandbits(40)}" for _ in range(n)]
+
+    docs, want = {}, {}
+    for case in range(24):
+        passage, a, b = new(98 if case % 3 else 400), 10 * case, 10 * case + 1
+        other = list(passage)
+        for k in reversed(range(49, len(passage), 98) if len(passage) == 98 else range(45, len(passage), 45)):
+            if case % 2:
+                other.insert(k, *new(1))
+            else:
+                del other[k]
+        docs[a], docs[b] = new(30) + passage + new(20), new(60) + other + new(10)
+        want[a, b] = (30, 30 + len(passage), 60, 60 + len(other))
+    rows = [(i, " ".join(w)) for i, w in docs.items()]
+    # A passage parted by more words than LEAST allows stays two pieces of under 50 words.
+    short = new(80)
+    rows += [(1000, " ".join(short)), (1001, " ".join(short[:40] + new(15) + short[40:]))]
+    found = passages.repeated_passages(frame(spark, rows)).collect()
+    got = {(r.doc_id, r.start_word, r.end_word, r.class_doc, r.class_start) for r in found}
+    for (a, b), (s, e, t, f) in want.items():
+        assert {(a, s, e, a, s), (b, t, f, a, s)} <= got, (a, [x for x in got if x[0] in (a, b)])
+    assert {r.doc_id for r in found} == {i for pair in want for i in pair}
+    assert all(r.similarity >= passages.LEAST for r in found)
+
+
 # URL lists
 
 
