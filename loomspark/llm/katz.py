@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from loomspark.llm._common import crc_mod, drop, release, small_batches, written
 
 K = 5
-MIN_COUNT = 2
+MIN_COUNT = 1
 FREQUENT_WORDS = 200_000
 FREQUENT_PAIRS = 400_000
 #: Words before that are so frequent have their pairs dealt out by the second word as well.
@@ -186,7 +186,9 @@ class Model:
         p1 = F.lit(self.scale / max(1, self.N)) * _discounted(F.col("c"), self.d1)
         self.words = words.withColumn("p", p1)
         of = pairs.agg(F.sum("c").alias("n"), *(F.count_if(F.col("c") == r).alias(f"n{r}") for r in range(MIN_COUNT, K + 2))).first()
-        n = {r: of[f"n{r}"] for r in range(MIN_COUNT, K + 2)} | {1: self.N - (of["n"] or 0)}
+        n = {r: of[f"n{r}"] for r in range(MIN_COUNT, K + 2)}
+        if MIN_COUNT == 2:
+            n[1] = self.N - (of["n"] or 0)
         self.d2 = discounts(n, MIN_COUNT)
         known = written(pairs.join(words.select(F.col("key").alias("w"), F.col("c").alias("c1")), "w"), "known")
         m, p1 = _discounted(F.col("c"), self.d2), F.lit(self.scale / max(1, self.N)) * _discounted(F.col("c1"), self.d1)

@@ -91,6 +91,18 @@ def test_katz(spark, monkeypatch):
         assert math.isclose(r.score, plain.score(t), rel_tol=1e-9, abs_tol=1e-9)
 
 
+def test_katz_keeps_pairs_seen_once(spark):
+    rnd = random.Random(14)
+    docs = [(i, " ".join(f"v{int(40 * rnd.random() ** 2)}" for _ in range(25))) for i in range(40)]
+    plain = PlainKatz([t for _, t in docs])
+    model = katz.Model(frame(spark, docs))
+    once = sum(c == 1 for c in plain.pairs.values())
+    assert once > 50 and model.weights.where("known = 0").count() == len(plain.pairs)
+    n = Counter(plain.pairs.values())
+    rest = (katz.K + 1) * n[katz.K + 1] / n[1]
+    assert math.isclose(model.d2[1], (2 * n[2] / n[1] - rest) / (1 - rest), rel_tol=1e-12) and 0 < model.d2[1] < 1
+
+
 def test_katz_of_odd_tables(spark):
     assert katz.scored(frame(spark, [])).count() == 0
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
