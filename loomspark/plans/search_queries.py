@@ -82,7 +82,7 @@ def search_documents(spark: SparkSession, d: str) -> DataFrame:
     threads = corpus.threads(said).withColumn("thread", F.col("thread").cast("string"))
     mapped = _maps(threads, "thread", "thread_text", 18, T.CHAT_STOP_WORDS)
     none = F.create_map().cast("map<string,double>")
-    text = F.left("thread_text", F.lit(2000))
+    text = F.col("thread_text")
     family = mapped.select(F.concat(F.lit("family:"), "thread").alias("doc_id"), F.lit("family_brief").alias("kind"), F.lit("family").alias("grp"), "title", text.alias("text"), "vector_terms", F.col("thread").alias("family_id"), "thread", F.lit(True).alias("canonical"))
     plain = mapped.select(F.concat(F.lit("thread:"), "thread"), F.lit("thread"), F.lit("thread"), "title", text, none, F.col("thread"), "thread", F.lit(True))
     semantic = mapped.select(F.concat(F.lit("semantic:"), "thread"), F.lit("thread_semantic"), F.lit("thread"), "title", text, "vector_terms", F.col("thread"), "thread", F.lit(True))
@@ -105,9 +105,9 @@ def documents_union(spark: SparkSession, d: str) -> DataFrame:
 
 
 def conversation_queries(spark: SparkSession, d: str) -> DataFrame:
-    """One query per conversation: the first eight words of its first prompt, with their synonyms."""
+    """One query per conversation: its first prompt, with the synonyms of its words."""
     first = corpus.first_prompts(messages(spark, d))
-    rows = first.select(F.col("thread").alias("query_id"), F.array_join(F.slice(F.split("prompt", " "), 1, 8), " ").alias("query"))
+    rows = first.select(F.col("thread").alias("query_id"), F.col("prompt").alias("query"))
     return checkpoint(rows.withColumn("tokens", search.expand_tokens(search.query_tokens(F.col("query")))))
 
 
