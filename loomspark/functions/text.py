@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 # Characters that count as white space, the token pattern, word lists, markers, synonyms.
 SPACE_CLASS = r"[\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 TOKEN = "[a-z0-9][a-z0-9_-]+"
-SEARCH_STOP_WORDS = "a an and are as at be by for from how if in into is it of on or should that the this to what when where which why with".split()
-CHAT_STOP_WORDS = (
-    "a about all also an and any are as at be been being but by can could do for from get going have if in into is it just like make "
-    "maybe more need not of on or our out say should so that the their them then there they this to want we what where will with you your"
-).split()
+SEARCH_STOP_WORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "how", "if", "in", "into", "is", "it", "of", "on", "or", "should", "that", "the",
+    "this", "to", "what", "when", "where", "which", "why", "with",
+]
+CHAT_STOP_WORDS = [
+    "a", "about", "all", "also", "an", "and", "any", "are", "as", "at", "be", "been", "being", "but", "by", "can", "could", "do", "for", "from",
+    "get", "going", "have", "if", "in", "into", "is", "it", "just", "like", "make", "maybe", "more", "need", "not", "of", "on", "or", "our", "out",
+    "say", "should", "so", "that", "the", "their", "them", "then", "there", "they", "this", "to", "want", "we", "what", "where", "will", "with",
+    "you", "your",
+]
 ACTION_MARKERS = ["need to", "needs to", "should", "will", "want to", "implement", "add", "build", "develop", "next step", "recommend"]
 UNRESOLVED_MARKERS = ["maybe", "perhaps", "unclear", "unknown", "whether", "what if", "which option"]
 QUERY_SYNONYMS = {
@@ -91,12 +96,12 @@ def _marked(sentences: Column, markers: list[str], limit: int, question: bool) -
     return F.slice(distinct_ignoring_case(F.transform(F.filter(sentences, fits), lambda s: shorten(s, 180))), 1, limit)
 
 
-def extract_actions(sentences: Column, limit: int = 6) -> Column:
-    return _marked(sentences, ACTION_MARKERS, limit, False)
+def extract_actions(sentences: Column, limit: int = 6, markers: list[str] | None = None) -> Column:
+    return _marked(sentences, markers or ACTION_MARKERS, limit, False)
 
 
-def extract_unresolved(sentences: Column, limit: int = 5) -> Column:
-    return _marked(sentences, UNRESOLVED_MARKERS, limit, True)
+def extract_unresolved(sentences: Column, limit: int = 5, markers: list[str] | None = None) -> Column:
+    return _marked(sentences, markers or UNRESOLVED_MARKERS, limit, True)
 
 
 def title_case(x: Column | str) -> Column:

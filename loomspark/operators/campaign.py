@@ -6,10 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Outcomes that a packet may carry, and the scenarios of a campaign by the bucket that they take.
+from loomspark.operators import review
+
+# Outcomes that a packet may carry; a campaign's scenarios: relation and bucket of the groups, how many of them, from how many batches, after how many.
 MANUAL = ["", "reject", "keep", "needs-context", "pending"]
 PROPOSED = ["", "reject", "keep", "needs-context"]
-SCENARIOS = {"all": None, "likely-reject": "likely-reject", "needs-context": "needs-context", "alias-check": "alias-check"}
+SCENARIOS = {
+    "likely_front": ("disjoint", "likely-reject", 12, 5, 0),
+    "likely_mid": ("disjoint", "likely-reject", 12, 5, 5),
+    "likely_late": ("disjoint", "likely-reject", 12, 5, 10),
+    "needs_context": ("disjoint", "needs-context", 8, 10, 0),
+}
 
 
 def guidance(groups: DataFrame) -> DataFrame:
@@ -91,26 +98,61 @@ def rollup(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     return sums.withColumns({"agreement": F.round(F.try_divide("agreed", "adjudicated"), 4), "reject_precision": F.round(F.try_divide("reject_confirmed", "reject_proposed"), 4)})
 
 
-def selected(packets: DataFrame, statuses: list[str] | None = None, scenarios: list[str] | None = None, ids: list[str] | None = None) -> DataFrame:
-    """Packets (packet, status, scenarios) that fit every filter given."""
-    rows = packets if statuses is None else packets.where(F.col("status").isin(statuses))
-    rows = rows if ids is None else rows.where(F.col("packet").isin(ids))
-    return rows if scenarios is None else rows.where(F.arrays_overlap("scenarios", F.array(*(F.lit(s) for s in scenarios))))
+def selected(packets: DataFrame, statuses: list[str] | None = None, scenarios: list[str] | None = None, ids: list[str] | None = None, campaigns: list[str] | None = None) -> DataFrame:
+    """Packets (packet, status, scenario, campaign_ids) that fit every filter given."""
+    rows = packets if not statuses else packets.where(F.col("status").isin(statuses))
+    rows = rows if not ids else rows.where(F.col("packet").isin(ids))
+    rows = rows if not scenarios else rows.where(F.col("scenario").isin(scenarios))
+    return rows if not campaigns else rows.where(F.arrays_overlap("campaign_ids", F.array(*(F.lit(c) for c in campaigns))))
+
 
+def scenarios(items: DataFrame, names: list[str] | None = None, size: int = 25) -> DataFrame:
+    """(scenario, anchor, batch, turn, ...) of the groups that each scenario of a campaign samples from a queue of items.
 
-def scenarios(groups: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """The groups of each scenario of a campaign; an unknown name raises."""
+    A scenario's groups are those of one relation, in batches; of the batches that hold a group of its bucket it takes a
+    window, and from that its groups in turn. Names that repeat count once; an unknown one raises.
+    """
     unknown = set(names or ()) - set(SCENARIOS)
     if unknown:
         raise ValueError(f"unknown scenarios: {', '.join(sorted(unknown))}")
+    held: dict[str, DataFrame] = {}
     out = None
-    for name in names or SCENARIOS:
-        rows = groups if SCENARIOS[name] is None else groups.where(F.col("bucket") == SCENARIOS[name])
-        one = rows.withColumn("scenario", F.lit(name))
+    for name in dict.fromkeys(names or SCENARIOS):
+        kind, bucket, groups, take, offset = SCENARIOS[name]
+        if kind not in held:
+            held[kind] = guidance(review.batches(review.anchors(review.entries(items, [kind])), size))
+        one = review.sampled(held[kind].where(F.col("bucket") == bucket), groups, take, offset).withColumn("scenario", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def scenario_of(packet: Column) -> Column:
+    """The scenario that a packet's name ends in; none for a packet made by hand."""
+    out = F.lit("")
+    for name in SCENARIOS:
+        out = F.when(F.endswith(packet, F.lit(f"-{name}")), name).otherwise(out)
+    return out
+
+
+def packet_of(path: Column) -> Column:
+    """The packet that a file of samples is for; null for the latest copy and for summaries, proposals and comparisons."""
+    name = F.regexp_extract(path, r"(?:^|/)review-assist-sample-([^/]+)\.md$", 1)
+    return F.when((name != "") & (name != "latest") & ~name.rlike("^(summary|proposal|compare)-"), name)
+
+
+def index(packets: DataFrame, proposals: DataFrame, comparisons: DataFrame, campaigns: DataFrame) -> DataFrame:
+    """Packets (packet, total, adjudicated, valid) with status, scenario, whether they have a proposal and a comparison
+    (packet), and the campaigns (campaign_id, packet) that they are in, in order.
+    """
+    has = [f.select("packet").distinct().withColumn(n, F.lit(True)) for f, n in ((proposals, "proposed"), (comparisons, "compared"))]
+    listed = campaigns.groupBy("packet").agg(F.sort_array(F.collect_set("campaign_id")).alias("campaign_ids"))
+    rows = packets.join(has[0], "packet", "left").join(has[1], "packet", "left").join(listed, "packet", "left")
+    total, done = F.col("total"), F.col("adjudicated")
+    status = F.when(total <= 0, "empty").when(done <= 0, "pending").when(done >= total, "complete").otherwise("partial")
+    none = F.expr("cast(array() as array<string>)")
+    return rows.fillna(False, ["proposed", "compared"]).withColumns({"status": status, "pending": total - done, "scenario": scenario_of(F.col("packet")), "campaign_ids": F.coalesce("campaign_ids", none)})
+
+
 def reject_stage(samples: DataFrame, gate: DataFrame) -> DataFrame:
     """Review ids that people rejected, once each, where the gate (one row with ``gate``) passed."""
     ids = adjudicated(samples).where("manual = 'reject'").select("packet", "sample", F.explode("review_ids").alias("review_id")).where("review_id <> ''")

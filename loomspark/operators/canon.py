@@ -1,8 +1,7 @@
 """Cross-collection canon: pair suggestions, decisions, groups and their materialised tables.
 
-Records: (corpus_id, member_id, label) and what a similarity needs. Two records whose similarity reaches a positive
-threshold share a token, so candidates come from an equality join on tokens; of each record only its rarest tokens, as
-many as the threshold demands, are keys.
+Records: (corpus_id, member_id, label) and what a similarity needs. A similarity that reaches a positive threshold implies
+a least Jaccard index of the labels' tokens, so candidates come from a set-similarity join of the distinct token sets.
 """
 
 from __future__ import annotations
@@ -14,6 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomspark.functions import text as T
+from loomspark.operators.components import connected_components
+from loomspark.operators.setjoin import similar_sets
+from loomspark.plans.shared import written
 
 #: Least similarity by review type.
 THRESHOLDS = {"entity-alias": 0.7, "family-merge": 0.65, "action-merge": 0.78, "unresolved-merge": 0.78, "contradiction": 0.55}
@@ -30,16 +32,22 @@ def _label(a: str, b: str) -> Column:
     return F.round(F.greatest(same.cast("double"), T.jaccard(F.col(f"{a}.tokens"), F.col(f"{b}.tokens"))), 4)
 
 
+def _listed(side: str, column: str) -> Column:
+    """The tokens of a list of texts, as a set."""
+    return T.token_set(F.array_join(F.col(f"{side}.{column}"), " "))
+
+
 def _family(a: str, b: str) -> Column:
+    # The weights of title, themes, entities and actions.
     same = T.normalize_label(F.col(f"{a}.label")) == T.normalize_label(F.col(f"{b}.label"))
     title = F.when(same, F.lit(1.0)).otherwise(T.jaccard(F.col(f"{a}.tokens"), F.col(f"{b}.tokens")))
-    theme = T.jaccard(F.col(f"{a}.themes"), F.col(f"{b}.themes"))
-    return F.round(F.greatest(title, 0.6 * title + 0.2 * theme), 4)
+    theme, entity, action = (T.jaccard(_listed(a, c), _listed(b, c)) for c in ("themes", "key_entities", "actions"))
+    return F.round(F.greatest(title, 0.6 * title + 0.2 * theme + 0.1 * entity + 0.1 * action), 4)
 
 
 def _contradiction(a: str, b: str) -> Column:
     title = T.jaccard(F.col(f"{a}.tokens"), F.col(f"{b}.tokens"))
-    theme = T.jaccard(F.col(f"{a}.themes"), F.col(f"{b}.themes"))
+    theme = T.jaccard(_listed(a, "themes"), _listed(b, "themes"))
     return F.when((title >= 0.6) & (theme <= 0.15), F.round(title - theme, 4)).otherwise(F.lit(0.0))
 
 
@@ -48,59 +56,58 @@ for _name, _of in (("entity-alias", _label), ("family-merge", _family), ("action
 
 
 def suggestions(records: DataFrame, kind: str, decided: DataFrame | None = None, threshold: float | None = None, least_title: float | None = None) -> DataFrame:
-    """(review_id, priority, title, left_id, right_id, subject, score) of pairs of different collections.
+    """(review_id, review_type, status, priority, title, left_id, right_id, subject, score) of pairs of different collections.
 
+    Records may have themes, key_entities and actions (arrays), which count in family merges, and entity_type.
     least_title: Jaccard of the title tokens that the similarity implies; by default what the kind's formula implies.
+    decided: pairs (left_id, right_id) that aren't suggested again. Records with the same tokens are compared once; their
+    pairs, which are the result, come from a join by the tokens.
     """
     threshold = THRESHOLDS[kind] if threshold is None else threshold
-    # A family similarity of s needs a title similarity of (s - 0.2) / 0.6 at least; a contradiction one of 0.6.
-    least = least_title if least_title is not None else {"family-merge": (threshold - 0.2) / 0.6, "contradiction": max(0.6, threshold)}.get(kind, threshold)
-    rows = records.withColumn("tokens", T.token_set(F.col("label"))).where(F.size("tokens") > 0)
-    if "themes" not in rows.columns:
-        rows = rows.withColumn("themes", F.expr("cast(array() as array<string>)"))
-    words = rows.select("member_id", "corpus_id", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
-    common = words.groupBy("t").agg(F.count(F.lit(1)).alias("f"))
-    rank = F.row_number().over(Window.partitionBy("member_id").orderBy("f", "t"))
-    head = words.join(common, "t").withColumn("i", rank).where(F.col("i") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
-    a, b = head.select("t", "member_id", "corpus_id").alias("a"), head.select("t", "member_id", "corpus_id").alias("b")
-    near = a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.member_id") < F.col("b.member_id")) & (F.col("a.corpus_id") != F.col("b.corpus_id")))
-    pairs = near.select(F.col("a.member_id").alias("left_id"), F.col("b.member_id").alias("right_id")).distinct()
-    if decided is not None:
-        pairs = pairs.join(decided.select("left_id", "right_id"), ["left_id", "right_id"], "left_anti")
+    # A family similarity of s needs a title similarity of (s - 0.4) / 0.6 at least; a contradiction one of 0.6.
+    least = least_title if least_title is not None else {"family-merge": (threshold - 0.4) / 0.6, "contradiction": max(0.6, threshold)}.get(kind, threshold)
+    none = F.expr("cast(array() as array<string>)")
+    rows = records.withColumn("tokens", F.sort_array(T.token_set(F.col("label")))).where(F.size("tokens") > 0)
+    rows = rows.withColumns({c: F.coalesce(c, none) if c in rows.columns else none for c in ("themes", "key_entities", "actions")})
+    rows = written(rows.withColumn("set_id", F.array_join("tokens", " ")), "records")
+    sets = rows.select("set_id", F.col("tokens").alias("items")).distinct()
+    near = similar_sets(sets, max(least - 1e-4, 0.01)).select("left_set", "right_set")
+    near = near.unionByName(near.select(F.col("right_set").alias("left_set"), F.col("left_set").alias("right_set"))).unionByName(sets.select(F.col("set_id").alias("left_set"), F.col("set_id").alias("right_set")))
     left, right = rows.alias("l"), rows.alias("r")
-    rated = pairs.join(left, F.col("left_id") == F.col("l.member_id")).join(right, F.col("right_id") == F.col("r.member_id"))
+    met = near.join(left, F.col("left_set") == F.col("l.set_id")).join(right, (F.col("right_set") == F.col("r.set_id")) & (F.col("l.member_id") < F.col("r.member_id")) & (F.col("l.corpus_id") != F.col("r.corpus_id")))
+    met = met.withColumns({"left_id": F.col("l.member_id"), "right_id": F.col("r.member_id")})
     if kind == "entity-alias":
         # Two concepts with the same single token say too little.
         weak = (F.size("l.tokens") == 1) & (F.col("l.tokens") == F.col("r.tokens")) & (F.col("l.entity_type") == "concept") & (F.col("r.entity_type") == "concept")
-        rated = rated.where(~weak)
-    rated = rated.withColumn("score", SIMILARITIES[kind]("l", "r")).where(F.col("score") >= threshold)
+        met = met.where(~weak)
+    rated = met.withColumn("score", SIMILARITIES[kind]("l", "r")).where(F.col("score") >= threshold)
+    if decided is not None:
+        rated = rated.join(decided.select("left_id", "right_id"), ["left_id", "right_id"], "left_anti")
     ids = F.array("left_id", "right_id")
     return rated.select(
-        T.review_id(kind, ids).alias("review_id"),
+        T.review_id(kind, ids).alias("review_id"), F.lit(kind).alias("review_type"), F.lit("open").alias("status"),
         F.when(F.col("score") >= max(0.8, threshold + 0.15), "high").otherwise("medium").alias("priority"),
         F.concat_ws(" <> ", "l.label", "r.label").alias("title"), "left_id", "right_id", T.slugify("l.label", 72).alias("subject"), "score",
     )
 
 
-def components(nodes: DataFrame, edges: DataFrame, node: str = "member_id", left: str = "left_id", right: str = "right_id", rounds: int = 50) -> DataFrame:
-    """(node, root): root is the smallest name reachable. Smallest labels spread along edges and jump to their own labels.
+def stable_ids(suggested: DataFrame) -> DataFrame:
+    """Suggestions whose ids are unique: an id that several have gets each one's fingerprint."""
+    n = suggested.groupBy("review_id").agg(F.count(F.lit(1)).alias("_n"))
+    own = F.concat_ws("-", "review_id", T.fingerprint(F.array("left_id", "right_id")))
+    return suggested.join(n, "review_id").withColumn("review_id", F.when(F.col("_n") > 1, own).otherwise(F.col("review_id"))).drop("_n")
 
-    Each round is two joins and partial minima; a checkpoint cuts the lineage, and the rounds end when no label changes.
-    """
-    from loomspark.plans.shared import checkpoint
-
-    both = checkpoint(edges.select(F.col(left).alias("a"), F.col(right).alias("b")).unionByName(edges.select(F.col(right).alias("a"), F.col(left).alias("b"))).where("a <> b").distinct())
-    labels = checkpoint(nodes.select(F.col(node).alias("n"), F.col(node).alias("l")).distinct())
-    for _ in range(rounds):
-        seen = both.join(labels, F.col("b") == F.col("n")).groupBy("a").agg(F.min("l").alias("m"))
-        step = labels.join(seen, F.col("n") == F.col("a"), "left").select("n", F.col("l").alias("was"), F.least("l", F.coalesce("m", "l")).alias("l"))
-        jump = step.select(F.col("n").alias("at"), F.col("l").alias("beyond"))
-        moved = step.join(jump, F.col("l") == F.col("at"), "left").select("n", "was", F.least("l", F.coalesce("beyond", "l")).alias("l"))
-        moved = checkpoint(moved)
-        labels = moved.select("n", "l")
-        if moved.where("was <> l").isEmpty():
-            return labels.select(F.col("n").alias(node), F.col("l").alias("root"))
-    raise RuntimeError(f"labels did not settle in {rounds} rounds")
+
+def in_order(suggested: DataFrame) -> DataFrame:
+    """Suggestions in the order of a queue: high priority first, then by score and id."""
+    return suggested.orderBy(F.col("priority") != "high", F.desc("score"), "review_id")
+
+
+def components(nodes: DataFrame, edges: DataFrame, node: str = "member_id", left: str = "left_id", right: str = "right_id") -> DataFrame:
+    """(node, root): root is the smallest name reachable; a node without an edge is its own."""
+    found = connected_components(edges.select(F.col(left).alias("a"), F.col(right).alias("b")))
+    rows = nodes.select(F.col(node).alias("node")).distinct().join(found, "node", "left")
+    return rows.select(F.col("node").alias(node), F.coalesce("root", "node").alias("root"))
 
 
 def canonical_entities(records: DataFrame, groups: DataFrame) -> DataFrame:
@@ -114,18 +121,14 @@ def canonical_entities(records: DataFrame, groups: DataFrame) -> DataFrame:
 
 def canon_search(queries: DataFrame, docs: DataFrame, limit: int = 6) -> DataFrame:
     """Ranking of canon documents (doc_id, kind, title, text, vector_terms): coverage, vector, phrase and kind bonus."""
-    from loomspark.operators.search import lowered, paired, ranked
+    from loomspark.operators.search import features, fixed, ranked
 
-    # Bonus by kind.
+    # Weights, least coverage, bonus by kind.
     bonus = {"federated_family_brief": 0.7, "federated_project_dossier": 0.35, "federated_entity_dossier": 0.15, "federated_action_cluster": 0.25, "federated_unresolved_cluster": 0.2}
     extra = F.lit(0.0)
     for kind, value in bonus.items():
         extra = F.when(F.col("kind") == kind, value).otherwise(extra)
-    tokens = F.filter("tokens", lambda t: F.length(t) > 2)
-    rows = paired(queries.withColumn("tokens", tokens).where(F.size("tokens") > 0), lowered(docs))
-    low_title, low_text, low_query = F.col("_t"), F.col("_x"), F.lower("query")
-    hits = F.filter("tokens", lambda t: F.contains(low_title, t) | F.contains(low_text, t))
-    rows = rows.withColumns({"coverage": F.size(hits) / F.size("tokens"), "vector_score": F.aggregate("tokens", F.lit(0.0), lambda a, t: a + F.coalesce(F.try_element_at("vector_terms", t), F.lit(0.0)))})
-    phrase = F.when(F.contains(low_title, low_query) | F.contains(low_text, low_query), 0.75).otherwise(0.0)
-    scored = rows.withColumn("score", F.round(1.8 * F.col("coverage") + 0.7 * F.col("vector_score") + phrase + extra, 4))
-    return ranked(scored.where((F.col("coverage") >= 0.25) | (F.col("vector_score") > 0)), limit)
+    rows = features(queries.withColumn("tokens", F.filter("tokens", lambda t: F.length(t) > 2)), docs)
+    score = 1.8 * F.col("coverage") + 0.7 * F.col("vector_score") + F.when(F.col("phrase") == 1, 0.75).otherwise(0.0) + extra
+    scored = rows.where((F.col("coverage") >= 0.25) | (F.col("vector_score") > 0)).withColumn("score", fixed(score))
+    return ranked(scored, limit)

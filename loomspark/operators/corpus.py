@@ -64,9 +64,9 @@ def threads(messages: DataFrame) -> DataFrame:
     return found.select("thread", T.shorten("head", 120).alias("title"), "thread_text", "message_count")
 
 
-def ledgers(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, kind, position, item, item_key): actions and open questions of each document."""
-    cut = docs.select(key, T.split_sentences(text).alias("s")).select(key, T.extract_actions(F.col("s")).alias("a"), T.extract_unresolved(F.col("s")).alias("u"))
+def ledgers(docs: DataFrame, key: str, text: str, actions: list[str] | None = None, unresolved: list[str] | None = None) -> DataFrame:
+    """(key, kind, position, item, item_key): actions and open questions of each document, by their markers."""
+    cut = docs.select(key, T.split_sentences(text).alias("s")).select(key, T.extract_actions(F.col("s"), markers=actions).alias("a"), T.extract_unresolved(F.col("s"), markers=unresolved).alias("u"))
     rows = cut.select(key, F.lit("action").alias("kind"), F.posexplode("a").alias("position", "item")).unionByName(cut.select(key, F.lit("unresolved").alias("kind"), F.posexplode("u").alias("position", "item")))
     return rows.withColumn("item_key", T.slugify("item", 64))
 

@@ -22,25 +22,65 @@ def hit_rates(hits: DataFrame, expected: DataFrame, at: tuple[int, ...] = (1, 3)
     return found.agg(F.count(F.lit(1)).alias("queries"), *(F.round(F.avg(F.coalesce(F.col("rank") <= k, F.lit(False)).cast("double")), 4).alias(f"hit_at_{k}") for k in at))
 
 
-def compare(value: Column, threshold: Column, lower_is_better: Column, slack: float = 0.05) -> Column:
-    """skip without a value, pass within the threshold, warn within slack of it, else fail."""
-    over = F.when(lower_is_better, value - threshold).otherwise(threshold - value)
-    return F.when(value.isNull(), "skip").when(over <= 0, "pass").when(over <= slack, "warn").otherwise("fail")
-
+# The gates of an evaluation: which way a metric counts, and from where it passes or only warns.
+GATES = {
+    "family_stability.exact_member_match_rate": ("min", 1.0, 0.9),
+    "retrieval_metrics.family_hit_at_1": ("min", 0.9, 0.75),
+    "retrieval_metrics.thread_hit_at_1": ("min", 0.5, 0.3),
+    "retrieval_metrics.pair_hit_at_3": ("min", 0.5, 0.25),
+    "answer_metrics.state_match_rate": ("min", 0.9, 0.75),
+    "answer_metrics.required_citation_coverage_avg": ("min", 0.9, 0.75),
+    "answer_metrics.forbidden_citation_violation_rate": ("max", 0.0, 0.1),
+    "answer_metrics.abstention_match_rate": ("min", 0.9, 0.75),
+}
+#: Kinds of fixtures that make a result reliable only if people wrote them.
+FIXTURES = ["retrieval", "answers", "detectors", "families"]
+# The promotion policy's thresholds: the metric that each is for, which way it counts, its default.
+POLICY = {
+    "max_fail_corpora": ("fail_corpus_count", "max", 0.0),
+    "max_warn_corpora": ("warn_corpus_count", "max", 0.0),
+    "max_stale_corpora": ("stale_corpus_count", "max", 0.0),
+    "max_missing_contract_corpora": ("missing_contract_corpus_count", "max", 0.0),
+    "min_manual_pass_rate": ("manual_pass_rate", "min", 1.0),
+    "min_registered_active_corpora": ("active_corpus_count", "min", 1.0),
+}
+
+
+def within(value: Column, bound: Column, direction: Column) -> Column:
+    """Whether a metric keeps to a bound that it must reach (min) or not exceed (max)."""
+    return F.when(direction == "min", value >= bound).otherwise(value <= bound)
+
+
+def gates(metrics: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by..., metric, value, direction, pass, warn, state) of every gate, from (by..., metric, value).
+
+    skip without a value; pass or warn where the gate's own bounds are kept, else fail.
+    """
+    by = by or []
+    table = metrics.sparkSession.createDataFrame([(k, *v) for k, v in GATES.items()], "metric string, direction string, pass double, warn double")
+    wanted = metrics.select(*by).distinct().join(F.broadcast(table)) if by else table
+    rows = wanted.join(metrics, [*by, "metric"], "left")
+    value, way = F.col("value"), F.col("direction")
+    state = F.when(value.isNull(), "skip").when(within(value, F.col("pass"), way), "pass").when(within(value, F.col("warn"), way), "warn").otherwise("fail")
+    return rows.select(*by, "metric", "value", "direction", "pass", "warn", state.alias("state"))
 
-def gates(metrics: DataFrame, thresholds: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """(metric, value, threshold, state) for each threshold; a pass from gold that people didn't write is a warn."""
-    rows = thresholds.join(metrics, "metric", "left").withColumn("state", compare(F.col("value"), F.col("threshold"), F.col("lower_is_better")))
-    if sources is not None:
-        rows = rows.join(sources, "metric", "left").withColumn("state", F.when((F.col("state") == "pass") & (F.coalesce("source", F.lit("manual")) != "manual"), "warn").otherwise(F.col("state")))
-    return rows.select("metric", "value", "threshold", "state")
 
+def overall(states: DataFrame, by: list[str] | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """(by..., overall, reliability, n_pass, n_warn, n_fail, n_skip): the worst state of the gates.
 
-def overall(states: DataFrame) -> DataFrame:
-    """One row: the worst state, and how many passed, warned, failed, were skipped."""
-    severity = F.when(F.col("state") == "fail", 3).when(F.col("state") == "warn", 2).when(F.col("state") == "pass", 1).otherwise(0)
-    sums = states.agg(F.max(severity).alias("worst"), *(F.count_if(F.col("state") == s).alias(f"n_{s}") for s in ("pass", "warn", "fail", "skip")))
-    return sums.select(F.when(F.col("worst") == 3, "fail").when(F.col("worst") == 2, "warn").otherwise("pass").alias("overall"), "n_pass", "n_warn", "n_fail", "n_skip")
+    sources (by..., kind, source): a kind of FIXTURES whose source isn't manual, or that is missing, makes reliability
+    warn, and so a pass too. Without sources reliability is null.
+    """
+    by = by or []
+    severity = F.when(F.col("state") == "fail", 3).when(F.col("state") == "warn", 2).otherwise(1)
+    sums = states.groupBy(*by).agg(F.max(severity).alias("_worst"), *(F.count_if(F.col("state") == s).alias(f"n_{s}") for s in ("pass", "warn", "fail", "skip")))
+    if sources is None:
+        sums = sums.withColumn("reliability", F.lit(None).cast("string"))
+    else:
+        sure = sources.where(F.col("kind").isin(FIXTURES) & (F.col("source") == "manual")).groupBy(*by).agg(F.count_distinct("kind").alias("_sure"))
+        sums = (sums.join(sure, by, "left") if by else sums.join(F.broadcast(sure))).withColumn("reliability", F.when(F.col("_sure") == len(FIXTURES), "pass").otherwise("warn"))
+    state = F.when(F.col("_worst") == 3, "fail").when((F.col("_worst") == 2) | (F.col("reliability") == "warn"), "warn").otherwise("pass")
+    return sums.select(*by, state.alias("overall"), "reliability", "n_pass", "n_warn", "n_fail", "n_skip")
 
 
 def preferred(fixtures: DataFrame) -> DataFrame:
@@ -82,34 +122,74 @@ def replay(live: DataFrame, candidate: DataFrame) -> DataFrame:
     return rows.withColumn("change", F.when(F.col("candidate_state").isNull() | F.col("live_state").isNull(), "missing").when(F.col("live_state") != F.col("candidate_state"), "state").when(~F.col("live_top").eqNullSafe(F.col("candidate_top")), "evidence").otherwise("same"))
 
 
-# The promotion policy's defaults; True where less is better.
-POLICY = {"max_failed_gates": (0.0, True), "max_warned_gates": (2.0, True), "max_stale_sources": (1.0, True), "max_open_reviews": (50.0, True), "min_answer_rate": (0.6, False), "min_document_count": (10.0, False)}
+def normalized_policy(spark: SparkSession, overrides: dict[str, float] | None = None) -> DataFrame:
+    """(threshold, metric, direction, bound): every threshold, with the default where nothing else is said.
+
+    A threshold that isn't in the policy raises.
+    """
+    overrides = overrides or {}
+    unknown = set(overrides) - set(POLICY)
+    if unknown:
+        raise ValueError(f"unknown thresholds: {', '.join(sorted(unknown))}")
+    rows = [(k, metric, way, float(overrides.get(k, bound))) for k, (metric, way, bound) in POLICY.items()]
+    return spark.createDataFrame(rows, "threshold string, metric string, direction string, bound double")
+
+
+def replay_cases(corpora: DataFrame) -> DataFrame:
+    """Flags of active corpora (corpus_id, evaluation_state, freshness, valid_contract) under a policy.
+
+    A corpus is stale unless fresh or not_applicable, null included; only an evaluation that passed counts as a pass.
+    """
+    state, stale = F.col("evaluation_state"), ~F.coalesce(F.col("freshness").isin("fresh", "not_applicable"), F.lit(False))
+    flags = {
+        "gate_fail": F.coalesce(state == "fail", F.lit(False)), "gate_warn": F.coalesce(state == "warn", F.lit(False)), "stale_source": stale,
+        "missing_contract": ~F.coalesce("valid_contract", F.lit(False)), "manual_pass": F.coalesce(state == "pass", F.lit(False)),
+    }
+    rows = corpora.withColumns(flags)
+    return rows.withColumn("review_required", F.col("gate_fail") | F.col("gate_warn") | F.col("stale_source") | F.col("missing_contract"))
+
+
+def replay_summary(cases: DataFrame) -> DataFrame:
+    """One row of counts over replay_cases; the pass rate is null without any corpus."""
+    counts = {"fail_corpus_count": "gate_fail", "warn_corpus_count": "gate_warn", "stale_corpus_count": "stale_source", "missing_contract_corpus_count": "missing_contract", "manual_pass_count": "manual_pass", "review_required_count": "review_required"}
+    sums = cases.agg(F.count(F.lit(1)).alias("active_corpus_count"), *(F.count_if(F.col(c)).alias(n) for n, c in counts.items()))
+    return sums.withColumn("manual_pass_rate", F.round(F.try_divide("manual_pass_count", "active_corpus_count"), 4))
 
 
-def thresholds(spark: SparkSession, overrides: dict[str, float] | None = None) -> DataFrame:
-    merged = {k: (overrides or {}).get(k, v) for k, (v, _) in POLICY.items()}
-    return spark.createDataFrame([(k, float(v), POLICY[k][1]) for k, v in merged.items()], "metric string, threshold double, lower_is_better boolean")
+def policy_gates(summary: DataFrame, policy: DataFrame) -> DataFrame:
+    """(threshold, metric, direction, bound, value, state) of a policy: pass, fail, or skip without a value."""
+    names = [metric for metric, _, _ in POLICY.values()]
+    values = summary.select(F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names))).alias("m")).select("m.*")
+    rows = policy.join(values, "metric", "left")
+    state = F.when(F.col("value").isNull(), "skip").when(within(F.col("value"), F.col("bound"), F.col("direction")), "pass").otherwise("fail")
+    return rows.select("threshold", "metric", "direction", "bound", "value", state.alias("state"))
 
 
 def calibration(states: DataFrame) -> DataFrame:
-    """ready if all passed, observe if some only warned, else blocked."""
-    return overall(states).select(F.when(F.col("n_fail") > 0, "blocked").when(F.col("n_warn") > 0, "observe").otherwise("ready").alias("calibration"), "n_pass", "n_fail", "n_skip")
+    """What a replay's worst state says of the policy: ready, observe or blocked."""
+    now = F.col("overall")
+    return overall(states).select(F.when(now == "pass", "ready").when(now == "warn", "observe").otherwise("blocked").alias("calibration"), now.alias("reason"))
 
 
 def readiness(targets: DataFrame) -> DataFrame:
-    """Adds state and next_action from flags (has_root, has_contract, registered, evaluated, gate_failed, stale)."""
-    ladder = [
-        (~F.col("has_root"), "missing", "import"),
-        (~F.col("has_contract"), "incomplete", "rebuild"),
-        (~F.col("registered"), "unregistered", "register"),
-        (~F.col("evaluated"), "unevaluated", "evaluate"),
-        (F.col("gate_failed"), "failing", "fix"),
-        (F.col("stale"), "stale", "refresh"),
+    """Adds readiness and next_step to targets (present, has_contract, has_guide, evaluation_state, registered,
+    registry_status, upload_state): the first rung of the ladder that a target hasn't passed.
+    """
+    state, upload = F.col("evaluation_state"), F.coalesce(F.col("upload_state") == "ready", F.lit(False))
+    federated = F.coalesce(F.col("registered") & (F.col("registry_status") == "active"), F.lit(False))
+    # The states' names.
+    rungs = [
+        (~F.col("present"), "missing", F.when(upload, "import").otherwise("place-export")),
+        (~F.col("has_contract"), "missing-contract", F.lit("create-contract")),
+        (~F.col("has_guide"), "imported-needs-bootstrap", F.lit("bootstrap-eval")),
+        (F.coalesce(state, F.lit("")) == "", "manual-eval-unrun", F.lit("run-evaluation")),
+        (state != "pass", "manual-eval-pending", F.lit("run-evaluation")),
+        (federated, "healthy-federation", F.when(upload, "refresh").otherwise("ready")),
     ]
-    state, action = F.lit("ready"), F.lit("none")
-    for when, name, step in reversed(ladder):
-        state, action = F.when(when, name).otherwise(state), F.when(when, step).otherwise(action)
-    return targets.withColumns({"state": state, "next_action": action})
+    name, step = F.lit("calibration-pass"), F.lit("register")
+    for when, rung, then in reversed(rungs):
+        name, step = F.when(when, rung).otherwise(name), F.when(when, then).otherwise(step)
+    return targets.withColumns({"readiness": name, "next_step": step})
 
 
 def latest(rows: DataFrame, key: str | list[str], at: str, tie: str) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from loomspark.functions import text as T
 from loomspark.operators import canon, cascade, corpus, federation, search, terms
 from loomspark.plans import sqltext as S
-from loomspark.plans.shared import checkpoint, table
-from loomspark.plans.text_queries import PAIRS_SQL, messages
+from loomspark.plans.shared import checkpoint, table, written
+from loomspark.plans.text_queries import ACTIONS, ENTITIES_SQL, PAIRS_SQL, QUESTIONS, entities, messages
 from loomspark.sources import markdown
 
 QUERIES = {}
@@ -40,19 +40,19 @@ def pair_documents(spark: SparkSession, d: str) -> DataFrame:
     return rows.select(F.concat(F.lit("pair:"), "pair_id").alias("doc_id"), F.lit("pair").alias("kind"), F.lit("pair").alias("grp"), "title", F.col("search_text").alias("text"), "vector_terms", F.col("thread").cast("string").alias("family_id"), F.col("thread").cast("string").alias("thread"), F.lit(False).alias("canonical"))
 
 
-def one_query(spark: SparkSession, words: str) -> DataFrame:
-    return spark.createDataFrame([(0, words)], "query_id long, query string").withColumn("tokens", search.query_tokens(F.col("query")))
-
-
-def _vector_sql(source: str, key: str, text: str, limit: int, stop: list[str], shortest: int = 3) -> str:
-    """CTE body: (key, token, weight)."""
-    return f"""(SELECT {key}, token, round(n / top, 4) AS weight FROM (
+def _vector_sql(source: str, key: str, text: str, limit: int, stop: list[str], shortest: int = 3, first: bool = False) -> str:
+    """CTE body: (key, token, weight), and the first place of the token if asked for."""
+    return f"""(SELECT {key}, token, round(n / top, 4) AS weight{', first' if first else ''} FROM (
       SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY n DESC, first) AS rank, max(n) OVER (PARTITION BY {key}) AS top FROM (
         SELECT {key}, token, count(*) AS n, min(pos) AS first FROM (
           SELECT {key}, unnest(x) AS token, generate_subscripts(x, 1) AS pos FROM (SELECT {key}, {S.content(text, stop, shortest)} AS x FROM {source}))
         GROUP BY ALL)) WHERE rank <= {limit})"""
 
 
+def _fixed(x: str) -> str:
+    return f"(floor(({x}) * 10000.0 + 0.5) / 10000.0)"
+
+
 _TOP = f"""
 WITH p AS ({PAIRS_SQL}), v AS {_vector_sql("(SELECT pair_id, prompt || ' ' || response AS body FROM p)", 'pair_id', 'body', 18, T.CHAT_STOP_WORDS)},
      q AS (SELECT {S.quoted(WORDS.split())} AS tokens),
@@ -60,10 +60,10 @@ WITH p AS ({PAIRS_SQL}), v AS {_vector_sql("(SELECT pair_id, prompt || ' ' || re
              len(list_filter(tokens, lambda t: contains(lower(title), t) OR contains(lower(search_text), t))) / len(tokens) AS coverage,
              len(list_filter(tokens, lambda t: contains(lower(title), t))) / len(tokens) AS title_boost,
              len(list_filter(tokens, lambda t: contains(lower(search_text), t))) / len(tokens) AS text_boost,
-             coalesce((SELECT sum(weight) FROM v WHERE v.pair_id = p.pair_id AND list_contains(q.tokens, v.token)), 0.0) AS vector_score,
+             coalesce((SELECT sum(round(weight * 10000)::BIGINT) FROM v WHERE v.pair_id = p.pair_id AND list_contains(q.tokens, v.token)), 0) / 10000 AS vector_score,
              CASE WHEN contains(lower(title), '{WORDS}') OR contains(lower(search_text), '{WORDS}') THEN 0.8 ELSE 0.0 END AS phrase_boost
            FROM p, q),
-     r AS (SELECT *, round(round(1.6 * coverage + 0.9 * title_boost + 0.35 * text_boost + 0.6 * vector_score + phrase_boost, 4) * 1.05, 4) AS score FROM s)
+     r AS (SELECT *, {_fixed(_fixed("1.6 * coverage + 0.9 * title_boost + 0.35 * text_boost + 0.6 * vector_score + phrase_boost") + " * 1.05")} AS score FROM s)
 SELECT doc_id, score, round(coverage, 4) AS coverage, round(vector_score, 4) AS vector_score, md5(search_text) AS text_md5
 FROM r WHERE score > 0 ORDER BY score DESC, doc_id DESC LIMIT 8"""
 
@@ -71,9 +71,11 @@ FROM r WHERE score > 0 ORDER BY score DESC, doc_id DESC LIMIT 8"""
 @query(_TOP)
 def pair_search_topk(spark: SparkSession, d: str) -> DataFrame:
     """The eight best pairs for one query."""
-    scored = search.times(search.score(search.paired(one_query(spark, WORDS), pair_documents(spark, d))), {"pair": 1.05})
+    words = F.lit(WORDS)
+    rows = pair_documents(spark, d).withColumns({"query": words, "tokens": search.query_tokens(words)})
+    scored = search.times(search.score(search.features_of(rows.withColumn("text_md5", F.md5("text")))), {"pair": 1.05})
     top = scored.where("score > 0").orderBy(F.desc("score"), F.desc("kind"), F.desc("doc_id")).limit(8)
-    return top.select("doc_id", "score", F.round("coverage", 4).alias("coverage"), F.round("vector_score", 4).alias("vector_score"), F.md5("text").alias("text_md5"))
+    return top.select("doc_id", "score", F.round("coverage", 4).alias("coverage"), F.round("vector_score", 4).alias("vector_score"), "text_md5")
 
 
 def search_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -86,20 +88,31 @@ def search_documents(spark: SparkSession, d: str) -> DataFrame:
     family = mapped.select(F.concat(F.lit("family:"), "thread").alias("doc_id"), F.lit("family_brief").alias("kind"), F.lit("family").alias("grp"), "title", text.alias("text"), "vector_terms", F.col("thread").alias("family_id"), "thread", F.lit(True).alias("canonical"))
     plain = mapped.select(F.concat(F.lit("thread:"), "thread"), F.lit("thread"), F.lit("thread"), "title", text, none, F.col("thread"), "thread", F.lit(True))
     semantic = mapped.select(F.concat(F.lit("semantic:"), "thread"), F.lit("thread_semantic"), F.lit("thread"), "title", text, "vector_terms", F.col("thread"), "thread", F.lit(True))
-    items = corpus.ledgers(threads, "thread", "thread_text")
-    ledger = items.select(F.concat_ws(":", "kind", "thread", "item_key"), "kind", F.lit("ledger"), "item", F.col("item"), none, F.col("thread"), "thread", F.lit(False))
+    items = corpus.ledgers(threads, "thread", "thread_text", ACTIONS, QUESTIONS)
+    ledger = items.select(F.concat_ws(":", "kind", "thread", "position", "item_key"), "kind", F.lit("ledger"), "item", F.col("item"), none, F.col("thread"), "thread", F.lit(False))
     return family.union(plain).union(semantic).union(pair_documents(spark, d)).union(ledger)
 
 
-@query(f"""
-WITH k AS (SELECT conv_id::VARCHAR AS thread, turn, lower(coalesce(role, '')) AS role, {S.space('text')} AS text FROM conversations),
-     t AS (SELECT thread, string_agg(text, ' ' ORDER BY turn) AS x FROM k WHERE text <> '' AND role <> 'system' GROUP BY thread),
-     s AS (SELECT thread, {S.sentences('x')} AS s FROM t),
-     m AS (SELECT thread, {S.marked('s', T.ACTION_MARKERS, False)} AS a, {S.marked('s', T.UNRESOLVED_MARKERS, True)} AS u FROM s)
-SELECT 'family_brief' AS kind, count(*) AS documents FROM t UNION ALL SELECT 'thread', count(*) FROM t UNION ALL SELECT 'thread_semantic', count(*) FROM t
-UNION ALL SELECT 'pair', count(*) FROM ({PAIRS_SQL})
-UNION ALL SELECT 'action', sum(len({S.distinct_ignoring_case('a')}[1:6]))::BIGINT AS n FROM m HAVING sum(len({S.distinct_ignoring_case('a')}[1:6])) > 0
-UNION ALL SELECT 'unresolved', sum(len({S.distinct_ignoring_case('u')}[1:5]))::BIGINT FROM m HAVING sum(len({S.distinct_ignoring_case('u')}[1:5])) > 0""")
+_DOCS = f"""
+m AS (SELECT conv_id::VARCHAR AS thread, turn, lower(coalesce(role, '')) AS role, {S.space('text')} AS text FROM conversations),
+kept AS (SELECT * FROM m WHERE text <> '' AND role <> 'system'),
+threads AS (SELECT thread, {S.shorten("coalesce(arg_min(text, CASE WHEN role = 'user' THEN turn END), arg_min(text, turn))", 120)} AS title, string_agg(text, ' ' ORDER BY turn) AS x FROM kept GROUP BY thread),
+sent AS (SELECT thread, {S.sentences('x')} AS s FROM threads),
+marks AS (SELECT thread, {S.marked('s', ACTIONS, False)} AS a, {S.marked('s', QUESTIONS, True)} AS u FROM sent),
+items AS (SELECT thread, 'action' AS kind, unnest({S.distinct_ignoring_case('a')}[1:6]) AS item, generate_subscripts({S.distinct_ignoring_case('a')}[1:6], 1) - 1 AS position FROM marks
+          UNION ALL SELECT thread, 'unresolved', unnest({S.distinct_ignoring_case('u')}[1:5]), generate_subscripts({S.distinct_ignoring_case('u')}[1:5], 1) - 1 FROM marks),
+pairs AS ({PAIRS_SQL}),
+docs AS (SELECT 'family:' || thread AS doc_id, 'family_brief' AS kind, 'family' AS grp, title, x AS text, thread AS family_id, thread, true AS canonical FROM threads
+  UNION ALL SELECT 'thread:' || thread, 'thread', 'thread', title, x, thread, thread, true FROM threads
+  UNION ALL SELECT 'semantic:' || thread, 'thread_semantic', 'thread', title, x, thread, thread, true FROM threads
+  UNION ALL SELECT 'pair:' || pair_id, 'pair', 'pair', title, search_text, thread::VARCHAR, thread::VARCHAR, false FROM pairs
+  UNION ALL SELECT kind || ':' || thread || ':' || position || ':' || {S.slug('item')}, kind, 'ledger', item, item, thread, thread, false FROM items),
+vt AS {_vector_sql('threads', 'thread', 'x', 18, T.CHAT_STOP_WORDS)},
+vp AS {_vector_sql("(SELECT pair_id, prompt || ' ' || response AS body FROM pairs)", 'pair_id', 'body', 18, T.CHAT_STOP_WORDS)},
+vectors AS (SELECT 'family:' || thread AS doc_id, token, weight FROM vt UNION ALL SELECT 'semantic:' || thread, token, weight FROM vt UNION ALL SELECT 'pair:' || pair_id, token, weight FROM vp)"""
+
+
+@query(f"WITH {_DOCS} SELECT kind, count(*) AS documents FROM docs GROUP BY kind")
 def documents_union(spark: SparkSession, d: str) -> DataFrame:
     return search_documents(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("documents"))
 
@@ -118,46 +131,138 @@ def _corpus_documents(spark: SparkSession, d: str) -> DataFrame:
 
 def _found(spark: SparkSession, d: str, mode: str | None = None) -> tuple[cascade.Found, DataFrame]:
     queries = conversation_queries(spark, d)
-    return cascade.cascade(queries, checkpoint(search_documents(spark, d)), mode=mode), queries
-
-
-@query()
+    return cascade.cascade(queries, written(search_documents(spark, d)), mode=mode), queries
+
+
+_SYNONYMS = "CASE t " + " ".join(f"WHEN '{k}' THEN {S.quoted(v)}" for k, v in T.QUERY_SYNONYMS.items()) + " ELSE []::VARCHAR[] END"
+
+
+def _cascade_sql(mode: str | None = None, by: str = "query_id") -> str:
+    """CTEs family, thread2, pair, ledger and hits of the cascade: every query is held against every document."""
+    order = f"row_number() OVER (PARTITION BY {by} ORDER BY score DESC, kind DESC, doc_id DESC)"
+    factor = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in cascade.FACTORS.items()) + " ELSE 1.0 END"
+    seen = "(coverage > 0 OR vector_score > 0 OR phrase OR coalesce(fp, 0) > 0 OR coalesce(tp, 0) > 0)"
+
+    def stage(rows: str, limit: int, focus: str, lead: str) -> str:
+        """The best rows by score with priors."""
+        priors = f"LEFT JOIN {focus} USING ({by}, family_id) LEFT JOIN {lead} USING ({by}, thread)" if focus else "CROSS JOIN (SELECT NULL::DOUBLE AS fp, NULL::DOUBLE AS tp)"
+        total = f"plain + 0.3 * coalesce(fp, 0) + 0.25 * coalesce(tp, 0) + CASE WHEN canonical AND {seen} THEN 0.25 ELSE 0.0 END"
+        scored = f"SELECT p.*, CASE WHEN empty THEN 0.0 ELSE {_fixed(_fixed(total) + " * " + factor)} END AS score FROM ({rows}) p {priors}"
+        return f"(SELECT * FROM (SELECT *, {order} AS rank FROM ({scored}) WHERE score > 0) WHERE rank <= {limit})"
+
+    def within(group: str) -> str:
+        rows = f"SELECT f.* FROM f WHERE grp = '{group}'"
+        if mode:
+            return rows + (f" AND kind = '{mode}'" if group == "ledger" and mode in cascade.LEDGER_MODES else "")
+        marked = f"SELECT f.*, w.family_id IS NOT NULL AS own, bool_or(w.family_id IS NOT NULL) OVER (PARTITION BY {', '.join('f.' + c for c in by.split(', '))}) AS any_own FROM f LEFT JOIN focus w USING ({by}, family_id) WHERE grp = '{group}'"
+        return f"SELECT * EXCLUDE (own, any_own) FROM ({marked}) WHERE own OR NOT any_own"
+
+    def feedback(rows: str, pairs: str) -> str:
+        bonus = "CASE WHEN canonical THEN CASE WHEN pair_focused THEN 0.75 ELSE 0.25 END ELSE 0.0 END + CASE WHEN title_in_query THEN 0.3 ELSE 0.0 END"
+        score = _fixed(f"score + 0.22 * coalesce(ps, 0.0) + 0.75 * support + 0.35 * coalesce(pu, 0.0) + ({bonus})")
+        joined = f"(SELECT * EXCLUDE (rank, score, ps, pu), {score} AS score FROM {rows} {pairs})"
+        return f"(SELECT *, {order} AS rank FROM {joined})"
+
+    corpus = ", 'c' || (docs.thread::BIGINT % 4) AS corpus_id" if "corpus_id" in by else ""
+    own = by.replace("query_id, ", "").replace("query_id", "1 AS one")
+    low, words = "lower(title)", S.content("title", T.SEARCH_STOP_WORDS, 2)
+    merged = "ledger" if mode in cascade.LEDGER_MODES else "(SELECT * FROM family UNION ALL BY NAME SELECT * FROM thread2 UNION ALL BY NAME SELECT * FROM pair UNION ALL BY NAME SELECT * FROM ledger)"
+    return f"""{_DOCS},
+base AS (SELECT thread::BIGINT AS query_id, arg_min(text, turn) AS query FROM kept WHERE role = 'user' GROUP BY thread),
+raw AS (SELECT query_id, query, {S.tokens('query')} AS raw FROM base),
+con AS (SELECT *, list_filter(raw, lambda t: NOT list_contains({S.quoted(T.SEARCH_STOP_WORDS)}, t)) AS content FROM raw),
+one AS (SELECT *, {S.ordered_distinct('content')} AS firsts FROM con),
+two AS (SELECT *, list_concat(firsts, flatten(list_transform(firsts, lambda t: {_SYNONYMS}))) AS more FROM one),
+q AS (SELECT query_id, query, content, list_contains(raw, 'pair') AS asks, {S.ordered_distinct('more')} AS tokens FROM two),
+qt AS (SELECT query_id, unnest(tokens) AS token FROM q),
+vs AS (SELECT query_id, doc_id, sum(round(weight * 10000)::BIGINT) / 10000 AS vector_score FROM qt JOIN vectors USING (token) GROUP BY ALL),
+x0 AS (SELECT q.*, docs.*{corpus}, lower(title) AS lt, lower(docs.text) AS lx FROM q, docs),
+x1 AS (SELECT *, greatest(len(tokens), 1) AS n, len(list_filter(tokens, lambda t: contains(lt, t))) AS nt, len(list_filter(tokens, lambda t: contains(lx, t))) AS nx,
+  len(list_filter(tokens, lambda t: contains(lt, t) OR contains(lx, t))) AS nn, len(list_filter(content, lambda t: contains(lt, t) OR contains(lx, t))) / greatest(len(content), 1) AS support,
+  trim(lower(query)) <> '' AND (contains(lt, trim(lower(query))) OR contains(lx, trim(lower(query)))) AS phrase, len(tokens) = 0 AS empty,
+  trim({low}) = trim(lower(query)) AS is_title, contains(lower(query), {low}) AS title_in_query,
+  {low} <> '' AND (contains(lower(query), {low}) OR (len({words}) > 0 AND len(list_filter({words}, lambda t: NOT list_contains(content, t))) = 0)) AS matched FROM x0),
+x2 AS (SELECT x1.*, nn / n AS coverage, nt / n AS title_boost, nx / n AS text_boost, coalesce(vs.vector_score, 0.0) AS vector_score FROM x1 LEFT JOIN vs USING (query_id, doc_id)),
+x3 AS (SELECT *, CASE WHEN empty THEN 0.0 ELSE 1.6 * coverage + 0.9 * title_boost + 0.35 * text_boost + 0.6 * vector_score + CASE WHEN phrase THEN 0.8 ELSE 0.0 END END AS plain,
+  {'false' if mode else f"bool_or(matched AND asks AND grp = 'family') OVER (PARTITION BY {by})"} AS pair_focused FROM x2),
+f AS (SELECT {by}, doc_id, kind, grp, title, family_id, thread, canonical, coverage, title_boost, text_boost, vector_score, phrase, plain, empty, support, is_title, title_in_query, matched, pair_focused FROM x3),
+fr AS {stage("SELECT * FROM f WHERE grp = 'family'", 8, '', '')},
+fa AS (SELECT * EXCLUDE i FROM (SELECT f.*, 0.0 AS score, 1 AS rank, row_number() OVER (PARTITION BY {by}, family_id ORDER BY doc_id) AS i FROM f ANTI JOIN fr USING ({by}, family_id) WHERE grp = 'family' AND matched) WHERE i = 1),
+fu AS (SELECT * FROM fr UNION ALL BY NAME SELECT * FROM fa), ft AS (SELECT *, max(score) OVER (PARTITION BY {by}) AS top FROM fu),
+fb AS (SELECT * EXCLUDE (score, rank, top), {_fixed("score + (CASE WHEN matched THEN CASE WHEN is_title THEN greatest(greatest(2.5, 0.6 * top) + 0.8, top + 2.0) ELSE greatest(2.5, 0.6 * top) END ELSE 0.0 END) + 0.45 * support")} AS score FROM ft),
+family AS (SELECT *, {order} AS rank FROM fb),
+focus AS (SELECT {by}, family_id, arg_max(score, rank) AS fp FROM family WHERE rank <= 4 GROUP BY ALL),
+canon AS (SELECT {own}, family_id, arg_min(thread, doc_id) AS thread FROM f WHERE grp = 'family' AND canonical GROUP BY ALL),
+leads AS (SELECT {by}, canon.thread, max(fp) AS tp FROM focus JOIN canon USING ({'corpus_id, ' if corpus else ''}family_id) GROUP BY ALL),
+t1 AS {stage(within('thread'), 8, 'focus', 'leads')},
+thread1 AS {feedback('t1', 'CROSS JOIN (SELECT 0.0 AS ps, 0.0 AS pu)')},
+priors AS (SELECT {by}, thread, arg_max(score, rank) AS tp FROM thread1 WHERE rank <= 6 GROUP BY ALL),
+pair1 AS {stage(within('pair'), 8, 'focus', 'priors')},
+best AS (SELECT {by}, thread, max(score) AS ps, max(support) AS pu FROM pair1 GROUP BY ALL),
+thread2 AS {feedback('thread1', f'LEFT JOIN best USING ({by}, thread)')},
+fed AS (SELECT {by}, thread, arg_max(score, rank) AS ts, min(rank) AS tr FROM thread2 GROUP BY ALL),
+pair2 AS (SELECT * EXCLUDE (rank, score, ts, tr), {_fixed("score + 0.7 * support + 0.18 * coalesce(ts, 0.0) + (CASE WHEN canonical THEN CASE WHEN pair_focused THEN 0.65 ELSE 0.2 END ELSE 0.0 END + CASE WHEN tr = 1 THEN 0.35 ELSE 0.0 END)")} AS score
+  FROM pair1 LEFT JOIN fed USING ({by}, thread)),
+pair AS (SELECT *, {order} AS rank FROM pair2),
+ledger AS {stage(within('ledger'), 8, 'focus', 'priors')},
+hits AS (SELECT * FROM (SELECT * EXCLUDE rank, {order} AS rank FROM {merged}) WHERE rank <= 8)"""
+
+
+@query(f"WITH {_cascade_sql()} SELECT query_id, rank, doc_id, kind, score FROM hits")
 def search_cascade(spark: SparkSession, d: str) -> DataFrame:
     hits = _found(spark, d)[0].hits
     return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "kind", "score")
 
 
-@query()
+@query(f"WITH {_cascade_sql('action')} SELECT query_id, rank, doc_id, kind, score FROM hits")
 def search_ledger_mode(spark: SparkSession, d: str) -> DataFrame:
     hits = _found(spark, d, "action")[0].hits
     return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "kind", "score")
 
 
-@query()
+@query(f"WITH {_cascade_sql()} SELECT query_id, rank, doc_id, score FROM family")
 def rank_families(spark: SparkSession, d: str) -> DataFrame:
     return _found(spark, d)[0].family.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
 
 
-@query()
+@query(f"WITH {_cascade_sql()} SELECT query_id, rank, doc_id, score FROM thread2")
 def rerank_threads(spark: SparkSession, d: str) -> DataFrame:
     return _found(spark, d)[0].thread.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
 
 
-@query()
+@query(f"WITH {_cascade_sql()} SELECT query_id, rank, doc_id, score FROM pair")
 def rerank_pairs(spark: SparkSession, d: str) -> DataFrame:
     return _found(spark, d)[0].pair.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
 
 
-@query()
+@query(f"""WITH {_cascade_sql()},
+ev AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY stage, rank) AS place FROM (
+  SELECT query_id, doc_id, 0 AS stage, rank FROM family WHERE rank <= 2 UNION ALL SELECT query_id, doc_id, 1, rank FROM thread2 WHERE rank <= 2
+  UNION ALL SELECT query_id, doc_id, 2, rank FROM pair WHERE rank <= 2 UNION ALL SELECT query_id, doc_id, 3, rank FROM ledger WHERE rank <= 1)),
+cites AS (SELECT query_id, string_agg(doc_id, ',' ORDER BY place) AS citations FROM ev WHERE place <= 4 GROUP BY query_id),
+h AS (SELECT query_id, score AS top, greatest(coverage, title_boost, text_boost, support) AS lexical, vector_score + CASE WHEN phrase THEN 0.8 ELSE 0.0 END AS semantic FROM hits WHERE rank = 1),
+s AS (SELECT q.query_id, top, lexical, semantic, a.score AS f, b.score AS t, c.score AS p FROM q LEFT JOIN h USING (query_id) LEFT JOIN (SELECT * FROM family WHERE rank = 1) a USING (query_id)
+  LEFT JOIN (SELECT * FROM thread2 WHERE rank = 1) b USING (query_id) LEFT JOIN (SELECT * FROM pair WHERE rank = 1) c USING (query_id)),
+g AS (SELECT *, CASE WHEN top IS NULL OR top < 1.0 THEN 1 WHEN lexical < 0.34 AND semantic <= 0.2 THEN 2 WHEN f >= 1.6 AND t >= 1.3 THEN 3 WHEN f >= 1.4 THEN 4 WHEN t >= 1.2 THEN 5 ELSE 6 END AS k FROM s)
+SELECT query_id, CASE k WHEN 3 THEN 'grounded' WHEN 4 THEN 'limited' WHEN 5 THEN 'limited' ELSE 'abstain' END AS state,
+  {_fixed("CASE k WHEN 1 THEN 0.2 WHEN 2 THEN 0.18 WHEN 3 THEN least(0.97, 0.55 + (f + t + coalesce(p, 0.0)) / 8.5) WHEN 4 THEN least(0.84, 0.45 + f / 7.0) WHEN 5 THEN least(0.78, 0.4 + t / 7.5) ELSE 0.3 END")} AS confidence,
+  CASE WHEN k IN (3, 4, 5) THEN coalesce(citations, '') ELSE '' END AS citations FROM g LEFT JOIN cites USING (query_id)""")
 def answer_citations(spark: SparkSession, d: str) -> DataFrame:
     found, queries = _found(spark, d)
     cited = cascade.citations(cascade.primary_evidence(found), cascade.answer_states(found, queries))
     return cited.withColumn("citations", F.array_join("citations", ","))
 
 
-@query()
+@query(f"""WITH {_cascade_sql(by='query_id, corpus_id')},
+e AS (SELECT query_id, corpus_id, max(CASE WHEN is_title AND rank = 1 THEN 8.0 WHEN is_title AND rank <= 3 THEN 6.0 ELSE 0.0 END) AS exact FROM family GROUP BY ALL),
+l AS (SELECT query_id, corpus_id, 2.5 AS lead FROM thread2 WHERE rank = 1 AND is_title),
+t AS (SELECT query_id, corpus_id, score AS top FROM hits WHERE rank = 1),
+c AS (SELECT * FROM (VALUES ('c0', true, 0.05), ('c1', false, 0.02), ('c2', false, 0.0), ('c3', false, 0.0)) v(corpus_id, is_default, gate)),
+r AS (SELECT query_id, corpus_id, is_default, coalesce(top, 0.0) AS top_score, {_fixed("coalesce(top, 0.0) + CASE WHEN exact > 0 THEN exact ELSE coalesce(lead, 0.0) END + CASE WHEN is_default THEN 0.05 ELSE 0.0 END + gate")} AS federated_score
+  FROM t FULL JOIN e USING (query_id, corpus_id) LEFT JOIN l USING (query_id, corpus_id) JOIN c USING (corpus_id))
+SELECT query_id, corpus_id, federated_score, top_score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY federated_score DESC, top_score DESC, is_default DESC, corpus_id DESC) AS place FROM r) WHERE place = 1""")
 def corpus_selection(spark: SparkSession, d: str) -> DataFrame:
-    docs = checkpoint(_corpus_documents(spark, d))
+    docs = written(_corpus_documents(spark, d))
     found = cascade.cascade(conversation_queries(spark, d), docs, by=["query_id", "corpus_id"])
     corpora = spark.createDataFrame([("c0", True, "pass"), ("c1", False, "warn"), ("c2", False, "fail"), ("c3", False, None)], "corpus_id string, is_default boolean, gate_state string")
     return cascade.select_corpus(found, corpora).where("place = 1").drop("place")
@@ -198,32 +303,83 @@ x AS (SELECT r.*, list_distinct({S.tokens('label')}) AS tokens, coalesce(themes,
 p AS (SELECT a.member_id AS left_id, b.member_id AS right_id, a.label AS left_label, b.label AS right_label, a.themes AS ta, b.themes AS tb,
         {S.jaccard('a.tokens', 'b.tokens')} AS title, {S.label('a.label')} = {S.label('b.label')} AS same
       FROM x a JOIN x b ON a.member_id < b.member_id AND a.corpus_id <> b.corpus_id AND list_has_any(a.tokens, b.tokens))"""
+#: Rows of suggestions whose labels agree well enough for an accepted decision.
+_ACCEPTED = "round(greatest(same::INT::DOUBLE, title), 4) >= 0.85"
+
+
+def entity_records(spark: SparkSession, d: str) -> DataFrame:
+    """Entities of the sources: titles and first keywords of their documents, by slug; the first label counts."""
+    rows = entities(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id").withColumn("slug", T.slugify("label"))
+    first = F.min_by(F.struct("label", "entity_type"), F.struct("doc_id", "position"))
+    return rows.groupBy(F.col("source").alias("corpus_id"), "slug").agg(first.alias("x")).select("corpus_id", F.concat("corpus_id", F.lit(":entity-"), "slug").alias("member_id"), "x.label", "x.entity_type")
+
+
+def family_records(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as families of their sources: label and themes as in _records, keywords as entities, marked sentences as actions."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("corpus_id"), "text")
+    words = terms.ranked_terms(docs, "doc_id", "text", 5, T.CHAT_STOP_WORDS)
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("rank", "token"))), lambda x: x["token"])
+    found = words.groupBy("doc_id").agg(listed.alias("themes")).withColumn("key_entities", F.transform(F.slice("themes", 1, 3), T.title_case))
+    label = F.array_join(F.slice(F.split(T.normalize_space("text"), " "), 1, 8), " ")
+    rows = docs.join(found, "doc_id", "left").withColumns({"label": label, "actions": T.extract_actions(T.split_sentences("text"), markers=ACTIONS)})
+    own = F.concat(F.col("corpus_id"), F.lit(":family-"), T.slugify("label", 48), F.lit("-"), F.left(F.md5(F.col("doc_id").cast("string")), F.lit(8)))
+    return rows.select("corpus_id", own.alias("member_id"), "label", F.lit("family").alias("entity_type"), "themes", "key_entities", "actions")
+
+
+_ENTITY_RECORDS = f"""
+e0 AS (SELECT source AS corpus_id, label, entity_type, doc_id, position, {S.slug('label')} AS slug FROM ({ENTITIES_SQL}) JOIN documents USING (doc_id)),
+r AS (SELECT corpus_id, corpus_id || ':entity-' || slug AS member_id, arg_min(label, (doc_id, position)) AS label, arg_min(entity_type, (doc_id, position)) AS entity_type,
+      []::VARCHAR[] AS themes, []::VARCHAR[] AS ents, []::VARCHAR[] AS acts FROM e0 GROUP BY corpus_id, slug)"""
+_FAMILY_RECORDS = f"""
+f0 AS (SELECT doc_id, source AS corpus_id, array_to_string(string_split({S.space('text')}, ' ')[1:8], ' ') AS label, {S.sentences('text')} AS s FROM documents),
+f1 AS (SELECT doc_id, list(token ORDER BY weight DESC, first) AS themes FROM {_vector_sql('documents', 'doc_id', 'text', 5, T.CHAT_STOP_WORDS, first=True)} GROUP BY doc_id),
+f2 AS (SELECT doc_id, {S.marked('s', ACTIONS, False)} AS a FROM f0),
+r AS (SELECT corpus_id, corpus_id || ':family-' || {S.slug('label', 48)} || '-' || left(md5(doc_id::VARCHAR), 8) AS member_id, label, 'family' AS entity_type, coalesce(themes, []) AS themes,
+      coalesce(themes[1:3], []) AS ents, {S.distinct_ignoring_case('a')}[1:6] AS acts FROM f0 LEFT JOIN f1 USING (doc_id) LEFT JOIN f2 USING (doc_id))"""
 
 
-def _suggested(kind: str, score: str) -> str:
-    ids = "[left_id, right_id]"
-    key = "left_id || '::' || right_id"
-    low = canon.THRESHOLDS[kind]
+def _words_of(x: str) -> str:
+    return f"list_distinct({S.tokens(f'array_to_string({x}, chr(32))')})"
+
+
+def suggestion_sql(kind: str, records: str, low: float, score: str) -> str:
+    """Pairs of different corpora that share a token, scored; score reads title, same, and the token sets of both sides."""
     return f"""
-WITH {_RECORDS}, s AS (SELECT *, {score} AS score FROM p)
-SELECT 'federated-{kind}-' || {S.slug("left_id || ' ' || right_id", 80)} || '-' || left(sha1({key}), 8) AS review_id,
+WITH {records},
+x AS (SELECT *, list_distinct({S.tokens('label')}) AS tokens, {_words_of('themes')} AS tw, {_words_of('ents')} AS ew, {_words_of('acts')} AS aw FROM r),
+w AS (SELECT member_id, corpus_id, unnest(tokens) AS t FROM x),
+c AS (SELECT DISTINCT a.member_id AS left_id, b.member_id AS right_id FROM w a JOIN w b ON a.t = b.t AND a.member_id < b.member_id AND a.corpus_id <> b.corpus_id),
+p AS (SELECT left_id, right_id, a.label AS left_label, b.label AS right_label, {S.jaccard('a.tokens', 'b.tokens')} AS title, {S.label('a.label')} = {S.label('b.label')} AS same,
+  len(a.tokens) = 1 AND len(b.tokens) = 1 AND a.tokens = b.tokens AND a.entity_type = 'concept' AND b.entity_type = 'concept' AS weak,
+  {S.jaccard('a.tw', 'b.tw')} AS theme, {S.jaccard('a.ew', 'b.ew')} AS entity, {S.jaccard('a.aw', 'b.aw')} AS action
+  FROM c JOIN x a ON a.member_id = left_id JOIN x b ON b.member_id = right_id),
+s AS (SELECT *, {score} AS score FROM p)
+SELECT 'federated-{kind}-' || {S.slug("left_id || ' ' || right_id", 80)} || '-' || left(sha1(left_id || '::' || right_id), 8) AS review_id, '{kind}' AS review_type, 'open' AS status,
   CASE WHEN score >= {max(0.8, low + 0.15)} THEN 'high' ELSE 'medium' END AS priority, left_label || ' <> ' || right_label AS title,
-  left_id, right_id, {S.slug('left_label', 72)} AS subject, score FROM s WHERE score >= {low}""".replace("IDS", ids)
+  left_id, right_id, {S.slug('left_label', 72)} AS subject, score FROM s WHERE score >= {low}{" AND NOT weak" if kind == "entity-alias" else ""}"""
+
+
+def entity_sql(low: float = 0.7) -> str:
+    return suggestion_sql("entity-alias", _ENTITY_RECORDS, low, "round(greatest(same::INT::DOUBLE, title), 4)")
+
+
+FAMILY_SQL = suggestion_sql("family-merge", _FAMILY_RECORDS, 0.65, "round(greatest(CASE WHEN same THEN 1.0 ELSE title END, 0.6 * (CASE WHEN same THEN 1.0 ELSE title END) + 0.2 * theme + 0.1 * entity + 0.1 * action), 4)")
+CONTRADICTION_SQL = suggestion_sql("contradiction", _FAMILY_RECORDS, 0.55, "CASE WHEN title >= 0.6 AND theme <= 0.15 THEN round(title - theme, 4) ELSE 0.0 END")
 
 
-@query(_suggested("entity-alias", "round(greatest(same::INT::DOUBLE, title), 4)"))
+@query(entity_sql())
 def entity_pair_suggestions(spark: SparkSession, d: str) -> DataFrame:
-    return canon.suggestions(_records(spark, d), "entity-alias")
+    return canon.suggestions(entity_records(spark, d), "entity-alias")
 
 
-@query(_suggested("family-merge", f"round(greatest(CASE WHEN same THEN 1.0 ELSE title END, 0.6 * (CASE WHEN same THEN 1.0 ELSE title END) + 0.2 * ({S.jaccard('ta', 'tb')})), 4)"))
+@query(FAMILY_SQL)
 def family_pair_suggestions(spark: SparkSession, d: str) -> DataFrame:
-    return canon.suggestions(_records(spark, d), "family-merge")
+    return canon.suggestions(family_records(spark, d), "family-merge")
 
 
-@query(_suggested("contradiction", f"CASE WHEN title >= 0.6 AND ({S.jaccard('ta', 'tb')}) <= 0.15 THEN round(title - ({S.jaccard('ta', 'tb')}), 4) ELSE 0.0 END"))
+@query(CONTRADICTION_SQL)
 def contradiction_candidates(spark: SparkSession, d: str) -> DataFrame:
-    return canon.suggestions(_records(spark, d), "contradiction")
+    return canon.suggestions(family_records(spark, d), "contradiction")
 
 
 _GROUPS = f"""
@@ -251,28 +407,28 @@ def canon_entities(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _canon_docs(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").withColumn("text", F.left(T.normalize_space("text"), F.lit(600)))
+    docs = table(spark, d, "documents").withColumn("text", T.normalize_space("text"))
     mapped = _maps(docs.select("doc_id", "text", "lang"), "doc_id", "text", 16, [], 1)
     kind = F.when(F.col("doc_id") % 3 == 0, "federated_family_brief").when(F.col("doc_id") % 3 == 1, "federated_entity_dossier").otherwise("federated_action_cluster")
     return mapped.select(F.format_string("canon:%06d", "doc_id").alias("doc_id"), kind.alias("kind"), F.left("text", F.lit(60)).alias("title"), "text", "vector_terms")
 
 
 @query(f"""
-WITH d0 AS (SELECT doc_id, left({S.space('text')}, 600) AS text FROM documents),
+WITH d0 AS (SELECT doc_id, {S.space('text')} AS text FROM documents),
   v AS {_vector_sql('d0', 'doc_id', 'text', 16, ['_'], 1)},
   q AS (SELECT item_id, text AS query, {S.ordered_distinct(f"({S.content('text', T.SEARCH_STOP_WORDS, 3)})")} AS tokens FROM benchmark),
-  vs AS (SELECT q.item_id, v.doc_id, sum(weight) AS vector_score FROM (SELECT item_id, unnest(tokens) AS token FROM q) q JOIN v USING (token) GROUP BY ALL),
+  vs AS (SELECT q.item_id, v.doc_id, sum(round(weight * 10000)::BIGINT) / 10000 AS vector_score FROM (SELECT item_id, unnest(tokens) AS token FROM q) q JOIN v USING (token) GROUP BY ALL),
   s AS (SELECT q.item_id AS query_id, d0.doc_id AS n, len(list_filter(tokens, lambda t: contains(lower(text), t))) / len(tokens) AS coverage,
      coalesce(vector_score, 0.0) AS vector_score, CASE WHEN contains(lower(text), lower(query)) THEN 0.75 ELSE 0.0 END AS phrase,
      CASE d0.doc_id % 3 WHEN 0 THEN 0.7 WHEN 1 THEN 0.15 ELSE 0.25 END AS bonus,
      CASE d0.doc_id % 3 WHEN 0 THEN 'federated_family_brief' WHEN 1 THEN 'federated_entity_dossier' ELSE 'federated_action_cluster' END AS kind
      FROM q, d0 LEFT JOIN vs ON vs.item_id = q.item_id AND vs.doc_id = d0.doc_id WHERE len(tokens) > 0),
-  c AS (SELECT *, printf('canon:%06d', n) AS doc_id, round(1.8 * coverage + 0.7 * vector_score + phrase + bonus, 4) AS score FROM s WHERE coverage >= 0.25 OR vector_score > 0),
+  c AS (SELECT *, printf('canon:%06d', n) AS doc_id, {_fixed("1.8 * coverage + 0.7 * vector_score + phrase + bonus")} AS score FROM s WHERE coverage >= 0.25 OR vector_score > 0),
   k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, kind DESC, doc_id DESC) AS rank FROM c WHERE score > 0)
 SELECT query_id, rank, doc_id, kind, score FROM k WHERE rank <= 6""")
 def canon_search(spark: SparkSession, d: str) -> DataFrame:
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), search.query_tokens(F.col("text")).alias("tokens"))
-    hits = canon.canon_search(queries, checkpoint(_canon_docs(spark, d)))
+    hits = canon.canon_search(queries, written(_canon_docs(spark, d)))
     return hits.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "kind", "score")
 
 
@@ -321,18 +477,15 @@ def snippet(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""
 WITH q AS (SELECT item_id, text, {S.content('text', T.SEARCH_STOP_WORDS, 2)} AS raw FROM benchmark),
-f AS (SELECT DISTINCT source, lower(left({_FLAT}, 12)) AS title FROM documents WHERE doc_id < 50),
+f AS (SELECT DISTINCT source, lower(left({_FLAT}, 12)) AS title FROM documents),
 m AS (SELECT *, {S.content('title', T.SEARCH_STOP_WORDS, 2)} AS tt FROM f)
 SELECT item_id AS query_id, source AS family_id, title FROM q, m
 WHERE title <> '' AND (contains(lower(text), title) OR (len(tt) > 0 AND len(list_filter(tt, lambda t: NOT list_contains(raw, t))) = 0))""")
 def family_match(spark: SparkSession, d: str) -> DataFrame:
     """Queries and the families whose title they hold, or all of whose title's words."""
-    titles = table(spark, d, "documents").where("doc_id < 50").select(F.col("source").alias("family_id"), F.lower(F.left(T.normalize_space("text"), F.lit(12))).alias("title")).distinct()
-    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), T.content_tokens("text", T.SEARCH_STOP_WORDS, 2).alias("raw"))
-    tokens = T.content_tokens("title", T.SEARCH_STOP_WORDS, 2)
-    known = (F.size(tokens) > 0) & (F.size(F.array_except(tokens, F.col("raw"))) == 0)
-    rows = search.paired(queries, titles)
-    return rows.where((F.col("title") != "") & (F.contains(F.lower("query"), F.col("title")) | known)).select("query_id", "family_id", "title")
+    titles = table(spark, d, "documents").select(F.col("source").alias("family_id"), F.lower(F.left(T.normalize_space("text"), F.lit(12))).alias("title"))
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"), T.content_tokens("text", T.SEARCH_STOP_WORDS, 2).alias("content"))
+    return search.known_titles(queries, titles, ["family_id"])
 
 
 @query(f"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,10 +13,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder that all executors share, from ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary one of this machine if the master is local (tests); on a cluster it raises, as other
+    machines would not see the files.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="loomspark-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomspark-"))
     return sc.getCheckpointDir()
 
 
@@ -23,3 +31,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """df written to the checkpoint folder and read back, which cuts its lineage."""
     checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str = "rows", by: str | None = None) -> DataFrame:
+    """df written as a Parquet table in the shared folder and read back; by: a column to partition by.
+
+    Unlike a checkpoint it keeps no partitioning: a join of it gets its own exchange, which adaptive execution can split.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}/{name}"
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

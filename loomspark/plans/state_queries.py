@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomspark.functions import text as T
-from loomspark.operators import campaign, canon, contracts, evaluate, federation, lifecycle, review
+from loomspark.operators import campaign, canon, contracts, evaluate, federation, lifecycle, review, search
 from loomspark.plans import sqltext as S
+from loomspark.plans.search_queries import CONTRADICTION_SQL, FAMILY_SQL, entity_records, entity_sql, family_records
 from loomspark.plans.search_queries import SQL as SEARCH
-from loomspark.plans.search_queries import _records
-from loomspark.plans.shared import checkpoint, table
+from loomspark.plans.shared import table, written
 from loomspark.streaming import ingest
 
 QUERIES = {}
@@ -28,59 +29,151 @@ def query(sql: str | None = None):  # noqa: ANN201
 
 
 def queue(spark: SparkSession, d: str) -> DataFrame:
-    """Review items: suggested merges of documents' labels with a lower threshold than that of production."""
-    return checkpoint(canon.suggestions(_records(spark, d), "entity-alias", threshold=0.3))
+    """A review queue: entities with a lower threshold than that of production, family merges and contradictions."""
+    families = written(family_records(spark, d), "families")
+    parts = [canon.suggestions(entity_records(spark, d), "entity-alias", threshold=0.3), canon.suggestions(families, "family-merge"), canon.suggestions(families, "contradiction")]
+    return written(parts[0].unionByName(parts[1]).unionByName(parts[2]), "queue")
 
 
-_QUEUE = SEARCH["entity_pair_suggestions"].replace("score >= 0.7", "score >= 0.3").replace("score >= 0.85", "score >= 0.8")
-_SIDES = f"""
-q AS ({_QUEUE}),
-s0 AS (SELECT *, string_split(title, ' <> ')[1] AS left_label, array_to_string(string_split(title, ' <> ')[2:], ' <> ') AS right_label FROM q),
-s AS (SELECT *, list_distinct({S.content('left_label', T.SEARCH_STOP_WORDS, 2)}) AS lt, list_distinct({S.content('right_label', T.SEARCH_STOP_WORDS, 2)}) AS rt,
-      {S.label('left_label')} AS l, {S.label('right_label')} AS r FROM s0),
-x AS (SELECT *, len(list_intersect(lt, rt)) AS overlap, least(len(lt), len(rt)) AS smaller, greatest(len(lt), len(rt)) AS larger, {S.jaccard('lt', 'rt')} AS similarity FROM s)"""
+_QUEUE = f"SELECT * FROM ({entity_sql(0.3)}) UNION ALL SELECT * FROM ({FAMILY_SQL}) UNION ALL SELECT * FROM ({CONTRADICTION_SQL})"
+
+
+def _local(c: str) -> str:
+    return f"substr({c}, instr({c}, ':') + 1)"
 
 
 def _bare(c: str) -> str:
-    local = f"split_part({c}, ':', 2)"
-    return f"CASE WHEN length({local}) >= 10 THEN regexp_replace({local}, '-[0-9a-fA-F]{{8}}$', '') ELSE {local} END"
+    return f"CASE WHEN length({_local(c)}) >= 10 THEN regexp_replace({_local(c)}, '-[0-9a-fA-F]{{8}}$', '') ELSE {_local(c)} END"
 
 
-@query(f"""
-WITH {_SIDES}
-SELECT review_id, score, CASE WHEN l = r AND l <> '' THEN 'exact-cross-corpus' WHEN {_bare('left_id')} = {_bare('right_id')} THEN 'slug-match'
-  WHEN overlap >= 2 AND (similarity >= 0.6 OR (smaller > 0 AND overlap = smaller)) THEN 'title-overlap'
-  WHEN smaller = 1 AND overlap = smaller AND larger >= 3 THEN 'singleton-subset'
-  WHEN starts_with(l, r) OR starts_with(r, l) THEN 'prefix-alias' WHEN least(length(l), length(r)) < 4 THEN 'short-label' ELSE 'manual' END AS policy FROM x""")
+def _plain(x: str) -> str:
+    return S.label(f"replace(replace({x}, '-', ' '), '_', ' ')")
+
+
+_STOP = "['a','an','and','are','as','at','be','by','for','from','how','if','in','into','is','it','of','on','or','should','that','the','this','to','what','when','where','which','why','with']"
+
+
+def _words(x: str) -> str:
+    return f"list_filter({S.tokens(x)}, lambda t: NOT list_contains({_STOP}, t))"
+
+
+def _sides(rows: str) -> str:
+    """CTE x: items with both labels, their words, and how these overlap."""
+    return f"""
+s0 AS (SELECT *, trim(string_split(title, ' <> ')[1]) AS left_label, trim(array_to_string(string_split(title, ' <> ')[2:], ' <> ')) AS right_label FROM ({rows})),
+s1 AS (SELECT *, {_words('left_label')} AS lw, {_words('right_label')} AS rw FROM s0),
+s2 AS (SELECT *, list_distinct(lw) AS la, list_distinct(rw) AS ra FROM s1),
+x AS (SELECT *, len(list_intersect(la, ra)) AS shared, {S.jaccard('la', 'ra')} AS alike, CASE WHEN len(la) = 0 OR len(ra) = 0 THEN 0.0 ELSE round(len(list_intersect(la, ra)) / least(len(la), len(ra)), 4) END AS subset FROM s2)"""
+
+
+def _titled(kind: str, least: float, policy: str) -> str:
+    return f"WHEN apart AND review_type = '{kind}' AND left_label <> '' AND right_label <> '' AND least(len(lw), len(rw)) >= 2 AND shared >= 2 AND (alike >= {least} OR subset >= 1.0 OR lower(left_label) = lower(right_label)) THEN '{policy}'"
+
+
+_NOISE = "('entity-0-1','entity-1-0','entity-0','entity-1','entity-2','entity-3','entity-none','entity-null','entity-true','entity-false')"
+_TRIAGE = f"""
+WITH q AS ({_QUEUE}), {_sides('SELECT * FROM q')},
+y AS (SELECT *, split_part(left_id, ':', 1) <> split_part(right_id, ':', 1) AS apart, {_local('left_id')} AS l, {_local('right_id')} AS r FROM x),
+z AS (SELECT *, CASE WHEN length(r) < length(l) THEN r ELSE l END AS lo, CASE WHEN length(r) < length(l) THEN l ELSE r END AS hi,
+  CASE WHEN len(rw) < len(lw) THEN ra ELSE la END AS fewer, CASE WHEN len(rw) < len(lw) THEN la ELSE ra END AS more FROM y),
+t AS (SELECT *, CASE WHEN apart AND l = r THEN 'exact-cross-corpus'
+  WHEN apart AND review_type IN ('family-merge', 'action-merge', 'unresolved-merge') AND {_bare('left_id')} = {_bare('right_id')} AND {_bare('left_id')} <> '' THEN 'slug-match'
+  {_titled('entity-alias', 0.5, 'entity-title-overlap')} {_titled('family-merge', 0.6, 'family-title-overlap')} {_titled('action-merge', 0.6, 'action-title-overlap')} {_titled('unresolved-merge', 0.6, 'unresolved-title-overlap')}
+  WHEN apart AND review_type = 'entity-alias' AND starts_with(hi, lo) AND length(lo) >= 10 THEN 'prefix-entity-alias'
+  WHEN review_type = 'entity-alias' AND (l IN {_NOISE} OR r IN {_NOISE}) THEN 'noise-entity'
+  WHEN review_type = 'entity-alias' AND least(length(replace(l, 'entity-', '')), length(replace(r, 'entity-', ''))) < 3 THEN 'short-entity'
+  WHEN review_type = 'entity-alias' AND least(len(lw), len(rw)) = 1 AND greatest(len(lw), len(rw)) >= 3 AND len(list_filter(fewer, lambda v: NOT list_contains(more, v))) = 0 THEN 'generic-singleton-entity'
+  WHEN review_type = 'contradiction' THEN 'contradiction-defer' ELSE 'manual' END AS policy FROM z),
+v AS (SELECT *, CASE WHEN policy IN ('noise-entity', 'short-entity', 'generic-singleton-entity') THEN 'rejected' WHEN policy = 'contradiction-defer' THEN 'deferred' WHEN policy = 'manual' THEN 'manual' ELSE 'accepted' END AS decision FROM t)"""
+
+
+@query(f"{_TRIAGE} SELECT review_id, score, policy, decision, CASE WHEN decision = 'accepted' THEN subject ELSE '' END AS canonical_subject FROM v")
 def triage_classify(spark: SparkSession, d: str) -> DataFrame:
-    return review.triage(queue(spark, d)).select("review_id", "score", "policy")
+    return review.triage(queue(spark, d)).select("review_id", "score", "policy", "decision", "canonical_subject")
 
 
-_ANCHORS = f"""
-{_SIDES},
-y AS (SELECT *, CASE WHEN l = '' OR r = '' THEN 'unlabeled' WHEN l = r THEN 'exact' WHEN contains(l, r) OR contains(r, l) THEN 'substring'
-       WHEN similarity >= 0.6 THEN 'high-overlap' WHEN overlap > 0 THEN 'partial-overlap' ELSE 'disjoint' END AS relation,
-       least((len({S.tokens('left_label')}), length(left_label), left_label), (len({S.tokens('right_label')}), length(right_label), right_label)) AS pick FROM x),
-a AS (SELECT pick[3] AS anchor, count(*) AS item_count, max(score) AS best_score, count(*) FILTER (relation = 'exact') AS exact, count(*) FILTER (relation = 'substring') AS substring,
-       count(*) FILTER (relation = 'high-overlap') AS high_overlap, count(*) FILTER (relation = 'partial-overlap') AS partial_overlap, count(*) FILTER (relation = 'disjoint') AS disjoint FROM y GROUP BY 1)"""
+@query(f"{_TRIAGE} SELECT policy, decision, count(*) AS items FROM v GROUP BY ALL")
+def triage_plan(spark: SparkSession, d: str) -> DataFrame:
+    return review.triage_summary(review.triage(queue(spark, d)))
 
 
-@query(f"WITH {_ANCHORS} SELECT * FROM a")
-def assist_groups(spark: SparkSession, d: str) -> DataFrame:
-    return review.anchors(queue(spark, d))
+@query(f"{_TRIAGE} SELECT review_id, CASE WHEN decision = 'manual' THEN 'open' ELSE decision END AS status, CASE WHEN decision <> 'manual' THEN policy END AS triage_policy, CASE WHEN decision <> 'manual' THEN subject END AS canonical_subject FROM v")
+def triage_apply(spark: SparkSession, d: str) -> DataFrame:
+    items = queue(spark, d)
+    return review.apply_triage(items, review.triage(items), "2024-01-01")[0].select("review_id", "status", "triage_policy", "canonical_subject")
 
 
-@query(f"""
-WITH RECURSIVE {_ANCHORS.strip()}, o AS (SELECT anchor, item_count, row_number() OVER (ORDER BY item_count DESC, anchor) AS i FROM a),
+_SIGNALS = "CASE WHEN {0} IN ('both','default','general','missing','misc','none','other','primary','remaining','supplement','unknown') OR {0} IN ('appendix','appendices','chapter','chapters','checklist','conclusion','extension','introduction','overview','section','sections','summary') OR regexp_matches(replace({0}, ' ', ''), '^[0-9]+$') OR (regexp_matches(replace({0}, ' ', ''), '^[a-z0-9]+$') AND regexp_matches(replace({0}, ' ', ''), '[0-9]') AND length(replace({0}, ' ', '')) <= 6) OR (len({1}) <= 1 AND regexp_matches(replace({0}, ' ', ''), '^[a-z]{{1,3}}$')) THEN 1 ELSE 0 END"
+_ENTRIES = f"""
+q AS ({entity_sql(0.3)}), {_sides('SELECT * FROM q')},
+n0 AS (SELECT *, {_plain('left_label')} AS l, {_plain('right_label')} AS r, {_plain('subject')} AS anchor FROM x),
+n1 AS (SELECT *, list_distinct({_words('l')}) AS nl, list_distinct({_words('r')}) AS nr FROM n0),
+n2 AS (SELECT *, len(list_intersect(nl, nr)) AS nb, {S.jaccard('nl', 'nr')} AS nj FROM n1),
+n AS (SELECT *, CASE WHEN l = '' OR r = '' THEN 'unlabeled' WHEN l = r THEN 'exact-match' WHEN contains(l, r) OR contains(r, l) THEN 'substring'
+  WHEN nb >= 2 AND (nj >= 0.5 OR nb = least(len(nl), len(nr))) THEN 'high-overlap' WHEN nb >= 1 THEN 'partial-overlap' ELSE 'disjoint' END AS relation,
+  {_SIGNALS.format('l', 'lw')} + {_SIGNALS.format('r', 'rw')} > 0 AS vague FROM n2)"""
+
+
+def _anchors(where: str = "true") -> str:
+    return f"""
+a AS (SELECT anchor, count(*) AS item_count, max(score) AS best_score, count(*) FILTER (relation = 'exact-match') AS exact_match, count(*) FILTER (relation = 'substring') AS substring,
+  count(*) FILTER (relation = 'high-overlap') AS high_overlap, count(*) FILTER (relation = 'partial-overlap') AS partial_overlap, count(*) FILTER (relation = 'disjoint') AS disjoint, count(*) FILTER (relation = 'unlabeled') AS unlabeled,
+  count(*) FILTER (relation IN ('exact-match', 'substring', 'high-overlap')) AS exactish, count(*) FILTER (shared = 0) AS zero_overlap, count(*) FILTER (score >= 0.9) AS high_score, count(*) FILTER (vague) AS low_specificity
+  FROM n WHERE {where} GROUP BY 1)"""
+
+
+_BUCKET = "CASE WHEN exactish = item_count THEN 'alias-check' WHEN disjoint = item_count AND zero_overlap = item_count AND high_score > 0 THEN 'needs-context' WHEN disjoint = item_count AND zero_overlap = item_count THEN 'likely-reject' ELSE 'mixed-review' END"
+_FLAGS = "concat_ws(',', CASE WHEN low_specificity > 0 THEN 'has-low-specificity-labels' END, CASE WHEN high_score > 0 AND disjoint > 0 THEN 'has-high-score-disjoint-pairs' END, CASE WHEN zero_overlap = item_count THEN 'all-zero-overlap' END)"
+_PACKED = """
+o AS (SELECT *, row_number() OVER (ORDER BY item_count DESC, anchor) AS i FROM a),
 w AS (SELECT anchor, item_count, i, item_count AS used, 1 AS batch FROM o WHERE i = 1
       UNION ALL SELECT o.anchor, o.item_count, o.i, CASE WHEN w.used + o.item_count > 25 THEN o.item_count ELSE w.used + o.item_count END,
-        CASE WHEN w.used + o.item_count > 25 THEN w.batch + 1 ELSE w.batch END FROM w JOIN o ON o.i = w.i + 1)
-SELECT anchor, item_count, batch::BIGINT AS batch FROM w""")
+        CASE WHEN w.used + o.item_count > 25 THEN w.batch + 1 ELSE w.batch END FROM w JOIN o ON o.i = w.i + 1)"""
+
+
+def _assist(spark: SparkSession, d: str) -> DataFrame:
+    return review.entries(canon.suggestions(entity_records(spark, d), "entity-alias", threshold=0.3))
+
+
+@query(f"WITH {_ENTRIES}, {_anchors()} SELECT *, {_BUCKET} AS bucket, {_FLAGS} AS flags FROM a")
+def assist_groups(spark: SparkSession, d: str) -> DataFrame:
+    return campaign.guidance(review.anchors(_assist(spark, d))).withColumn("flags", F.array_join("flags", ","))
+
+
+@query(f"""WITH {_ENTRIES} SELECT 'relation' AS field, relation AS value, count(*) AS items FROM n GROUP BY 2 UNION ALL SELECT 'priority', priority, count(*) FROM n GROUP BY 2
+UNION ALL SELECT 'source_pair', array_to_string(list_sort([split_part(left_id, ':', 1), split_part(right_id, ':', 1)]), ' <> '), count(*) FROM n GROUP BY 2""")
+def assist_counts(spark: SparkSession, d: str) -> DataFrame:
+    found = written(_assist(spark, d), "entries")
+    out = None
+    for field in ("relation", "priority", "source_pair"):
+        one = review.counts(found, field).select(F.lit(field).alias("field"), "value", "items")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"""WITH {_ENTRIES} SELECT anchor, place, review_id, score, relation FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, relation, title, review_id) AS place FROM n) WHERE place <= 3""")
+def assist_examples(spark: SparkSession, d: str) -> DataFrame:
+    return review.examples(_assist(spark, d)).select("anchor", F.col("place").cast("long").alias("place"), "review_id", "score", "relation")
+
+
+@query(f"WITH RECURSIVE {_ENTRIES.strip()}, {_anchors()}, {_PACKED} SELECT anchor, item_count, batch::BIGINT AS batch FROM w")
 def assist_batches(spark: SparkSession, d: str) -> DataFrame:
-    packed = review.batches(review.anchors(queue(spark, d)))
+    packed = review.batches(review.anchors(_assist(spark, d)))
     return packed.select("anchor", "item_count", F.col("batch").cast("long").alias("batch"))
 
 
+def _scenario(name: str, bucket: str, groups: int, take: int, offset: int) -> str:
+    return f"""SELECT * FROM (SELECT '{name}' AS scenario, anchor, batch::BIGINT AS batch, row_number() OVER (PARTITION BY batch ORDER BY i) AS turn
+  FROM (SELECT *, dense_rank() OVER (ORDER BY batch) AS k FROM (SELECT w.batch, w.i, a.* FROM w JOIN a USING (anchor)) WHERE {_BUCKET} = '{bucket}') WHERE k > {offset} AND k <= {offset + take} ORDER BY turn, batch LIMIT {groups})"""
+
+
+@query(f"""WITH RECURSIVE {_ENTRIES.strip()}, {_anchors("relation = 'disjoint'")}, {_PACKED}
+{_scenario('likely_front', 'likely-reject', 12, 5, 0)} UNION ALL {_scenario('likely_mid', 'likely-reject', 12, 5, 5)} UNION ALL {_scenario('likely_late', 'likely-reject', 12, 5, 10)} UNION ALL {_scenario('needs_context', 'needs-context', 8, 10, 0)}""")
+def campaign_scenarios(spark: SparkSession, d: str) -> DataFrame:
+    items = canon.suggestions(entity_records(spark, d), "entity-alias", threshold=0.3)
+    return campaign.scenarios(written(items, "items")).select("scenario", "anchor", F.col("batch").cast("long").alias("batch"), F.col("turn").cast("long").alias("turn"))
+
+
 @query("""
 SELECT source, doc_id, turn FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS turn FROM documents)
 ORDER BY turn, source LIMIT 50""")
@@ -90,16 +183,29 @@ def sample_round_robin(spark: SparkSession, d: str) -> DataFrame:
     return review.round_robin(rows, "source", ["shorter", "doc_id"], 50).select("source", "doc_id", F.col("turn").cast("long").alias("turn"))
 
 
-_PACKET = ("# Review", "- Status: open", "## Sample 1: alpha tool", "- Outcome: Reject, not the same", "- Proposed: reject", "", "## Sample 2: beta", "- Outcome: keep", "- Proposed: reject", "## Sample 3: gamma", "- Outcome:", "- Proposed: keep", "## Sample 4: delta", "- Outcome: unsure here", "- Proposed: needs-context")
-
-
-def packet_lines(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("p1", i, x) for i, x in enumerate(_PACKET)], "packet string, line_no int, line string")
+#: What reviewers write, by doc_id modulo their number; the tables hold no reviews.
+_SAID = ["Rejected: not the same", "keep", "False positive", "needs context first", "nothing to add", "", "Skip", "reject"]
+_WINDOWS = ["likely_front", "likely_mid", "likely_late", "needs_context", "byhand"]
 
 
-_LINES = "SELECT * FROM (VALUES " + ", ".join(f"('p1', {i}, '{x}')" for i, x in enumerate(_PACKET)) + ") v(packet, line_no, line)"
+def packet_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Labelled documents as samples of review packets, one packet a source, as the lines of its text."""
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    number = F.regexp_extract("source", "([0-9]+)$", 1).cast("int")
+    packet = F.concat_ws("-", "source", F.get(F.array(*(F.lit(w) for w in _WINDOWS)), number % len(_WINDOWS)))
+    said = F.get(F.array(*(F.lit(x) for x in _SAID)), (F.col("doc_id") % len(_SAID)).cast("int"))
+    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    lines = F.array(F.format_string("## Sample %d: d%d", "place", "doc_id"), F.concat(F.lit("- Bucket: "), F.when(F.col("toxic") == 1, "needs-context").otherwise("likely-reject")), F.concat(F.lit("- Proposed outcome: "), F.when(F.col("toxic") == 1, "needs-context").otherwise("reject")), F.concat(F.lit("- Manual outcome: "), "said"), F.lit(""))
+    rows = rows.select(packet.alias("packet"), "doc_id", "toxic", said.alias("said"), place.alias("place"), "source").select("packet", "place", F.posexplode(lines).alias("p", "line"))
+    return rows.select("packet", (F.col("place") * 5 + F.col("p")).alias("line_no"), "line")
+
+
+_LINES = f"""(WITH d AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place, source || '-' || {S.quoted(_WINDOWS)}[regexp_extract(source, '([0-9]+)$', 1)::INT % {len(_WINDOWS)} + 1] AS packet FROM documents JOIN labels USING (doc_id)),
+e AS (SELECT packet, place, unnest([format('## Sample {{}}: d{{}}', place, doc_id), '- Bucket: ' || CASE toxic WHEN 1 THEN 'needs-context' ELSE 'likely-reject' END, '- Proposed outcome: ' || CASE toxic WHEN 1 THEN 'needs-context' ELSE 'reject' END,
+  '- Manual outcome: ' || {S.quoted(_SAID)}[doc_id % {len(_SAID)} + 1], '']) AS line, generate_subscripts([1, 2, 3, 4, 5], 1) - 1 AS p FROM d)
+SELECT packet, place * 5 + p AS line_no, line FROM e)"""
 _PARSED = f"""
-WITH l AS ({_LINES}), s AS (SELECT *, sum(CASE WHEN starts_with(line, '## Sample ') THEN 1 ELSE 0 END) OVER (PARTITION BY packet ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS sample FROM l),
+WITH l AS {_LINES}, s AS (SELECT *, sum(CASE WHEN starts_with(line, '## Sample ') THEN 1 ELSE 0 END) OVER (PARTITION BY packet ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS sample FROM l),
 a AS (SELECT *, max(CASE WHEN starts_with(line, '## Sample ') THEN regexp_extract(line, '^## Sample \\d+: (.*)$', 1) END) OVER (PARTITION BY packet, sample) AS anchor FROM s)
 SELECT packet, sample::BIGINT AS sample, coalesce(anchor, '') AS anchor, regexp_extract(line, '^- ([^:]+):\\s*(.*)$', 1) AS key,
   regexp_extract(line, '^- ([^:]+):\\s*(.*)$', 2) AS value FROM a WHERE regexp_matches(line, '^- [^:]+:')"""
@@ -107,36 +213,64 @@ SELECT packet, sample::BIGINT AS sample, coalesce(anchor, '') AS anchor, regexp_
 
 @query(_PARSED)
 def packet_parse(spark: SparkSession, d: str) -> DataFrame:
-    return review.parse_packets(packet_lines(spark)).withColumn("sample", F.col("sample").cast("long"))
+    return review.parse_packets(packet_lines(spark, d)).withColumn("sample", F.col("sample").cast("long"))
 
 
-def _samples(spark: SparkSession) -> DataFrame:
-    fields = review.parse_packets(packet_lines(spark)).where("sample > 0")
-    rows = fields.groupBy("packet", "sample").agg(F.max(F.when(F.col("key") == "Outcome", F.col("value"))).alias("said"), F.max(F.when(F.col("key") == "Proposed", F.col("value"))).alias("proposed"))
-    return rows.withColumn("manual", review.outcome(F.col("said")))
+def _samples(spark: SparkSession, d: str) -> DataFrame:
+    return review.samples(review.parse_packets(packet_lines(spark, d)))
 
 
-_COMPARED = f"""
-WITH f AS ({_PARSED}), s AS (SELECT packet, sample, max(CASE WHEN key = 'Outcome' THEN lower(trim(value)) END) AS said, max(CASE WHEN key = 'Proposed' THEN value END) AS proposed FROM f WHERE sample > 0 GROUP BY ALL),
-m AS (SELECT *, CASE {' '.join(f"WHEN starts_with(said, '{k}') THEN '{v}'" for k, v in review.OUTCOMES.items())} ELSE 'pending' END AS manual FROM s),
-c AS (SELECT count(*) AS total, count(*) FILTER (manual <> 'pending') AS adjudicated, count(*) FILTER (manual <> 'pending' AND manual = proposed) AS agreed,
-  count(*) FILTER (manual <> 'pending' AND proposed = 'reject') AS reject_proposed, count(*) FILTER (manual = 'reject' AND proposed = 'reject') AS reject_confirmed FROM m),
-g AS (SELECT *, round(reject_confirmed / reject_proposed, 4) AS reject_precision, round(agreed / adjudicated, 4) AS agreement FROM c)
-SELECT *, CASE WHEN adjudicated < 20 THEN 'insufficient' WHEN reject_precision >= 0.95 THEN 'pass' ELSE 'fail' END AS gate FROM g"""
+_JUDGED = f"""
+f AS ({_PARSED}), s AS (SELECT packet, sample, max(CASE WHEN key = 'Manual outcome' THEN lower({S.space('value')}) END) AS said, max(CASE WHEN key = 'Proposed outcome' THEN value END) AS proposed FROM f WHERE sample > 0 GROUP BY ALL),
+m AS (SELECT *, CASE WHEN regexp_matches(said, '^(rejected|reject)( |:|$)') THEN 'reject' WHEN regexp_matches(said, '^(accepted|accept|keep|false-positive|false positive)( |:|$)') THEN 'keep'
+  WHEN regexp_matches(said, '^(needs-context|needs context|defer|deferred)( |:|$)') THEN 'needs-context' WHEN regexp_matches(said, '^(pending|skip)( |:|$)') THEN 'pending' ELSE said END AS manual FROM s)"""
 
 
-@query(_COMPARED)
+@query(f"""WITH {_JUDGED},
+c AS (SELECT count(*) AS total, count(*) FILTER (manual IN ('reject', 'keep', 'needs-context')) AS adjudicated, count(*) FILTER (manual IN ('reject', 'keep', 'needs-context') AND manual = proposed) AS agreed,
+  count(*) FILTER (manual IN ('reject', 'keep', 'needs-context') AND proposed = 'reject') AS reject_proposed, count(*) FILTER (manual = 'reject' AND proposed = 'reject') AS reject_confirmed FROM m),
+g AS (SELECT *, round(reject_confirmed / reject_proposed, 4) AS reject_precision, round(agreed / adjudicated, 4) AS agreement FROM c)
+SELECT *, CASE WHEN adjudicated < 20 THEN 'insufficient' WHEN reject_precision >= 0.95 THEN 'pass' ELSE 'fail' END AS gate FROM g""")
 def reject_stage_gate(spark: SparkSession, d: str) -> DataFrame:
-    return review.reject_gate(review.agreement(_samples(spark)))
+    return review.reject_gate(review.agreement(_samples(spark, d)))
 
 
-@query("""
-SELECT source AS packet, count(*) AS pending, count(*) * 10 + CASE WHEN sum(n_chars) % 2 = 0 THEN 0 ELSE 30 END + CASE WHEN sum(n_chars) % 3 = 0 THEN 0 ELSE 15 END
-  - CASE WHEN count(DISTINCT lang) < 2 THEN 50 ELSE 0 END AS priority FROM documents GROUP BY source""")
+@query(f"WITH {_JUDGED} SELECT packet, sample, said, manual FROM m")
+def packet_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return _samples(spark, d).select("packet", F.col("sample").cast("long").alias("sample"), F.lower(T.normalize_space("said")).alias("said"), "manual")
+
+
+_INDEX = f"""{_JUDGED},
+c AS (SELECT packet, count(*) AS total, count(*) FILTER (manual IN ('reject', 'keep', 'needs-context')) AS adjudicated, count(DISTINCT manual) FILTER (manual NOT IN ('', 'reject', 'keep', 'needs-context', 'pending')) = 0 AS valid FROM m GROUP BY packet),
+h AS (SELECT packet, max(proposed = 'needs-context') AS proposed, max(manual = 'keep' AND proposed = 'needs-context') AS compared, max(proposed = 'needs-context' AND manual = 'reject') AS campaign FROM m GROUP BY packet),
+i AS (SELECT c.*, h.proposed, h.compared, campaign, total - adjudicated AS pending, CASE WHEN total <= 0 THEN 'empty' WHEN adjudicated <= 0 THEN 'pending' WHEN adjudicated >= total THEN 'complete' ELSE 'partial' END AS status,
+  regexp_extract(packet, '-(likely_front|likely_mid|likely_late|needs_context)$', 1) AS scenario FROM c JOIN h USING (packet))"""
+
+
+def _index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The packets' index: those with a proposed context have a proposal, some of them a comparison and a campaign."""
+    samples = written(_samples(spark, d), "samples")
+    judged = F.col("manual").isin(review.ADJUDICATED)
+    packets = samples.groupBy("packet").agg(F.count(F.lit(1)).alias("total"), F.count_if(judged).alias("adjudicated"), (F.count_if(~F.col("manual").isin(campaign.MANUAL)) == 0).alias("valid"))
+    context = samples.where("proposed = 'needs-context'")
+    campaigns = context.where("manual = 'reject'").select("packet").distinct().withColumn("campaign_id", F.lit("c1"))
+    return campaign.index(packets, context, context.where("manual = 'keep'"), campaigns), samples
+
+
+@query(f"WITH {_INDEX} SELECT packet, total, adjudicated, valid, proposed, compared, status, pending, scenario, CASE WHEN campaign THEN 'c1' ELSE '' END AS campaign_ids FROM i")
+def campaign_index(spark: SparkSession, d: str) -> DataFrame:
+    return _index(spark, d)[0].withColumn("campaign_ids", F.array_join("campaign_ids", ","))
+
+
+@query(f"""WITH {_INDEX}, t AS (SELECT greatest(0, 250 - sum(adjudicated)) AS lacks FROM c)
+SELECT packet, pending, pending * 10 + CASE WHEN proposed THEN 30 ELSE 0 END + CASE WHEN compared THEN 15 ELSE 0 END + CASE WHEN campaign THEN 10 ELSE 0 END + CASE WHEN scenario <> '' THEN 10 ELSE 0 END - CASE WHEN valid THEN 0 ELSE 50 END AS priority,
+  CASE WHEN lacks > 0 AND pending >= lacks THEN 'unlock-threshold-now' WHEN proposed OR compared THEN 'precision-ready' WHEN campaign THEN 'campaign-backlog' ELSE 'legacy-backfill' END AS bucket,
+  greatest(0, lacks - pending)::BIGINT AS remaining FROM i, t WHERE status <> 'complete'""")
 def scoreboard(spark: SparkSession, d: str) -> DataFrame:
-    chars = F.sum("n_chars")
-    rows = table(spark, d, "documents").groupBy(F.col("source").alias("packet")).agg(F.count(F.lit(1)).alias("pending"), (chars % 2 == 0).alias("proposed"), (chars % 3 == 0).alias("compared"), (F.count_distinct("lang") < 2).alias("invalid"))
-    return review.scoreboard(rows).select("packet", "pending", "priority")
+    """The packets by priority; least is as much as the tables' reviews nearly reach."""
+    packets, _ = _index(spark, d)
+    packets = packets.withColumns({"campaign": F.size("campaign_ids") > 0, "scenario": F.col("scenario") != ""})
+    return review.scoreboard(packets, packets.agg(F.sum("adjudicated").alias("adjudicated")), 250).select("packet", "pending", "priority", "bucket", "remaining")
 
 
 @query("""
@@ -155,33 +289,85 @@ SELECT count(*) AS queries, round(avg(coalesce(rank <= 1, false)::INT), 4) AS hi
 def hit_at_k_benchmark(spark: SparkSession, d: str) -> DataFrame:
     from loomspark.plans.search_queries import canon_search
 
-    holds = table(spark, d, "documents").join(F.broadcast(table(spark, d, "benchmark").select("item_id", F.col("text").alias("t"))), F.contains("text", "t"))
-    expected = holds.groupBy(F.col("item_id").alias("query_id")).agg(F.format_string("canon:%06d", F.min("doc_id")).alias("doc_id"))
+    patterns = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    expected = search.holding(patterns, table(spark, d, "documents")).groupBy("query_id").agg(F.format_string("canon:%06d", F.min("doc_id")).alias("doc_id"))
     return evaluate.hit_rates(canon_search(spark, d), expected)
 
 
+_SCORES = {
+    "family_stability.exact_member_match_rate": "avg((n_chars >= 100)::INT)", "retrieval_metrics.family_hit_at_1": "avg((n_chars >= 400)::INT)", "retrieval_metrics.thread_hit_at_1": "avg((n_chars >= 1500)::INT)",
+    "retrieval_metrics.pair_hit_at_3": "avg((n_chars >= 2500)::INT)", "answer_metrics.state_match_rate": "avg(quality)", "answer_metrics.required_citation_coverage_avg": "avg((lang = 'en')::INT)",
+    "answer_metrics.forbidden_citation_violation_rate": "avg(toxic)", "answer_metrics.abstention_match_rate": "avg(CASE WHEN toxic = 1 THEN quality END)",
+}
+
+
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
-    sums = table(spark, d, "labels").agg(F.avg("quality").alias("min_answer_rate"), F.count(F.lit(1)).cast("double").alias("min_document_count"), F.sum("toxic").cast("double").alias("max_open_reviews"))
-    names = sums.columns
-    return sums.select(F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.round(n, 4).alias("value")) for n in names))).alias("m")).select("m.*")
+    """Scorecards of the sources as corpora: shares of their labelled documents stand for the metrics."""
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    sums = rows.groupBy(F.col("source").alias("corpus_id")).agg(*(F.round(F.expr(e.replace("::INT", "").replace("avg((", "avg(if((").replace("))", "), 1, 0))") if "::INT" in e else e), 4).alias(f"m{i}") for i, e in enumerate(_SCORES.values())))
+    return sums.select("corpus_id", F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(f"m{i}").alias("value")) for i, n in enumerate(_SCORES)))).alias("m")).select("corpus_id", "m.*")
 
 
-_METRICS = "m AS (SELECT 'min_answer_rate' AS metric, round(avg(quality), 4) AS value FROM labels UNION ALL SELECT 'min_document_count', count(*) FROM labels UNION ALL SELECT 'max_open_reviews', sum(toxic) FROM labels)"
-_THRESHOLDS = "t AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v}::DOUBLE, {str(low).lower()})" for k, (v, low) in evaluate.POLICY.items()) + ") v(metric, threshold, low))"
+_METRICS = "m AS (" + " UNION ALL ".join(f"SELECT source AS corpus_id, '{n}' AS metric, round({e}, 4) AS value FROM documents JOIN labels USING (doc_id) GROUP BY source" for n, e in _SCORES.items()) + ")"
+_BOUNDS = """b AS (SELECT * FROM (VALUES ('family_stability.exact_member_match_rate', 'min', 1.0, 0.9), ('retrieval_metrics.family_hit_at_1', 'min', 0.9, 0.75), ('retrieval_metrics.thread_hit_at_1', 'min', 0.5, 0.3),
+  ('retrieval_metrics.pair_hit_at_3', 'min', 0.5, 0.25), ('answer_metrics.state_match_rate', 'min', 0.9, 0.75), ('answer_metrics.required_citation_coverage_avg', 'min', 0.9, 0.75),
+  ('answer_metrics.forbidden_citation_violation_rate', 'max', 0.0, 0.1), ('answer_metrics.abstention_match_rate', 'min', 0.9, 0.75)) v(metric, direction, pass, warn))"""
 _GATES = f"""
-{_METRICS}, {_THRESHOLDS}, o AS (SELECT t.metric, value, threshold, CASE WHEN low THEN value - threshold ELSE threshold - value END AS over FROM t LEFT JOIN m USING (metric)),
-g AS (SELECT metric, value, threshold, CASE WHEN value IS NULL THEN 'skip' WHEN over <= 0 THEN 'pass' WHEN over <= 0.05 THEN 'warn' ELSE 'fail' END AS state FROM o)"""
+{_METRICS}, {_BOUNDS}, g AS (SELECT corpus_id, metric, value, direction, pass::DOUBLE AS pass, warn::DOUBLE AS warn, CASE WHEN value IS NULL THEN 'skip'
+  WHEN (direction = 'min' AND value >= pass) OR (direction = 'max' AND value <= pass) THEN 'pass' WHEN (direction = 'min' AND value >= warn) OR (direction = 'max' AND value <= warn) THEN 'warn' ELSE 'fail' END AS state FROM m JOIN b USING (metric)),
+fixtures AS (SELECT source AS corpus_id, count(DISTINCT lang) = 4 AS manual FROM documents GROUP BY source),
+o AS (SELECT corpus_id, CASE WHEN max(manual) THEN 'pass' ELSE 'warn' END AS reliability, CASE WHEN bool_or(state = 'fail') THEN 'fail' WHEN bool_or(state = 'warn') OR NOT max(manual) THEN 'warn' ELSE 'pass' END AS overall,
+  count(*) FILTER (state = 'pass') AS n_pass, count(*) FILTER (state = 'warn') AS n_warn, count(*) FILTER (state = 'fail') AS n_fail, count(*) FILTER (state = 'skip') AS n_skip FROM g JOIN fixtures USING (corpus_id) GROUP BY corpus_id)"""
 
 
 @query(f"WITH {_GATES} SELECT * FROM g")
 def regression_gates(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.gates(_metrics(spark, d), evaluate.thresholds(spark))
+    return evaluate.gates(_metrics(spark, d), ["corpus_id"])
+
+
+def _overall(spark: SparkSession, d: str) -> DataFrame:
+    """States of the sources; a source with documents in four languages stands for one whose fixtures people wrote."""
+    kinds = F.explode(F.array(*(F.lit(k) for k in evaluate.FIXTURES))).alias("kind")
+    sources = table(spark, d, "documents").groupBy(F.col("source").alias("corpus_id")).agg((F.count_distinct("lang") == 4).alias("m")).select("corpus_id", kinds, F.when(F.col("m"), "manual").otherwise("seeded").alias("source"))
+    return evaluate.overall(evaluate.gates(_metrics(spark, d), ["corpus_id"]), ["corpus_id"], sources)
+
+
+@query(f"WITH {_GATES} SELECT * FROM o")
+def evaluation_overall(spark: SparkSession, d: str) -> DataFrame:
+    return _overall(spark, d)
+
 
+def _corpora(spark: SparkSession, d: str) -> DataFrame:
+    """Sources as active corpora: their gates' state, freshness by their number of documents, a contract if all are labelled enough."""
+    docs = table(spark, d, "documents").groupBy(F.col("source").alias("corpus_id")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
+    state = F.when(F.col("n") % 4 == 0, "stale").when(F.col("n") % 4 == 1, "not_applicable").when(F.col("n") % 4 == 2, "fresh").otherwise(F.lit(None))
+    return docs.join(_overall(spark, d).select("corpus_id", F.col("overall").alias("evaluation_state")), "corpus_id", "left").select("corpus_id", "evaluation_state", state.alias("freshness"), (F.col("chars") % 3 > 0).alias("valid_contract"))
 
-@query(f"""WITH {_GATES} SELECT CASE WHEN count(*) FILTER (state = 'fail') > 0 THEN 'blocked' WHEN count(*) FILTER (state = 'warn') > 0 THEN 'observe' ELSE 'ready' END AS calibration,
-  count(*) FILTER (state = 'pass') AS n_pass, count(*) FILTER (state = 'fail') AS n_fail, count(*) FILTER (state = 'skip') AS n_skip FROM g""")
+
+_CASES = f"""{_GATES}, d0 AS (SELECT source AS corpus_id, count(*) AS n, sum(n_chars) AS chars FROM documents GROUP BY source),
+cases AS (SELECT corpus_id, coalesce(overall = 'fail', false) AS gate_fail, coalesce(overall = 'warn', false) AS gate_warn, n % 4 IN (0, 3) AS stale_source, chars % 3 = 0 AS missing_contract, coalesce(overall = 'pass', false) AS manual_pass FROM d0 LEFT JOIN o USING (corpus_id)),
+sums AS (SELECT count(*) AS active, count(*) FILTER (gate_fail) AS fails, count(*) FILTER (gate_warn) AS warns, count(*) FILTER (stale_source) AS stales, count(*) FILTER (missing_contract) AS missing,
+  round(count(*) FILTER (manual_pass) / count(*), 4) AS rate FROM cases),
+pg AS (SELECT 'max_fail_corpora' AS threshold, 'fail_corpus_count' AS metric, 'max' AS direction, 0.0::DOUBLE AS bound, fails::DOUBLE AS value FROM sums UNION ALL SELECT 'max_warn_corpora', 'warn_corpus_count', 'max', 0.0, warns FROM sums
+  UNION ALL SELECT 'max_stale_corpora', 'stale_corpus_count', 'max', 0.0, stales FROM sums UNION ALL SELECT 'max_missing_contract_corpora', 'missing_contract_corpus_count', 'max', 0.0, missing FROM sums
+  UNION ALL SELECT 'min_manual_pass_rate', 'manual_pass_rate', 'min', 1.0, rate FROM sums UNION ALL SELECT 'min_registered_active_corpora', 'active_corpus_count', 'min', 1.0, active FROM sums),
+ps AS (SELECT *, CASE WHEN value IS NULL THEN 'skip' WHEN (direction = 'max' AND value <= bound) OR (direction = 'min' AND value >= bound) THEN 'pass' ELSE 'fail' END AS state FROM pg)"""
+
+
+@query(f"WITH {_CASES} SELECT *, gate_fail OR gate_warn OR stale_source OR missing_contract AS review_required FROM cases")
+def replay_cases(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.replay_cases(_corpora(spark, d)).drop("evaluation_state", "freshness", "valid_contract")
+
+
+@query(f"WITH {_CASES} SELECT * FROM ps")
 def policy_replay(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.calibration(evaluate.gates(_metrics(spark, d), evaluate.thresholds(spark)))
+    return evaluate.policy_gates(evaluate.replay_summary(evaluate.replay_cases(_corpora(spark, d))), evaluate.normalized_policy(spark))
+
+
+@query(f"WITH {_CASES} SELECT CASE WHEN bool_or(state = 'fail') THEN 'blocked' ELSE 'ready' END AS calibration, CASE WHEN bool_or(state = 'fail') THEN 'fail' ELSE 'pass' END AS reason FROM ps")
+def policy_calibration(spark: SparkSession, d: str) -> DataFrame:
+    summary = evaluate.replay_summary(evaluate.replay_cases(_corpora(spark, d)))
+    return evaluate.calibration(evaluate.policy_gates(summary, evaluate.normalized_policy(spark)))
 
 
 @query("""
@@ -214,12 +400,21 @@ def query_replay_diff(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT s_suppkey AS target, CASE WHEN s_suppkey % 13 = 0 THEN 'missing' WHEN s_suppkey % 11 = 0 THEN 'incomplete' WHEN s_suppkey % 7 = 0 THEN 'unregistered'
- WHEN s_suppkey % 5 = 0 THEN 'unevaluated' WHEN s_acctbal < 0 THEN 'failing' WHEN s_nationkey = 3 THEN 'stale' ELSE 'ready' END AS state FROM supplier""")
+WITH t AS (SELECT s_suppkey AS target, s_suppkey % 13 <> 0 AS present, s_suppkey % 11 <> 0 AS contract, s_suppkey % 7 <> 0 AS guide, CASE WHEN s_suppkey % 5 = 0 THEN NULL WHEN s_acctbal < 0 THEN 'warn' ELSE 'pass' END AS state,
+  s_nationkey <> 3 AND s_suppkey % 3 <> 0 AS active, s_suppkey % 2 = 0 AS ready FROM supplier)
+SELECT target, CASE WHEN NOT present THEN 'missing' WHEN NOT contract THEN 'missing-contract' WHEN NOT guide THEN 'imported-needs-bootstrap' WHEN state IS NULL THEN 'manual-eval-unrun' WHEN state <> 'pass' THEN 'manual-eval-pending'
+  WHEN active THEN 'healthy-federation' ELSE 'calibration-pass' END AS readiness,
+ CASE WHEN NOT present THEN CASE WHEN ready THEN 'import' ELSE 'place-export' END WHEN NOT contract THEN 'create-contract' WHEN NOT guide THEN 'bootstrap-eval' WHEN state IS NULL OR state <> 'pass' THEN 'run-evaluation'
+  WHEN active THEN CASE WHEN ready THEN 'refresh' ELSE 'ready' END ELSE 'register' END AS next_step FROM t""")
 def readiness_ladder(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as targets of providers: rules on the key stand for what is on disk and in the registry."""
     key = F.col("s_suppkey")
-    rows = table(spark, d, "supplier").select(key.alias("target"), (key % 13 != 0).alias("has_root"), (key % 11 != 0).alias("has_contract"), (key % 7 != 0).alias("registered"), (key % 5 != 0).alias("evaluated"), (F.col("s_acctbal") < 0).alias("gate_failed"), (F.col("s_nationkey") == 3).alias("stale"))
-    return evaluate.readiness(rows).select("target", "state")
+    rows = table(spark, d, "supplier").select(
+        key.alias("target"), (key % 13 != 0).alias("present"), (key % 11 != 0).alias("has_contract"), (key % 7 != 0).alias("has_guide"),
+        F.when(key % 5 == 0, F.lit(None)).when(F.col("s_acctbal") < 0, "warn").otherwise("pass").alias("evaluation_state"), (F.col("s_nationkey") != 3).alias("registered"),
+        F.when(key % 3 != 0, "active").otherwise("retired").alias("registry_status"), F.when(key % 2 == 0, "ready").otherwise("empty").alias("upload_state"),
+    )
+    return evaluate.readiness(rows).select("target", "readiness", "next_step")
 
 
 @query("""
@@ -300,13 +495,11 @@ def registry_default(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.one_default(rows).select("corpus_id", "is_default")
 
 
-@query(f"""
-WITH f AS ({_PARSED}), s AS (SELECT packet, sample, max(CASE WHEN key = 'Outcome' THEN lower(trim(value)) END) AS said FROM f WHERE sample > 0 GROUP BY ALL),
-m AS (SELECT packet, CASE {' '.join(f"WHEN starts_with(said, '{k}') THEN '{v}'" for k, v in review.OUTCOMES.items())} ELSE 'pending' END AS manual FROM s),
-c AS (SELECT packet, count(*) AS total, count(*) FILTER (manual <> 'pending') AS adjudicated FROM m GROUP BY packet)
+@query(f"""WITH {_JUDGED},
+c AS (SELECT packet, count(*) AS total, count(*) FILTER (manual IN ('reject', 'keep', 'needs-context')) AS adjudicated FROM m GROUP BY packet)
 SELECT *, CASE WHEN total = 0 THEN 'empty' WHEN adjudicated = 0 THEN 'pending' WHEN adjudicated = total THEN 'complete' ELSE 'partial' END AS status FROM c""")
 def packet_summary(spark: SparkSession, d: str) -> DataFrame:
-    return campaign.packet_status(_samples(spark))
+    return campaign.packet_status(_samples(spark, d))
 
 
 def _reviewed(spark: SparkSession, d: str) -> DataFrame:

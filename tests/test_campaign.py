@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from loomspark.operators import campaign, cascade, gold
+from loomspark.operators import campaign, cascade, gold, review
 from loomspark.sources import corpora
 
 
@@ -42,7 +42,11 @@ def test_campaign(spark):
     assert {r.anchor: r.bucket for r in guided.collect()} == {"a": "alias-check", "b": "needs-context", "c": "likely-reject", "d": "mixed-review"}
     proposed = {r.anchor: (r.assistant_outcome, r.assistant_confidence) for r in campaign.propose(guided).collect()}
     assert proposed == {"a": ("keep", "medium"), "b": ("needs-context", "medium"), "c": ("reject", "high"), "d": ("needs-context", "low")}
-    assert campaign.scenarios(guided).count() == 7
+    items = [(f"r{i}", "entity-alias", "open", f"left{i} <> right{i}", f"a:entity-left{i}", f"b:entity-right{i}", f"left{i}", 0.8 if i % 2 else 0.95, "high") for i in range(130)]
+    queue = spark.createDataFrame(items, "review_id string, review_type string, status string, title string, left_id string, right_id string, subject string, score double, priority string")
+    got = campaign.scenarios(queue, size=5).groupBy("scenario").agg(F.count("*").alias("n"), F.min("batch").alias("lo"), F.max("batch").alias("hi")).collect()
+    assert {r.scenario: (r.n, r.lo, r.hi) for r in got} == {"likely_front": (12, 1, 5), "likely_mid": (12, 6, 10), "likely_late": (12, 11, 15), "needs_context": (8, 1, 8)}
+    assert [texts.packet for texts in spark.createDataFrame([("x/review-assist-sample-p1-likely_mid.md",), ("review-assist-sample-latest.md",), ("review-assist-sample-summary-1.md",)], "path string").select(campaign.packet_of(F.col("path")).alias("packet")).collect()] == ["p1-likely_mid", None, None]
     with pytest.raises(ValueError, match="unknown"):
         campaign.scenarios(guided, ["none"])
     schema = "packet string, sample int, anchor string, bucket string, review_ids array<string>, proposed string, manual string"
@@ -55,8 +59,15 @@ def test_campaign(spark):
     staged = campaign.reject_stage(samples, spark.createDataFrame([("pass",)], "gate string"))
     assert {r.review_id: r.ready for r in staged.collect()} == {"r1": True, "r2": True}
     assert not any(r.enabled for r in campaign.apply_plan(staged).collect())
-    packets = spark.createDataFrame([("p", "complete", ["all"]), ("q", "pending", ["alias-check"])], "packet string, status string, scenarios array<string>")
-    assert [r.packet for r in campaign.selected(packets, ["complete", "pending"], ["alias-check"]).collect()] == ["q"]
+    packets = spark.createDataFrame([("p", "complete", "likely_mid", ["c1"]), ("q", "pending", "needs_context", ["c2"])], "packet string, status string, scenario string, campaign_ids array<string>")
+    assert [r.packet for r in campaign.selected(packets, ["complete", "pending"], ["needs_context"]).collect()] == ["q"]
+    assert [r.packet for r in campaign.selected(packets, campaigns=["c1"]).collect()] == ["p"]
+    counts = spark.createDataFrame([("p-likely_mid", 3, 0, True), ("q", 2, 2, True), ("r", 4, 1, False)], "packet string, total int, adjudicated int, valid boolean")
+    one = spark.createDataFrame([("p-likely_mid",)], "packet string")
+    listed = campaign.index(counts, one, one.where("false"), spark.createDataFrame([("c2", "p-likely_mid"), ("c1", "p-likely_mid")], "campaign_id string, packet string"))
+    assert {(r.packet, r.status, r.scenario, tuple(r.campaign_ids)) for r in listed.collect()} == {("p-likely_mid", "pending", "likely_mid", ("c1", "c2")), ("q", "complete", "", ()), ("r", "partial", "", ())}
+    scored = review.scoreboard(listed.withColumns({"campaign": F.size("campaign_ids") > 0, "scenario": F.col("scenario") != ""}), listed.agg(F.sum("adjudicated").alias("adjudicated")))
+    assert {(r.packet, r.priority, r.bucket, r.remaining) for r in scored.collect()} == {("p-likely_mid", 80, "precision-ready", 14), ("r", -20, "legacy-backfill", 14)}
 
 
 def test_corpora(spark, tmp_path):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loomspark.functions import text as T
 from loomspark.operators import canon, cascade, contracts, corpus, evaluate, federation, lifecycle, neardup, review, search, terms
+from loomspark.operators.components import connected_components
 from loomspark.sources import exports, markdown, sinks
 from loomspark.streaming import ingest
 
@@ -123,7 +124,8 @@ def test_select_corpus(spark):
 
 def test_expand_and_support(spark):
     assert one(spark, search.expand_tokens(search.query_tokens(F.col("x"))), "The duplicate alias") == ["duplicate", "alias", "same", "merge"]
-    assert one(spark, search.lexical_support(F.array(F.lit("al"), F.lit("zz")), F.lit("alpha"), F.lit("x"))) == 0.5
+    found = search.substring_pairs(spark.createDataFrame([("al",), ("lph",), ("x",), ("",), ("alphabet",)], "p string"), spark.createDataFrame([("alpha",), ("max",), ("alphabets",)], "x string"))
+    assert sorted(map(tuple, found.collect())) == [("al", "alpha"), ("al", "alphabets"), ("alphabet", "alphabets"), ("lph", "alpha"), ("lph", "alphabets"), ("x", "max")]
 
 
 def records(spark):
@@ -132,6 +134,8 @@ def records(spark):
 
 
 def test_suggestions_and_groups(spark):
+    pairs = [("a", "b"), ("b", "a"), ("c", "c")]
+    assert sorted((r.node, r.root) for r in connected_components(spark.createDataFrame([*pairs, ("b", "d"), (None, "x")], "a string, b string")).collect()) == [("a", "a"), ("b", "a"), ("d", "a")]
     got = {(r.left_id, r.right_id): (r.score, r.priority) for r in canon.suggestions(records(spark), "entity-alias").collect()}
     assert got == {("a:1", "b:1"): (1.0, "high"), ("a:1", "c:2"): (0.75, "medium"), ("b:1", "c:2"): (0.75, "medium")}
     decided = spark.createDataFrame([("a:1", "b:1")], "left_id string, right_id string")
@@ -157,12 +161,37 @@ def test_review_state(spark):
 
 
 def test_triage_and_packets(spark):
-    rows = [("Alpha tool <> alpha Tool", "a:x", "b:y"), ("one <> two", "a:same", "b:same"), ("big red house <> red big home", "a:1", "b:2"), ("house <> my old house", "a:1", "b:2"), ("abcd <> wxyz", "a:1", "b:2")]
-    items = spark.createDataFrame([(*r, 0.5) for r in rows], "title string, left_id string, right_id string, score double")
-    assert [r.policy for r in review.triage(items).collect()] == ["exact-cross-corpus", "slug-match", "manual", "singleton-subset", "manual"]
-    assert texts(spark, review.outcome(F.col("x")), ["Reject it", "yes", "unsure", "", None]) == ["reject", "keep", "needs-context", "pending", "pending"]
+    rows = [
+        ("entity-alias", "x <> y", "a:same", "b:same", "exact-cross-corpus"), ("family-merge", "x <> y", "a:family-one-0123abcd", "b:family-one-89abcdef", "slug-match"),
+        ("entity-alias", "big red house <> red big home", "a:entity-1", "b:entity-2x", "entity-title-overlap"), ("family-merge", "big red house <> red big home", "a:f1", "b:f2", "manual"),
+        ("family-merge", "big red house <> red big", "a:f1", "b:f2", "family-title-overlap"), ("action-merge", "write new docs <> new docs write", "a:1", "b:2", "action-title-overlap"),
+        ("unresolved-merge", "what new docs <> new docs", "a:1", "b:2", "unresolved-title-overlap"), ("entity-alias", "abc <> def", "a:entity-alpha", "b:entity-alpha-tool", "prefix-entity-alias"),
+        ("entity-alias", "abc <> def", "a:entity-null", "b:entity-x1y2", "noise-entity"), ("entity-alias", "abc <> def", "a:entity-ab", "b:entity-x1y2", "short-entity"),
+        ("entity-alias", "house <> old red house", "a:entity-one", "b:entity-two", "generic-singleton-entity"), ("contradiction", "x <> y", "a:1", "b:2", "contradiction-defer"),
+        ("entity-alias", "abcd <> wxyz", "a:entity-abcd", "b:entity-wxyz", "manual"), ("entity-alias", "big red house <> red big home", "a:entity-111", "a:entity-222", "manual"),
+    ]
+    items = spark.createDataFrame([(f"r{i:02}", *r[:4], "open", 0.5, "sub") for i, r in enumerate(rows)], "review_id string, review_type string, title string, left_id string, right_id string, status string, score double, subject string")
+    plan = review.triage(items)
+    assert [r.policy for r in plan.orderBy("review_id").collect()] == [r[4] for r in rows]
+    done, decisions, skipped = review.apply_triage(items.unionByName(items.where("review_id = 'r00'")), plan.unionByName(plan.where("review_id = 'r00'").withColumn("review_id", F.lit("gone"))), "now")
+    assert done.where("status = 'open'").count() == 3 and done.where("status = 'accepted'").count() == 8
+    assert decisions.count() == 10 and [r.review_id for r in skipped.collect()] == ["gone"]
+    said = ["Rejected - no", "reject: why", "False positive", "needs context", "deferred for now", "", None, "nothing to add", "no", "skip", "keeper"]
+    assert texts(spark, review.outcome(F.col("x")), said) == ["reject", "reject", "keep", "needs-context", "needs-context", "", "", "nothing to add", "no", "pending", "keeper"]
     groups = spark.createDataFrame([("a", 20), ("b", 10), ("c", 10), ("d", 30)], "anchor string, item_count long")
     assert {r.anchor: r.batch for r in review.batches(groups).collect()} == {"d": 1, "a": 2, "b": 3, "c": 3}
+    sizes = [((i * 37) % 11) + 1 for i in range(60)] + [26, 40]
+    groups = spark.createDataFrame([(f"g{i:02}", n) for i, n in enumerate(sizes)], "anchor string, item_count long")
+    want, batch, used = {}, 1, 0
+    for n, anchor in sorted(((-n, f"g{i:02}") for i, n in enumerate(sizes))):
+        if used and used - n > 25:
+            batch, used = batch + 1, 0
+        want[anchor], used = batch, used - n
+    assert {r.anchor: r.batch for r in review.batches(groups).collect()} == want
+    with pytest.raises(ValueError, match="no batch"):
+        review.one_batch(review.batches(groups), 999)
+    assert texts(spark, F.array_join(review.label_signals(F.col("x")), ","), ["Overview", "misc", "a1", "12345678", "ab", "plain words", ""]) == ["heading-like-label", "placeholder-like-label", "numeric-or-code-label", "numeric-or-code-label", "short-fragment-label", "", ""]
+    assert texts(spark, review.humanized(F.col("x")), ["entity-big-red", "plain"]) == ["big red", "plain"]
 
 
 def test_evaluation(spark):
@@ -172,9 +201,18 @@ def test_evaluation(spark):
     assert evaluate.precision_recall(a.where("false"), b.where("false"), "k").first().precision is None
     fixtures = spark.createDataFrame([("x", "seeded", 3, False), ("x", "manual", 0, True), ("y", "legacy", 2, False), ("y", "manual", 0, False)], "kind string, source string, rows long, reviewed_none boolean")
     assert {r.kind: r.source for r in evaluate.preferred(fixtures).collect()} == {"x": "manual", "y": "legacy"}
-    metrics = spark.createDataFrame([("max_failed_gates", 0.0), ("max_warned_gates", 2.04), ("min_answer_rate", 0.1)], "metric string, value double")
-    states = {r.metric: r.state for r in evaluate.gates(metrics, evaluate.thresholds(spark, {"max_open_reviews": 5})).collect()}
-    assert (states["max_failed_gates"], states["max_warned_gates"], states["min_answer_rate"], states["max_open_reviews"]) == ("pass", "warn", "fail", "skip")
+    metrics = spark.createDataFrame([("family_stability.exact_member_match_rate", 1.0), ("retrieval_metrics.pair_hit_at_3", 0.3), ("answer_metrics.forbidden_citation_violation_rate", 0.1), ("retrieval_metrics.family_hit_at_1", 0.7)], "metric string, value double")
+    states = evaluate.gates(metrics)
+    assert {r.metric.split(".")[1]: r.state for r in states.where("state <> 'skip'").collect()} == {"exact_member_match_rate": "pass", "pair_hit_at_3": "warn", "forbidden_citation_violation_rate": "warn", "family_hit_at_1": "fail"}
+    assert states.count() == 8 and evaluate.overall(states).first().overall == "fail"
+    sources = spark.createDataFrame([(k, "manual") for k in evaluate.FIXTURES], "kind string, source string")
+    good = evaluate.gates(metrics.limit(1))
+    assert [evaluate.overall(good, sources=x).first().overall for x in (sources, sources.limit(3))] == ["pass", "warn"]
+    corpora = spark.createDataFrame([("a", "pass", "fresh", True), ("b", "warn", None, True)], "corpus_id string, evaluation_state string, freshness string, valid_contract boolean")
+    summary = evaluate.replay_summary(evaluate.replay_cases(corpora))
+    assert {r.threshold: r.state for r in evaluate.policy_gates(summary, evaluate.normalized_policy(spark, {"max_warn_corpora": 1})).collect()} == {"max_fail_corpora": "pass", "max_warn_corpora": "pass", "max_stale_corpora": "fail", "max_missing_contract_corpora": "pass", "min_manual_pass_rate": "fail", "min_registered_active_corpora": "pass"}
+    with pytest.raises(ValueError, match="unknown"):
+        evaluate.normalized_policy(spark, {"max_other": 1})
     live, new = spark.createDataFrame([("a", "x"), ("b", "y")], "k string, v string"), spark.createDataFrame([("b", "z"), ("c", "w")], "k string, v string")
     delta = evaluate.keyed_delta(live, new, "k", "v")
     d = delta.first()

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import difflib
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from loomspark.functions import text as T
 from loomspark.plans.queries import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -42,6 +46,16 @@ def test_runs(spark, small, name):
     df.collect()
 
 
+def test_near_duplicates_are_whole(spark, small):
+    """The query that SQL can't express, against every pair of the table."""
+    rows = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", T.trigrams(F.left("text", F.lit(500))).alias("g")).where("length(text) >= 20").collect()
+    sets = [(r.doc_id, r.text[:500], set(r.g)) for r in rows if r.g]
+    near = [(a, b) for i, a in enumerate(sets) for b in sets[i + 1 :] if len(a[2] & b[2]) / len(a[2] | b[2]) >= 0.35]
+    want = {(min(a[0], b[0]), max(a[0], b[0]), round(x, 4)) for a, b in near if (x := difflib.SequenceMatcher(None, *(t for _, t, _ in sorted([a, b], key=lambda v: v[0]))).ratio()) >= 0.92}
+    got = QUERIES["near_duplicate_threads"](spark, small).collect()
+    assert want and {(r.left_key, r.right_key, r.similarity) for r in got} == want
+
+
 def test_entry(spark):
     import __spark_entry__
 
