@@ -167,10 +167,11 @@ def _scenario(name: str, bucket: str, groups: int, take: int, offset: int) -> st
   FROM (SELECT *, dense_rank() OVER (ORDER BY batch) AS k FROM (SELECT w.batch, w.i, a.* FROM w JOIN a USING (anchor)) WHERE {_BUCKET} = '{bucket}') WHERE k > {offset} AND k <= {offset + take} ORDER BY turn, batch LIMIT {groups})"""
 
 
-@query(f"""WITH RECURSIVE {_ENTRIES.strip()}, {_anchors("relation = 'disjoint'")}, {_PACKED}
+@query(f"""WITH RECURSIVE {_ENTRIES.replace(entity_sql(0.3), entity_sql(0.12)).strip()}, {_anchors("relation = 'disjoint'")}, {_PACKED}
 {_scenario('likely_front', 'likely-reject', 12, 5, 0)} UNION ALL {_scenario('likely_mid', 'likely-reject', 12, 5, 5)} UNION ALL {_scenario('likely_late', 'likely-reject', 12, 5, 10)} UNION ALL {_scenario('needs_context', 'needs-context', 8, 10, 0)}""")
 def campaign_scenarios(spark: SparkSession, d: str) -> DataFrame:
-    items = canon.suggestions(entity_records(spark, d), "entity-alias", threshold=0.3)
+    """What a campaign samples; with a threshold so low that labels which share stop words alone are in the queue."""
+    items = canon.suggestions(entity_records(spark, d), "entity-alias", threshold=0.12)
     return campaign.scenarios(written(items, "items")).select("scenario", "anchor", F.col("batch").cast("long").alias("batch"), F.col("turn").cast("long").alias("turn"))
 
 
