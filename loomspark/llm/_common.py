@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import gc
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspark.plans.shared import checkpoint, checkpoint_folder, table
+from loomspark.plans.shared import checkpoint, table, written
 
-__all__ = ["bounded", "checkpoint", "crc_mod", "drop", "release", "small_batches", "table", "written"]
+__all__ = ["bounded", "checkpoint", "crc_mod", "drop", "id_type", "release", "small_batches", "table", "written"]
 
 #: Rows that a broadcast side may have: at 16 bytes a row, 16 MB.
 BROADCAST_ROWS = 1_000_000
+#: Rows and bytes of an Arrow batch.
+BATCH_ROWS = 500
+BATCH_BYTES = 16 << 20
 
 
 def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -24,9 +26,19 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch, as whole texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows and the bytes of an Arrow batch, as whole texts may be long.
+
+    The bounds are the same for every operator, so that a frame that runs later finds those that it was made with. A row
+    that exceeds the bytes makes a batch of its own.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def id_type(docs: DataFrame, id_col: str) -> str:
+    """The type of the id column; operators hand ids on as they are."""
+    return docs.select(id_col).schema[0].dataType.simpleString()
 
 
 def crc_mod(doc_id: str | Column, by: int) -> Column:
@@ -34,14 +46,6 @@ def crc_mod(doc_id: str | Column, by: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary") if isinstance(doc_id, str) else doc_id.cast("string").cast("binary")) % by
 
 
-def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """df written as a Parquet table in the shared folder (see checkpoint) and read back; by: a column to partition by."""
-    path = f"{checkpoint_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}/{name}"
-    out = df.write.option("compression", "zstd")
-    (out.partitionBy(by) if by else out).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def drop(*tables: DataFrame) -> None:
     """Delete tables of ``written`` that nothing needs any more."""
     for df in tables:

@@ -1,33 +1,7 @@
-"""Connected components of a graph of integer nodes, by alternating large-star and small-star steps.
-
-Every step is an aggregation (with partial sums) and an equi-join, so a node with very many neighbours is never
-gathered in one task. Lineage is cut by a checkpoint after each round.
-"""
+"""Connected components of fingerprints: the library's own."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from loomspark.llm._common import checkpoint
-
-
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of edges (a, b); root is the smallest node reachable.
+from loomspark.operators.components import connected_components
 
-    Loops and repeated edges count once. The work halves in each round; failing to settle within ``rounds`` raises.
-    """
-    now = checkpoint(edges.select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).where("u > v").distinct())
-    before = None
-    for _ in range(rounds):
-        state = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state["n"] == 0 or (state["n"], state["h"]) == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
-        before = (state["n"], state["h"])
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = checkpoint(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+__all__ = ["connected_components"]

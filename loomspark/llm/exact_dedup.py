@@ -2,7 +2,9 @@
 
 A fingerprint of bytes b_0..b_(n-1) is sum b_i * B^(n-1-i) modulo two primes, with the length. Fingerprints compose:
 H(xy) = H(x) * B^|y| + H(y), so the chunks of a huge text are hashed apart, in parallel, and summed with their shifts.
-Rows whose fingerprints are equal are candidates only; each is compared with its group's representative, chunk by chunk.
+Rows whose fingerprints are equal are candidates only; each is compared with its group's representative, chunk by chunk:
+both texts are cut into rows of PART bytes, which meet by the representative's id and the chunk's number, so that no row
+holds two texts and a huge one is compared by several tasks.
 
 Defined results: null text counts as empty; empty texts are equal to each other; repeated rows each get their row (all
 that carry the largest doc_id of a group are marked kept); a null doc_id is never chosen while the group has another;
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm._common import bounded, checkpoint, small_batches
+from loomspark.llm._common import bounded, checkpoint, id_type, small_batches, written
 
 #: Two primes below 2^31 and the base of the polynomial for each.
 PRIMES = (2147483647, 2147483629)
@@ -27,6 +29,8 @@ BASES = (911382323, 972663749)
 CHUNK = 1 << 16
 #: Texts beyond this many bytes are cut into chunk rows, which different tasks hash.
 HUGE = 8 << 20
+#: Bytes of a chunk in a comparison.
+PART = 1 << 20
 KEY = ["fp_a", "fp_b", "n_bytes"]
 
 _weights: list[np.ndarray] = []
@@ -94,12 +98,12 @@ def _hash_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", huge: int = HUGE) -> DataFrame:
     """(doc_id, text_sha256, fp_a, fp_b, n_bytes) of every row of docs."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     rows = rows.select("doc_id", F.sha2("t", 256).alias("text_sha256"), F.col("t").cast("binary").alias("b"))
-    of = "doc_id long, text_sha256 string, fp_a long, fp_b long, n_bytes long"
+    of = f"doc_id {id_type(docs, id_col)}, text_sha256 string, fp_a long, fp_b long, n_bytes long"
     whole = rows.where(F.octet_length("b") <= huge).mapInArrow(_hash_whole, of)
     parts = (
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("b"))
+        docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("b"))
         .where(F.octet_length("b") > huge)
         .select(F.monotonically_increasing_id().alias("row"), "doc_id", F.sha2("b", 256).alias("text_sha256"), "b", F.octet_length("b").alias("n"))
         .select("*", F.explode(F.expr(f"sequence(0, (n - 1) div {huge})")).alias("k"))
@@ -113,13 +117,20 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return whole.unionByName(parts)
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (fp_a, fp_b, n_bytes, doc_id, text, other): whether the texts are the same, chunk by chunk."""
-    for batch in batches:
-        same = []
-        for x, y in zip(_views(batch.column(4)), _views(batch.column(5)), strict=True):
-            same.append(len(x) == len(y) and all(np.array_equal(x[i : i + CHUNK], y[i : i + CHUNK]) for i in range(0, len(x), CHUNK)))
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(same, pa.bool_())], names=[*KEY, "doc_id", "same"])
+def chunks(texts: DataFrame, key: str, part: int = PART) -> DataFrame:
+    """(key, k, chunk): the texts (key, b) cut into chunks of ``part`` bytes; an empty text has none."""
+    n = F.octet_length("b")
+    numbered = texts.where(n > 0).select(key, "b", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / part).cast("int"))).alias("k"))
+    return numbered.select(key, "k", F.substring("b", F.col("k") * part + 1, F.lit(part)).alias("chunk"))
+
+
+def differing(texts: DataFrame, member: DataFrame, part: int = PART) -> DataFrame:
+    """(doc_id) of members (doc_id, keep_id) whose text isn't that of keep_id, from texts (doc_id, b) of the same lengths."""
+    kept = written(member.select(F.col("keep_id").alias("doc_id")).distinct(), "kept")
+    other = chunks(texts.join(bounded(kept), "doc_id", "left_semi").withColumnRenamed("doc_id", "keep_id"), "keep_id", part).withColumnRenamed("chunk", "other")
+    own = chunks(texts.join(bounded(member), "doc_id").withColumn("_row", F.struct("doc_id", "keep_id")), "_row", part)
+    own = own.select("_row.doc_id", "_row.keep_id", "k", "chunk")
+    return own.join(other, ["keep_id", "k"]).where("chunk <> other").select("doc_id").distinct()
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", huge: int = HUGE, moduli: tuple[int, int] = PRIMES) -> DataFrame:
@@ -131,19 +142,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     fps = checkpoint(fps.withColumns({"fp_a": F.col("fp_a") % moduli[0], "fp_b": F.col("fp_b") % moduli[1]}))
     groups = fps.groupBy(*KEY).agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     # Written first, so that both sides of the joins are plain exchanges, whose hot partitions Spark can split.
-    several = checkpoint(groups.where("group_size > 1"))
+    several = written(groups.where("group_size > 1"), "several")
     found = checkpoint(fps.join(bounded(several), KEY, "left").withColumns({"keep_id": F.coalesce("keep_id", "doc_id"), "group_size": F.coalesce("group_size", F.lit(1))}))
-    member = checkpoint(found.where("doc_id <> keep_id").select(*KEY, "doc_id", "keep_id").distinct())
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("b"))
-    kept = member.select(F.col("keep_id").alias("doc_id")).distinct()
-    other = text.join(bounded(checkpoint(kept)), "doc_id", "left_semi").select(F.col("doc_id").alias("keep_id"), F.col("b").alias("other"))
-    pairs = text.join(bounded(member), "doc_id").join(other, "keep_id")
-    differs = checkpoint(pairs.select(*KEY, "doc_id", "b", "other").mapInArrow(_compare, "fp_a long, fp_b long, n_bytes long, doc_id long, same boolean").where("not same").select("doc_id").distinct())
+    member = written(found.where("doc_id <> keep_id").select("doc_id", "keep_id").distinct(), "member")
+    text = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("b"))
+    differs = written(differing(text, member), "differs")
     out = found
     if not differs.isEmpty():
         # Different texts with equal fingerprints: the groups concerned are formed anew, by the texts themselves.
         bad = checkpoint(fps.join(differs, "doc_id", "left_semi").select(*KEY).distinct())
-        row = F.coalesce("doc_id", F.lit(-(1 << 63))).alias("row")
+        row = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("row")
         ids = fps.join(bounded(bad, 10_000), KEY, "left_semi").select(row, "text_sha256", *KEY).distinct()
         again = text.select("doc_id", row, "b", F.sha2("b", 256).alias("text_sha256")).join(ids, ["row", "text_sha256"])
         by_text = again.groupBy("b").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
@@ -158,7 +166,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     found = checkpoint(exact_groups(docs, id_col, text_col).select("doc_id", "kept", "text_sha256"))
     gone = checkpoint(found.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_sha")).distinct())
     text = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    stay = docs.join(bounded(gone, 200_000), F.col(id_col).cast("long").eqNullSafe(F.col("_gone")) & (text == F.col("_sha")), "left_anti")
+    stay = docs.join(bounded(gone, 200_000), F.col(id_col).eqNullSafe(F.col("_gone")) & (text == F.col("_sha")), "left_anti")
     repeated = found.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1")
     if repeated.isEmpty():
         return stay

@@ -1,21 +1,24 @@
-"""Katz backoff language model of words, order two.
-
-Counts of words and of pairs (the word before, the word) come from all training documents. A pair seen MIN_COUNT times
-or more has probability d(c) * c / c(before), d being the Good-Turing discount for counts up to K and 1 beyond; all
-other words get alpha(before) * p(word), where alpha makes the sum exactly one. Words: d(c) * c / N, and what is left is
-the probability of an unknown word. (If discounting leaves a word before fewer than 1/(c(before) + 1), its pairs are
-scaled down so that it leaves that.)
-
-Words are known by a 64-bit hash, pairs by 56 bits. The log-probability of a text is a sum over its words of log p(word) + log alpha(word
-as the one before) plus, for each pair in the model, the difference that it makes. So the model is one table of keys with
-weights, written in partitions, and scoring is one join and a sum. The weights of the most frequent FREQUENT_WORDS words
-and FREQUENT_PAIRS pairs are broadcast (16 bytes each) and applied where the text is read, so that the join carries only
-the rest and no key of it is hot.
+"""Katz backoff language model of words, of any order.
+
+Counts of n-grams of 1 to ORDER words come from all training documents, none of them left out. An n-gram seen c times has
+the probability d(c) * c / c(history), d being the Good-Turing discount of its order for counts up to K and 1 beyond; a
+word that wasn't seen after a history gets alpha(history) times its probability after the history without its first
+word, and so on down to single words, where alpha makes each sum exactly one. Words: d(c) * c / N, and what is left is the
+probability of an unknown word. (If discounting leaves a history fewer than 1/(c(history) + 1), its n-grams are scaled
+down so that it leaves that.)
+
+The model is built from the lowest order up: the sum that alpha needs is over the probabilities of the order below, which
+the step before has written. The recursion of a token, p(w | h) or alpha(h) * p(w | h'), is a sum of logarithms: that of
+p(w), for each order alpha of the history, and for each n-gram in the model what it adds to the backed-off value. So a
+model is one table of weights by n-gram, in which an n-gram's weight holds its alpha as a history too; scoring is one
+join and a sum. Words and n-grams are known by 64-bit hashes. The weights of the most frequent FREQUENT_WORDS words and
+FREQUENT_GRAMS n-grams are broadcast (16 bytes each) and applied where the text is read, so that no key of the join is
+hot; the sums that are known there go through it under keys of their own, dealt out over SALTS.
 
 Defined results: null text counts as empty; an empty text is its end mark alone; rows that share a doc_id are parts of
-one document, in one result row; a null doc_id is learned from by no one and scored as a document of its own; without any
-training text every token is unknown with probability one; an empty table gives an empty result; further columns are not
-read.
+one document, in one result row; a null doc_id is learned from by no one, and rows without one are scored as one document;
+ids are of any type; without any training text every token is unknown with probability one; an empty table gives an empty
+result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -31,66 +34,78 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm._common import crc_mod, drop, release, small_batches, written
+from loomspark.llm._common import crc_mod, drop, id_type, release, small_batches, written
 
+ORDER = 3
 K = 5
-MIN_COUNT = 1
 FREQUENT_WORDS = 200_000
-FREQUENT_PAIRS = 400_000
-#: Words before that are so frequent have their pairs dealt out by the second word as well.
-SALTED_WORDS = 1_000
+FREQUENT_GRAMS = 400_000
 #: Tokens that a task holds before it hands on their counts.
 BUFFER = 3_000_000
 ROWS = 100_000
 #: Bytes of the texts that are scored together, but for the last one's.
 TOGETHER = 3_000_000
-#: Share of the documents in which the words to salt are sought; it decides only where rows are dealt to.
-SAMPLE = 0.01
 #: Hashes of the end of a text and of what stands before its first word; no word has white space.
 END = xxhash.xxh64_intdigest(b" end", 42)
 START = xxhash.xxh64_intdigest(b" start", 42)
-#: Keys of the sums that are known where a text is read.
-TOKENS, KNOWN, BASE, MODEL = range(1, 5)
-#: In the place of a salt, for the count of a word itself.
-WORD = -1
+#: Sums that are known where a text is read, and the keys that each is dealt out over.
+SUMS = ("tokens", "known", "base", "model")
+SALTS = 1024
 
-#: Stand for the end of a text and what is before its first word; no word has white space.
-_END, _START = b" ", b"  "
+_END = b" "
 
 
 class Numbered:
-    """Words of some texts as numbers from 0 on, and their hashes; START is 0 and END is 1."""
+    """Words of some texts as numbers from 0 on, and their hashes; END is 0."""
 
     def __init__(self) -> None:
         self.number: defaultdict[bytes, int] = defaultdict(count().__next__)
-        self.number[_START], self.number[_END]
+        self.number[_END]
 
-    def tokens(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Numbers of all words, each text followed by END; of what is before each; the number of each one's text."""
+    def tokens(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of all words, each text followed by END; how many each text has."""
         flat, sizes = [], []
         for t in texts:
             words = (t or b"").lower().split()
             words.append(_END)
             flat += words
             sizes.append(len(words))
-        token = np.fromiter(map(self.number.__getitem__, flat), dtype=np.int64, count=len(flat))
-        before = np.empty_like(token)
-        before[1:] = token[:-1]
-        before[np.cumsum([0, *sizes[:-1]], dtype=np.int64) if sizes else []] = 0
-        return token, before, np.repeat(np.arange(len(sizes)), sizes)
+        return np.fromiter(map(self.number.__getitem__, flat), dtype=np.int64, count=len(flat)), np.array(sizes, dtype=np.int64)
 
     def hashes(self) -> np.ndarray:
         of = xxhash.xxh64_intdigest
         out = np.fromiter((of(w, 42) for w in self.number), dtype=np.uint64, count=len(self.number))
-        out[:2] = START, END
+        out[0] = END
         return out
 
 
-def pair_key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """56 bits for a pair of word hashes; the byte less is a twelfth of what scoring shuffles."""
+def mix(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Key of the n-gram whose history has the key left and whose last words have the key right."""
     x = (left ^ (left >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + right
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return (x ^ (x >> np.uint64(31))) >> np.uint64(8)
+    return x ^ (x >> np.uint64(31))
+
+
+def starts(order: int) -> list[int]:
+    """Keys of the histories before a text's first word, by their length; the first is no key."""
+    out = [0, START]
+    for _ in range(2, order):
+        one = np.array([out[-1]], dtype=np.uint64)
+        out.append(int(mix(one, one)[0]))
+    return out
+
+
+def keys(words: np.ndarray, sizes: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each order from 2 on (key, history, lower): of the n-gram that ends at each word, without its last, its first word."""
+    first = np.cumsum(sizes) - sizes
+    lower = words
+    for before in starts(order)[1:]:
+        history = np.empty_like(lower)
+        history[1:] = lower[:-1]
+        history[first] = before
+        key = mix(history, lower)
+        yield key, history, lower
+        lower = key
 
 
 def _pieces(columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
@@ -98,37 +113,29 @@ def _pieces(columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(c[i : i + ROWS]) for c in columns], names=names)
 
 
-def _pair_counter(frequent) -> Callable:
-    """Rows (text): counts of pairs (h, salt, w, n) and, with WORD in the salt's place, of words."""
+def _counter(order: int) -> Callable:
+    """Rows (text): (level, h, low, n), counts of n-grams by order; a word has itself as low and no h."""
+    names = ["level", "h", "low", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = frequent.value if frequent is not None else None
         words, held = Numbered(), []
 
         def out() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            token, left = (np.concatenate(x) for x in zip(*held, strict=True))
+            token, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
             key = words.hashes()
             total = np.bincount(token, minlength=len(key))
             seen = np.flatnonzero(total)
-            word = key[seen].view(np.int64)
-            yield from _pieces([word, np.full(len(seen), WORD, dtype=np.int32), word, total[seen].astype(np.int32)], ["h", "salt", "w", "n"])
-            if often is not None:
-                pairs = np.sort(left * len(key) + token)
-                at = np.flatnonzero(np.append(True, pairs[1:] != pairs[:-1]))
-                n = np.diff(np.append(at, len(pairs)))
-                before, after = np.divmod(pairs[at], len(key))
-                salted = np.isin(key, often)
-                right = key[after]
-                salt = np.where(salted[before], right >> np.uint64(58), np.uint64(0)).astype(np.int32)
-                yield from _pieces([key[before].view(np.int64), salt, right.view(np.int64), n.astype(np.int32)], ["h", "salt", "w", "n"])
+            yield from _pieces([np.ones(len(seen), np.int32), np.zeros(len(seen), np.int64), key[seen].view(np.int64), total[seen].astype(np.int32)], names)
+            for level, (gram, history, lower) in enumerate(keys(key[token], sizes, order), 2):
+                _, at, n = np.unique(gram, return_index=True, return_counts=True)
+                yield from _pieces([np.full(len(at), level, np.int32), history[at].view(np.int64), lower[at].view(np.int64), n.astype(np.int32)], names)
             words.__init__()
 
         for batch in batches:
-            token, left, _ = words.tokens(batch.column(0).to_pylist())
-            held.append((token, left))
+            held.append(words.tokens(batch.column(0).to_pylist()))
             if sum(len(x[0]) for x in held) >= BUFFER:
                 yield from out()
         yield from out()
@@ -136,12 +143,12 @@ def _pair_counter(frequent) -> Callable:
     return run
 
 
-def discounts(counts: dict[int, int], least: int) -> list[float]:
-    """Good-Turing factors for the counts 0..K; 0 below least; r / (r + 1) where the counts of counts give none."""
+def discounts(counts: dict[int, int]) -> list[float]:
+    """Good-Turing factors for the counts 0..K; r / (r + 1) where the counts of counts give none."""
     n = [counts.get(r, 0) for r in range(K + 2)]
     out = [0.0] * (K + 1)
     rest = (K + 1) * n[K + 1] / n[1] if n[1] else 1.0
-    for r in range(least, K + 1):
+    for r in range(1, K + 1):
         d = ((r + 1) * n[r + 1] / (r * n[r]) - rest) / (1 - rest) if n[r] and rest < 1 else 0.0
         out[r] = d if 0 < d < 1 else r / (r + 1)
     return out
@@ -154,121 +161,125 @@ def _discounted(c: Column, d: list[float]) -> Column:
     return factor * c
 
 
-class Model:
-    """The numbers N, V, p_unknown and alpha of START, and ``weights``: (key, c, known, base, model) of words and pairs.
+def _key(history: str, lower: str) -> Column:
+    @F.pandas_udf("long")
+    def key(a, b):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        return pd.Series(mix(a.to_numpy().astype(np.int64).view(np.uint64), b.to_numpy().astype(np.int64).view(np.uint64)).view(np.int64))
 
-    The tables that the weights are made from are deleted when these are written.
+    return key(history, lower)
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+class Model:
+    """N, V, p_unknown, the discounts by order, log alpha of what is before a text by order, and ``weights``: (key, c,
+    known, base, model) of all words and n-grams. The tables that it is made from are deleted at the end.
     """
 
-    def __init__(self, docs: DataFrame, text_col: str = "text") -> None:
+    def __init__(self, docs: DataFrame, text_col: str = "text", order: int = ORDER) -> None:
         spark = docs.sparkSession
         small_batches(spark)
+        self.order = order
         text = docs.select(F.col(text_col).cast("binary").alias("b"))
-        of = "h long, salt int, w long, n int"
-        sample = text.sample(SAMPLE, seed=42).mapInArrow(_pair_counter(None), of).groupBy(F.col("w").alias("key")).agg(F.sum("n").alias("c"))
-        often = np.array([r[0] for r in sample.orderBy(F.desc("c"), "key").limit(SALTED_WORDS).collect()], dtype=np.int64).view(np.uint64)
-        often = spark.sparkContext.broadcast(np.append(often, np.uint64(START)))
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        found = text.mapInArrow(_pair_counter(often), of).repartition(parts, "h", "salt").groupBy("h", "salt", "w").agg(F.sum("n").alias("c"))
-        found = found.where((F.col("c") >= MIN_COUNT) | (F.col("salt") == WORD)).select("h", "w", "c", (F.col("salt") == WORD).alias("word"))
-        kept = written(found, "counts", "word")
+        found = text.mapInArrow(_counter(order), "level int, h long, low long, n int")
+        counts = written(found.groupBy("level", "h", "low").agg(F.sum("n").alias("c")), "counts", "level")
         del found
         release(spark)
-        words = kept.where("word").select(F.col("w").alias("key"), "c")
-        pairs = kept.where("not word").select("h", "w", "c")
-        of = words.agg(F.count("c").alias("v"), F.sum("c").alias("n"), F.max(F.when(F.col("key") == _signed(END), F.col("c"))).alias("texts"), *(F.count_if(F.col("c") == r).alias(f"n{r}") for r in range(1, K + 2))).first()
-        self.N, self.V, texts = of["n"] or 0, of["v"], of["texts"] or 0
-        self.d1 = discounts({r: of[f"n{r}"] for r in range(1, K + 2)}, 1)
-        left = self.N - sum(r * of[f"n{r}"] * (1 - self.d1[r]) for r in range(1, K + 1))
+        words = counts.where("level = 1").select(F.col("low").alias("key"), "c")
+        of = words.agg(F.count("c").alias("v"), F.sum("c").alias("n"), *(F.count_if(F.col("c") == r).alias(f"n{r}") for r in range(1, K + 2))).first()
+        self.N, self.V = of["n"] or 0, of["v"]
+        self.discounts = {1: discounts({r: of[f"n{r}"] for r in range(1, K + 2)})}
+        left = self.N - sum(r * of[f"n{r}"] * (1 - self.discounts[1][r]) for r in range(1, K + 1))
         # Words keep what their discounts leave, and at least one token's worth goes to unknown ones.
-        self.scale = min(1.0, self.N / (left * (1 + 1 / self.N))) if self.N else 1.0
-        self.p_unknown = 1 - self.scale * left / self.N if self.N else 1.0
-        p1 = F.lit(self.scale / max(1, self.N)) * _discounted(F.col("c"), self.d1)
-        self.words = words.withColumn("p", p1)
-        of = pairs.agg(F.sum("c").alias("n"), *(F.count_if(F.col("c") == r).alias(f"n{r}") for r in range(MIN_COUNT, K + 2))).first()
-        n = {r: of[f"n{r}"] for r in range(MIN_COUNT, K + 2)}
-        if MIN_COUNT == 2:
-            n[1] = self.N - (of["n"] or 0)
-        self.d2 = discounts(n, MIN_COUNT)
-        known = written(pairs.join(words.select(F.col("key").alias("w"), F.col("c").alias("c1")), "w"), "known")
-        m, p1 = _discounted(F.col("c"), self.d2), F.lit(self.scale / max(1, self.N)) * _discounted(F.col("c1"), self.d1)
-        sums = known.groupBy("h").agg(F.sum(m).alias("m"), F.sum(p1).alias("p1"))
-        total = words.select(F.col("key").alias("h"), F.col("c").alias("total")).unionByName(spark.createDataFrame([(_signed(START), texts)], "h long, total long"))
-        share = F.col("m") / F.col("total")
-        most = 1 - 1 / (F.col("total") + 1)
-        histories = sums.join(total, "h").select("h", "total", F.least(F.lit(1.0), most / share).alias("scale"), share.alias("share"), "p1")
-        self.histories = written(histories.select("h", "total", "scale", ((1 - F.col("scale") * F.col("share")) / (1 - F.col("p1"))).alias("alpha")), "histories")
-        self.pairs = known.join(self.histories, "h").select("h", "w", "c", (F.col("scale") * m / F.col("total")).alias("p"), p1.alias("p1"), "alpha")
-        start = self.histories.where(F.col("h") == _signed(START)).first()
-        self.alpha_start = start["alpha"] if start else 1.0
-        release(spark)
-        self.weights = written(self._weights(), "weights")
-        drop(kept, known, self.histories)
+        scale = min(1.0, self.N / (left * (1 + 1 / self.N))) if self.N else 1.0
+        self.p_unknown = 1 - scale * left / self.N if self.N else 1.0
+        base = F.log10((F.col("c") + 1) / F.lit(float(self.N + self.V + 1)))
+        p = F.lit(scale / max(1, self.N)) * _discounted(F.col("c"), self.discounts[1])
+        levels, used = [words.select("key", "c", F.lit(1.0).alias("known"), base.alias("base"), p.alias("p"), F.log10(p).alias("model"))], [counts]
+        self.before, alphas = [0.0] * (order + 1), []
+        for level in range(2, order + 1):
+            rows = counts.where(F.col("level") == level).select("h", "low", "c")
+            of = rows.agg(*(F.count_if(F.col("c") == r).alias(f"n{r}") for r in range(1, K + 2))).first()
+            self.discounts[level] = discounts({r: of[f"n{r}"] for r in range(1, K + 2)})
+            below = levels[-1].select(F.col("key").alias("low"), F.col("p").alias("p_low"))
+            # Written before each join, so that its hot partitions, of frequent words, can be split.
+            known = written(rows.join(below, "low"), "known")
+            mass, total = _discounted(F.col("c"), self.discounts[level]), F.col("total")
+            sums = known.groupBy("h").agg(F.sum(mass).alias("mass"), F.sum("c").alias("total"), F.sum("p_low").alias("p_low"))
+            most, share = 1 - 1 / (total + 1), F.col("mass") / total
+            rated = sums.select("h", "total", F.least(F.lit(1.0), most / share).alias("scale"), share.alias("share"), "p_low")
+            histories = written(rated.select("h", "total", "scale", ((1 - F.col("scale") * F.col("share")) / (1 - F.col("p_low"))).alias("alpha")), "histories")
+            grams = known.join(histories, "h").select("h", "low", "c", (F.col("scale") * mass / total).alias("p"), "p_low", "alpha")
+            grams = grams.select(_key("h", "low").alias("key"), "c", F.lit(0.0).alias("known"), F.lit(0.0).alias("base"), "p", (F.log10("p") - F.log10("alpha") - F.log10("p_low")).alias("model"))
+            levels.append(written(grams, "grams"))
+            alphas.append(histories.select(F.col("h").alias("key"), F.log10("alpha").alias("alpha")))
+            used += [known, histories, levels[-1]]
+            start = histories.where(F.col("h") == _signed(starts(order)[level - 1])).first()
+            self.before[level] = math.log10(start["alpha"]) if start else 0.0
+            release(spark)
+        out = None
+        for k, rows in enumerate(levels):
+            rows = rows.drop("p")
+            if k < len(alphas):
+                rows = rows.join(alphas[k], "key", "left").withColumn("model", F.col("model") + F.coalesce("alpha", F.lit(0.0))).drop("alpha")
+            out = rows if out is None else out.unionByName(rows)
+        self.weights = written(out, "weights")
+        drop(*used)
         release(spark)
 
-    def _weights(self) -> DataFrame:
-        """(key, c, known, base, model): what one token or pair of that key adds."""
-        alpha = self.histories.select(F.col("h").alias("key"), "alpha")
-        words = self.words.join(alpha, "key", "left").select("key", "c", F.lit(1.0).alias("known"), F.log10((F.col("c") + 1) / F.lit(float(self.N + self.V + 1))).alias("base"), (F.log10("p") + F.log10(F.coalesce("alpha", F.lit(1.0)))).alias("model"))
-        pairs = self.pairs.select(_pair_column("h", "w").alias("key"), "c", F.lit(0.0).alias("known"), F.lit(0.0).alias("base"), (F.log10("p") - F.log10("alpha") - F.log10("p1")).alias("model"))
-        return words.unionByName(pairs)
-
-
-def _pair_column(left: str, right: str) -> Column:
-    @F.pandas_udf("long")
-    def key(a, b):  # noqa: ANN001, ANN202
-        import pandas as pd
-
-        return pd.Series(pair_key(a.to_numpy().astype(np.int64).view(np.uint64), b.to_numpy().astype(np.int64).view(np.uint64)).view(np.int64))
-
-    return key(left, right)
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
 
-def _reader(shared) -> Callable:
-    """Rows (doc_id, text): (doc_id, key, n) for the keys that aren't frequent, and the sums of the others."""
+def _reader(shared, order: int) -> Callable:
+    """Rows (doc_id, text): (doc_id, key, value) for the keys that aren't frequent, and the sums of the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (word, known_base, word_model), (pair, pair_model), start = shared.value
+        (word, known_base, word_model), (gram, gram_model), start = shared.value
 
-        def look(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        def look(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if not len(table):
-                return np.zeros(0, dtype=np.int64), np.zeros(len(keys), dtype=bool)
-            at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-            hit = table[at] == keys
+                return np.zeros(0, dtype=np.int64), np.zeros(len(wanted), dtype=bool)
+            at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
+            hit = table[at] == wanted
             return at[hit], hit
 
+        done = 0
         for batch in batches:
-            ids = np.array(batch.column(0).fill_null(0))
-            null = np.array(batch.column(0).is_null())
-            texts = batch.column(1).to_pylist()
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
             lo = 0
             while lo < len(texts):
                 size, hi = 0, lo
                 while hi < len(texts) and size < TOGETHER:
                     size += len(texts[hi] or b"")
                     hi += 1
-                words = Numbered()
-                token, left, text = words.tokens(texts[lo:hi])
-                hashes, m = words.hashes(), hi - lo
+                words, m = Numbered(), hi - lo
+                token, sizes = words.tokens(texts[lo:hi])
+                text = np.repeat(np.arange(m), sizes)
+                hashes = words.hashes()
                 at, hit = look(word, hashes)
                 weight = np.zeros((2, len(hashes)))
                 weight[0, hit], weight[1, hit] = known_base[at], word_model[at]
                 frequent = hit[token]
-                keys = pair_key(hashes[left], hashes[token])
-                at, found = look(pair, keys)
-                sums = [np.bincount(text, minlength=m).astype(float), np.bincount(text, frequent, m), np.bincount(text, weight[0][token], m), np.bincount(text, weight[1][token], m) + np.bincount(text[found], pair_model[at], m) + start]
-                rare, new = ~frequent, ~found
-                rows = np.concatenate([text[rare], text[new], *([np.arange(m)] * 4)]) + lo
-                keys = np.concatenate([hashes[token[rare]].view(np.int64), keys[new].view(np.int64), *(np.full(m, k) for k in (TOKENS, KNOWN, BASE, MODEL))])
-                values = np.ones(len(keys))
-                values[len(keys) - 4 * m :] = np.concatenate(sums)
-                for i in range(0, len(keys), ROWS):
+                model = np.bincount(text, weight[1][token], m) + start
+                rows, asked = [text[~frequent]], [hashes[token[~frequent]]]
+                for key, _, _ in keys(hashes[token], sizes, order):
+                    at, found = look(gram, key)
+                    model += np.bincount(text[found], gram_model[at], m)
+                    rows.append(text[~found])
+                    asked.append(key[~found])
+                sums = [sizes.astype(float), np.bincount(text, frequent, m), np.bincount(text, weight[0][token], m), model]
+                salt = (np.arange(m) + done) % SALTS
+                done += m
+                n = sum(map(len, asked))
+                rows = np.concatenate([*rows, *([np.arange(m)] * len(SUMS))]) + lo
+                asked = np.concatenate([*(x.view(np.int64) for x in asked), *(1 + k * SALTS + salt for k in range(len(SUMS)))])
+                values = np.ones(len(asked))
+                values[n:] = np.concatenate(sums)
+                for i in range(0, len(asked), ROWS):
                     part = slice(i, i + ROWS)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[rows[part]], mask=null[rows[part]]), pa.array(keys[part]), pa.array(values[part])], names=["doc_id", "key", "value"])
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows[part])), pa.array(asked[part]), pa.array(values[part])], names=["doc_id", "key", "value"])
                 lo = hi
 
     return run
@@ -295,11 +306,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         order = np.argsort(key)
         return [key[order], *(got[c].to_numpy(dtype=float)[order] for c in columns)]
 
-    shared = spark.sparkContext.broadcast((frequent(F.col("known") == 1, FREQUENT_WORDS, ["base", "model"]), frequent(F.col("known") == 0, FREQUENT_PAIRS, ["model"]), math.log10(model.alpha_start)))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("b")).mapInArrow(_reader(shared), "doc_id long, key long, value double")
-    own = spark.createDataFrame([(k, *(1.0 if k == j else 0.0 for j in (TOKENS, KNOWN, BASE, MODEL))) for k in (TOKENS, KNOWN, BASE, MODEL)], "key long, tokens double, known double, base double, model double")
+    shared = spark.sparkContext.broadcast((frequent(F.col("known") == 1, FREQUENT_WORDS, ["base", "model"]), frequent(F.col("known") == 0, FREQUENT_GRAMS, ["model"]), sum(model.before)))
+    of = f"doc_id {id_type(docs, id_col)}, key long, value double"
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("b")).mapInArrow(_reader(shared, model.order), of)
+    own = spark.range(1, 1 + len(SUMS) * SALTS).select(F.col("id").alias("key"), *(F.when(F.floor((F.col("id") - 1) / SALTS) == k, 1.0).otherwise(0.0).alias(c) for k, c in enumerate(SUMS)))
     table = weights.select("key", F.lit(0.0).alias("tokens"), "known", "base", "model").unionByName(own)
-    sums = rows.join(table.hint("shuffle_hash"), "key").groupBy("doc_id").agg(*(F.sum(F.col("value") * F.col(c)).alias(c) for c in ("tokens", "known", "base", "model")))
+    sums = rows.join(table, "key").groupBy("doc_id").agg(*(F.sum(F.col("value") * F.col(c)).alias(c) for c in SUMS))
     unknown = F.col("tokens") - F.col("known")
     return sums.select(
         "doc_id",
@@ -310,8 +322,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     )
 
 
-def scored(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scored(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """Scores of all documents by a model of those whose crc32(doc_id) mod folds isn't held."""
-    model = Model(docs.where(crc_mod(id_col, folds) != held), text_col)
+    model = Model(docs.where(crc_mod(id_col, folds) != held), text_col, order)
     out = score(docs, model, id_col, text_col)
     return out.select("doc_id", F.coalesce(crc_mod("doc_id", folds) == held, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(model.N).cast("long").alias("train_tokens"), "base_score", "score")

@@ -7,7 +7,9 @@ the 35 three-group subgrids hold every pair. Pairs of a cell are kept if their M
 verified on the 64 bits. A cell with many fingerprints is cut into blocks; each pair of blocks is a task's own group.
 
 Defined results: null and empty texts have fingerprint zero and link like any other; copies collapse to one fingerprint
-before the join; repeated rows each get a row; an empty table gives an empty result; further columns are not read.
+before the join; repeated rows each get a row; a null doc_id is never a component's id while it has another, and a
+component without any has a null one; ids are of any type with an order; an empty table gives an empty result; further
+columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm._common import bounded, checkpoint, small_batches
+from loomspark.llm._common import bounded, checkpoint, id_type, small_batches, written
 from loomspark.llm.components import connected_components
 
 SHINGLE = 4
@@ -64,7 +66,7 @@ def _hash_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp) for every row; fp is the fingerprint as a signed long."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("b")).mapInArrow(_hash_batch, "doc_id long, fp long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("b")).mapInArrow(_hash_batch, f"doc_id {id_type(docs, id_col)}, fp long")
 
 
 def _signed(x: int) -> int:
@@ -169,19 +171,36 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.repartition(int(parts), "key").sortWithinPartitions("key").mapInArrow(_link_cells, "a long, b long").distinct()
 
 
+def _rooted(fps: DataFrame) -> DataFrame:
+    """(fp, root) of the distinct fingerprints of fps: root is the smallest fingerprint reachable."""
+    nodes = written(fps.select("fp").distinct(), "nodes")
+    roots = written(connected_components(links(nodes)), "roots")
+    return nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
-    fps = checkpoint(fingerprints(docs, id_col, text_col))
-    nodes = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = connected_components(links(nodes.select("fp")))
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    # Written first, so that the hot partitions of the last join can be split.
-    by_fp = checkpoint(placed.join(least, "root").select("fp", "component_id"))
+    fps = written(fingerprints(docs, id_col, text_col), "fingerprints")
+    # Written before they are joined: both sides then have exchanges of their own, whose hot partitions Spark can split.
+    placed = written(_rooted(fps).join(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "fp"), "placed")
+    least = written(placed.groupBy("root").agg(F.min("first").alias("component_id")), "least")
+    by_fp = written(placed.join(least, "root").select("fp", "component_id"), "by_fp")
     return fps.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of their component, with all their columns."""
-    found = checkpoint(simhash_components(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(bounded(found), F.col(id_col).cast("long") == F.col("_gone"), "left_anti")
+    """One row of docs for each component, with all its columns: that of the smallest doc_id.
+
+    Rows are told apart by id and text. Of rows that share the id, the one whose text has the smaller hash stays; in a
+    component without ids, the one with the smallest hash; of rows alike in both, one.
+    """
+    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    rows = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), key.alias("text")).alias("doc_id"), F.col(text_col).alias("text"))
+    fps = written(fingerprints(rows), "fingerprints")
+    placed = written(fps.join(written(_rooted(fps), "rooted"), "fp").select("root", "doc_id"), "placed")
+    first = written(placed.groupBy("root").agg(F.min("doc_id").alias("first")), "firsts")
+    gone = written(placed.join(first, "root").where("doc_id <> first").select(F.col("doc_id.id").alias("_gone"), F.col("doc_id.text").alias("_text")).distinct(), "gone")
+    stay = docs.join(bounded(gone), F.col(id_col).eqNullSafe(F.col("_gone")) & (key == F.col("_text")), "left_anti")
+    if placed.join(first, "root").where("doc_id = first").groupBy("root").count().where("count > 1").isEmpty():
+        return stay
+    return stay.withColumn("_text", key).dropDuplicates([id_col, "_text"]).drop("_text")

@@ -2,7 +2,7 @@
 
 Column expressions only. An entry (list, value, at, action) adds a host or a domain to a list or removes it; it holds
 until the next entry of its list and value. Each interval is laid on the quarters that it touches, each capture on its
-quarter and the suffixes of its host, so the join is an equality of (value, quarter) with a range test; intervals are
+quarter and the suffixes of its host (times are kept to the microsecond; a date is its midnight), so the join is an equality of (value, quarter) with a range test; intervals are
 broadcast if a count shows that they are few, and dealt out otherwise (plain exchanges, whose hot parts Spark can split).
 
 Defined results: values and hosts are compared in lower case; entries with a null list, value, date or another action
@@ -37,7 +37,7 @@ def intervals(entries: DataFrame) -> DataFrame:
     The next entry is sought within the quarter; only the last of each quarter looks further, among the quarters' firsts.
     So no window is over all entries of a value, which may hold any share of the rows.
     """
-    rows = entries.select(F.col("list"), F.lower("value").alias("value"), F.col("at").cast("date").alias("at"), F.col("action"))
+    rows = entries.select(F.col("list"), F.lower("value").alias("value"), F.col("at").cast("timestamp").alias("at"), F.col("action"))
     rows = rows.where("list is not null and value is not null and at is not null and action in ('add', 'remove')").distinct().withColumn("q", _quarter(F.col("at")))
     key = ["list", "value"]
     inside = Window.partitionBy(*key, "q").orderBy("at", "action")
@@ -49,7 +49,7 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 def active_entries(captures: DataFrame, entries: DataFrame, id_col: str = "page_id", url_col: str = "url", at_col: str = "fetched_at") -> DataFrame:
     """One row per capture: id, host, fetched_at, n_active, blocked, lists (names in order), values (what matched)."""
-    held = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(at_col).cast("date").alias("at")).distinct()
+    held = captures.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(at_col).alias("told"), F.col(at_col).cast("timestamp").alias("at")).distinct()
     held = held.withColumn("host", host_of(F.col("url")))
     last = held.agg(F.max("at")).first()[0]
     spans = intervals(entries).where(F.col("since") <= F.lit(last))
@@ -62,4 +62,4 @@ def active_entries(captures: DataFrame, entries: DataFrame, id_col: str = "page_
     hits = seen.join(bounded(spans, 100_000), valid).groupBy("id", "url", "at").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_set("list")), ",").alias("lists"), F.array_join(F.sort_array(F.collect_set("v")), ",").alias("values"))
     same = F.col("c.id").eqNullSafe(F.col("x.id")) & F.col("c.url").eqNullSafe(F.col("x.url")) & F.col("c.at").eqNullSafe(F.col("x.at"))
     out = held.alias("c").join(hits.alias("x"), same, "left")
-    return out.select(F.col("c.id").alias(id_col), "host", F.col("c.at").alias(at_col), F.coalesce("n", F.lit(0)).alias("n_active"), F.col("n").isNotNull().alias("blocked"), F.coalesce("lists", F.lit("")).alias("lists"), F.coalesce("values", F.lit("")).alias("values"))
+    return out.select(F.col("c.id").alias(id_col), "host", F.col("c.told").alias(at_col), F.coalesce("n", F.lit(0)).alias("n_active"), F.col("n").isNotNull().alias("blocked"), F.coalesce("lists", F.lit("")).alias("lists"), F.coalesce("values", F.lit("")).alias("values"))

@@ -6,7 +6,6 @@ import hashlib
 import random
 
 import numpy as np
-import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -48,11 +47,26 @@ def test_exact_groups(spark, huge, moduli):
     assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept, r.text_sha256) for r in got) == want
 
 
-def test_compare_sees_every_difference():
+def test_comparison_sees_every_difference(spark):
     a = b"x" * 200_000
-    b = a[:150_000] + b"y" + a[150_001:]
-    batch = pa.RecordBatch.from_arrays([pa.array([1, 1, 1])] * 4 + [pa.array([a, a, a]), pa.array([a, b, a + b"x"])], names=["fp_a", "fp_b", "n_bytes", "doc_id", "t", "o"])
-    assert next(X._compare(iter([batch]))).column(4).to_pylist() == [True, False, False]
+    texts = [(1, a), (2, a), (3, a[:150_000] + b"y" + a[150_001:]), (4, b"y" + a[1:]), (5, a[:-1] + b"y"), (6, b""), (7, b"")]
+    member = spark.createDataFrame([(i, 1) for i in (2, 3, 4, 5)] + [(6, 7)], "doc_id long, keep_id long")
+    for part in (1 << 20, 65_536, 199_999, 1_000):
+        assert sorted(r.doc_id for r in X.differing(spark.createDataFrame(texts, "doc_id long, b binary"), member, part).collect()) == [3, 4, 5]
+
+
+def test_ids_of_text(spark):
+    rows = spark.createDataFrame([("a", "same words here now"), ("b", "same words here now"), (None, "same words here now"), (None, "x"), (None, "x")], "doc_id string, text string")
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in X.exact_groups(rows).collect()) == [("None", "None", 2, True)] * 2 + [("None", "b", 3, False), ("a", "b", 3, False), ("b", "b", 3, True)]
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in H.simhash_components(rows).collect()) == [("None", "None")] * 2 + [("None", "a"), ("a", "a"), ("b", "a")]
+    assert sorted((str(r.doc_id), r.text) for r in H.drop_near_copies(rows).collect()) == [("None", "x"), ("a", "same words here now")]
+
+
+def test_near_copies_of_rows_that_share_an_id(spark):
+    rows = frame(spark, [(1, "one two three four five"), (1, "another text with other words"), (2, "one two three four five"), (None, "another text with other words"), (3, "y " * 200_000), (4, "y " * 200_000)])
+    kept = H.drop_near_copies(rows)
+    assert kept.columns == rows.columns
+    assert sorted((r.doc_id, r.text[:3]) for r in kept.collect()) == [(1, "ano"), (1, "one"), (3, "y y")]
 
 
 def test_exact_stage_and_empty(spark):
@@ -98,8 +112,8 @@ def test_simhash_components(spark, small):
         first[root[f]] = min(first.get(root[f], i), i)
     got = sorted((r.doc_id, r.fingerprint, r.component_id) for r in H.simhash_components(frame(spark, rows)).collect())
     assert got == sorted((i, f"{f:016x}", first[root[f]]) for i, f in fps)
-    kept = {r.doc_id for r in H.drop_near_copies(frame(spark, rows)).collect()}
-    assert kept == {i for i, f in fps if first[root[f]] == i}
+    kept = [r.doc_id for r in H.drop_near_copies(frame(spark, rows)).collect()]
+    assert sorted(kept) == sorted({i for i, f in fps if first[root[f]] == i})
 
 
 def test_links_in_crowded_cells(spark):

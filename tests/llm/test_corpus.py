@@ -32,56 +32,66 @@ def plain_words(text):
 
 
 class PlainKatz:
-    def __init__(self, texts):
-        self.words, self.pairs = Counter(), Counter()
+    """The recursion as it stands: p(w | h), or alpha(h) * p(w | h without its first word)."""
+
+    def __init__(self, texts, order=katz.ORDER):
+        self.order = order
+        self.grams = {n: defaultdict(Counter) for n in range(1, order + 1)}
         for t in texts:
-            said = [*plain_words(t), "END"]
-            self.words.update(said)
-            self.pairs.update(zip(["START", *said], said, strict=False))
+            said = [*["START"] * (order - 1), *plain_words(t), "END"]
+            for i in range(order - 1, len(said)):
+                for n in range(1, order + 1):
+                    self.grams[n][tuple(said[i - n + 1 : i])][said[i]] += 1
+        self.words = self.grams[1][()]
         self.N, self.V = sum(self.words.values()), len(self.words)
-        d1 = katz.discounts(Counter(self.words.values()), 1)
-        d2 = katz.discounts(Counter(self.pairs.values()), katz.MIN_COUNT)
-        mass = {w: (d1[c] if c <= katz.K else 1) * c for w, c in self.words.items()}
-        left = sum(mass.values())
+        self.d = {n: katz.discounts(Counter(c for of in self.grams[n].values() for c in of.values())) for n in self.grams}
+        left = sum(self.mass(1, c) for c in self.words.values())
         scale = min(1, self.N / (left * (1 + 1 / self.N)))
-        self.p1 = {w: scale * m / self.N for w, m in mass.items()}
+        self.p1 = {w: scale * self.mass(1, c) / self.N for w, c in self.words.items()}
         self.unknown = 1 - sum(self.p1.values())
-        kept = defaultdict(dict)
-        for (h, w), c in self.pairs.items():
-            if c >= katz.MIN_COUNT:
-                kept[h][w] = (d2[c] if c <= katz.K else 1) * c
-        total = Counter()
-        for (h, _), c in self.pairs.items():
-            total[h] += c
-        self.p2, self.alpha = {}, {}
-        for h, of in kept.items():
-            share = sum(of.values()) / total[h]
-            s = min(1, (1 - 1 / (total[h] + 1)) / share)
-            self.p2[h] = {w: s * m / total[h] for w, m in of.items()}
-            self.alpha[h] = (1 - s * share) / (1 - sum(self.p1[w] for w in of))
+        self.known = {}
+
+    def mass(self, n, c):
+        return (self.d[n][c] if c <= katz.K else 1) * c
+
+    def history(self, h):
+        """(scale / total, alpha) of a history that was seen."""
+        if h not in self.known:
+            n, of = len(h) + 1, self.grams[len(h) + 1][h]
+            total = sum(of.values())
+            share = sum(self.mass(n, c) for c in of.values()) / total
+            s = min(1, (1 - 1 / (total + 1)) / share)
+            self.known[h] = s / total, (1 - s * share) / (1 - sum(self.p(h[1:], w) for w in of))
+        return self.known[h]
 
     def p(self, h, w):
-        if w in self.p2.get(h, {}):
-            return self.p2[h][w]
-        return self.alpha.get(h, 1) * self.p1.get(w, self.unknown)
+        if not h:
+            return self.p1.get(w, self.unknown)
+        of = self.grams[len(h) + 1].get(h)
+        if not of:
+            return self.p(h[1:], w)
+        per, alpha = self.history(h)
+        return per * self.mass(len(h) + 1, of[w]) if w in of else alpha * self.p(h[1:], w)
 
     def score(self, text):
-        said = [*plain_words(text), "END"]
-        return sum(math.log10(self.p(h, w)) for h, w in zip(["START", *said], said, strict=False))
+        said = [*["START"] * (self.order - 1), *plain_words(text), "END"]
+        return sum(math.log10(self.p(tuple(said[i - self.order + 1 : i]), said[i])) for i in range(self.order - 1, len(said)))
 
 
-def test_katz(spark, monkeypatch):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz(spark, monkeypatch, order):
     monkeypatch.setattr(katz, "FREQUENT_WORDS", 5)
-    monkeypatch.setattr(katz, "FREQUENT_PAIRS", 4)
+    monkeypatch.setattr(katz, "FREQUENT_GRAMS", 9)
     rnd = random.Random(10)
     vocabulary = [f"v{k}" for k in range(60)]
     docs = [(i, " ".join(rnd.choice(vocabulary[: 3 + i % 57]) for _ in range(rnd.randint(0, 40)))) for i in range(120)]
     docs += [(200, None), (201, ""), (202, "unseen words HERE v1"), (203, "V1 \t v2\n"), (204, "v3 " * 3000)]
     train = [t for i, t in docs if zlib.crc32(str(i).encode()) % 7 != 2]
-    plain = PlainKatz(train)
-    for h in [*list(plain.p2)[:10], "nothing"]:
-        assert math.isclose(sum(plain.p(h, w) for w in plain.words) + plain.alpha.get(h, 1) * plain.unknown, 1, rel_tol=1e-9)
-    got = {r.doc_id: r for r in katz.scored(frame(spark, docs)).collect()}
+    plain = PlainKatz(train, order)
+    for n in range(2, order + 1):
+        for h in [*list(plain.grams[n])[:10], ("nothing",) * (n - 1)]:
+            assert math.isclose(sum(plain.p(h, w) for w in [*plain.words, "zz"]), 1, rel_tol=1e-9)
+    got = {r.doc_id: r for r in katz.scored(frame(spark, docs), order=order).collect()}
     assert len(got) == len(docs)
     for i, t in docs:
         r, said = got[i], [*plain_words(t), "END"]
@@ -91,16 +101,15 @@ def test_katz(spark, monkeypatch):
         assert math.isclose(r.score, plain.score(t), rel_tol=1e-9, abs_tol=1e-9)
 
 
-def test_katz_keeps_pairs_seen_once(spark):
+def test_katz_keeps_what_is_seen_once(spark):
     rnd = random.Random(14)
     docs = [(i, " ".join(f"v{int(40 * rnd.random() ** 2)}" for _ in range(25))) for i in range(40)]
-    plain = PlainKatz([t for _, t in docs])
-    model = katz.Model(frame(spark, docs))
-    once = sum(c == 1 for c in plain.pairs.values())
-    assert once > 50 and model.weights.where("known = 0").count() == len(plain.pairs)
-    n = Counter(plain.pairs.values())
+    plain = PlainKatz([t for _, t in docs], 2)
+    model = katz.Model(frame(spark, docs), order=2)
+    n = Counter(c for of in plain.grams[2].values() for c in of.values())
+    assert n[1] > 50 and model.weights.where("known = 0").count() == sum(map(len, plain.grams[2].values()))
     rest = (katz.K + 1) * n[katz.K + 1] / n[1]
-    assert math.isclose(model.d2[1], (2 * n[2] / n[1] - rest) / (1 - rest), rel_tol=1e-12) and 0 < model.d2[1] < 1
+    assert math.isclose(model.discounts[2][1], (2 * n[2] / n[1] - rest) / (1 - rest), rel_tol=1e-12) and 0 < model.discounts[2][1] < 1
 
 
 def test_katz_of_odd_tables(spark):
@@ -230,6 +239,10 @@ def test_url_lists(spark):
     assert len(got) == 11
     hit = {2: (1, True, "l", "bad.com"), 3: (2, True, "l,m", "bad.com,x.bad.com"), 4: (1, True, "m", "x.bad.com"), 5: (1, True, "l", "bad.com"), None: (1, True, "l", "bad.com")}
     assert got == {i: hit.get(i, (0, False, "", "")) for i in got}
+    at = datetime.datetime
+    hours = frame(spark, [("l", "h.com", at(2024, 1, 1, 9), "add"), ("l", "h.com", at(2024, 1, 1, 17), "remove"), ("l", "h.com", at(2024, 1, 1, 18), "add")], "list string, value string, at timestamp, action string")
+    seen = frame(spark, [(i, "http://h.com", at(2024, 1, 1, i)) for i in (8, 9, 12, 17, 18)], "page_id long, url string, fetched_at timestamp")
+    assert {r.page_id: r.blocked for r in url_lists.active_entries(seen, hours).collect()} == {8: False, 9: True, 12: True, 17: False, 18: True}
     none = frame(spark, [], "list string, value string, at date, action string")
     assert url_lists.active_entries(c, none).where("blocked").count() == 0
     assert url_lists.active_entries(frame(spark, [], "page_id long, url string, fetched_at date"), e).count() == 0
@@ -261,7 +274,7 @@ def test_pipeline(spark, small, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/{k}")
         ids = {r.doc_id for r in docs.select("doc_id").collect()}
         if name == "language_id":
-            known = {r.doc_id for r in langid.language_of(before).where("lang_pred <> 'und' and score >= 0.5").collect()}
+            known = {r.doc_id for r in langid.language_of(before).where("lang_pred <> 'und' and score >= 0.5 and known >= 0.5").collect()}
             assert ids == known
         elif name == "exact_dedup":
             assert ids == {r.doc_id for r in exact_dedup.exact_groups(before).where("kept").collect()}

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import random
 import re
+import time
 import zlib
+from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +54,58 @@ def test_languages_of_odd_rows(spark):
     assert [(r.lang_pred, r.score) for r in alone] == [("und", 0.0)]
 
 
+def test_plain_naive_bayes(spark, small):
+    """The same languages and scores from counts in dictionaries."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = [r for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.lang is not None]
+    counts, total = defaultdict(Counter), Counter(r.lang for r in rows)
+    for r in rows:
+        for part in langid.grams(r.text):
+            counts[r.lang].update(part.tolist())
+    sums = {x: sum(c.values()) for x, c in counts.items()}
+
+    def plain(text):
+        found = Counter(g for part in langid.grams(text) for g in part.tolist())
+        if not found:
+            return "und", 0.0
+        logs = {x: math.log(total[x] / sum(total.values())) + sum(n * math.log((c[g] + langid.SMOOTHING) / (sums[x] + langid.SMOOTHING * langid.BUCKETS)) for g, n in found.items()) for x, c in sorted(counts.items())}
+        best = max(logs, key=logs.get)
+        return best, 1 / sum(math.exp(v - logs[best]) for v in logs.values())
+
+    short = [(i, t) for i, t in enumerate(["th", "der", "que le", "ing ei", "la", "x", "", None, "un de la ou", "an", "a-b", "é"])]
+    odd = frame(spark, short, "doc_id long, text string").withColumn("lang", F.lit(None).cast("string")).select("doc_id", "text", "lang")
+    for found in (langid.language_of(docs), langid.language_of(docs.select("doc_id", "text", "lang").unionByName(odd.withColumn("doc_id", F.col("doc_id") + 100_000)))):
+        texts = {r.doc_id: r.text for r in docs.collect()} | {i + 100_000: t for i, t in short}
+        for r in found.collect():
+            lang, score = plain(texts[r.doc_id])
+            assert r.lang_pred == lang and math.isclose(r.score, score, rel_tol=1e-3, abs_tol=1e-9)
+
+
+def test_a_language_that_was_not_learned_goes(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang")
+    foreign = frame(spark, [(900_001, "Съешь же ещё этих мягких французских булок"), (900_002, "Ξεσκεπάζω την ψυχοφθόρα βδελυγμία"), (900_003, "xkcd qwrtpsdf zxcvbnm lkjhgfds"), (900_004, None)]).select("doc_id", "text", F.lit(None).cast("string").alias("lang"))
+    kept = {r.doc_id for r in langid.keep_languages(docs.unionByName(foreign)).collect()}
+    assert not kept & {900_001, 900_002, 900_003, 900_004}
+    assert kept == {r.doc_id for r in docs.collect()}
+
+
+def test_parts_of_the_matrix_change_nothing(monkeypatch):
+    langs, model = ["a", "b"], np.log(np.random.default_rng(1).random((langid.BUCKETS + 1, 2))).astype(np.float32)
+    texts = ["abc def ghij " * 50, None, "", "x", "lorem ipsum " * 9]
+    whole = langid.predict(texts, langs, model)
+    monkeypatch.setattr(langid, "VALUES", 14)
+    monkeypatch.setattr(langid, "TOGETHER", 30)
+    monkeypatch.setattr(langid, "PIECE", 37)
+    again = langid.predict(texts, langs, model)
+    assert again[0] == whole[0] and np.allclose(again[1], whole[1]) and np.allclose(again[2], whole[2])
+
+
+def test_ids_of_text(spark):
+    rows = spark.createDataFrame([("abc", "the cat 1.2.3.4", "en"), ("abd", "the cat 1.2.3.4", "en"), (None, "x", None)], "doc_id string, text string, lang string")
+    assert {r.doc_id: r.n_ip for r in pii.digest(pii.personal_data(rows)).collect()} == {"abc": 1, "abd": 1, None: 0}
+    assert {r.doc_id for r in langid.language_of(rows).collect()} == {"abc", "abd", None}
+
+
 def test_pieces_of_a_long_text_are_counted_once(monkeypatch):
     text = "abc def ghij " * 50
     whole = sorted(x for part in langid.grams(text) for x in part.tolist())
@@ -96,6 +152,24 @@ def test_personal_data(spark, small):
     assert pii.digest(pii.personal_data(frame(spark, []))).count() == 0
 
 
+def test_many_spans_in_one_text(spark):
+    """Places and contexts over many blocks and pieces; twice the matches take about twice the time."""
+    rnd = random.Random(12)
+    text = "".join(rnd.choice(["a@b.co ", "1.2.3.4 ", "call +49 30 1234567 ", "é😀 ", "x" * rnd.randint(1, 90) + " ", "4111 1111 1111 1111, "]) for _ in range(9_000))
+    base = plain_base(text)
+    got = pii.digest(pii.personal_data(frame(spark, [(1, text)]))).first()
+    assert len(base) > 4_000 and got.base_sha256 == digest(base)
+    phones = [x for x in got.scores.split(",") if x.startswith("phone")]
+    assert phones == [f"phone:{s}:{e}:{80 if re.search(pii.CONTEXT['phone'], (text[max(0, s - 40) : s] + ' ' + text[e : e + 20]).lower()) else 50}" for k, s, e in base if k == "phone"]
+    times = []
+    for n in (8_000, 16_000):
+        rows = frame(spark, [(1, "a@b.co 1.2.3.4 " * n)])
+        began = time.monotonic()
+        assert pii.digest(pii.personal_data(rows)).first().n_ip == n
+        times.append(time.monotonic() - began)
+    assert times[1] < 3 * times[0] + 5
+
+
 def test_added_kinds_and_context(spark):
     rows = [(1, "IBAN DE89 3704 0044 0532 0130 00 ok"), (2, "DE88 3704 0044 0532 0130 00"), (3, "ssn 123-45-6789"), (4, "123-45-6789"), (5, "call +49 30 1234567"), (6, "xx +49 30 1234567")]
     got = {r.doc_id: (r.spans, r.scores) for r in pii.digest(pii.personal_data(frame(spark, rows))).collect()}
@@ -110,7 +184,7 @@ def test_added_kinds_and_context(spark):
 
 @pytest.mark.parametrize("n", range(10, 22))
 def test_masks_meet_any_fifth_of_substitutions(n):
-    offsets = [[i for i, c in enumerate(m) if c == "1"] for m in decontaminate.MASKS]
+    offsets = [[i for i, c in enumerate(m) if c == "1"] for m in decontaminate.MASKS[10]]
     for gone in itertools.combinations(range(n), n // 5):
         assert any(all(s + x not in gone for x in o) for o in offsets for s in range(n - o[-1]))
 
@@ -123,19 +197,18 @@ def plain_contaminated(docs, items):
     out = set()
     for (d, t), (i, b) in itertools.product(docs, items):
         x, y = plain_words(t), plain_words(b)
-        if len(y) < decontaminate.MIN_WORDS:
+        if not y:
             continue
         wide = min(len(y), decontaminate.WINDOW)
-        masks = decontaminate.MASKS if len(y) >= decontaminate.SHORT else decontaminate.SHORT_MASKS
-        for m in masks:
+        for m in decontaminate.masks_of(len(y)):
             ones = [k for k, c in enumerate(m) if c == "1"]
             for q in range(len(y) - len(m) + 1):
                 for p in range(len(x) - len(m) + 1):
                     if all(x[p + k] == y[q + k] for k in ones):
-                        s = max(0, min((q - decontaminate.WINDOW // 2) // decontaminate.STEP * decontaminate.STEP, len(y) - wide))
-                        at = p - q + s
-                        same = sum(any(0 <= at + j + k < len(x) and max(0, at - 2) <= at + j + k < at + wide + 2 and x[at + j + k] == y[s + j] for k in range(-2, 3)) for j in range(wide))
-                        if same >= decontaminate.LEAST * wide:
+                        block = q // decontaminate.WINDOW * decontaminate.WINDOW
+                        first, last = max(0, block - decontaminate.WINDOW + 1), min(len(y), block + 2 * decontaminate.WINDOW - 1)
+                        same = [any(0 <= p - q + j + k < len(x) and first - 2 <= j + k < last + 2 and x[p - q + j + k] == y[j] for k in range(-2, 3)) for j in range(first, last)]
+                        if max(sum(same[k : k + wide]) for k in range(len(same) - wide + 1)) >= decontaminate.LEAST * wide:
                             out.add((d, i))
     return out
 
@@ -143,7 +216,8 @@ def plain_contaminated(docs, items):
 def test_decontamination(spark):
     rnd = random.Random(6)
     vocabulary = [f"w{k}" for k in range(40)]
-    items = [(i, " ".join(rnd.choice(vocabulary) for _ in range(rnd.choice([3, 5, 8, 12, 20, 45])))) for i in range(12)]
+    items = [(i, " ".join(rnd.choice(vocabulary) for _ in range(rnd.choice([1, 2, 3, 4, 5, 8, 12, 20, 45, 80])))) for i in range(14)]
+    items[0], items[1] = (0, "W1 alone9"), (1, "w2 w3 w4 four9")
     docs = []
     for d in range(60):
         words = [rnd.choice(vocabulary) for _ in range(rnd.randint(0, 60))]
@@ -154,12 +228,17 @@ def test_decontamination(spark):
             at = rnd.randint(0, len(words))
             words[at:at] = part
         docs.append((d, ", ".join(words).upper()))
-    docs += [(100, None), (101, ""), (102, items[4][1]), (102, items[4][1])]
-    items += [(50, None), (51, "")]
+    long = [f"u{k}" for k in range(59)]
+    items += [(50, None), (51, ""), (52, " ".join(long)), (53, "answer is forty two"), (54, "lone7")]
+    part = [w if k not in (5, 9, 13, 17) else "gone" for k, w in enumerate(long)][3:28]
+    docs += [(100, None), (101, ""), (102, items[4][1]), (102, items[4][1]), (103, " ".join(part)), (104, "so the answer is forty two ."), (105, "the answer is forty or two"), (106, "a lone7 word"), (107, "x " * 100_000 + " ".join(long[:40]))]
     found = decontaminate.contaminated(frame(spark, docs), frame(spark, items, "item_id long, text string"))
     got = [(r.doc_id, r.item_id) for r in found.collect()]
     assert len(got) == len(set(got))
     assert set(got) == plain_contaminated(docs, items)
+    assert {(103, 52), (104, 53), (106, 54), (107, 52)} <= set(got) and (105, 53) not in got
+    nameless = decontaminate.drop_contaminated(frame(spark, [(None, "so the answer is forty two"), (None, "clean"), (7, "clean"), (7, "lone7")]), frame(spark, items, "item_id long, text string"))
+    assert sorted((r.doc_id or 0, r.text) for r in nameless.collect()) == [(0, "clean"), (7, "clean")]
     stay = decontaminate.drop_contaminated(frame(spark, docs), frame(spark, items, "item_id long, text string"))
     assert {r.doc_id for r in stay.collect()} == {d for d, _ in docs} - {d for d, _ in got}
     assert stay.columns == frame(spark, docs).columns
