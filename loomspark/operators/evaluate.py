@@ -93,13 +93,17 @@ def preferred(fixtures: DataFrame) -> DataFrame:
     return eligible.groupBy("kind").agg(F.min_by(F.struct("source", "rows"), "p").alias("x")).select("kind", "x.source", "x.rows")
 
 
-def keyed_delta(live: DataFrame, candidate: DataFrame, key: str, label: str, shown: int = 10) -> DataFrame:
+def keyed_delta(live: DataFrame, candidate: DataFrame, key: str, label: str, shown: int = 10, order: str | None = None) -> DataFrame:
     """One row: numbers shared, added, removed and relabelled, and the first ``shown`` added and removed keys.
 
-    Of rows that share a key the largest label counts. The keys shown come from two bounded top-k sorts.
+    Of rows that share a key the last label by ``order`` counts, without one the largest; a row without a key goes by its
+    label. The keys shown come from two bounded top-k sorts.
     """
-    a = live.groupBy(F.col(key).alias("k")).agg(F.max(label).alias("a"))
-    b = candidate.groupBy(F.col(key).alias("k")).agg(F.max(label).alias("b"))
+    named = live.schema[key].dataType.simpleString() == "string"
+    own = F.coalesce(F.nullif(F.col(key), F.lit("")), F.col(label)) if named else F.col(key)
+    last = F.max_by(label, order) if order else F.max(label)
+    a = live.groupBy(own.alias("k")).agg(last.alias("a"))
+    b = candidate.groupBy(own.alias("k")).agg(last.alias("b"))
     rows = a.withColumn("in_a", F.lit(True)).join(b.withColumn("in_b", F.lit(True)), "k", "full_outer")
     old, new = F.col("in_a").isNotNull(), F.col("in_b").isNotNull()
     sums = rows.agg(F.count_if(old & new).alias("shared"), F.count_if(~old).alias("added"), F.count_if(~new).alias("removed"), F.count_if(old & new & (F.col("a") != F.col("b"))).alias("relabelled"))
@@ -214,3 +218,44 @@ def one_default(registry: DataFrame, name: str = "corpus_id") -> DataFrame:
 def uniqueness(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Marks all but the first row of a key."""
     return rows.withColumn("duplicate", F.row_number().over(Window.partitionBy(key).orderBy(order)) > 1)
+
+
+def metric(scorecard: Column, path: str) -> Column:
+    """The number at a dotted path of a JSON scorecard; null where there is none or something else."""
+    found = F.get_json_object(scorecard, "$." + path)
+    return F.when(found.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][-+]?[0-9]+)?$"), found.cast("double"))
+
+
+def fixture_counts(fixtures: DataFrame) -> DataFrame:
+    """(kind, fixtures): rows of each kind of fixture."""
+    return fixtures.groupBy("kind").agg(F.count(F.lit(1)).alias("fixtures"))
+
+
+def merged_counts(*maps: DataFrame) -> DataFrame:
+    """(key, n): the sums of several count tables."""
+    out = maps[0]
+    for more in maps[1:]:
+        out = out.unionByName(more)
+    return out.groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def normalized_pair(values: Column, labels: bool = False) -> Column:
+    """The first two different values in order, in lower case if they are labels; null without two."""
+    kept = F.filter(values, lambda v: v.isNotNull() & (v != ""))
+    unique = F.sort_array(F.array_distinct(F.transform(kept, F.lower) if labels else kept))
+    return F.when(F.size(unique) >= 2, F.slice(unique, 1, 2))
+
+
+def policy_diff(live: DataFrame, overrides: DataFrame) -> DataFrame:
+    """(threshold, from, to, delta) of each override (threshold, bound) of a live policy; delta is null for a new one."""
+    old = live.select("threshold", F.col("bound").alias("from"))
+    return overrides.select("threshold", F.col("bound").alias("to")).join(old, "threshold", "left").select("threshold", "from", "to", F.round(F.col("to") - F.col("from"), 4).alias("delta"))
+
+
+def query_summary(states: DataFrame, hits: DataFrame, citations: DataFrame, evidence: DataFrame) -> DataFrame:
+    """What a replay compares of each query: state, confidence, the best hit, six citations, the number of evidence."""
+    top = hits.where("rank = 1").select("query_id", F.col("kind").alias("top_hit_kind"), F.col("title").alias("top_hit_title"), F.round("score", 4).alias("top_score"))
+    counted = evidence.groupBy("query_id").agg(F.count(F.lit(1)).alias("evidence_count"))
+    rows = states.select("query_id", F.col("state").alias("answer_state"), "confidence").join(top, "query_id", "left").join(counted, "query_id", "left")
+    rows = rows.join(citations.select("query_id", F.slice("citations", 1, 6).alias("citations")), "query_id", "left")
+    return rows.withColumns({"top_score": F.coalesce("top_score", F.lit(0.0)), "evidence_count": F.when(F.col("answer_state") == "abstain", 0).otherwise(F.coalesce("evidence_count", F.lit(0)))})

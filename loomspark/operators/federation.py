@@ -100,12 +100,82 @@ def canonical_families(records: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def canonical_actions(records: DataFrame, groups: DataFrame) -> DataFrame:
-    """Per group of actions or questions: most common text and status, members and corpora."""
+    """Per group of actions or questions: most common text, status (open if it has none) and reason, members, corpora,
+    and the term vector of the members' texts."""
     rows = records.join(groups, "member_id")
     base = rows.groupBy("group_id").agg(F.count(F.lit(1)).alias("member_count"), F.sort_array(F.collect_set("corpus_id")).alias("corpus_ids"))
     text = mode_first(rows, ["group_id"], "label", "member_id").withColumnRenamed("label", "canonical_text")
-    status = mode_first(rows.withColumn("status", F.coalesce("status", F.lit("open"))), ["group_id"], "status", "member_id")
-    return base.join(text, "group_id").join(status, "group_id")
+    out = base.join(text, "group_id")
+    if "status" in records.columns:
+        out = out.join(mode_first(rows.withColumn("status", F.coalesce("status", F.lit("open"))), ["group_id"], "status", "member_id"), "group_id")
+    if "why" in records.columns:
+        out = out.join(mode_first(rows.where("why <> ''"), ["group_id"], "why", "member_id"), "group_id", "left").fillna("", ["why"])
+    if "text" in records.columns:
+        out = out.join(terms.term_maps(rows, "group_id", "text", 16, [], 1).select("group_id", "vector_terms"), "group_id", "left")
+    return out
+
+
+def canonical_aliases(records: DataFrame, groups: DataFrame, canonical: DataFrame) -> DataFrame:
+    """(group_id, alias) of labels and aliases of a group's members other than its canonical label, each once."""
+    rows = records.join(groups, "member_id")
+    names = F.concat(F.array("label"), F.coalesce("aliases", F.expr("cast(array() as array<string>)"))) if "aliases" in records.columns else F.array("label")
+    found = rows.select("group_id", F.explode(names).alias("alias")).where("alias <> ''").distinct()
+    return found.join(canonical.select("group_id", F.col("label").alias("_label")), "group_id").where("alias <> _label").drop("_label")
+
+
+def thread_refs(records: DataFrame, groups: DataFrame) -> DataFrame:
+    """(group_id, corpus_id, thread) of the canonical threads of a group's families."""
+    return records.join(groups, "member_id").where("coalesce(thread, '') <> ''").select("group_id", "corpus_id", "thread")
+
+
+def doctrine_briefs(families: DataFrame) -> DataFrame:
+    """Canonical families with brief_text, one sentence on each, and the search_text that a search of briefs reads."""
+    corpora = F.array_join("corpus_ids", ", ")
+    none = F.expr("cast(array() as array<string>)")
+    themes = F.coalesce(F.nullif(F.array_join(F.coalesce("stable_themes", none), ", "), F.lit("")), F.lit("no stable themes"))
+    # The brief's wording.
+    brief = F.concat("canonical_title", F.lit(" spans "), F.size("corpus_ids").cast("string"), F.lit(" corpora and "), F.col("member_count").cast("string"), F.lit(" family members. Stable themes: "), themes, F.lit(". Corpora: "), F.coalesce(F.nullif(corpora, F.lit("")), F.lit("n/a")), F.lit("."))
+    own = [F.coalesce("search_text", F.lit(""))] if "search_text" in families.columns else []
+    return families.withColumns({"brief_text": brief, "search_text": F.trim(F.concat_ws(" ", "canonical_title", themes, corpora, *own))})
+
+
+def family_records(families: DataFrame, dossiers: DataFrame, briefs: DataFrame) -> DataFrame:
+    """Families (corpus_id, family_id, title, thread) as records for merging, with what their dossier (themes, entities,
+    actions, unresolved: arrays) and their brief (text) add; a family without either keeps its title alone."""
+    key = ["corpus_id", "family_id"]
+    rows = families.join(dossiers, key, "left").join(briefs.withColumnRenamed("text", "_brief"), key, "left")
+    none = F.expr("cast(array() as array<string>)")
+    lists = {c: F.coalesce(c, none) for c in ("themes", "entities", "actions", "unresolved")}
+    rows = rows.withColumns(lists)
+    text = F.trim(F.concat_ws(" ", "title", F.array_join("themes", " "), F.array_join("entities", " "), F.coalesce("_brief", F.lit(""))))
+    return rows.select("corpus_id", F.concat_ws(":", "corpus_id", "family_id").alias("member_id"), F.col("title").alias("label"), "thread", "themes", F.col("entities").alias("key_entities"), "actions", "unresolved", text.alias("text"))
+
+
+def build_canon(records: dict[str, DataFrame], accepted: DataFrame, rejected: DataFrame, prior: DataFrame) -> dict[str, DataFrame]:
+    """All of the canon from records by kind (entity, family, action, unresolved), decisions (review_type, subject_ids,
+    canonical_subject) and the queue that was: suggestions of pairs that nobody decided on, with the status that was known;
+    groups by the accepted decisions; canonical tables, briefs and the conflict report.
+    """
+    # The review type of each kind.
+    kinds = {"entity": "entity-alias", "family": "family-merge", "action": "action-merge", "unresolved": "unresolved-merge"}
+    decided = accepted.select("subject_ids").unionByName(rejected.select("subject_ids")).select(F.sort_array("subject_ids").alias("s")).select(F.get("s", F.lit(0)).alias("left_id"), F.get("s", F.lit(1)).alias("right_id")).distinct()
+    suggested = canon.suggestions(records["family"], "contradiction", decided)
+    out: dict[str, DataFrame] = {}
+    for kind, review in kinds.items():
+        suggested = suggested.unionByName(canon.suggestions(records[kind], review, decided))
+        own = accepted.where(F.col("review_type") == review)
+        groups = decision_groups(records[kind], own.withColumn("decision_id", T.subject_key(F.col("subject_ids"))), kind)
+        out[f"{kind}_groups"] = groups
+        if kind == "entity":
+            out["entities"] = canon.canonical_entities(records[kind], groups.withColumnRenamed("group_id", "root")).withColumnRenamed("root", "group_id")
+        elif kind == "family":
+            out["families"] = canonical_families(records[kind], groups)
+        else:
+            out[{"action": "actions", "unresolved": "questions"}[kind]] = canonical_actions(records[kind], groups)
+    out["briefs"] = doctrine_briefs(out["families"])
+    out["queue"] = carry_over(canon.stable_ids(suggested.drop("status")), prior)
+    out["conflicts"] = conflict_report(suggested.where("review_type = 'contradiction'"), out["families"])
+    return out
 
 
 def conflict_report(contradictions: DataFrame, families: DataFrame) -> DataFrame:
@@ -152,3 +222,56 @@ def federated_documents(families: DataFrame, entities: DataFrame, actions: DataF
 
 def with_prefix(ids: Column, corpus: Column) -> Column:
     return F.transform(ids, lambda x: F.concat_ws("/", corpus, x))
+
+
+def of_mode(docs: DataFrame, mode: str | None) -> DataFrame:
+    """Federated documents of the kind that a mode asks for; all without one."""
+    # The kinds by mode.
+    kinds = {"family_brief": ["federated_family_brief"], "action": ["federated_action_cluster"], "unresolved": ["federated_unresolved_cluster"], "entity": ["federated_entity_dossier"], "project": ["federated_project_dossier"]}
+    if mode is None:
+        return docs
+    if mode not in kinds:
+        raise ValueError(f"unknown mode: {mode}")
+    return docs.where(F.col("kind").isin(kinds[mode]))
+
+
+def corpora_of(payload: dict[str, Column]) -> Column:
+    """The corpora that a canon hit names (corpus_ids, then those of threads, families and sources), in order, each once."""
+    none = F.expr("cast(array() as array<string>)")
+    lists = [F.coalesce(payload[k], none) for k in ("corpus_ids", "thread_corpora", "family_corpora", "source_corpora") if k in payload]
+    return F.array_distinct(F.filter(F.concat(*lists), lambda c: c.isNotNull() & (c != "")))
+
+
+def live_entry(registry: DataFrame, corpus_id: str | None = None, wanted: list[str | None] | None = None) -> DataFrame:
+    """The registry's entry to work on: that of an id; the first of a provider's ids that is registered; the default; the
+    only one. None of these raises. One row is read."""
+    rows = active(registry)
+    if corpus_id:
+        found, why = rows.where(F.col("corpus_id") == corpus_id), f"no active corpus {corpus_id}"
+    elif wanted is not None:
+        ids = list(dict.fromkeys(x for x in wanted if x))
+        place = F.array_position(F.array(*(F.lit(x) for x in ids)), F.col("corpus_id")) if ids else F.lit(0)
+        found, why = rows.withColumn("_p", place).where("_p > 0").orderBy("_p").drop("_p").limit(1), "no active corpus of the provider"
+    else:
+        chosen = rows.where("is_default").orderBy("corpus_id").limit(1)
+        if chosen.isEmpty() and rows.limit(2).count() == 1:
+            chosen = rows
+        found, why = chosen, "name a corpus or a provider: several are active"
+    if found.isEmpty():
+        raise ValueError(why)
+    return found
+
+
+def inspected(targets: DataFrame, registry: DataFrame, contracts: DataFrame) -> DataFrame:
+    """Targets (corpus_id, root) with their registry entry, by id or else by root, and whether they have a contract."""
+    by_id = registry.select("corpus_id", F.col("status").alias("_s1"), F.col("is_default").alias("_d1"))
+    by_root = registry.groupBy("root").agg(F.max_by("status", "corpus_id").alias("_s2"), F.max_by("is_default", "corpus_id").alias("_d2"))
+    held = contracts.select("root").distinct().withColumn("has_contract", F.lit(True))
+    rows = targets.join(by_id, "corpus_id", "left").join(by_root, "root", "left").join(held, "root", "left")
+    return rows.select("corpus_id", "root", (F.col("_s1").isNotNull() | F.col("_s2").isNotNull()).alias("registered"), F.coalesce("_s1", "_s2").alias("registry_status"), F.coalesce("_d1", "_d2", F.lit(False)).alias("is_default"), F.coalesce("has_contract", F.lit(False)).alias("has_contract"))
+
+
+def snapshot(registry: DataFrame) -> DataFrame:
+    """One row on a registry: corpora, active ones, the default."""
+    on = F.coalesce("status", F.lit("active")) == "active"
+    return registry.agg(F.count(F.lit(1)).alias("corpora"), F.count_if(on).alias("active"), F.min(F.when(on & F.col("is_default"), F.col("corpus_id"))).alias("default_corpus"))

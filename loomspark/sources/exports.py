@@ -16,7 +16,7 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from loomspark.functions import text as T
@@ -70,15 +70,46 @@ def node_text(role: Column, content: Column) -> Column:
     return T.normalize_space(shown)
 
 
+def depth_first(nodes: list[tuple[str, str | None, list[str] | None]]) -> list[str]:
+    """Ids of a tree's nodes (id, parent, children) from its roots on, in order; a child that isn't there is left out."""
+    known = {i: children for i, _, children in nodes}
+    waiting = [i for i, parent, _ in reversed(nodes) if not parent]
+    out = []
+    while waiting:
+        i = waiting.pop()
+        if i in known:
+            out.append(i)
+            waiting += reversed(list(known[i] if known[i] is not None else []))
+    return out
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _depth_first(ids: pd.Series, parents: pd.Series, children: pd.Series) -> pd.Series:
+    """A walk whose depth is the conversation's length, so no fixed number of joins can take it."""
+    return pd.Series([depth_first(list(zip(*x, strict=True))) for x in zip(ids, parents, children, strict=True)], dtype=object)
+
+
 def mapping_messages(exports: DataFrame) -> DataFrame:
-    """Messages of mapping trees: all branches, without the system's, in order of time (null first) and node id."""
-    rows = exports.select("conversation_id", "title", F.explode("mapping").alias("node_id", "node")).where("node.message is not null")
+    """Messages of mapping trees: all branches, without the system's, in order of time (null first), then of the tree."""
+    entries = F.map_entries("mapping")
+    walked = _depth_first(F.transform(entries, lambda e: e["key"]), F.transform(entries, lambda e: e["value"]["parent"]), F.transform(entries, lambda e: e["value"]["children"]))
+    rows = exports.where("mapping is not null").select("conversation_id", "title", "mapping", F.posexplode(walked).alias("place", "node_id"))
+    rows = rows.select("conversation_id", "title", "place", "node_id", F.try_element_at("mapping", F.col("node_id")).alias("node")).where("node.message is not null")
     role = F.lower(F.coalesce("node.message.author.role", F.lit("")))
-    order = Window.partitionBy("conversation_id").orderBy(F.coalesce("node.message.create_time", F.lit(0.0)), "node_id")
+    order = Window.partitionBy("conversation_id").orderBy(F.coalesce("node.message.create_time", F.lit(0.0)), "place")
     seen = rows.withColumn("role", role).where("role <> 'system'").withColumn("turn", F.row_number().over(order) - 1)
     return seen.select("conversation_id", F.col("turn").cast("long").alias("turn"), "role", node_text(F.col("role"), F.col("node.message.content")).alias("text"), F.col("node.message.create_time").alias("create_time"))
 
 
+def iso_time(epoch: Column, now: Column | None = None) -> Column:
+    """Seconds since 1970 as an ISO time in UTC, with microseconds where there are any; ``now`` where there is no time."""
+    at = F.timestamp_micros(F.round(epoch * 1_000_000).cast("long"))
+    whole = F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss")
+    part = F.pmod(F.round(epoch * 1_000_000).cast("long"), F.lit(1_000_000))
+    text = F.concat(whole, F.when(part > 0, F.concat(F.lit("."), F.lpad(part.cast("string"), 6, "0"))).otherwise(""), F.lit("+00:00"))
+    return F.coalesce(text, now) if now is not None else text
+
+
 def _item_text(x: Column) -> Column:
     content = F.coalesce(x["content"], F.lit(""))
     return (

@@ -8,20 +8,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _paths(spark: SparkSession, *paths: str) -> list:
-    return [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+POINTER = "CURRENT"
 
 
-def replace_table(df: DataFrame, path: str) -> None:
-    """Write beside the table and rename, so that readers see the old rows or the new ones."""
+def _fs(spark: SparkSession, path: str):  # noqa: ANN202
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def current(spark: SparkSession, path: str) -> str | None:
+    """The folder of a replaced table's present version; null if there is none."""
+    names = [r.value for r in spark.read.text(f"{path}/{POINTER}").collect()] if _fs(spark, f"{path}/{POINTER}")[0].exists(_fs(spark, f"{path}/{POINTER}")[1]) else []
+    return f"{path}/{names[0]}" if names else None
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The rows of a table written by replace_table; null if there is none yet."""
+    at = current(spark, path)
+    return spark.read.parquet(at) if at else None
+
+
+def replace_table(df: DataFrame, path: str, keep: int = 2) -> None:
+    """Write a version of its own beside the others, then swing the pointer, one small file replaced in one step.
+
+    Readers see the old rows or the new ones, whenever the writer stops; the last ``keep`` versions stay for those that
+    are still being read.
+    """
     spark = df.sparkSession
-    fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex}"
-    df.write.parquet(fresh)
-    now, new = _paths(spark, path, fresh)
-    fs = now.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(now, True)
-    if not fs.rename(new, now):
-        raise OSError(f"{fresh} could not be renamed to {path}")
+    fs, root = _fs(spark, path)
+    held = sorted((f.getModificationTime(), f.getPath().getName()) for f in (fs.listStatus(root) if fs.exists(root) else []) if f.getPath().getName().startswith("v-"))
+    name = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{name}")
+    jvm = spark.sparkContext._jvm
+    fresh = jvm.org.apache.hadoop.fs.Path(f"{path}/{POINTER}.{name}")
+    out = fs.create(fresh, True)
+    out.write(bytearray(name.encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fresh.toUri() if fresh.toUri().getScheme() else fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    rename = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = rename
+    context.rename(fresh, jvm.org.apache.hadoop.fs.Path(f"{path}/{POINTER}"), options)
+    for _, old in held[: max(0, len(held) + 1 - keep)]:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/{old}"), True)
+
+
+def write_text(rows: DataFrame, path: str, column: str = "line", order: str = "line_no") -> None:
+    """A report's lines in order, as one text file; reports are as long as a person reads."""
+    rows.orderBy(order).select(F.col(column).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def append_history(entries: DataFrame, path: str) -> None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from loomspark.operators.evaluate import latest
-from loomspark.sources.sinks import replace_table
+from loomspark.sources.sinks import read_table, replace_table
 
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -41,13 +41,7 @@ def keep_state(rows: DataFrame, path: str, checkpoint: str, key: str, at: str, t
     """
 
     def put(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        held = batch
-        try:
-            held = spark.read.parquet(path).unionByName(batch)
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        replace_table(latest(held, key, at, tie), path)
+        known = read_table(batch.sparkSession, path)
+        replace_table(latest(batch if known is None else known.unionByName(batch), key, at, tie), path)
 
     return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -305,7 +305,7 @@ def test_streams_and_sinks(spark, tmp_path, small):
     rows.repartition(3).write.parquet(str(tmp_path / "in"))
     ingest.keep_state(ingest.events(spark, str(tmp_path / "in")), str(tmp_path / "state"), str(tmp_path / "cp"), "user_id", "ts", "event_id").awaitTermination()
     want = sorted(map(tuple, evaluate.latest(rows, "user_id", "ts", "event_id").select("user_id", "event_id").collect()))
-    assert sorted((r.user_id, r.event_id) for r in spark.read.parquet(str(tmp_path / "state")).collect()) == want
+    assert sorted((r.user_id, r.event_id) for r in sinks.read_table(spark, str(tmp_path / "state")).collect()) == want
     stream = ingest.windowed(ingest.events(spark, str(tmp_path / "in")))
     q = stream.writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
@@ -313,11 +313,89 @@ def test_streams_and_sinks(spark, tmp_path, small):
     sinks.append_history(rows.limit(2), str(tmp_path / "history"))
     sinks.append_history(rows.limit(1), str(tmp_path / "history"))
     assert spark.read.parquet(str(tmp_path / "history")).count() == 3
-    sinks.replace_table(rows.limit(1), str(tmp_path / "history"))
-    assert spark.read.parquet(str(tmp_path / "history")).count() == 1
+    assert sinks.read_table(spark, str(tmp_path / "table")) is None
+    for n in (3, 1, 2):
+        sinks.replace_table(rows.limit(n), str(tmp_path / "table"))
+        assert sinks.read_table(spark, str(tmp_path / "table")).count() == n
+    assert len(list((tmp_path / "table").glob("v-*"))) == 2
+    sinks.write_text(spark.createDataFrame([(2, "b"), (1, "a")], "line_no int, line string"), str(tmp_path / "report"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "report")).collect()] == ["a", "b"]
     assert json.loads(sinks.payload(rows.limit(1)).first().payload)["event_id"] is not None
 
 
+def test_trees(spark, tmp_path):
+    nodes = [("r", None, ["a", "b"]), ("b", "r", ["c"]), ("a", "r", None), ("c", "b", ["gone"]), ("s", None, [])]
+    assert exports.depth_first(nodes) == ["r", "a", "b", "c", "s"]
+    told = {i: {"id": i, "parent": p, "children": c or [], "message": {"id": i, "author": {"role": "user"}, "create_time": 1.0, "content": {"content_type": "text", "parts": [i]}}} for i, p, c in nodes}
+    (tmp_path / "a.json").write_text(json.dumps([{"conversation_id": "x", "mapping": told}]))
+    rows = exports.json_table(spark, str(tmp_path / "a.json"), exports.MAPPING)
+    assert [r.text for r in exports.mapping_messages(rows).orderBy("turn").collect()] == ["r", "a", "b", "c", "s"]
+    assert texts(spark, exports.iso_time(F.col("x").cast("double"), F.lit("now")), ["0", "1700000000.5", None]) == ["1970-01-01T00:00:00+00:00", "2023-11-14T22:13:20.500000+00:00", "now"]
+
+
+def test_canon_orchestration(spark):
+    told = records(spark).withColumns({"themes": F.split(F.lower("label"), " "), "text": F.col("label"), "status": F.lit(None).cast("string"), "why": F.lit("")})
+    accepted = spark.createDataFrame([("family-merge", ["b:1", "a:1"], "alpha"), ("entity-alias", ["a:1", "b:1"], "")], "review_type string, subject_ids array<string>, canonical_subject string")
+    rejected = spark.createDataFrame([(["a:1", "c:2"],)], "subject_ids array<string>")
+    prior = spark.createDataFrame([("gone", "family-merge", "rejected")], "review_id string, review_type string, status string")
+    built = federation.build_canon({k: told for k in ("entity", "family", "action", "unresolved")}, accepted, rejected, prior)
+    queue = {(r.review_type, r.left_id, r.right_id) for r in built["queue"].where("status = 'open'").collect()}
+    assert not {x[1:] for x in queue} & {("a:1", "b:1"), ("a:1", "c:2")} and ("family-merge", "b:1", "c:2") in queue
+    assert built["queue"].where("review_id = 'gone'").count() == 1
+    brief = built["briefs"].where("group_id = 'alpha'").first().brief_text
+    assert brief.endswith("spans 2 corpora and 2 family members. Stable themes: alpha, registry, tool. Corpora: a, b.")
+    assert built["actions"].first().status == "open" and built["entities"].where("members = 2").count() == 1
+    aliases = federation.canonical_aliases(told, built["entity_groups"], built["entities"])
+    assert aliases.count() == 1
+    docs = spark.createDataFrame([("d", "federated_action_cluster"), ("e", "federated_entity_dossier")], "doc_id string, kind string")
+    assert [r.doc_id for r in federation.of_mode(docs, "action").collect()] == ["d"] and federation.of_mode(docs, None).count() == 2
+    assert one(spark, federation.corpora_of({"corpus_ids": F.array(F.lit("a"), F.lit("")), "source_corpora": F.array(F.lit("b"), F.lit("a"))})) == ["a", "b"]
+    families = spark.createDataFrame([("a", "f1", "Alpha", "t1"), ("a", "f2", "Beta", None)], "corpus_id string, family_id string, title string, thread string")
+    dossiers = spark.createDataFrame([("a", "f1", ["x"], ["E"], ["do it"], [])], "corpus_id string, family_id string, themes array<string>, entities array<string>, actions array<string>, unresolved array<string>")
+    got = {r.member_id: (r.text, r.actions) for r in federation.family_records(families, dossiers, families.select("corpus_id", "family_id", F.lit("brief").alias("text")).limit(1)).collect()}
+    assert got["a:f1"][1] == ["do it"] and got["a:f2"][1] == [] and got["a:f1"][0].startswith("Alpha x E")
+
+
+def test_registry_choice(spark):
+    registry = spark.createDataFrame([("a", "active", False, "/a"), ("b", "active", True, "/b"), ("c", "retired", False, "/c")], "corpus_id string, status string, is_default boolean, root string")
+    assert [federation.live_entry(registry, *x).first().corpus_id for x in ((), ("a",), (None, [None, "c", "a", "b"]))] == ["b", "a", "a"]
+    for bad in (("c",), (None, ["zz"])):
+        with pytest.raises(ValueError, match="no active"):
+            federation.live_entry(registry, *bad)
+    s = federation.snapshot(registry).first()
+    assert (s.corpora, s.active, s.default_corpus) == (3, 2, "b")
+    targets = spark.createDataFrame([("a", "/a"), ("new", "/b"), ("zz", "/z")], "corpus_id string, root string")
+    got = {r.corpus_id: (r.registered, r.is_default, r.has_contract) for r in federation.inspected(targets, registry, targets.where("corpus_id = 'a'")).collect()}
+    assert got == {"a": (True, False, True), "new": (True, True, False), "zz": (False, False, False)}
+
+
+def test_small_values(spark):
+    assert texts(spark, evaluate.metric(F.col("x"), "a.b"), ['{"a": {"b": 0.5}}', '{"a": {"b": "x"}}', '{"a": 1}', "{}"]) == [0.5, None, None, None]
+    assert one(spark, evaluate.normalized_pair(F.array(F.lit("B"), F.lit(""), F.lit("a"), F.lit("b")), labels=True)) == ["a", "b"]
+    assert one(spark, evaluate.normalized_pair(F.array(F.lit("a"), F.lit("a")))) is None
+    counts = spark.createDataFrame([("x", 1), ("y", 2)], "key string, n long")
+    assert sorted(map(tuple, evaluate.merged_counts(counts, counts.limit(1)).collect())) == [("x", 2), ("y", 2)]
+    live = evaluate.normalized_policy(spark)
+    diff = evaluate.policy_diff(live, spark.createDataFrame([("max_warn_corpora", 2.0), ("new", 1.0)], "threshold string, bound double"))
+    assert {r.threshold: (r["from"], r.to, r.delta) for r in diff.collect()} == {"max_warn_corpora": (0.0, 2.0, 2.0), "new": (None, 1.0, None)}
+    listing = spark.createDataFrame([("a.md",), ("s/b.md",), ("s/Attachments/c.png",), ("Cookies",), ("x.json",), ("a.md",)], "path string")
+    found = {a: sorted(r.path for r in lifecycle.source_files(listing, a).collect()) for a in ("markdown-document", "markdown-transcript", "claude-local-session", "claude-export", "other")}
+    assert found == {"markdown-document": ["a.md", "s/b.md"], "markdown-transcript": ["a.md", "s/Attachments/c.png", "s/b.md"], "claude-local-session": ["Cookies"], "claude-export": ["x.json"], "other": []}
+    assert [r.path for r in lifecycle.source_files(listing, "markdown-document", top_level=True).collect()] == ["a.md"]
+    assert [r.root for r in lifecycle.attachment_roots(listing).collect()] == ["s/Attachments"]
+    policies = lifecycle.source_policy(spark.createDataFrame([("a/b", "/c"), (None, "")], "primary_root string, fallback_root string"), "/w/")
+    assert [tuple(r) for r in policies.collect()] == [("/w/a/b", "/c"), (None, "")]
+    candidates = spark.createDataFrame([("c1", "staged"), ("c2", "rejected")], "candidate_id string, status string")
+    assert {r.candidate_id: r.status for r in lifecycle.candidate_transition(candidates, "c1", "approved", "now").collect()} == {"c1": "approved", "c2": "rejected"}
+    for bad in (("c2", "approved"), ("c1", "promoted"), ("zz", "approved")):
+        with pytest.raises(ValueError):
+            lifecycle.candidate_transition(candidates, *bad, "now")
+    tagged = texts(spark, F.array_join(markdown.tags(F.col("x"), F.lit("A branch"), F.array(F.lit("plan"))), ","), ["## Q: x\n## A: y", "```x"])
+    assert tagged == ["markdown-import,markdown-document,q-and-a,planning,branch-export", "markdown-import,markdown-document,code-heavy,planning,branch-export"]
+    assert one(spark, markdown.ledger(F.col("x")), "We should write the documentation now! Minimize the number of open tabs. Nothing to see in this one here.") == ["We should write the documentation now!", "Minimize the number of open tabs."]
+    assert one(spark, markdown.ledger(F.col("x"), unresolved=True), "Is this the question that stays? The decision remains with the board of owners.") == ["Is this the question that stays?", "The decision remains with the board of owners."]
+
+
 def test_cli(capsys, tmp_path):
     from loomspark import cli
 
