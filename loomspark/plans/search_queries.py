@@ -448,20 +448,55 @@ def index_filter_text(spark: SparkSession, d: str) -> DataFrame:
     return rows.where(F.contains(F.lower(F.concat_ws(" ", "doc_id", "text", "lang", "source")), F.lit("the"))).select("doc_id", "source", "lang")
 
 
-@query(f"""WITH RECURSIVE {_GROUPS.strip()},
+_FAMILIES = f"""WITH RECURSIVE {_GROUPS.strip()},
 m AS (SELECT root, member_id, corpus_id, label, themes FROM g JOIN x USING (member_id)),
 t AS (SELECT root, label, row_number() OVER (PARTITION BY root ORDER BY count(*) DESC, min(member_id)) AS i FROM m GROUP BY root, label),
 u AS (SELECT root, member_id, unnest(list_sort(themes)) AS v, generate_subscripts(themes, 1) - 1 AS p FROM m),
 c AS (SELECT root, v, row_number() OVER (PARTITION BY root ORDER BY count(*) DESC, min((member_id, p))) AS i FROM u GROUP BY root, v),
 s AS (SELECT root, string_agg(v, ',' ORDER BY i) AS themes FROM c WHERE i <= 8 GROUP BY root)
 SELECT root, t.label AS canonical_title, count(*) AS member_count, string_agg(DISTINCT corpus_id, ',' ORDER BY corpus_id) AS corpora, coalesce(any_value(s.themes), '') AS themes
-FROM m JOIN t USING (root) LEFT JOIN s USING (root) WHERE t.i = 1 GROUP BY root, t.label""")
+FROM m JOIN t USING (root) LEFT JOIN s USING (root) WHERE t.i = 1 GROUP BY root, t.label"""
+
+
+@query(_FAMILIES)
 def canon_families(spark: SparkSession, d: str) -> DataFrame:
     records, groups = _groups(spark, d)
     rows = federation.canonical_families(records, groups.withColumnRenamed("root", "group_id"))
     return rows.select(F.col("group_id").alias("root"), "canonical_title", "member_count", F.array_join("corpus_ids", ",").alias("corpora"), F.coalesce(F.array_join("stable_themes", ","), F.lit("")).alias("themes"))
 
 
+@query(f"""SELECT root, canonical_title || ' spans ' || len(string_split(corpora, ',')) || ' corpora and ' || member_count || ' family members. Stable themes: '
+  || CASE WHEN themes = '' THEN 'no stable themes' ELSE replace(themes, ',', ', ') END || '. Corpora: ' || replace(corpora, ',', ', ') || '.' AS brief_text FROM ({_FAMILIES})""")
+def doctrine_briefs(spark: SparkSession, d: str) -> DataFrame:
+    records, groups = _groups(spark, d)
+    families = federation.canonical_families(records, groups.withColumnRenamed("root", "group_id"))
+    return federation.doctrine_briefs(families).select(F.col("group_id").alias("root"), "brief_text")
+
+
+@query(f"""WITH RECURSIVE {_GROUPS.strip()}, e2 AS (SELECT root, arg_min(label, (length(label), lower(label), label)) AS canonical FROM g JOIN r USING (member_id) GROUP BY root)
+SELECT DISTINCT root, label AS alias FROM g JOIN r USING (member_id) JOIN e2 USING (root) WHERE label <> '' AND label <> canonical""")
+def canon_aliases(spark: SparkSession, d: str) -> DataFrame:
+    records, groups = _groups(spark, d)
+    named = groups.withColumnRenamed("root", "group_id")
+    canonical = canon.canonical_entities(records, groups).withColumnRenamed("root", "group_id")
+    return federation.canonical_aliases(records, named, canonical).select(F.col("group_id").alias("root"), "alias")
+
+
+_TAGGED = f"k AS (SELECT doc_id, list(token) AS words FROM {_vector_sql('documents', 'doc_id', 'text', 12, T.CHAT_STOP_WORDS)} GROUP BY doc_id)"
+
+
+@query(f"""WITH {_TAGGED}
+SELECT doc_id, concat_ws(',', 'markdown-import', 'markdown-document', CASE WHEN contains(lower(text), '## q:') AND contains(lower(text), '## a:') THEN 'q-and-a' END,
+  CASE WHEN contains(text, '```') OR list_has_any(words, ['react', 'python', 'javascript', 'code']) THEN 'code-heavy' END, CASE WHEN list_has_any(words, ['plan', 'roadmap', 'workflow', 'implementation']) THEN 'planning' END,
+  CASE WHEN list_has_any(words, ['research', 'review', 'funding', 'grant', 'blueprint']) THEN 'research' END, CASE WHEN list_has_any(words, ['housing', 'benefits', 'support', 'trauma', 'recovery']) THEN 'support' END,
+  CASE WHEN contains(lower(left(text, 60)), 'resume-me') OR contains(lower(left(text, 60)), 'branch') THEN 'branch-export' END) AS tags FROM documents LEFT JOIN k USING (doc_id)""")
+def document_tags(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    words = terms.ranked_terms(docs, "doc_id", "text", 12, T.CHAT_STOP_WORDS).groupBy("doc_id").agg(F.collect_list("token").alias("words"))
+    rows = docs.join(words, "doc_id", "left")
+    return rows.select("doc_id", F.array_join(markdown.tags(F.col("text"), F.left("text", F.lit(60)), F.col("words")), ",").alias("tags"))
+
+
 _FLAT = S.space("text")
 _SNIPPET = f"""
 WITH f AS (SELECT doc_id, {_FLAT} AS t FROM documents),

@@ -12,6 +12,7 @@ from loomspark.plans import sqltext as S
 from loomspark.plans.search_queries import CONTRADICTION_SQL, FAMILY_SQL, entity_records, entity_sql, family_records
 from loomspark.plans.search_queries import SQL as SEARCH
 from loomspark.plans.shared import table, written
+from loomspark.sources import exports
 from loomspark.streaming import ingest
 
 QUERIES = {}
@@ -549,3 +550,81 @@ def surface_manifest(spark: SparkSession, d: str) -> DataFrame:
     payload = contracts.manifest(spark, registry, "2024-01-01")
     issues = contracts.schema_issues(payload, "surface-manifest").groupBy("id").agg(F.count(F.lit(1)).alias("issues"))
     return payload.join(issues, "id", "left").select("id", "payload", F.coalesce("issues", F.lit(0)).alias("issues"))
+
+
+_FOLDER = "CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'notes/' ELSE 'notes/Attachments/' END || printf('%06d', doc_id) || CASE doc_id % 4 WHEN 0 THEN '.md' WHEN 1 THEN '.json' WHEN 2 THEN '.png' ELSE '.txt' END"
+
+
+def _listing(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as files of a folder, with names by their ids."""
+    folder = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, "notes/").otherwise("notes/Attachments/")
+    ext = F.when(F.col("doc_id") % 4 == 0, ".md").when(F.col("doc_id") % 4 == 1, ".json").when(F.col("doc_id") % 4 == 2, ".png").otherwise(".txt")
+    return table(spark, d, "documents").select("doc_id", F.concat(folder, F.format_string("%06d", "doc_id"), ext).alias("path"), F.col("text").alias("content"))
+
+
+@query(f"""WITH l AS (SELECT doc_id, {_FOLDER} AS path FROM documents)
+SELECT 'markdown-document' AS adapter, path FROM l WHERE ends_with(path, '.md') UNION ALL SELECT 'markdown-transcript', path FROM l WHERE ends_with(path, '.md') OR contains(path, 'Attachments/')
+UNION ALL SELECT 'chatgpt-export', path FROM l WHERE ends_with(path, '.json') UNION ALL SELECT 'grok-export', path FROM l WHERE NOT ends_with(path, '.png')""")
+def source_files(spark: SparkSession, d: str) -> DataFrame:
+    out = None
+    for adapter in ("markdown-document", "markdown-transcript", "chatgpt-export", "grok-export"):
+        one = lifecycle.source_files(_listing(spark, d).select("path"), adapter).select(F.lit(adapter).alias("adapter"), "path")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"SELECT DISTINCT 'notes/Attachments' AS root FROM (SELECT {_FOLDER} AS path FROM documents) WHERE contains(path, 'Attachments/')")
+def attachment_roots(spark: SparkSession, d: str) -> DataFrame:
+    return lifecycle.attachment_roots(_listing(spark, d))
+
+
+@query(f"SELECT doc_id, {_FOLDER} AS path, sha256(text) AS sha256 FROM documents")
+def file_hashes(spark: SparkSession, d: str) -> DataFrame:
+    return lifecycle.hashed(_listing(spark, d))
+
+
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(ts) % 1000000 > 0 THEN '.' || lpad((epoch_us(ts) % 1000000)::VARCHAR, 6, '0') ELSE '' END || '+00:00' AS at,
+ json_extract(props, '$.k')::DOUBLE AS k FROM events""")
+def event_times(spark: SparkSession, d: str) -> DataFrame:
+    """Times as text, and the number at a path of each event's properties."""
+    rows = table(spark, d, "events")
+    return rows.select("event_id", exports.iso_time(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("at"), evaluate.metric(F.col("props"), "k").alias("k"))
+
+
+@query("""SELECT n AS left_label, m AS right_label, count(*) AS documents FROM (SELECT least(lower(lang), lower(source)) AS n, greatest(lower(lang), lower(source)) AS m FROM documents
+ WHERE lang <> '' AND source <> '' AND lower(lang) <> lower(source)) GROUP BY ALL""")
+def normalized_pairs(spark: SparkSession, d: str) -> DataFrame:
+    pair = evaluate.normalized_pair(F.array("lang", "source"), labels=True)
+    return table(spark, d, "documents").select(pair.alias("p")).where("p is not null").groupBy(F.col("p")[0].alias("left_label"), F.col("p")[1].alias("right_label")).agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query("SELECT key, sum(n)::BIGINT AS n FROM (SELECT lang AS key, count(*) AS n FROM documents GROUP BY 1 UNION ALL SELECT source, count(*) FROM documents GROUP BY 1 UNION ALL SELECT lang, count(*) FROM documents JOIN labels USING (doc_id) GROUP BY 1) GROUP BY key")
+def merged_counts(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    parts = [rows.groupBy(F.col(c).alias("key")).agg(F.count(F.lit(1)).alias("n")) for rows, c in ((docs, "lang"), (docs, "source"), (docs.join(table(spark, d, "labels"), "doc_id"), "lang"))]
+    return evaluate.merged_counts(*parts)
+
+
+_REGISTRY = "r AS (SELECT printf('s%d', s_suppkey) AS corpus_id, CASE WHEN s_acctbal < 0 THEN 'retired' ELSE 'active' END AS status, s_suppkey % 9 = 4 AS is_default, printf('/data/%d', s_nationkey) AS root FROM supplier)"
+
+
+def _registry(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers as registered corpora, in a folder by nation."""
+    key = F.col("s_suppkey")
+    return table(spark, d, "supplier").select(F.format_string("s%d", key).alias("corpus_id"), F.when(F.col("s_acctbal") < 0, "retired").otherwise("active").alias("status"), (key % 9 == 4).alias("is_default"), F.format_string("/data/%d", "s_nationkey").alias("root"))
+
+
+@query(f"WITH {_REGISTRY} SELECT count(*) AS corpora, count(*) FILTER (status = 'active') AS active, min(corpus_id) FILTER (status = 'active' AND is_default) AS default_corpus FROM r")
+def registry_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    return federation.snapshot(_registry(spark, d))
+
+
+@query(f"""WITH {_REGISTRY}, t AS (SELECT printf('s%d', c_custkey) AS corpus_id, printf('/data/%d', c_nationkey) AS root FROM customer),
+b AS (SELECT root, arg_max(status, corpus_id) AS status, arg_max(is_default, corpus_id) AS is_default FROM r GROUP BY root), k AS (SELECT DISTINCT printf('/data/%d', n_nationkey) AS root FROM nation WHERE n_nationkey % 2 = 0)
+SELECT t.corpus_id, t.root, r.status IS NOT NULL OR b.status IS NOT NULL AS registered, coalesce(r.status, b.status) AS registry_status, coalesce(r.is_default, b.is_default, false) AS is_default, k.root IS NOT NULL AS has_contract
+FROM t LEFT JOIN r ON r.corpus_id = t.corpus_id LEFT JOIN b ON b.root = t.root LEFT JOIN k ON k.root = t.root""")
+def inspected_targets(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as targets, registered by their number or else by their nation's folder."""
+    targets = table(spark, d, "customer").select(F.format_string("s%d", "c_custkey").alias("corpus_id"), F.format_string("/data/%d", "c_nationkey").alias("root"))
+    contracts = table(spark, d, "nation").where("n_nationkey % 2 = 0").select(F.format_string("/data/%d", "n_nationkey").alias("root"))
+    return federation.inspected(targets, _registry(spark, d), contracts)
