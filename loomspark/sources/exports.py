@@ -23,13 +23,15 @@ from loomspark.functions import text as T
 
 MESSAGE = "struct<id:string,author:struct<role:string>,create_time:double,content:struct<content_type:string,parts:array<string>,text:string,language:string>>"
 MAPPING = f"title string, create_time double, update_time double, conversation_id string, mapping map<string, struct<id:string,parent:string,children:array<string>,message:{MESSAGE}>>"
-ITEM = "struct<type:string,text:string,name:string,language:string,input:string,content:string,is_error:boolean,width:int,height:int,file_name:string>"
+ITEM = "struct<type:string,text:string,name:string,title:string,language:string,mime_type:string,input:string,content:string,value:string,code:string,output:string,stdout:string,stderr:string,is_error:boolean,width:int,height:int,file_name:string>"
 FILE = "struct<file_name:string,name:string>"
 MESSAGES = f"uuid string, name string, summary string, created_at string, updated_at string, chat_messages array<struct<uuid:string,sender:string,created_at:string,updated_at:string,text:string,content:array<{ITEM}>,attachments:array<{FILE}>,files:array<{FILE}>>>"
 EXPORTER = "metadata struct<title:string,link:string,dates:struct<created:string,updated:string>>, messages array<struct<role:string,say:string>>"
 #: Content that isn't shown, and where long output is cut.
 SKIPPED_CONTENT = ["user_editable_context", "model_editable_context", "thoughts"]
 CUT = 500
+NESTED = ["content", "value", "output", "stdout", "stderr"]
+SAID_AGAIN = ["code", "tool_use", "tool_result", "execution_output", "tool_output", "image", "image_asset", "image_pointer", "attachment", "document", "file"]
 EXTENSIONS = ["md", "markdown", "txt", "html", "htm", "json", "csv"]
 
 
@@ -47,27 +49,39 @@ def keep_first(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.where(F.col(key).isNotNull()).withColumn("_n", n).where("_n = 1").drop("_n").unionByName(rows.where(F.col(key).isNull()))
 
 
-def _part_text(part: Column) -> Column:
-    """A part is text, or an object with text or an image's size."""
+def _part_text(part: Column, images: bool) -> Column:
+    """A part is text, or an object with text; in content of several media also an image, by its size."""
     is_object = F.startswith(F.trim(part), F.lit("{"))
-    size = F.concat(F.lit("[Image: "), F.get_json_object(part, "$.width"), F.lit("x"), F.get_json_object(part, "$.height"), F.lit("]"))
-    return F.when(is_object, F.coalesce(F.get_json_object(part, "$.text"), size, F.lit(""))).otherwise(part)
+    wide, high = F.get_json_object(part, "$.width"), F.get_json_object(part, "$.height")
+    size = F.concat(F.lit("[Image: "), F.coalesce(F.concat(wide, F.lit("x"), high), F.lit("unknown")), F.lit("]"))
+    kind, text = F.get_json_object(part, "$.content_type"), F.coalesce(F.get_json_object(part, "$.text"), F.lit(""))
+    held = F.when(kind == "text", text).when(kind == "image_asset_pointer", size).otherwise("") if images else text
+    return F.when(is_object, held).otherwise(F.coalesce(part, F.lit("")))
+
+
+def _cut(x: Column) -> Column:
+    return F.when(F.length(x) > CUT, F.concat(F.left(x, F.lit(CUT - 3)), F.lit("..."))).otherwise(x)
 
 
 def node_text(role: Column, content: Column) -> Column:
-    """What a node of a mapping shows, by content type."""
-    kind, parts = F.coalesce(content["content_type"], F.lit("")), content["parts"]
-    text = F.coalesce(content["text"], F.lit(""))
-    joined = F.array_join(F.filter(F.transform(F.coalesce(parts, F.array().cast("array<string>")), lambda p: F.coalesce(_part_text(p), F.lit(""))), lambda p: F.trim(p) != ""), "\n")
+    """What a node of a mapping shows, by content type; what has none is text."""
+    kind, parts = F.coalesce(F.nullif(content["content_type"], F.lit("")), F.lit("text")), F.coalesce(content["parts"], F.array().cast("array<string>"))
+
+    def joined(images: bool) -> Column:
+        return T.normalize_space(F.array_join(F.transform(parts, lambda p: _part_text(p, images)), " "))
+
+    own = F.coalesce(content["text"], F.lit(""))
+    plain = F.array_join(F.filter(parts, lambda p: p.isNotNull() & ~F.startswith(F.trim(p), F.lit("{"))), " ")
+    raw = F.trim(F.when(own != "", own).otherwise(plain))
+    language = F.coalesce(F.nullif(content["language"], F.lit("")), F.lit("text"))
     shown = (
-        F.when(kind.isin(*SKIPPED_CONTENT), "")
-        .when((kind == "code") & (text != ""), F.concat(F.lit("```"), F.coalesce(content["language"], F.lit("")), F.lit("\n"), text, F.lit("\n```")))
-        .when((kind == "execution_output") & (text != ""), F.concat(F.lit("[Execution output: "), F.left(text, F.lit(CUT)), F.lit("]")))
-        .when(joined != "", joined)
-        .when((role == "tool") & (text != ""), F.concat(F.lit("[Tool output: "), F.left(text, F.lit(CUT)), F.lit("]")))
-        .otherwise(text)
+        F.when(kind == "multimodal_text", joined(True))
+        .when(kind == "code", F.when(raw != "", F.concat(F.lit("```"), language, F.lit("\n"), raw, F.lit("\n```"))).otherwise(""))
+        .when(kind == "execution_output", F.when(raw != "", F.concat(F.lit("[Execution output: "), _cut(raw), F.lit("]"))).otherwise(""))
+        .otherwise(joined(False))
     )
-    return T.normalize_space(shown)
+    tool = F.when((role == "tool") & (shown == "") & (F.trim(own) != ""), F.concat(F.lit("[Tool output: "), _cut(F.trim(own)), F.lit("]"))).otherwise(shown)
+    return F.when(kind.isin(*SKIPPED_CONTENT), F.lit("")).otherwise(T.normalize_space(tool))
 
 
 def depth_first(nodes: list[tuple[str, str | None, list[str] | None]]) -> list[str]:
@@ -98,7 +112,8 @@ def mapping_messages(exports: DataFrame) -> DataFrame:
     role = F.lower(F.coalesce("node.message.author.role", F.lit("")))
     order = Window.partitionBy("conversation_id").orderBy(F.coalesce("node.message.create_time", F.lit(0.0)), "place")
     seen = rows.withColumn("role", role).where("role <> 'system'").withColumn("turn", F.row_number().over(order) - 1)
-    return seen.select("conversation_id", F.col("turn").cast("long").alias("turn"), "role", node_text(F.col("role"), F.col("node.message.content")).alias("text"), F.col("node.message.create_time").alias("create_time"))
+    hidden = F.coalesce(F.col("node.message.content.content_type").isin(*SKIPPED_CONTENT), F.lit(False))
+    return seen.select("conversation_id", F.col("turn").cast("long").alias("turn"), "role", node_text(F.col("role"), F.col("node.message.content")).alias("text"), F.col("node.message.create_time").alias("create_time"), hidden.alias("hidden"))
 
 
 def iso_time(epoch: Column, now: Column | None = None) -> Column:
@@ -110,31 +125,95 @@ def iso_time(epoch: Column, now: Column | None = None) -> Column:
     return F.coalesce(text, now) if now is not None else text
 
 
-def _item_text(x: Column) -> Column:
-    content = F.coalesce(x["content"], F.lit(""))
+def text_segments(value: object) -> list[str]:
+    """Texts of a nested value, in order, those of one object alike but for case once."""
+    if isinstance(value, str):
+        said = " ".join(value.split())
+        return [said] if said else []
+    if isinstance(value, list):
+        return [x for v in value for x in text_segments(v)]
+    if not isinstance(value, dict):
+        return []
+    found = text_segments(value["text"]) if isinstance(value.get("text"), str) else []
+    found += [x for k in NESTED if k in value for x in text_segments(value[k])]
+    first: dict[str, str] = {}
+    for x in found:
+        first.setdefault(x.lower(), x)
+    return list(first.values())
+
+
+def _read(text: str | None) -> object:
+    """A field of a JSON document: Spark hands objects and lists on as JSON, strings as they are."""
+    if text and text[:1] in "[{":
+        try:
+            return json.loads(text)
+        except ValueError:
+            return text
+    return text
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _segments(items: pd.DataFrame) -> pd.Series:
+    """Recursion over content of any depth, which columns can't express."""
+    rows = items[["text", *NESTED]].to_dict("records")
+    return pd.Series([text_segments({k: _read(v) for k, v in row.items() if isinstance(v, str)}) for row in rows], dtype=object)
+
+
+def _item_text(x: Column, nested: Column) -> Column:
+    """What a typed item of a message shows, as a list; ``nested`` are the texts in it."""
+
+    def first(*names: str) -> Column:
+        return F.coalesce(*(F.nullif(x[n], F.lit("")) for n in names))
+
+    def one(*parts: Column) -> Column:
+        return F.array(F.concat(*parts))
+
+    kind, name = F.lower(F.coalesce(x["type"], F.lit(""))), F.coalesce(first("name"), F.lit("tool"))
+    asked = F.coalesce(*(F.nullif(F.get_json_object(x["input"], f"$.{k}"), F.lit("")) for k in ("title", "id", "type")))
+    language = F.coalesce(first("language", "mime_type"), F.lit("text"))
+    written = F.coalesce(*(F.nullif(F.trim(x[n]), F.lit("")) for n in ("text", "content", "code", "value")), F.nullif(F.array_join(nested, "\n"), F.lit("")))
+    result = F.array_join(F.filter(nested, lambda s: F.upper(s) != "OK"), " ")
+    output = T.normalize_space(F.array_join(nested, " "))
+    size = F.concat(x["width"].cast("string"), F.lit("x"), x["height"].cast("string"))
+    close = F.lit("]")
     return (
-        F.when(x["type"] == "text", F.coalesce(x["text"], F.lit("")))
-        .when(x["type"] == "code", F.concat(F.lit("```"), F.coalesce(x["language"], F.lit("")), F.lit("\n"), F.coalesce(x["text"], F.lit("")), F.lit("\n```")))
-        .when(x["type"] == "tool_use", F.concat(F.lit("[Tool use: "), F.coalesce(x["name"], F.lit("tool")), F.lit(" "), F.left(F.coalesce(x["input"], F.lit("")), F.lit(200)), F.lit("]")))
-        .when(x["type"] == "tool_result", F.when(F.trim(content) == "OK", "").otherwise(F.concat(F.lit("[Tool result: "), F.left(content, F.lit(CUT)), F.lit("]"))))
-        .when(x["type"] == "image", F.concat(F.lit("[Image: "), F.coalesce(x["file_name"], F.concat_ws("x", x["width"], x["height"])), F.lit("]")))
-        .otherwise(F.coalesce(x["text"], content))
+        F.when(kind == "text", F.array(T.normalize_space(F.coalesce(x["text"], F.lit("")))))
+        .when(kind == "code", F.array(F.coalesce(F.concat(F.lit("```"), language, F.lit("\n"), written, F.lit("\n```")), F.concat(F.lit("[code:"), language, close))))
+        .when(kind == "tool_use", one(F.lit("[tool_use:"), name, F.coalesce(F.concat(F.lit(":"), asked), F.lit("")), close))
+        .when(kind == "tool_result", F.array(F.when(result != "", T.shorten(F.concat(F.lit("[tool_result:"), name, F.lit("] "), result), 200)).otherwise(F.concat(F.lit("[tool_result:"), name, F.when(x["is_error"], ":error").otherwise(""), close))))
+        .when(kind.isin("execution_output", "tool_output"), F.array(F.when(output != "", F.concat(F.lit("[Execution output: "), _cut(output), close)).otherwise(F.lit("[Execution output]"))))
+        .when(kind.isin("image", "image_asset", "image_pointer"), one(F.lit("[Image: "), F.coalesce(first("file_name", "name", "title"), size, first("mime_type"), F.lit("image")), close))
+        .when(kind.isin("attachment", "document", "file"), F.array(F.coalesce(F.concat(F.lit("[file:"), first("file_name", "name", "title"), close), F.lit(""))))
+        .otherwise(nested)
     )
 
 
 def list_messages(exports: DataFrame) -> DataFrame:
-    """Messages of message lists: text, typed content, attachments and files, each once; ordered by time, then place."""
+    """Messages of message lists: text, typed content, attachments and files; ordered by time, then place.
+
+    A text that a message has said already isn't said again; code, results and names are.
+    """
     rows = exports.select(F.col("uuid").alias("conversation_id"), F.posexplode("chat_messages").alias("pos", "m"))
+    items = rows.select("conversation_id", "pos", F.posexplode("m.content").alias("i", "x"))
+    kind = F.lower(F.coalesce("x.type", F.lit("")))
+    once = ~kind.isin(*SAID_AGAIN)
+    said = items.select("conversation_id", "pos", "i", F.transform(_item_text(F.col("x"), _segments("x")), lambda s: F.struct(s.alias("s"), once.alias("once"))).alias("said"))
+    gathered = said.groupBy("conversation_id", "pos").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("i", "said"))), lambda e: e["said"])).alias("said"))
+    rows = rows.alias("r").join(gathered.alias("g"), F.col("r.conversation_id").eqNullSafe(F.col("g.conversation_id")) & (F.col("r.pos") == F.col("g.pos")), "left").select("r.*", "g.said")
 
     def names(files: Column, label: str) -> Column:
-        return F.transform(F.coalesce(files, F.array()), lambda f: F.concat(F.lit(f"[{label}: "), F.coalesce(f["file_name"], f["name"], F.lit("")), F.lit("]")))
+        return F.transform(F.coalesce(files, F.array()), lambda f: F.coalesce(F.concat(F.lit(f"[{label}:"), F.coalesce(F.nullif(f["file_name"], F.lit("")), F.nullif(f["name"], F.lit(""))), F.lit("]")), F.lit("")))
+
+    def add(held: Column, e: Column) -> Column:
+        return F.when((e["s"] == "") | (e["once"] & F.array_contains(held, e["s"])), held).otherwise(F.concat(held, F.array(e["s"])))
 
-    parts = F.concat(F.array(F.coalesce("m.text", F.lit(""))), F.transform(F.coalesce("m.content", F.array()), _item_text), names(F.col("m.attachments"), "Attachment"), names(F.col("m.files"), "File"))
-    text = F.array_join(F.array_distinct(F.filter(F.transform(parts, T.normalize_space), lambda s: s != "")), " ")
-    stamp = F.coalesce("m.created_at", "m.updated_at")
+    parts = F.aggregate(F.coalesce("said", F.expr("cast(array() as array<struct<s:string,once:boolean>>)")), F.array(T.normalize_space("m.text")), add)
+    text = T.normalize_space(F.array_join(F.concat(parts, names(F.col("m.attachments"), "attachment"), names(F.col("m.files"), "file")), " "))
+    stamp = F.coalesce(F.nullif("m.created_at", F.lit("")), F.nullif("m.updated_at", F.lit("")))
     order = Window.partitionBy("conversation_id").orderBy(stamp.asc_nulls_last(), "pos")
     role = F.when(F.lower("m.sender") == "human", "user").otherwise("assistant")
-    return rows.select("conversation_id", (F.row_number().over(order) - 1).cast("long").alias("turn"), role.alias("role"), text.alias("text"), stamp.alias("created_at"))
+    hidden = (T.normalize_space("m.text") == "") & (F.coalesce(F.size("m.content"), F.lit(0)) <= 0)
+    return rows.select("conversation_id", (F.row_number().over(order) - 1).cast("long").alias("turn"), role.alias("role"), text.alias("text"), stamp.alias("created_at"), hidden.alias("hidden"))
 
 
 def exporter_messages(docs: DataFrame, fallback: Column) -> DataFrame:

@@ -249,7 +249,7 @@ def test_lifecycle(spark):
 
 def test_chat_exports(spark, tmp_path):
     node = lambda i, role, t, kind="text", parts=None, **more: {"id": i, "parent": None, "children": [], "message": {"id": i, "author": {"role": role}, "create_time": t, "content": {"content_type": kind, "parts": parts, **more}}}
-    nodes = [node("s", "system", 0.0, parts=["hidden"]), node("u", "user", 1.0, parts=["Hello  there"]), node("c", "assistant", 2.0, "code", text="x = 1", language="py"), node("i", "user", 3.0, "multimodal_text", parts=["see", json.dumps({"width": 4, "height": 5})]), node("t", "tool", 4.0, "execution_output", text="ok"), node("h", "assistant", 5.0, "thoughts", parts=["no"])]
+    nodes = [node("s", "system", 0.0, parts=["hidden"]), node("u", "user", 1.0, parts=["Hello  there"]), node("c", "assistant", 2.0, "code", text="x = 1", language="py"), node("i", "user", 3.0, "multimodal_text", parts=["see", json.dumps({"content_type": "image_asset_pointer", "width": 4, "height": 5})]), node("t", "tool", 4.0, "execution_output", text="ok"), node("h", "assistant", 5.0, "thoughts", parts=["no"])]
     conv = {"title": None, "conversation_id": "c1", "mapping": {n["id"]: n for n in nodes} | {"e": {"id": "e", "parent": None, "children": [], "message": None}}}
     (tmp_path / "a.json").write_text(json.dumps([conv]))
     got = [(r.turn, r.role, r.text) for r in exports.mapping_messages(exports.json_table(spark, str(tmp_path / "a.json"), exports.MAPPING)).orderBy("turn").collect()]
@@ -258,7 +258,7 @@ def test_chat_exports(spark, tmp_path):
     listed = {"uuid": "u1", "name": "n", "chat_messages": [{"sender": "human", "created_at": "2024-01-02", "text": "q", "content": [{"type": "text", "text": "q"}], "attachments": [{"file_name": "f.txt"}]}, {"sender": "assistant", "created_at": "2024-01-01", "text": "", "content": [{"type": "tool_result", "content": "OK"}, {"type": "code", "text": "y", "language": "js"}]}]}
     (tmp_path / "b.json").write_text(json.dumps([listed]))
     got = [(r.turn, r.role, r.text) for r in exports.list_messages(exports.json_table(spark, str(tmp_path / "b.json"), exports.MESSAGES)).orderBy("turn").collect()]
-    assert got == [(0, "assistant", "```js y ```"), (1, "user", "q [Attachment: f.txt]")]
+    assert got == [(0, "assistant", "[tool_result:tool] ```js y ```"), (1, "user", "q [attachment:f.txt]")]
     doc = {"metadata": {"title": "t", "link": "https://x/c/0123abcd-ef", "dates": {"created": "1/3/2026 7:53:47", "updated": ""}}, "messages": [{"role": "You", "say": "hi"}, {"role": "ai", "say": " "}, {"role": "AI", "say": "yes"}]}
     (tmp_path / "c.json").write_text(json.dumps([doc]))
     got = [(r.conversation_id, r.role, r.text, r.create_time) for r in exports.exporter_messages(exports.json_table(spark, str(tmp_path / "c.json"), exports.EXPORTER), F.lit("f")).orderBy("turn").collect()]
