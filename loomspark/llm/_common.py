@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspark.plans.shared import checkpoint, table, written
 
-__all__ = ["bounded", "checkpoint", "crc_mod", "drop", "id_type", "release", "small_batches", "table", "written"]
+__all__ = ["bounded", "checkpoint", "crc_mod", "drop", "id_type", "lean", "release", "small_batches", "table", "trim", "written"]
 
 #: Rows that a broadcast side may have: at 16 bytes a row, 16 MB.
 BROADCAST_ROWS = 1_000_000
@@ -59,3 +62,24 @@ def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of frames that nothing refers to any more."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def trim() -> None:
+    """Give free memory of this process back to the system; a C library that can't do this keeps it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return
+
+
+def lean(run: Callable) -> Callable:
+    """A function for mapInArrow after whose tasks the worker, which waits for the next one, holds no free memory."""
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return trimmed

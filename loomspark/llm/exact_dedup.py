@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm._common import bounded, checkpoint, id_type, small_batches, written
+from loomspark.llm._common import bounded, checkpoint, id_type, lean, small_batches, written
 
 #: Two primes below 2^31 and the base of the polynomial for each.
 PRIMES = (2147483647, 2147483629)
@@ -101,7 +101,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     rows = rows.select("doc_id", F.sha2("t", 256).alias("text_sha256"), F.col("t").cast("binary").alias("b"))
     of = f"doc_id {id_type(docs, id_col)}, text_sha256 string, fp_a long, fp_b long, n_bytes long"
-    whole = rows.where(F.octet_length("b") <= huge).mapInArrow(_hash_whole, of)
+    whole = rows.where(F.octet_length("b") <= huge).mapInArrow(lean(_hash_whole), of)
     parts = (
         docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("b"))
         .where(F.octet_length("b") > huge)
@@ -109,7 +109,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .select("*", F.explode(F.expr(f"sequence(0, (n - 1) div {huge})")).alias("k"))
         .select("row", "doc_id", "text_sha256", F.expr(f"cast(greatest(0, n - (k + 1) * {huge}) as long)").alias("tail"), F.expr(f"substring(b, cast(k * {huge} + 1 as int), {huge})").alias("part"))
         .repartition("row", "tail")
-        .mapInArrow(_hash_parts, f"row long, {of}")
+        .mapInArrow(lean(_hash_parts), f"row long, {of}")
         .groupBy("row", "doc_id", "text_sha256")
         .agg((F.sum("fp_a") % PRIMES[0]).alias("fp_a"), (F.sum("fp_b") % PRIMES[1]).alias("fp_b"), F.sum("n_bytes").alias("n_bytes"))
         .drop("row")

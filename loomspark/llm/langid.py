@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm._common import crc_mod, id_type, small_batches
+from loomspark.llm._common import crc_mod, id_type, lean, small_batches, trim
 
 BUCKETS = 1 << 16
 TRAIN_DOCS = 4_000
@@ -34,8 +34,8 @@ UNKNOWN = "und"
 #: Share of the n-grams of a text that must have been seen in its language for the filter to keep it.
 KNOWN = 0.5
 #: Values of the product of texts and model that are held at once, and bytes of the texts that are scored together.
-VALUES = 1 << 20
-TOGETHER = 2 << 20
+VALUES = 1 << 18
+TOGETHER = 1 << 18
 #: Characters handled at once; longer texts go piece by piece, with the overlap that 3-grams need.
 PIECE = 1 << 20
 
@@ -105,7 +105,7 @@ def train(rows: DataFrame, lang_col: str = "lang", text_col: str = "text", key:
     shares = [F.lit(x) for lang, n in sizes.items() for x in (lang, -(-(per_lang << 20) // n))]
     share = F.try_element_at(F.create_map(*shares), F.col(lang_col)) if shares else F.lit(0)
     sample = rows.where(chosen < share).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    counted = sample.mapInArrow(_count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counted = sample.mapInArrow(lean(_count), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(counted["lang"].unique())
     counts = np.zeros((BUCKETS, len(langs)))
     if langs:
@@ -176,7 +176,7 @@ def language_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     langs, model = train(docs.where(fold != held), lang_col, text_col, F.col(id_col))
     shared = docs.sparkSession.sparkContext.broadcast((langs, model))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(fold == held, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_scorer(shared), f"doc_id {id_type(docs, id_col)}, held_out boolean, lang_pred string, score double, known double")
+    return rows.mapInArrow(lean(_scorer(shared)), f"doc_id {id_type(docs, id_col)}, held_out boolean, lang_pred string, score double, known double")
 
 
 def keep_languages(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", known: float = KNOWN) -> DataFrame:
@@ -190,6 +190,7 @@ def keep_languages(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id",
         import pandas as pd
 
         found, scores, seen = predict(list(texts), *shared.value)
+        trim()
         return pd.Series((scores >= least) & (seen >= known) & np.array([x != UNKNOWN for x in found], dtype=bool), index=texts.index)
 
     return docs.where(fits(F.col(text_col).cast("string")))

@@ -30,7 +30,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm._common import small_batches
+from loomspark.llm._common import lean, small_batches
 
 MODEL = "piece_bpe_32k.model"
 N_BEST = 3
@@ -39,7 +39,7 @@ KEPT, KEPT_CHARS = 500_000, 20_000_000
 #: Segments of at most so many characters are solved together.
 LONG = 40
 #: Characters of the documents that are encoded together, but for the last one's.
-TOGETHER = 4_000_000
+TOGETHER = 1_000_000
 SPACE = "▁"
 OUTPUT = "doc_id long, n_tokens int, score double, ids array<int>, alternatives array<struct<score:double,edits:array<struct<at:int,drop:int,ids:array<int>>>>>, exact boolean"
 
@@ -379,7 +379,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, n_best: int = N_B
     small_batches(docs.sparkSession)
     with open(path or model_path(), "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_encoder(model, n_best), OUTPUT)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(_encoder(model, n_best)), OUTPUT)
 
 
 def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -392,4 +392,4 @@ def decode_documents(encoded: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pieces.decode(x or []) for x in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, text string")

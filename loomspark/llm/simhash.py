@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm._common import bounded, checkpoint, id_type, small_batches, written
+from loomspark.llm._common import bounded, checkpoint, id_type, lean, small_batches, written
 from loomspark.llm.components import connected_components
 
 SHINGLE = 4
@@ -66,7 +66,7 @@ def _hash_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp) for every row; fp is the fingerprint as a signed long."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("b")).mapInArrow(_hash_batch, f"doc_id {id_type(docs, id_col)}, fp long")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("b")).mapInArrow(lean(_hash_batch), f"doc_id {id_type(docs, id_col)}, fp long")
 
 
 def _signed(x: int) -> int:
@@ -168,7 +168,7 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
         dealt = dealt.select("key", "fp", "m", "own", pair)
         rows = dealt.select(F.when(F.col("m") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("own", "with"), F.greatest("own", "with"))).alias("key"), "fp")
     parts = rows.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    return rows.repartition(int(parts), "key").sortWithinPartitions("key").mapInArrow(_link_cells, "a long, b long").distinct()
+    return rows.repartition(int(parts), "key").sortWithinPartitions("key").mapInArrow(lean(_link_cells), "a long, b long").distinct()
 
 
 def _rooted(fps: DataFrame) -> DataFrame:
