@@ -110,6 +110,43 @@ def components(nodes: DataFrame, edges: DataFrame, node: str = "member_id", left
     return rows.select(F.col("node").alias(node), F.coalesce("root", "node").alias("root"))
 
 
+def linked_groups(records: DataFrame, threshold: float | None = None) -> DataFrame:
+    """(member_id, root) of the components that the entity aliases among records make, without forming their pairs.
+
+    A label's score depends on its tokens alone, so records with the same tokens are one node: they all hang together if
+    they lie in two collections or more, or if a near node has a record of another collection. Single
+    tokens that concepts have, which don't link two concepts, are nodes by collection and type instead; over a threshold of
+    0.5, which it must be, nothing else is near these.
+    """
+    threshold = THRESHOLDS["entity-alias"] if threshold is None else threshold
+    if threshold <= 0.5:
+        raise ValueError("a single token may have near sets at this threshold, and its concepts nodes of several kinds")
+    concept = F.coalesce(F.col("entity_type") == "concept", F.lit(True))
+    tokens = F.sort_array(T.token_set(F.col("label")))
+    rows = records.select("member_id", "corpus_id", tokens.alias("items"), concept.alias("concept")).where("size(items) > 0 and corpus_id is not null")
+    rows = written(rows.select("member_id", "corpus_id", "items", "concept", F.array_join("items", " ").alias("set_id")), "records")
+    sets = written(rows.groupBy("set_id").agg(F.first("items").alias("items"), F.min("member_id").alias("first"), F.min("corpus_id").alias("a"), F.max("corpus_id").alias("z"), F.max("concept").alias("concept")), "nodes")
+    near = similar_sets(sets.select("set_id", "items"), max(threshold - 1e-4, 0.01)).where(F.round("jaccard", 4) >= threshold).select("left_set", "right_set")
+    ends = [sets.select(F.col("set_id").alias(f"{s}_set"), *(F.col(c).alias(f"{s}_{c}") for c in ("first", "a", "z"))) for s in ("left", "right")]
+    met = written(near.join(ends[0], "left_set").join(ends[1], "right_set").where("left_a <> right_z or left_z <> right_a"), "near")
+    touched = met.select(F.col("left_set").alias("set_id")).unionByName(met.select(F.col("right_set").alias("set_id"))).distinct()
+    doubtful = (F.size("items") == 1) & F.col("concept")
+    whole = sets.where(~doubtful & (F.col("a") != F.col("z"))).select("set_id").unionByName(touched).distinct()
+    own = rows.join(whole, "set_id", "left_semi").join(sets.select("set_id", "first"), "set_id").select(F.col("first").alias("left_id"), F.col("member_id").alias("right_id"))
+    # Of single tokens that concepts have: cells by collection and type, each cell linked to those of other collections.
+    cells = written(rows.join(sets.where(doubtful).join(touched, "set_id", "left_anti").select("set_id"), "set_id", "left_semi").groupBy("set_id", "corpus_id", "concept").agg(F.min("member_id").alias("first")), "cells")
+    x, y = cells.alias("x"), cells.alias("y")
+    crossed = written(x.join(y, "set_id").where("x.corpus_id <> y.corpus_id and not (x.concept and y.concept)").select("set_id", F.col("x.corpus_id").alias("corpus_id"), F.col("x.concept").alias("concept"), F.col("x.first").alias("first"), F.col("y.first").alias("other")), "crossed")
+    linked = crossed.select("set_id", "corpus_id", "concept", "first").distinct()
+    inner = rows.join(linked, ["set_id", "corpus_id", "concept"]).select(F.col("first").alias("left_id"), F.col("member_id").alias("right_id"))
+    edges = met.select(F.col("left_first").alias("left_id"), F.col("right_first").alias("right_id")).unionByName(crossed.select(F.col("first").alias("left_id"), F.col("other").alias("right_id")))
+    # Members of a node hang on its first: components of the firsts, then one join.
+    found = written(connected_components(edges.select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))), "roots")
+    members = written(own.unionByName(inner).distinct(), "members")
+    of = members.join(found.select(F.col("node").alias("left_id"), "root"), "left_id", "left").select(F.col("right_id").alias("member_id"), F.coalesce("root", "left_id").alias("root"))
+    return records.select("member_id").distinct().join(of, "member_id", "left").select("member_id", F.coalesce("root", "member_id").alias("root"))
+
+
 def canonical_entities(records: DataFrame, groups: DataFrame) -> DataFrame:
     """One row per group: shortest label (then by lower case), most common type, numbers of members and collections."""
     rows = records.join(groups, "member_id")
