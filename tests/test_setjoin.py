@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from loomspark.operators import canon, setjoin
+from loomspark.operators import canon, neardup, setjoin
 
 
 @pytest.mark.parametrize(("most", "threshold"), [(9, 0.3), (9, 0.7), (80, 0.35)])
@@ -30,3 +30,14 @@ def test_linked_groups(spark, monkeypatch):
     monkeypatch.setattr(canon, "suggestions", None)
     got = {tuple(r) for r in canon.linked_groups(records).collect()}
     assert got == want and ("n2", "n2") in got and ("n4", "n4") in got and ("n7", "n5") in got
+
+
+def test_trigram_pairs_of_copies(spark, monkeypatch):
+    """Copies go through the join of sets once, and all their pairs are there."""
+    texts = ["alpha beta gamma", "alpha beta gamma", "beta alpha gamma", "alpha beta delta", "omega", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    joined = []
+    of = neardup.similar_sets
+    monkeypatch.setattr(neardup, "similar_sets", lambda sets, threshold: joined.append(sets.count()) or of(sets, threshold))
+    got = {(r.left_key, r.right_key) for r in neardup.trigram_pairs(rows, "k", "t", 0.4).collect()}
+    assert got == {(0, 1), (0, 2), (1, 2), (0, 3), (1, 3), (2, 3)} and joined == [3]
