@@ -4,8 +4,8 @@ The hashes of a text's 5-word shingles form, under each of FUNCTIONS hash functi
 shingle c is the widest range in which c has the smallest hash, so all subsequences of the range that hold c share their
 min-hash. Ranges of WIDTH shingles or more are the text's compact windows, about 2n / WIDTH of them. A passage of 50
 words or more that two texts share gives both a window with the same shingle under every function. Windows are grouped by
-(function, shingle); each is paired with the first and the last document of its group, not with all others; windows
-that no passage found so is over are grouped again (_regrouped). A pair
+(function, shingle), and the windows of a group meet each other (_met): in a large group those with the same words around
+are one, and two that share a whole stretch of 50 words are joined to the first that has it, not to each other. A pair
 goes on if the two windows, laid on each other at the shingle, overlap in WIDTH shingles (the interval join) and some
 shingle further on agrees (PLACES); then the words around are compared, by 16 bits each: 50 words in a row must
 have shingles with a Jaccard index of LEAST, where a shingle agrees on any of the diagonals up to DRIFT beside, so that an
@@ -13,8 +13,7 @@ inserted or deleted word parts no passage; and what agrees must reach over 50 wo
 of its most similar 50 words.
 
 Texts that are copies of each other go through once; the copies are joined to their first document as whole passages.
-A link of two documents shows through the class document that both share, the first or last of a group or of a part of
-it. A window counts as settled once its shingle lies in a passage found for its document, be it with another document.
+A link of two documents is a row of the two, or shows through the first document of a stretch that both share.
 
 Defined results: words are runs of other characters than ASCII white space, in lower case; texts under 50 words (null and
 empty ones too) have no passages; rows with one doc_id and different texts count as texts of that document; an empty table
@@ -28,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspark.llm._common import bounded, checkpoint, drop, release, small_batches, written
@@ -49,6 +48,13 @@ SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Places, seen from a window's shingle, whose shingles are compared first, by 16 bits each, and the smallest shingles on the
 #: way to them, which stay the same if a word beyond is added or dropped; one of the two has to agree. Of 46 shingles in a row that hold it, the 22 to its right or the 22 to its left are others.
 PLACES = (22, -22, 11, -11)
+#: Starts, seen from a window's shingle, of the stretches of WIDTH shingles that hold it and are compared as wholes.
+STARTS = (-45, -36, -27, -18, -9, 0)
+#: Windows of a group up to which all of its pairs go on; windows that meet those of a larger group at a time; places between
+#: windows of a run.
+SMALL, MEETING = 6, 1_000
+STEP = 40
+WINDOW = "key long, doc_id long, c int, l byte, r byte, near long, side long, same_a long, same_b long, same_c long"
 STRETCH = "doc_id long, class_doc long, s long, e long, class_s long, class_e long, alike double"
 _INDEX = np.uint64((1 << 24) - 1)
 
@@ -80,7 +86,7 @@ def shingles(words: np.ndarray) -> np.ndarray:
 
 
 def compact_windows(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions whose value is the smallest of WIDTH in a row, and how far (at most REACH) it stays so on both sides.
+    """Positions whose value is the smallest of WIDTH in a row, some for each run of it, and how far (at most REACH) it stays so on both sides.
 
     values: hashes with 24 low bits free; a zero parts one text from the next.
     """
@@ -95,10 +101,17 @@ def compact_windows(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndar
         span *= 2
     low = np.minimum(low[: n - WIDTH + 1], low[WIDTH - span : n - span + 1])
     at = np.unique(low[low > 0] & _INDEX).astype(np.int64)
-    padded = np.concatenate([np.zeros(REACH, dtype=np.uint64), v, np.zeros(REACH, dtype=np.uint64)])
+    # Of a run of one value its first, its last and one in each STEP stand for all: runs in two texts are laid on each other
+    # at their starts or ends.
+    h = v & ~_INDEX
+    starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    run = np.searchsorted(starts, at, side="right") - 1
+    last = np.append(starts[1:], n)[run] - 1
+    at = np.unique(np.concatenate([starts[run], last, at[(at - starts[run]) % STEP == 0]]))
+    padded = np.concatenate([np.zeros(REACH, dtype=np.uint64), h, np.zeros(REACH, dtype=np.uint64)])
     sides = []
     for shift in (range(-1, -REACH - 1, -1), range(1, REACH + 1)):
-        around = padded[(at + REACH)[:, None] + np.array(shift)[None, :]] < v[at][:, None]
+        around = padded[(at + REACH)[:, None] + np.array(shift)[None, :]] < h[at][:, None]
         sides.append(np.where(around.any(axis=1), around.argmax(axis=1), REACH))
     return at, sides[0], sides[1]
 
@@ -114,8 +127,18 @@ def _least_of(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(low[: len(values) - width + 1], low[width - span :])
 
 
+def _whole_stretches(flat: np.ndarray) -> np.ndarray:
+    """32 bits, never zero, of each WIDTH values in a row."""
+    if len(flat) < WIDTH:
+        return np.zeros(0, dtype=np.uint64)
+    base = 0x9E3779B97F4A7C15
+    up, down = (np.cumprod(np.append(np.uint64(1), np.full(len(flat), b, dtype=np.uint64))) for b in (base, pow(base, -1, 1 << 64)))
+    sums = np.append(np.uint64(0), np.cumsum(flat * up[:-1]))
+    return ((sums[WIDTH:] - sums[:-WIDTH]) * down[: len(flat) - WIDTH + 1] >> np.uint64(32)) | np.uint64(1)
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text): (key, doc_id, c, l, r, near, side) of every compact window under every function."""
+    """Rows (doc_id, text): (WINDOW) of every compact window under every function."""
     for batch in batches:
         ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
         lo = 0
@@ -131,6 +154,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             real = np.ones(len(flat), dtype=bool)
             starts = np.cumsum(sizes) - sizes
             real[starts + sizes - 1] = False
+            stretches = _whole_stretches(flat)
             beside = {w: _least_of(flat, w) for w in {abs(p) for p in PLACES}}
             for k in range(FUNCTIONS):
                 mixed = (flat ^ np.uint64(SEEDS[k])) * np.uint64(0x9E3779B97F4A7C15)
@@ -152,7 +176,14 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             low = beside[abs(place)][np.where(inside, at + 1 if place > 0 else there, 0)]
                             side |= np.where(inside, low & np.uint64(0xFFFF) | np.uint64(1), 0).astype(np.uint64) << np.uint64(16 * bit)
                             near |= np.where(inside, (flat[np.where(inside, there, 0)] >> np.uint64(48)) | np.uint64(1), 0).astype(np.uint64) << np.uint64(16 * bit)
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[lo:hi][of]), pa.array((at - starts[of]).astype(np.int32)), pa.array(left.astype(np.int8)), pa.array(right.astype(np.int8)), pa.array(near.view(np.int64)), pa.array(side.view(np.int64))], names=["key", "doc_id", "c", "l", "r", "near", "side"])
+                    same = np.zeros((3, len(at)), dtype=np.uint64)
+                    for k_start, start in enumerate(STARTS):
+                        there = at + start
+                        inside = (there >= starts[of]) & (there + WIDTH < starts[of] + sizes[of])
+                        if inside.any():
+                            same[k_start // 2] |= np.where(inside, stretches[np.where(inside, there, 0)], 0).astype(np.uint64) << np.uint64(32 * (k_start % 2))
+                    columns = [key.view(np.int64), ids[lo:hi][of], (at - starts[of]).astype(np.int32), left.astype(np.int8), right.astype(np.int8), near.view(np.int64), side.view(np.int64), *same.view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[x.split()[0] for x in WINDOW.split(", ")])
             lo = hi
 
 
@@ -175,17 +206,6 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(part), pa.int64()), pa.array(c.astype(np.int32)), pa.array([x.tobytes() for x in around], pa.binary()), pa.array([x["class_doc"] for x in part], pa.int64()), pa.array([x["class_c"] for x in part], pa.int32())], names=["doc_id", "c", "words", "class_doc", "class_c"])
 
 
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, packed words, places c): (hash, doc_id, s) of each WORDS words in a row that hold the shingle at a c."""
-    for batch in batches:
-        for doc_id, packed, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            words = np.frombuffer(packed, dtype=np.uint16)
-            starts = np.unique(np.array(places, dtype=np.int64)[:, None] - np.arange(WIDTH)[None, :])
-            starts = starts[(starts >= 0) & (starts <= len(words) - WORDS)]
-            of = [xxhash.xxh64_intdigest(words[x : x + WORDS].tobytes(), 42) for x in starts]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(of, dtype=np.uint64).view(np.int64)), pa.array([doc_id] * len(of), pa.int64()), pa.array(starts)], names=["h", "doc_id", "s"])
-
-
 def _sames(words: np.ndarray) -> np.ndarray:
     """A number for each SHINGLE words in a row of each row of 16-bit words; zero where a word is missing."""
     n = words.shape[1] - SHINGLE + 1
@@ -268,20 +288,130 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, kinds, strict=True)], names=["doc_id", "class_doc", "s", "e", "class_s", "class_e", "alike"])
 
 
-def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, intervals): the same words in as few intervals as can be."""
-    kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
+def _fits(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the rows i and j of windows of one group overlap in WIDTH shingles and enough further on agrees.
+
+    By LEAST a stretch has one changed place. On the side of the shingle without it the stretch is the same to its end: in
+    the next 11 shingles, if it goes so far; else it goes 35 beyond on the other side, which then holds the change.
+    """
+    left, right = np.minimum(x["l"][i], x["l"][j]), np.minimum(x["r"][i], x["r"][j])
+    same = {by: [(x[by][..., k][i] == x[by][..., k][j]) & (x[by][..., k][i] > 0) for k in range(len(PLACES))] for by in ("near", "side")}
+    near, side = same["near"], same["side"]
+    agrees = near[0] | near[1] | (near[2] & near[3]) | side[0] | side[1] | (side[2] & side[3])
+    enough = (near[2] & side[2]) | (near[3] & side[3]) | ((near[0] | side[0]) & (right >= WIDTH - 11)) | ((near[1] | side[1]) & (left >= WIDTH - 11))
+    return (left + right + 1 >= WIDTH) & agrees & enough
+
+
+def _first_and_other(doc: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of sets ``of`` in the order of their documents: each set's first row, and its first of another document."""
+    first, other = np.full(n, len(doc)), np.full(n, len(doc))
+    np.minimum.at(first, of, np.arange(len(doc)))
+    rest = np.flatnonzero(doc != doc[first[of]])
+    np.minimum.at(other, of[rest], rest)
+    return first, np.where(other < len(doc), other, -1)
+
+
+def _pairs_of_group(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of a large group, in the order of their documents, to pairs of rows that are to be compared.
+
+    Each row goes with the first row of another document that has one of its whole stretches; of a document's rows with the
+    same stretch one in each BLOCK words is enough. Rows of two documents that have no such stretch in common go together if
+    they fit; rows whose stretches are all there and the same are one.
+    """
+    doc, same = np.unique(x["doc_id"], return_inverse=True)[1], x["same"]
+    block = x["c"] // BLOCK
+    out, cells = [], []
+    for k in range(len(STARTS)):
+        has = np.flatnonzero(same[:, k])
+        if len(has):
+            _, of = np.unique(same[has, k], return_inverse=True)
+            first, other = _first_and_other(doc[has], of, of.max() + 1)
+            order = np.argsort(of, kind="stable")
+            o, d, at = of[order], doc[has[order]], block[has[order]]
+            new = np.append(True, (o[1:] != o[:-1]) | (d[1:] != d[:-1]))
+            kept = order[new | np.append(True, at[1:] != at[:-1])]
+            met = np.where(doc[has[kept]] == doc[has[first[of[kept]]]], other[of[kept]], first[of[kept]])
+            out.append(np.stack([has[kept[met >= 0]], has[met[met >= 0]]]))
+            shared = new & (other[o] >= 0)
+            cells.append(np.stack([o[shared] + len(x["c"]) * k, d[shared]]))
+    cells = np.concatenate(cells, axis=1) if cells else np.zeros((2, 0), dtype=np.int64)
+    n_docs, of_cell = int(doc.max()) + 1, np.unique(cells[0], return_inverse=True)[1]
+    of_doc = np.split(of_cell[np.argsort(cells[1], kind="stable")], np.cumsum(np.bincount(cells[1], minlength=n_docs))[:-1])
+    # Sets of rows with the same words around; others are sets of their own, by document.
+    inner = (same > 0).all(axis=1)
+    own = np.stack([doc.astype(np.uint64) + np.uint64(1), x["l"].astype(np.uint64), x["r"].astype(np.uint64), x["near_raw"], x["side_raw"]], axis=1)
+    around = np.ascontiguousarray(np.concatenate([same, np.where(inner[:, None], np.uint64(0), own)], axis=1))
+    _, of = np.unique(around.view(np.dtype((np.void, 8 * around.shape[1]))).ravel(), return_inverse=True)
+    first, other = _first_and_other(doc, of, of.max() + 1)
+    head = np.sort(first)
+    other = other[of[head]]
+    for lo in range(0, len(head), MEETING):
+        i, j = head[lo : lo + MEETING, None], head[None, : lo + MEETING]
+        # Documents that have a stretch in common are joined by it.
+        own, at = np.unique(doc[i[:, 0]], return_inverse=True)
+        linked = np.zeros((len(own), n_docs), dtype=bool)
+        for row, d in zip(linked, own, strict=True):
+            mark = np.zeros(cells.shape[1], dtype=bool)
+            mark[of_doc[d]] = True
+            row[cells[1][mark[of_cell]]] = True
+        linked = linked[at[:, None], doc[j]]
+        linked |= (doc[i] == doc[j]) & (other[lo : lo + MEETING, None] < 0) & (other[None, : lo + MEETING] < 0)
+        a, b = np.nonzero(~linked & (i > j))
+        fit = _fits(x, head[a + lo], head[b])
+        a, b = a[fit] + lo, b[fit]
+        u, v = head[a], head[b]
+        twice = doc[u] == doc[v]
+        v, u = np.where(twice & (other[b] >= 0), other[b], v), np.where(twice & (other[b] < 0), other[a], u)
+        out.append(np.stack([u, v]))
+    a, b = np.concatenate(out, axis=1)
+    keep = doc[a] != doc[b]
+    pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)])[:, keep], axis=1)
+    return pairs[0], pairs[1]
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (WINDOW), in the order of key, doc_id and c: pairs (doc_id, c, class_doc, class_c) of windows of one group."""
+
+    def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        raw = {n: table.column(n).to_numpy() for n in table.column_names}
+        x = {n: raw[n] for n in ("doc_id", "c")} | {n: raw[n].astype(np.int64) for n in ("l", "r")}
+        for by in ("near", "side"):
+            x[by + "_raw"] = raw[by].view(np.uint64)
+            x[by] = np.stack([x[by + "_raw"] >> np.uint64(16 * k) & np.uint64(0xFFFF) for k in range(len(PLACES))], axis=1)
+        x["same"] = np.stack([raw[f"same_{'abc'[k // 2]}"].view(np.uint64) >> np.uint64(32 * (k % 2)) & np.uint64(0xFFFFFFFF) for k in range(len(STARTS))], axis=1)
+        key = raw["key"]
+        cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        sizes = np.diff(np.append(cuts, len(key)))
+        few = np.repeat(sizes <= SMALL, sizes)
+        found = []
+        for d in range(1, SMALL):
+            i = np.flatnonzero(few[d:] & (key[d:] == key[:-d])) + d
+            i = i[(x["doc_id"][i] != x["doc_id"][i - d]) & _fits(x, i, i - d)]
+            found.append((i, i - d))
+        for lo, n in zip(cuts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
+            a, b = _pairs_of_group({k: v[lo : lo + n] for k, v in x.items()})
+            found.append((a + lo, b + lo))
+        a, b = (np.concatenate(z) for z in zip(*found, strict=True))
+        for lo in range(0, len(a), 100_000):
+            u, v = a[lo : lo + 100_000], b[lo : lo + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(z) for z in (x["doc_id"][u], x["c"][u], x["doc_id"][v], x["c"][v])], names=["doc_id", "c", "class_doc", "class_c"])
+
+    held, rows = [], 0
     for batch in batches:
-        out = []
-        for held in batch.column(1).to_pylist():
-            parts: list[dict] = []
-            for x in sorted(held, key=lambda x: x["s"]):
-                if parts and x["s"] <= parts[-1]["e"]:
-                    parts[-1]["e"] = max(parts[-1]["e"], x["e"])
-                else:
-                    parts.append(x)
-            out.append(parts)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["doc_id", "held"])
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= 50_000:
+            table = pa.Table.from_batches(held)
+            key = table.column("key").to_numpy()
+            cut = int(np.searchsorted(key, key[-1]))
+            if cut:
+                yield from pairs(table.slice(0, cut))
+            rest = table.slice(cut)
+            held, rows = rest.to_batches(), 0 if rest.num_rows >= 50_000 else rest.num_rows
+    if held:
+        yield from pairs(pa.Table.from_batches(held))
 
 
 def _thinned(paired: DataFrame) -> DataFrame:
@@ -290,13 +420,12 @@ def _thinned(paired: DataFrame) -> DataFrame:
     return pairs.select("doc_id", "c", "class_doc", (F.col("c") + F.col("shift")).alias("class_c"))
 
 
-def _compared(single: DataFrame, pairs: DataFrame, texts: DataFrame | None = None) -> DataFrame:
-    """Stretches (STRETCH) of the pairs that pass; texts: (doc_id, packed) if they are there."""
+def _compared(single: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Stretches (STRETCH) of the pairs that pass."""
     none = F.lit(None).cast("long").alias("class_doc"), F.lit(None).cast("int").alias("class_c")
     asked = pairs.select("doc_id", F.struct("c", "class_doc", "class_c").alias("p")).unionByName(pairs.select(F.col("class_doc").alias("doc_id"), F.col("class_c").alias("c")).distinct().select("doc_id", F.struct("c", *none).alias("p")))
     places = written(asked.groupBy("doc_id").agg(F.collect_list("p").alias("places")), "places")
-    texts = single.mapInArrow(_packed, "doc_id long, packed binary") if texts is None else texts
-    packed = texts.join(bounded(places, 20_000), "doc_id").select("doc_id", "packed", "places")
+    packed = single.mapInArrow(_packed, "doc_id long, packed binary").join(bounded(places, 20_000) if pairs.count() <= 300_000 else places, "doc_id").select("doc_id", "packed", "places")
     around = written(packed.mapInArrow(_contexts, "doc_id long, c int, words binary, class_doc long, class_c int"), "contexts")
     release(single.sparkSession)
     other = around.where("class_doc is null").select(F.col("doc_id").alias("class_doc"), F.col("c").alias("class_c"), F.col("words").alias("other"))
@@ -305,54 +434,6 @@ def _compared(single: DataFrame, pairs: DataFrame, texts: DataFrame | None = Non
     return checked.mapInArrow(_verify, STRETCH)
 
 
-def _regrouped(single: DataFrame, shared: DataFrame, stretches: DataFrame) -> DataFrame:
-    """Stretches of the windows that lie in none of ``stretches``, by what they share with others of their group.
-
-    A group's windows are grouped again by what is beside their shingle (PLACES); a window that is still open meets both
-    ends of these smaller groups. Where a smaller group has more windows than its ends, each WORDS words in a row that hold
-    a shingle of it are a key of their own, so that no window there has to be like an end.
-    """
-    spark = single.sparkSession
-    sides = [F.col("side").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in (0xFFFF, 0xFFFF << 16, 0xFFFF << 32, 0xFFFF << 48)]
-    both = F.when((sides[2] != 0) & (sides[3] != 0), F.xxhash64("key", sides[2], sides[3]))
-    subs = F.array_compact(F.array(*(F.when(x != 0, F.xxhash64("key", x)) for x in sides[:2]), both))
-    rows = shared.select("doc_id", "c", F.explode(subs).alias("sub"))
-    ends = rows.groupBy("sub").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.count(F.lit(1)).alias("n")).where("a <> z")
-    ends = written(ends, "subs")
-    release(spark)
-    members = rows.join(ends, "sub")
-    held = stretches.select("doc_id", "s", "e").unionByName(stretches.select(F.col("class_doc").alias("doc_id"), F.col("class_s").alias("s"), F.col("class_e").alias("e")))
-    held = held.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("s", "e")).alias("held"))
-    held = written(held.mapInArrow(_united, "doc_id long, held array<struct<s:bigint,e:bigint>>"), "held")
-    known = F.coalesce(F.exists("held", lambda x: (x["s"] <= F.col("c")) & (F.col("c") < x["e"])), F.lit(False))
-    members = written(members.join(held, "doc_id", "left").select("sub", "doc_id", "c", "a", "z", "n", (~known).alias("open")), "members")
-    drop(ends, held)
-    release(spark)
-    open_subs = written(members.where("open").select("sub").distinct(), "open")
-    left = written(members.join(open_subs, "sub", "left_semi"), "left")
-    drop(members, open_subs)
-    release(spark)
-    heads = left.where("doc_id = a or doc_id = z").groupBy("sub").agg(*(F.min(F.when(F.col("doc_id") == F.col(end), F.col("c"))).alias(f"{end}_c") for end in ("a", "z")))
-    met = left.where("open").join(written(heads, "heads"), "sub")
-    partner = F.explode(F.array(*(F.struct(F.col(end).alias("class_doc"), F.col(f"{end}_c").alias("class_c")) for end in ("a", "z"))))
-    pairs = met.select("doc_id", "c", partner.alias("o")).select("doc_id", "c", "o.class_doc", "o.class_c").where("doc_id <> class_doc")
-    pairs = written(_thinned(pairs), "pairs")
-    cells = written(left.where("n > 2").groupBy("doc_id").agg(F.collect_set("c").alias("cells")), "cells")
-    asked = pairs.select("doc_id").unionByName(pairs.select(F.col("class_doc").alias("doc_id"))).unionByName(cells.select("doc_id"))
-    some = single.join(bounded(checkpoint(asked.distinct())), "doc_id", "left_semi")
-    texts = written(some.mapInArrow(_packed, "doc_id long, packed binary"), "texts")
-    drop(left)
-    release(spark)
-    ended = _compared(single, pairs, texts)
-    same = written(texts.join(bounded(cells, 20_000), "doc_id").select("doc_id", "packed", "cells").mapInArrow(_stretches, "h long, doc_id long, s long"), "same")
-    first = same.groupBy("h").agg(F.min("doc_id").alias("class_doc"), F.max("doc_id").alias("last")).where("class_doc <> last").select("h", "class_doc")
-    found = same.join(written(first, "firsts"), "h")
-    at = found.where("doc_id = class_doc").groupBy("h").agg(F.min("s").alias("class_s"))
-    alike = found.where("doc_id <> class_doc").join(written(at, "firsts_at"), "h")
-    whole = alike.select("doc_id", "class_doc", "s", (F.col("s") + WORDS).alias("e"), "class_s", (F.col("class_s") + WORDS).alias("class_e"), F.lit(1.0).alias("alike"))
-    return ended.unionByName(whole)
-
-
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, start_word, end_word, class_doc, class_start, similarity): passages of docs that another document repeats.
 
@@ -367,35 +448,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     copies = checkpoint(copies)
     gone = bounded(checkpoint(copies.where("doc_id <> first").select("doc_id").distinct()))
     single = rows.join(gone, "doc_id", "left_anti")
-    of = "key long, doc_id long, c int, l byte, r byte, near long, side long"
-    ends = single.mapInArrow(_windows, of).groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z")
-    ends = written(ends, "ends")
+    ends = single.mapInArrow(_windows, WINDOW).groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z")
+    ends = written(ends.select("key"), "ends")
     release(spark)
-    shared = written(single.mapInArrow(_windows, of).join(ends, "key"), "shared")
-    release(spark)
-    place = F.struct("c", "l", "r", "near", "side")
-    heads = shared.where("doc_id = a or doc_id = z").groupBy("key").agg(*(F.min(F.when(F.col("doc_id") == F.col(end), place)).alias(f"{end}_at") for end in ("a", "z")))
-    met = shared.join(written(heads, "heads"), "key")
-
-    def alike(end: str, by: str, bit: int) -> Column:
-        mask = 0xFFFF << 16 * bit
-        mask = F.lit(mask - (1 << 64) if mask >> 63 else mask)
-        return (F.col(by).bitwiseAND(mask) == F.col(f"{end}_at.{by}").bitwiseAND(mask)) & (F.col(by).bitwiseAND(mask) != 0)
-
-    def meets(end: str) -> Column:
-        wide = F.least("l", f"{end}_at.l").cast("int") + F.least("r", f"{end}_at.r").cast("int") + 1
-        agrees = F.lit(False)
-        for by in ("near", "side"):
-            agrees = agrees | alike(end, by, 0) | alike(end, by, 1) | (alike(end, by, 2) & alike(end, by, 3))
-        return (F.col("doc_id") != F.col(end)) & (wide >= WIDTH) & agrees
-
-    both = F.array_compact(F.array(*(F.when(meets(end), F.struct(F.col(end).alias("class_doc"), F.col(f"{end}_at.c").alias("class_c"))) for end in ("a", "z"))))
-    paired = met.select("doc_id", "c", F.explode(both).alias("o")).select("doc_id", "c", "o.class_doc", "o.class_c")
+    shared = single.mapInArrow(_windows, WINDOW).join(bounded(ends), "key", "left_semi")
+    paired = shared.repartition("key").sortWithinPartitions("key", "doc_id", "c").mapInArrow(_met, "doc_id long, c int, class_doc long, class_c int")
     pairs = written(_thinned(paired), "pairs")
     drop(ends)
     release(spark)
-    stretches = written(_compared(single, pairs), "stretches")
-    stretches = stretches.unionByName(_regrouped(single, shared, stretches))
+    stretches = _compared(single, pairs)
     found = stretches.groupBy("doc_id", "class_doc").agg(F.collect_set(F.struct("s", "e", "class_s", "class_e", "alike")).alias("x"))
     merged = found.select("doc_id", "class_doc", "x").mapInArrow(_joined, STRETCH)
     merged = checkpoint(merged.select("doc_id", "class_doc", F.col("s").alias("start_word"), F.col("e").alias("end_word"), F.col("class_s").alias("class_start"), F.col("class_e").alias("class_end"), F.round("alike", 4).alias("similarity")))

@@ -139,6 +139,19 @@ def test_compact_windows_cover_every_range():
             assert len(k) == 1 and c - left[k[0]] <= s and c + right[k[0]] >= s + passages.WIDTH - 1
 
 
+def test_compact_windows_of_a_run():
+    """Of a run of one value the ends and one place in each STEP stay, with the reach of the value on both sides."""
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    values = (rnd.integers(1 << 30, 1 << 38, 300, dtype=np.uint64) << np.uint64(24)) | (passages._INDEX + np.uint64(1))
+    values[100:200] = np.uint64(1 << 25 | (1 << 24) - 1)
+    at, left, right = passages.compact_windows(values)
+    inside = (at >= 100) & (at < 200)
+    assert at[inside].tolist() == [100, 140, 180, 199]
+    assert set(left[inside].tolist()) == set(right[inside].tolist()) == {passages.REACH}
+
+
 def test_passages(spark):
     rnd = random.Random(11)
     fresh = iter(range(10**6))
@@ -197,6 +210,32 @@ def test_passages_of_middle_documents(spark):
     assert {r.doc_id for r in found} == set(want)
 
 
+def test_near_copies_of_middle_documents(spark):
+    """Copies with a changed word, so without 50 equal words, whose every run of 30 words first and last documents have."""
+    rnd = random.Random(14)
+
+    def new(n):
+        return [f"z{rnd.getrandbits(40)}" for _ in range(n)]
+
+    want, docs = {}, {}
+    for case in range(20):
+        passage, low = new(80), 100 * case
+        near = [*passage[:40], *new(1), *passage[41:]]
+        runs = [x[k : k + 30] for x in (passage, near) for k in (0, 10, 20, 30, 40, 50)]
+        for k in range(5):
+            for at in (0, 90):
+                docs[low + at + k] = [w for r in runs[k:] + runs[:k] for w in (*r, *new(60))]
+        for k, x in ((50, passage), (51, near)):
+            docs[low + k] = new(80 + k) + x + new(80)
+            want[low + k] = 80 + k
+    rows = [(i, " ".join(w)) for i, w in docs.items()]
+    rnd.shuffle(rows)
+    found = passages.repeated_passages(frame(spark, rows)).collect()
+    assert {r.doc_id for r in found} == set(want)
+    for i, s in want.items():
+        assert any(r.doc_id == i and r.class_doc == i - i % 100 + 50 and r.start_word <= s and r.end_word >= s + 80 for r in found), i
+
+
 def test_passages_with_words_added_or_dropped(spark):
     rnd = random.Random(13)
 
