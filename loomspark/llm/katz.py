@@ -38,7 +38,7 @@ from loomspark.llm._common import crc_mod, drop, id_type, release, small_batches
 
 ORDER = 3
 K = 5
-FREQUENT_WORDS = 200_000
+FREQUENT_WORDS = 500_000
 FREQUENT_GRAMS = 400_000
 #: Tokens that a task holds before it hands on their counts.
 BUFFER = 3_000_000
@@ -161,6 +161,31 @@ def _discounted(c: Column, d: list[float]) -> Column:
     return factor * c
 
 
+def words_scale(n: int, counts: list[int], d: list[float]) -> tuple[float, float]:
+    """What the words' discounted shares of n tokens are scaled by, and the probability of an unknown word; counts: of counts.
+
+    Words keep what their discounts leave, and at least one token's worth goes to unknown ones.
+    """
+    left = n - sum(r * of * (1 - d[r]) for r, of in enumerate(counts, 1))
+    scale = min(1.0, n / (left * (1 + 1 / n))) if n else 1.0
+    return scale, 1 - scale * left / n if n else 1.0
+
+
+def most_frequent(rows: DataFrame, limit: int, columns: tuple[str, ...] = ()):  # noqa: ANN201
+    """The rows (key, c) with the greatest counts, at most ``limit``, the most frequent first: those from a count on, found
+    from a histogram of counts.
+    """
+    step = F.floor(F.log2("c") * 16)
+    least, total = None, 0
+    for r in sorted(rows.groupBy(step.alias("s")).count().collect(), key=lambda r: -r["s"]):
+        total += r["count"]
+        if total > limit:
+            break
+        least = r["s"]
+    got = rows.where(step >= least if least is not None else F.lit(False)).select("key", "c", *columns).toPandas()
+    return got.sort_values(["c", "key"], ascending=[False, True], ignore_index=True)
+
+
 def _key(history: str, lower: str) -> Column:
     @F.pandas_udf("long")
     def key(a, b):  # noqa: ANN001, ANN202
@@ -193,10 +218,7 @@ class Model:
         of = words.agg(F.count("c").alias("v"), F.sum("c").alias("n"), *(F.count_if(F.col("c") == r).alias(f"n{r}") for r in range(1, K + 2))).first()
         self.N, self.V = of["n"] or 0, of["v"]
         self.discounts = {1: discounts({r: of[f"n{r}"] for r in range(1, K + 2)})}
-        left = self.N - sum(r * of[f"n{r}"] * (1 - self.discounts[1][r]) for r in range(1, K + 1))
-        # Words keep what their discounts leave, and at least one token's worth goes to unknown ones.
-        scale = min(1.0, self.N / (left * (1 + 1 / self.N))) if self.N else 1.0
-        self.p_unknown = 1 - scale * left / self.N if self.N else 1.0
+        scale, self.p_unknown = words_scale(self.N, [of[f"n{r}"] for r in range(1, K + 1)], self.discounts[1])
         base = F.log10((F.col("c") + 1) / F.lit(float(self.N + self.V + 1)))
         p = F.lit(scale / max(1, self.N)) * _discounted(F.col("c"), self.discounts[1])
         levels, used = [words.select("key", "c", F.lit(1.0).alias("known"), base.alias("base"), p.alias("p"), F.log10(p).alias("model"))], [counts]
@@ -292,16 +314,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     weights = model.weights
 
     def frequent(which: Column, limit: int, columns: list[str]) -> list[np.ndarray]:
-        """Weights of the most frequent keys, at most ``limit``: those from a count on, found from a histogram of counts."""
-        rows = weights.where(which)
-        step = F.floor(F.log2("c") * 16)
-        least, total = None, 0
-        for r in sorted(rows.groupBy(step.alias("s")).count().collect(), key=lambda r: -r["s"]):
-            total += r["count"]
-            if total > limit:
-                break
-            least = r["s"]
-        got = rows.where(step >= least if least is not None else F.lit(False)).select("key", *columns).toPandas()
+        """Weights of the most frequent keys, at most ``limit``, in the keys' order."""
+        got = most_frequent(weights.where(which), limit, tuple(columns))
         key = got["key"].to_numpy(dtype=np.int64).view(np.uint64)
         order = np.argsort(key)
         return [key[order], *(got[c].to_numpy(dtype=float)[order] for c in columns)]
@@ -324,6 +338,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def scored(docs: DataFrame, folds: int = 7, held: int = 2, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """Scores of all documents by a model of those whose crc32(doc_id) mod folds isn't held."""
-    model = Model(docs.where(crc_mod(id_col, folds) != held), text_col, order)
-    out = score(docs, model, id_col, text_col)
-    return out.select("doc_id", F.coalesce(crc_mod("doc_id", folds) == held, F.lit(False)).alias("held_out"), "n_tokens", "n_known", F.lit(model.N).cast("long").alias("train_tokens"), "base_score", "score")
+    from loomspark.llm import katz_parts
+
+    return katz_parts.scored(docs, folds, held, id_col, text_col, order)
