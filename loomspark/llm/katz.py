@@ -15,6 +15,8 @@ join and a sum. Words and n-grams are known by 64-bit hashes. The weights of the
 FREQUENT_GRAMS n-grams are broadcast (16 bytes each) and applied where the text is read, so that no key of the join is
 hot; the sums that are known there go through it under keys of their own, dealt out over SALTS.
 
+``scored`` scores the table that it learns from and needs no such table: katz_parts gives the same model's scores.
+
 Defined results: null text counts as empty; an empty text is its end mark alone; rows that share a doc_id are parts of
 one document, in one result row; a null doc_id is learned from by no one, and rows without one are scored as one document;
 ids are of any type; without any training text every token is unknown with probability one; an empty table gives an empty
