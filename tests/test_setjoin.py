@@ -41,3 +41,20 @@ def test_trigram_pairs_of_copies(spark, monkeypatch):
     monkeypatch.setattr(neardup, "similar_sets", lambda sets, threshold: joined.append(sets.count()) or of(sets, threshold))
     got = {(r.left_key, r.right_key) for r in neardup.trigram_pairs(rows, "k", "t", 0.4).collect()}
     assert got == {(0, 1), (0, 2), (1, 2), (0, 3), (1, 3), (2, 3)} and joined == [3]
+
+
+@pytest.mark.parametrize(("words", "crowded"), [(60, True), (4000, False)])
+def test_long_sets(spark, monkeypatch, words, crowded):
+    """Sets of a few words are compared pair by pair, those of many where they meet; none of the pairs is dealt out in the first case."""
+    monkeypatch.setattr(setjoin, "BLOCK", 50)
+    monkeypatch.setattr(setjoin, "TILE", 9)
+    monkeypatch.setattr(setjoin, "ITEMS", 16)
+    draw, seen, of = random.Random(words), [], setjoin._meeting
+    monkeypatch.setattr(setjoin, "_meeting", lambda *x: seen.append(x) or of(*x))
+    sets = {k: {f"w{draw.randrange(words)}" for _ in range(draw.randint(1, 50))} for k in range(120)}
+    sets |= {k + 200: set(sorted(sets[k])[1:]) | {"more"} for k in range(60)}
+    sets = {min(k for k in sets if sets[k] == x): x for x in sets.values()}
+    rows = spark.createDataFrame([(k, sorted(x)) for k, x in sets.items()], "set_id long, items array<string>")
+    want = {(a, b): x for a in sets for b in sets if a < b and (x := len(sets[a] & sets[b]) / len(sets[a] | sets[b])) >= 0.2}
+    got = {(r.left_set, r.right_set): r.jaccard for r in setjoin.similar_sets(rows, 0.2).collect()}
+    assert want and got == want and bool(seen) != crowded
