@@ -7,8 +7,9 @@ part are dealt out by the word before y too (at order 2 by z): what is longer th
 the counts of (y, z) are added up over the parts and given back to them.
 
 Events travel packed: for each chunk of texts and part one compressed row, with words as ranks among the FREQUENT_WORDS
-most frequent ones or as places in the row's list of hashes. Parts are written once, with their counts of counts; when the
-discounts are known they are read again and scored. Counts of rare words, which no task holds, come by joins: for the sums
+most frequent ones or as places in the row's list of hashes. Parts are written once, sorted by history and with their counts
+of counts; when the discounts are known they are read again and scored. Both go through a part in slices of whole words y, so
+that what a task holds for each event is little more than the event. Counts of rare words, which no task holds, come by joins: for the sums
 of p(z) over what follows y, and for the tokens that are rare.
 """
 
@@ -29,6 +30,8 @@ from loomspark.llm._common import crc_mod, drop, id_type, release, small_batches
 #: Events of a part, on average; a word with more is dealt out over several parts. The least number of parts.
 PART = 1_500_000
 PARTS = 12
+#: Events of a part that are counted or scored at a time, if no word has more.
+SLICE = 250_000
 #: Kinds of rows of a part before its counts of counts, whose kind is their level: packed events, pairs of a word that is
 #: dealt out, pairs with a rare word.
 EVENTS, SPLIT, RARE = -1, 0, 1
@@ -127,7 +130,7 @@ def _dealer(shared, order: int, parts: int) -> Callable:
         def out() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            token, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
+            token, sizes = np.concatenate([t.astype(np.int32) for t, _ in held]), np.concatenate([n for _, n in held])
             doc_ids, trained = pa.concat_arrays(ids), np.concatenate(train)
             hashes = np.append(words.hashes(), np.uint64(katz.START))
             for x in (held, ids, train):
@@ -216,19 +219,31 @@ def _events(blobs: list[bytes], known: Words, order: int) -> tuple[pa.Array, np.
 def _same(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First place of each distinct row of two columns of numbers below 2**31, and the distinct row of each row."""
     key = (columns[0].astype(np.int64) << 32) | columns[1]
+    new = np.ones(len(key), dtype=bool)
+    if (key[1:] >= key[:-1]).all():
+        new[1:] = key[1:] != key[:-1]
+        return np.flatnonzero(new), np.cumsum(new, dtype=np.int32) - np.int32(1)
     order = np.argsort(key, kind="stable")
     key = key[order]
-    new = np.ones(len(key), dtype=bool)
     new[1:] = key[1:] != key[:-1]
     of = np.empty(len(key), dtype=np.int32)
     of[order] = np.cumsum(new, dtype=np.int32) - 1
     return order[new], of
 
 
+def _slices(y: np.ndarray) -> Iterator[slice]:
+    """Slices of events, in the order of y, with whole words y: of at most SLICE events, or of one word with more."""
+    ends, lo = np.append(np.flatnonzero(y[1:] != y[:-1]) + 1, len(y)), 0
+    while lo < len(y):
+        hi = int(ends[max(np.searchsorted(ends, lo + SLICE, side="right") - 1, np.searchsorted(ends, lo, side="right"))])
+        yield slice(lo, hi)
+        lo = hi
+
+
 def _grams(columns: list[np.ndarray], order: int, train: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each level from 2 on: first event of each n-gram, the n-gram of each event, counts, first event and number of each history."""
-    z, history = columns[-1], columns[0]
-    start, history = np.unique(history, return_index=True, return_inverse=True)[1:]
+    z = columns[-1]
+    start, history = _same(columns[0], np.zeros_like(columns[0]))
     for level in range(2, order + 1):
         if level > 2:
             start, history = _same(history, columns[level - 2])
@@ -249,26 +264,30 @@ def _counter(shared, order: int) -> Callable:
         names = pa.array(np.arange(0), pa.int64()) if not len(ids) else ids.dictionary_encode()
         out: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
         del blobs
-        train = trained[of].astype(float)
-        hashes = np.concatenate([known.by_rank, rare])
-        over = np.isin(hashes, split[0])
-        for level, (first, _, c, _, _) in enumerate(_grams(columns, order, train), 2):
-            y, z = columns[0][first], columns[-1][first]
-            own = ~over[y] if level == 2 else np.ones(len(first), dtype=bool)
-            counts = np.bincount(np.minimum(c[own], katz.K + 2), minlength=katz.K + 3)[1 : katz.K + 2]
-            out.append((level, np.arange(1, katz.K + 2), counts, np.zeros(len(counts))))
-            if level == 2:
-                out.append((SPLIT, hashes[y[~own]].view(np.int64), hashes[z[~own]].view(np.int64), c[~own]))
-                seen = own & (c > 0) & (z >= known.n)
-                out.append((RARE, hashes[y[seen]].view(np.int64), hashes[z[seen]].view(np.int64), c[seen]))
         # Sorted by history; documents as places among the distinct ids.
         by = np.lexsort([of, columns[-1], *reversed(columns[:-1])])
-        columns = [c[by] for c in columns]
+        for k, c in enumerate(columns):
+            columns[k] = c[by]
+        of = of[by]
+        hashes = np.concatenate([known.by_rank, rare])
+        over = np.isin(hashes, split[0])
+        found = np.zeros((order + 1, katz.K + 1), dtype=np.int64)
+        for at in _slices(columns[0]):
+            mine = [c[at] for c in columns]
+            for level, (first, _, c, _, _) in enumerate(_grams(mine, order, trained[of[at]].astype(float)), 2):
+                y, z = mine[0][first], mine[-1][first]
+                own = ~over[y] if level == 2 else np.ones(len(first), dtype=bool)
+                found[level] += np.bincount(np.minimum(c[own], katz.K + 2), minlength=katz.K + 3)[1 : katz.K + 2]
+                if level == 2:
+                    out.append((SPLIT, hashes[y[~own]].view(np.int64), hashes[z[~own]].view(np.int64), c[~own]))
+                    seen = own & (c > 0) & (z >= known.n)
+                    out.append((RARE, hashes[y[seen]].view(np.int64), hashes[z[seen]].view(np.int64), c[seen]))
+        out += [(level, np.arange(1, katz.K + 2), found[level], np.zeros(katz.K + 1)) for level in range(2, order + 1)]
         place = names.indices.to_numpy(zero_copy_only=False).astype(np.int32)
         if names.indices.null_count:
             place = np.where(names.indices.is_null().to_numpy(zero_copy_only=False), len(names.dictionary), np.nan_to_num(names.indices.to_numpy(zero_copy_only=False)).astype(np.int32)).astype(np.int32)
         distinct = pa.concat_arrays([names.dictionary, pa.nulls(1, names.dictionary.type)]) if names.indices.null_count else names.dictionary
-        document = place[of][by]
+        document = place[of]
         learned = np.zeros(len(distinct), dtype=bool)
         learned[place] = trained
         sink = pa.BufferOutputStream()
@@ -276,7 +295,7 @@ def _counter(shared, order: int) -> Callable:
         with pa.ipc.new_stream(sink, batch.schema) as w:
             w.write_batch(batch)
         columns[:2] = [_steps(c) for c in columns[:2]] if len(columns) > 2 else [_steps(columns[0]), columns[1]]
-        blob = _pack((len(by), sink.getvalue().to_pybytes(), np.packbits(learned).tobytes(), rare.tobytes(), [_planes(c) for c in columns], _planes(document)))
+        blob = _pack((len(of), sink.getvalue().to_pybytes(), np.packbits(learned).tobytes(), rare.tobytes(), [_planes(c) for c in columns], _planes(document)))
         sizes = [len(o[1]) for o in out]
         n = sum(sizes)
         return pa.table(
@@ -308,23 +327,13 @@ def _scorer(shared, order: int, found: list[list[float]], id_of: pa.DataType) ->
     ``asked`` that of the tokens whose model ends in the word alone.
     """
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        known, _ = shared.value
-        ids, trained, rare, columns, of = _events(left.column("blob").to_pylist(), known, order)
-        train = trained[of].astype(float)
+    def ended(columns: list[np.ndarray], train: np.ndarray, n: int, p_word: np.ndarray, more: np.ndarray, alpha_of: np.ndarray, said: np.ndarray, said_v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The model's logarithm of each event, and whether it ends in the word alone and that is rare."""
         z = columns[-1]
-        kind, a, b, v = (right.column(c).to_numpy() for c in ("kind", "a", "b", "v"))
-        a, b = known.codes(a.astype(np.int64).view(np.uint64), rare), known.codes(b.astype(np.int64).view(np.uint64), rare)
-        size = known.n + len(rare)
-        more, alpha_of = np.zeros(size), np.full(size, np.nan)
-        for of_kind, into in ((RARE, more), (EVENTS, alpha_of)):
-            here = (kind == of_kind) & (a >= 0)
-            into[a[here]] = v[here]
-        p_word = np.concatenate([known.p, np.zeros(len(rare))])
-        with np.errstate(divide="ignore"):
-            model = np.where(z < known.n, np.log10(p_word)[z], 0.0)
-        asked = z >= known.n
         lower = p_word[z]
+        with np.errstate(divide="ignore"):
+            model = np.where(z < n, np.log10(lower), 0.0)
+        asked = z >= n
         for level, (first, gram, c, start, history) in enumerate(_grams(columns, order, train), 2):
             h, seen = history[first], c > 0
             mass, total = _mass(c, found[level]), np.bincount(h, c, len(start))
@@ -342,22 +351,39 @@ def _scorer(shared, order: int, found: list[list[float]], id_of: pa.DataType) ->
                 alpha = np.where(over, given, alpha)
                 split = over[h]
                 if split.any():
-                    mine = np.flatnonzero(kind == SPLIT)
-                    key = (a[mine] << 32) | b[mine]
-                    mine = mine[np.argsort(key)]
-                    key = np.sort(key)
                     wanted = (columns[0][first[split]].astype(np.int64) << 32) | z[first[split]]
-                    at = np.minimum(np.searchsorted(key, wanted), max(0, len(key) - 1))
-                    hit = key[at] == wanted if len(key) else np.zeros(len(wanted), dtype=bool)
+                    at = np.minimum(np.searchsorted(said, wanted), max(0, len(said) - 1))
+                    hit = said[at] == wanted if len(said) else np.zeros(len(wanted), dtype=bool)
                     got = np.zeros(len(wanted))
-                    got[hit] = v[mine[at[hit]]]
+                    got[hit] = said_v[at[hit]]
                     p[split], seen[split] = got, hit
             with np.errstate(divide="ignore", invalid="ignore"):
                 model = np.where(seen[gram], np.log10(np.where(seen, p, 1.0))[gram], np.log10(alpha)[history] + model)
             asked &= ~seen[gram]
             lower = np.where(seen, p, 0.0)[gram]
             del first, gram, c, start, history, h, seen, mass, total, share, below, scale, alpha, p
-        del lower, train
+        return model, asked
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        known, _ = shared.value
+        ids, trained, rare, columns, of = _events(left.column("blob").to_pylist(), known, order)
+        z = columns[-1]
+        kind, a, b, v = (right.column(c).to_numpy() for c in ("kind", "a", "b", "v"))
+        a, b = known.codes(a.astype(np.int64).view(np.uint64), rare), known.codes(b.astype(np.int64).view(np.uint64), rare)
+        size = known.n + len(rare)
+        more, alpha_of = np.zeros(size), np.full(size, np.nan)
+        for of_kind, into in ((RARE, more), (EVENTS, alpha_of)):
+            here = (kind == of_kind) & (a >= 0)
+            into[a[here]] = v[here]
+        mine = np.flatnonzero(kind == SPLIT)
+        said = (a[mine] << 32) | b[mine]
+        by = np.argsort(said)
+        said, said_v = said[by], v[mine[by]]
+        del kind, a, b, v, mine, by
+        p_word = np.concatenate([known.p, np.zeros(len(rare))])
+        model, asked = np.zeros(len(z)), z >= known.n
+        for at in _slices(columns[0]):
+            model[at], asked[at] = ended([c[at] for c in columns], trained[of[at]].astype(float), known.n, p_word, more, alpha_of, said, said_v)
         m = len(ids)
         frequent = z < known.n
         tokens = np.bincount(of, frequent, m)
