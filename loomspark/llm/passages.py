@@ -4,16 +4,17 @@ The hashes of a text's 5-word shingles form, under each of FUNCTIONS hash functi
 shingle c is the widest range in which c has the smallest hash, so all subsequences of the range that hold c share their
 min-hash. Ranges of WIDTH shingles or more are the text's compact windows, about 2n / WIDTH of them. A passage of 50
 words or more that two texts share gives both a window with the same shingle under every function. Windows are grouped by
-(function, shingle), and the windows of a group meet each other (_met): in a large group those with the same words around
-are one, and two that share a whole stretch of 50 words are joined to the first that has it, not to each other. A pair
-goes on if the two windows, laid on each other at the shingle, overlap in WIDTH shingles (the interval join) and some
-shingle further on agrees (PLACES); then the words around are compared, by 16 bits each: 50 words in a row must
+(function, shingle) and carry the words around them, so that a group's windows are compared where they meet (_linked): first
+all with its first window, then with further ones, and in the end each two that no chain of equal passages joins yet. Two
+windows are compared if, laid on each other at the shingle, they overlap in WIDTH shingles (the interval join) and some
+shingle further on agrees (PLACES); then by the words around, 16 bits each: 50 words in a row must
 have shingles with a Jaccard index of LEAST, where a shingle agrees on any of the diagonals up to DRIFT beside, so that an
 inserted or deleted word parts no passage; and what agrees must reach over 50 words in both texts. The similarity of a passage is that
-of its most similar 50 words.
+of its most similar 50 words. Windows that go on alike where what they share with one window ends meet again among themselves.
 
 Texts that are copies of each other go through once; the copies are joined to their first document as whole passages.
-A link of two documents is a row of the two, or shows through the first document of a stretch that both share.
+A link of two documents is a row of the two, or shows through rows that join both to further documents at the same shingle,
+so the rows grow with the number of windows, not of pairs.
 
 Defined results: words are runs of other characters than ASCII white space, in lower case; texts under 50 words (null and
 empty ones too) have no passages; rows with one doc_id and different texts count as texts of that document; an empty table
@@ -22,7 +23,7 @@ gives an empty result; further columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomspark.llm._common import bounded, checkpoint, drop, release, small_batches, written
+from loomspark.llm._common import bounded, checkpoint, drop, lean, release, small_batches, written
 
 WORDS = 50
 SHINGLE = 5
@@ -48,15 +49,20 @@ SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 #: Places, seen from a window's shingle, whose shingles are compared first, by 16 bits each, and the smallest shingles on the
 #: way to them, which stay the same if a word beyond is added or dropped; one of the two has to agree. Of 46 shingles in a row that hold it, the 22 to its right or the 22 to its left are others.
 PLACES = (22, -22, 11, -11)
-#: Starts, seen from a window's shingle, of the stretches of WIDTH shingles that hold it and are compared as wholes.
-STARTS = (-45, -36, -27, -18, -9, 0)
-#: Windows of a group up to which all of its pairs go on; windows that meet those of a larger group at a time; places between
-#: windows of a run.
-SMALL, MEETING = 6, 1_000
+#: Windows that all of their group are compared with, one after the other, before what is left of it is compared in tiles.
+ROUNDS = 8
+TILE = 1_000
+#: Pairs that are compared at a time; windows of a group of which more are dealt out in tiles of two such parts; places
+#: between windows of a run.
+PAIRS, HOT = 2_000, 150_000
 STEP = 40
-WINDOW = "key long, doc_id long, c int, l byte, r byte, near long, side long, same_a long, same_b long, same_c long"
+#: Bits of the filter of shared shingles: for each of these, and in all.
+FILTER, FILTER_BITS = 8, 28
+WINDOW = "key long, doc_id long, c int, l byte, r byte, near long, side long, words binary"
 STRETCH = "doc_id long, class_doc long, s long, e long, class_s long, class_e long, alike double"
 _INDEX = np.uint64((1 << 24) - 1)
+#: Words around a window's shingle.
+SIZE = 2 * REACH + SHINGLE
 
 _hashes: dict[bytes, int] = {}
 
@@ -127,83 +133,91 @@ def _least_of(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(low[: len(values) - width + 1], low[width - span :])
 
 
-def _whole_stretches(flat: np.ndarray) -> np.ndarray:
-    """32 bits, never zero, of each WIDTH values in a row."""
-    if len(flat) < WIDTH:
-        return np.zeros(0, dtype=np.uint64)
-    base = 0x9E3779B97F4A7C15
-    up, down = (np.cumprod(np.append(np.uint64(1), np.full(len(flat), b, dtype=np.uint64))) for b in (base, pow(base, -1, 1 << 64)))
-    sums = np.append(np.uint64(0), np.cumsum(flat * up[:-1]))
-    return ((sums[WIDTH:] - sums[:-WIDTH]) * down[: len(flat) - WIDTH + 1] >> np.uint64(32)) | np.uint64(1)
+def _filter_places(keys: np.ndarray, bits: int) -> np.ndarray:
+    return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text): (WINDOW) of every compact window under every function."""
-    for batch in batches:
-        ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-        lo = 0
-        while lo < len(texts):
-            size, hi = 0, lo
-            while hi < len(texts) and size < 4_000_000:
-                size += len(texts[hi] or b"")
-                hi += 1
-            parts = [shingles(word_hashes(t)) for t in texts[lo:hi]]
-            held = [np.append(p, np.uint64(0)) for p in parts]
-            flat = np.concatenate(held)
-            sizes = np.array([len(p) for p in held])
-            real = np.ones(len(flat), dtype=bool)
-            starts = np.cumsum(sizes) - sizes
-            real[starts + sizes - 1] = False
-            stretches = _whole_stretches(flat)
-            beside = {w: _least_of(flat, w) for w in {abs(p) for p in PLACES}}
-            for k in range(FUNCTIONS):
-                mixed = (flat ^ np.uint64(SEEDS[k])) * np.uint64(0x9E3779B97F4A7C15)
-                mixed ^= mixed >> np.uint64(32)
-                mixed = mixed * np.uint64(0xD6E8FEB86659FD93)
-                values = np.where(real, (mixed ^ (mixed >> np.uint64(29))) | (_INDEX + np.uint64(1)), 0)
-                for s in range(0, len(values), 1 << 23):
-                    at, left, right = compact_windows(values[max(0, s - REACH) : s + (1 << 23) + REACH])
-                    at = at + max(0, s - REACH)
-                    own = (at >= s) & (at < s + (1 << 23))
-                    at, left, right = at[own], left[own], right[own]
-                    of = np.searchsorted(starts, at, side="right") - 1
-                    key = flat[at] * np.uint64(2 * k + 1) + np.uint64(SEEDS[k])
-                    near, side = np.zeros(len(at), dtype=np.uint64), np.zeros(len(at), dtype=np.uint64)
-                    for bit, place in enumerate(PLACES):
-                        there = at + place
-                        inside = (there >= starts[of]) & (there < starts[of] + sizes[of] - 1)
-                        if inside.any():
-                            low = beside[abs(place)][np.where(inside, at + 1 if place > 0 else there, 0)]
-                            side |= np.where(inside, low & np.uint64(0xFFFF) | np.uint64(1), 0).astype(np.uint64) << np.uint64(16 * bit)
-                            near |= np.where(inside, (flat[np.where(inside, there, 0)] >> np.uint64(48)) | np.uint64(1), 0).astype(np.uint64) << np.uint64(16 * bit)
-                    same = np.zeros((3, len(at)), dtype=np.uint64)
-                    for k_start, start in enumerate(STARTS):
-                        there = at + start
-                        inside = (there >= starts[of]) & (there + WIDTH < starts[of] + sizes[of])
-                        if inside.any():
-                            same[k_start // 2] |= np.where(inside, stretches[np.where(inside, there, 0)], 0).astype(np.uint64) << np.uint64(32 * (k_start % 2))
-                    columns = [key.view(np.int64), ids[lo:hi][of], (at - starts[of]).astype(np.int32), left.astype(np.int8), right.astype(np.int8), near.view(np.int64), side.view(np.int64), *same.view(np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=[x.split()[0] for x in WINDOW.split(", ")])
-            lo = hi
-
-
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, text): (doc_id, 16 bits of each word's hash, never zero)."""
-    for batch in batches:
-        packed = [((word_hashes(t) >> np.uint64(48)).astype(np.uint16) | np.uint16(1)).tobytes() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["doc_id", "packed"])
+def _filter_words(bits: int) -> Callable:
+    """Rows (key): (w, b), the bits of the keys' places in the filter's 64-bit words."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(_filter_places(batch.column(0).to_numpy().view(np.uint64), bits))
+            if len(at):
+                w, start = np.unique(at >> np.uint64(6), return_index=True)
+                b = np.bitwise_or.reduceat(np.uint64(1) << (at & np.uint64(63)), start)
+                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(b.view(np.int64))], names=["w", "b"])
+
+    return run
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, packed words, places (c, class_doc, class_c)): the words around each place, zero where there are none."""
-    for batch in batches:
-        for doc_id, packed, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            padded = np.concatenate([np.zeros(REACH, np.uint16), np.frombuffer(packed, dtype=np.uint16), np.zeros(REACH + SHINGLE, np.uint16)])
-            for i in range(0, len(places), 2000):
-                part = places[i : i + 2000]
-                c = np.array([x["c"] for x in part], dtype=np.int64)
-                around = padded[c[:, None] + np.arange(2 * REACH + SHINGLE)[None, :]]
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(part), pa.int64()), pa.array(c.astype(np.int32)), pa.array([x.tobytes() for x in around], pa.binary()), pa.array([x["class_doc"] for x in part], pa.int64()), pa.array([x["class_c"] for x in part], pa.int32())], names=["doc_id", "c", "words", "class_doc", "class_c"])
+
+def _windows(shared=None) -> Callable:  # noqa: ANN001
+    """Rows (doc_id, text): (key, doc_id) of every compact window under every function; with the filter of shared keys
+    (bits, words) rows (WINDOW) of those that it lets through.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+            lo = 0
+            while lo < len(texts):
+                size, hi = 0, lo
+                while hi < len(texts) and size < 4_000_000:
+                    size += len(texts[hi] or b"")
+                    hi += 1
+                yield from windows(ids[lo:hi], [word_hashes(t) for t in texts[lo:hi]])
+                lo = hi
+
+    def windows(ids: np.ndarray, words: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        held = [np.append(shingles(w), np.uint64(0)) for w in words]
+        flat = np.concatenate(held)
+        sizes = np.array([len(p) for p in held])
+        real = np.ones(len(flat), dtype=bool)
+        starts = np.cumsum(sizes) - sizes
+        real[starts + sizes - 1] = False
+        if shared is not None:
+            bits, let = shared.value
+            beside = {w: _least_of(flat, w) for w in {abs(p) for p in PLACES}}
+            # 16 bits of each word, never zero, and zeros around each text.
+            before, after = np.zeros(REACH, np.uint16), np.zeros(REACH + SHINGLE, np.uint16)
+            packed = np.concatenate([x for w in words for x in (before, (w >> np.uint64(48)).astype(np.uint16) | np.uint16(1), after)])
+            texts = np.array([len(w) + len(before) + len(after) for w in words])
+            home = np.cumsum(texts) - texts
+        for k in range(FUNCTIONS):
+            mixed = (flat ^ np.uint64(SEEDS[k])) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(32)
+            mixed = mixed * np.uint64(0xD6E8FEB86659FD93)
+            values = np.where(real, (mixed ^ (mixed >> np.uint64(29))) | (_INDEX + np.uint64(1)), 0)
+            for s in range(0, len(values), 1 << 23):
+                at, left, right = compact_windows(values[max(0, s - REACH) : s + (1 << 23) + REACH])
+                at = at + max(0, s - REACH)
+                own = (at >= s) & (at < s + (1 << 23))
+                key = flat[at] * np.uint64(2 * k + 1) + np.uint64(SEEDS[k])
+                if shared is not None:
+                    place = _filter_places(key, bits)
+                    own &= (let[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) > 0
+                at, left, right, key = at[own], left[own], right[own], key[own]
+                of = np.searchsorted(starts, at, side="right") - 1
+                if shared is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[of])], names=["key", "doc_id"])
+                    continue
+                near, side = np.zeros(len(at), dtype=np.uint64), np.zeros(len(at), dtype=np.uint64)
+                for bit, place in enumerate(PLACES):
+                    there = at + place
+                    inside = (there >= starts[of]) & (there < starts[of] + sizes[of] - 1)
+                    if inside.any():
+                        low = beside[abs(place)][np.where(inside, at + 1 if place > 0 else there, 0)]
+                        side |= np.where(inside, low & np.uint64(0xFFFF) | np.uint64(1), 0).astype(np.uint64) << np.uint64(16 * bit)
+                        near |= np.where(inside, (flat[np.where(inside, there, 0)] >> np.uint64(48)) | np.uint64(1), 0).astype(np.uint64) << np.uint64(16 * bit)
+                c = at - starts[of]
+                for i in range(0, len(at), 20_000):
+                    j = slice(i, i + 20_000)
+                    around = packed[(home[of[j]] + c[j])[:, None] + np.arange(SIZE)[None, :]]
+                    columns = [key[j].view(np.int64), ids[of[j]], c[j].astype(np.int32), left[j].astype(np.int8), right[j].astype(np.int8), near[j].view(np.int64), side[j].view(np.int64)]
+                    words_at = pa.Array.from_buffers(pa.binary(), len(around), [None, pa.py_buffer(np.arange(len(around) + 1, dtype=np.int32) * np.int32(2 * SIZE)), pa.py_buffer(np.ascontiguousarray(around))])
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), words_at], names=[x.split()[0] for x in WINDOW.split(", ")])
+
+    return run
 
 
 def _sames(words: np.ndarray) -> np.ndarray:
@@ -239,30 +253,26 @@ def _spans(drift: np.ndarray, most: int) -> list[np.ndarray]:
     return [ok.any(axis=1) & (e - s >= WORDS) & (class_e - class_s >= WORDS), s, e, class_s, class_e, np.where(ok, alike, 0).max(axis=1)]
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc_id, c, words, class_doc, class_c, other): the stretch around c in which 50 words in a row agree enough.
+def _alike(x: dict[str, np.ndarray], u: np.ndarray, v: np.ndarray) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """For windows u and v, laid on each other: which of the pairs have a stretch around their shingle in which 50 words in
+    a row agree enough, and its start and end among the words around both, its similarity.
 
     A shingle agrees if the other text has it on the same diagonal or one up to DRIFT beside it. The other text's stretch
     runs from the partner of the first shingle to that of the last, and the two are compared as sets.
     """
-    size = 2 * REACH + SHINGLE
-    for whole in batches:
-        for lo in range(0, whole.num_rows, 2000):
-            batch = whole.slice(lo, 2000)
-            a, b = (_sames(np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint16).reshape(-1, size)) for k in (2, 5))
-            m, n = a.shape
-            drift = np.full((m, n), DRIFT + 1, dtype=np.int64)
-            padded = np.concatenate([np.zeros((m, DRIFT), np.uint64), b, np.zeros((m, DRIFT), np.uint64)], axis=1)
-            for d in sorted(range(-DRIFT, DRIFT + 1), key=abs, reverse=True):
-                drift[(a == padded[:, DRIFT + d : DRIFT + d + n]) & (a > 0)] = d
-            c, class_c = (batch.column(k).to_numpy().astype(np.int64) - REACH for k in (1, 4))
-            wide, one = _spans(drift, DRIFT), _spans(drift, 0)
-            # Where chance repeats beside the diagonal spoil the joined stretch, the diagonal alone counts.
-            one[0] &= ~(wide[0] & (wide[1] <= one[1]) & (wide[2] >= one[2]))
-            for hit, s, e, class_s, class_e, alike in (wide, one):
-                pick = pa.array(hit)
-                ends = [x[hit] for x in (c + s, c + e, class_c + class_s, class_c + class_e, alike)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pick), batch.column(3).filter(pick), *map(pa.array, ends)], names=["doc_id", "class_doc", "s", "e", "class_s", "class_e", "alike"])
+    for lo in range(0, len(u), PAIRS):
+        a, b = _sames(x["words"][u[lo : lo + PAIRS]]), _sames(x["words"][v[lo : lo + PAIRS]])
+        m, n = a.shape
+        drift = np.full((m, n), DRIFT + 1, dtype=np.int64)
+        padded = np.concatenate([np.zeros((m, DRIFT), np.uint64), b, np.zeros((m, DRIFT), np.uint64)], axis=1)
+        for d in sorted(range(-DRIFT, DRIFT + 1), key=abs, reverse=True):
+            drift[(a == padded[:, DRIFT + d : DRIFT + d + n]) & (a > 0)] = d
+        wide, one = _spans(drift, DRIFT), _spans(drift, 0)
+        # Where chance repeats beside the diagonal spoil the joined stretch, the diagonal alone counts.
+        one[0] &= ~(wide[0] & (wide[1] <= one[1]) & (wide[2] >= one[2]))
+        for hit, *ends in (wide, one):
+            at = np.flatnonzero(hit)
+            yield at + lo, [e[at] for e in ends]
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,113 +298,171 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, kinds, strict=True)], names=["doc_id", "class_doc", "s", "e", "class_s", "class_e", "alike"])
 
 
-def _fits(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether the rows i and j of windows of one group overlap in WIDTH shingles and enough further on agrees.
+def _fits(x: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the windows i and j of one group overlap in WIDTH shingles and enough further on agrees.
 
     By LEAST a stretch has one changed place. On the side of the shingle without it the stretch is the same to its end: in
     the next 11 shingles, if it goes so far; else it goes 35 beyond on the other side, which then holds the change.
     """
     left, right = np.minimum(x["l"][i], x["l"][j]), np.minimum(x["r"][i], x["r"][j])
-    same = {by: [(x[by][..., k][i] == x[by][..., k][j]) & (x[by][..., k][i] > 0) for k in range(len(PLACES))] for by in ("near", "side")}
+    same = {by: [(x[by][k][i] == x[by][k][j]) & (x[by][k][i] > 0) for k in range(len(PLACES))] for by in ("near", "side")}
     near, side = same["near"], same["side"]
     agrees = near[0] | near[1] | (near[2] & near[3]) | side[0] | side[1] | (side[2] & side[3])
     enough = (near[2] & side[2]) | (near[3] & side[3]) | ((near[0] | side[0]) & (right >= WIDTH - 11)) | ((near[1] | side[1]) & (left >= WIDTH - 11))
-    return (left + right + 1 >= WIDTH) & agrees & enough
+    return (left.astype(np.int16) + right + 1 >= WIDTH) & agrees & enough
+
+
+class _Links:
+    """Pairs of windows (u, v) with v's document before u's, and their stretches among the words around both."""
 
+    def __init__(self, x: dict[str, np.ndarray]) -> None:
+        self.x, self.found = x, []
 
-def _first_and_other(doc: np.ndarray, of: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """For rows of sets ``of`` in the order of their documents: each set's first row, and its first of another document."""
-    first, other = np.full(n, len(doc)), np.full(n, len(doc))
-    np.minimum.at(first, of, np.arange(len(doc)))
-    rest = np.flatnonzero(doc != doc[first[of]])
-    np.minimum.at(other, of[rest], rest)
-    return first, np.where(other < len(doc), other, -1)
+    def compare(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of the pairs of windows i and j, of two documents each, are alike; these are kept, with j as the one met."""
+        swap = self.x["doc_id"][i] < self.x["doc_id"][j]
+        u, v = np.where(swap, j, i), np.where(swap, i, j)
+        hit = np.zeros(len(i), dtype=bool)
+        for at, ends in _alike(self.x, u, v):
+            hit[at] = True
+            self.found.append((u[at], v[at], *ends, j[at]))
+        return hit
 
 
-def _pairs_of_group(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a large group, in the order of their documents, to pairs of rows that are to be compared.
+def _root(up: dict[int, int], c: int) -> int:
+    while c in up:
+        c = up[c]
+    return c
 
-    Each row goes with the first row of another document that has one of its whole stretches; of a document's rows with the
-    same stretch one in each BLOCK words is enough. Rows of two documents that have no such stretch in common go together if
-    they fit; rows whose stretches are all there and the same are one.
+
+def _rounds(links: _Links, rows: np.ndarray, comp: np.ndarray, led: np.ndarray, at: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Let windows of each group meet, one after the other, all that no chain joins to them; comp and led are kept up.
+
+    at, label: places in rows and their groups, in the order of these. Those of groups that aren't settled come back.
+    """
+    x, met = links.x, np.zeros(len(rows), dtype=bool)
+    for step in range(ROUNDS + 1):
+        if not len(at):
+            break
+        cuts = np.flatnonzero(np.append(True, label[1:] != label[:-1]))
+        doc, c, rest = x["doc_id"][rows[at]], comp[at], ~led[at]
+        going = (np.minimum.reduceat(c, cuts) < np.maximum.reduceat(c, cuts)) & np.logical_or.reduceat(rest, cuts) & (np.minimum.reduceat(doc, cuts) < np.maximum.reduceat(doc, cuts))
+        sizes = np.diff(np.append(cuts, len(at)))
+        kept = np.repeat(going, sizes)
+        at, label, sizes = at[kept], label[kept], sizes[going]
+        if step == ROUNDS or not len(at):
+            break
+        m = len(at)
+        head = at[np.minimum.reduceat(np.arange(m) + m * (met[at] + 2 * led[at].astype(np.int64)), np.cumsum(sizes) - sizes) % m]
+        led[head] = True
+        of = np.repeat(head, sizes)
+        pick = (comp[at] != comp[of]) & ~led[at] & (x["doc_id"][rows[at]] != x["doc_id"][rows[of]])
+        a, of = at[pick], of[pick]
+        _compare(links, rows, comp, met, a, of)
+    return at, label
+
+
+def _compare(links: _Links, rows: np.ndarray, comp: np.ndarray, met: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    fit = _fits(links.x, rows[a], rows[b])
+    a, b = a[fit], b[fit]
+    hit = links.compare(rows[a], rows[b])
+    met[a[hit]] = True
+    up: dict[int, int] = {}
+    for c, d in set(zip(comp[a[hit]].tolist(), comp[b[hit]].tolist(), strict=True)):
+        c, d = _root(up, c), _root(up, d)
+        if c != d:
+            up[c] = d
+    if up:
+        into = np.arange(len(comp))
+        into[list(up)] = [_root(up, c) for c in up]
+        comp[:] = into[comp]
+
+
+def _linked(links: _Links, rows: np.ndarray, group: np.ndarray) -> None:
+    """Compare windows ``rows`` of groups, both in the order of groups and documents, until each two of a group that are
+    alike are joined by a chain of pairs.
+
+    What ROUNDS of windows don't settle meets in the parts of a group that agree at one of the places that _fits asks for, in
+    rounds again and then in tiles.
     """
-    doc, same = np.unique(x["doc_id"], return_inverse=True)[1], x["same"]
-    block = x["c"] // BLOCK
-    out, cells = [], []
-    for k in range(len(STARTS)):
-        has = np.flatnonzero(same[:, k])
-        if len(has):
-            _, of = np.unique(same[has, k], return_inverse=True)
-            first, other = _first_and_other(doc[has], of, of.max() + 1)
-            order = np.argsort(of, kind="stable")
-            o, d, at = of[order], doc[has[order]], block[has[order]]
-            new = np.append(True, (o[1:] != o[:-1]) | (d[1:] != d[:-1]))
-            kept = order[new | np.append(True, at[1:] != at[:-1])]
-            met = np.where(doc[has[kept]] == doc[has[first[of[kept]]]], other[of[kept]], first[of[kept]])
-            out.append(np.stack([has[kept[met >= 0]], has[met[met >= 0]]]))
-            shared = new & (other[o] >= 0)
-            cells.append(np.stack([o[shared] + len(x["c"]) * k, d[shared]]))
-    cells = np.concatenate(cells, axis=1) if cells else np.zeros((2, 0), dtype=np.int64)
-    n_docs, of_cell = int(doc.max()) + 1, np.unique(cells[0], return_inverse=True)[1]
-    of_doc = np.split(of_cell[np.argsort(cells[1], kind="stable")], np.cumsum(np.bincount(cells[1], minlength=n_docs))[:-1])
-    # Sets of rows with the same words around; others are sets of their own, by document.
-    inner = (same > 0).all(axis=1)
-    own = np.stack([doc.astype(np.uint64) + np.uint64(1), x["l"].astype(np.uint64), x["r"].astype(np.uint64), x["near_raw"], x["side_raw"]], axis=1)
-    around = np.ascontiguousarray(np.concatenate([same, np.where(inner[:, None], np.uint64(0), own)], axis=1))
-    _, of = np.unique(around.view(np.dtype((np.void, 8 * around.shape[1]))).ravel(), return_inverse=True)
-    first, other = _first_and_other(doc, of, of.max() + 1)
-    head = np.sort(first)
-    other = other[of[head]]
-    for lo in range(0, len(head), MEETING):
-        i, j = head[lo : lo + MEETING, None], head[None, : lo + MEETING]
-        # Documents that have a stretch in common are joined by it.
-        own, at = np.unique(doc[i[:, 0]], return_inverse=True)
-        linked = np.zeros((len(own), n_docs), dtype=bool)
-        for row, d in zip(linked, own, strict=True):
-            mark = np.zeros(cells.shape[1], dtype=bool)
-            mark[of_doc[d]] = True
-            row[cells[1][mark[of_cell]]] = True
-        linked = linked[at[:, None], doc[j]]
-        linked |= (doc[i] == doc[j]) & (other[lo : lo + MEETING, None] < 0) & (other[None, : lo + MEETING] < 0)
-        a, b = np.nonzero(~linked & (i > j))
-        fit = _fits(x, head[a + lo], head[b])
-        a, b = a[fit] + lo, b[fit]
-        u, v = head[a], head[b]
-        twice = doc[u] == doc[v]
-        v, u = np.where(twice & (other[b] >= 0), other[b], v), np.where(twice & (other[b] < 0), other[a], u)
-        out.append(np.stack([u, v]))
-    a, b = np.concatenate(out, axis=1)
-    keep = doc[a] != doc[b]
-    pairs = np.unique(np.stack([np.maximum(a, b), np.minimum(a, b)])[:, keep], axis=1)
-    return pairs[0], pairs[1]
+    x, comp, led, met = links.x, np.arange(len(rows)), np.zeros(len(rows), dtype=bool), np.zeros(len(rows), dtype=bool)
+    at, label = _rounds(links, rows, comp, led, np.arange(len(rows)), group)
+    if not len(at):
+        return
+    label = np.cumsum(np.append(False, label[1:] != label[:-1]))
+    near, side = ([x[by][k][rows[at]].astype(np.int64) for k in range(len(PLACES))] for by in ("near", "side"))
+    for value in (near[0], near[1], side[0], side[1], near[2] * side[2], near[3] * side[3]):
+        by = np.flatnonzero(value > 0)
+        by = by[np.lexsort([by, value[by], label[by]])]
+        own, part = at[by], np.cumsum(np.append(False, (value[by[1:]] != value[by[:-1]]) | (label[by[1:]] != label[by[:-1]])))[: len(by)]
+        done = led.copy()
+        own, part = _rounds(links, rows, comp, done, own, part)
+        for left in np.split(own, np.flatnonzero(part[1:] != part[:-1]) + 1):
+            left = left[~done[left]]
+            for i in range(0, len(left), TILE):
+                for j in range(0, i + TILE, TILE):
+                    p, q = left[i : i + TILE, None], left[None, j : j + TILE]
+                    a, b = np.nonzero((comp[p] != comp[q]) & (p > q) & (x["doc_id"][rows[p]] != x["doc_id"][rows[q]]) & _fits(x, rows[p], rows[q]))
+                    order = np.argsort(b, kind="stable")
+                    a, b = left[i + a[order]], left[j + b[order]]
+                    for k in range(0, len(a), PAIRS):
+                        u, v = a[k : k + PAIRS], b[k : k + PAIRS]
+                        apart = comp[u] != comp[v]
+                        _compare(links, rows, comp, met, u[apart], v[apart])
+
+
+def _further(links: _Links, since: int, beyond: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Windows that go on alike, before or behind what they share with the same other window: (rows, group), as _linked takes them.
+
+    beyond: for each window how far a stretch has reached on either side; a window meets again only after a longer one.
+    """
+    x, rows, signs = links.x, [], []
+    for u, v, s, e, class_s, class_e, _, head in links.found[since:]:
+        other, s, e = np.where(head == u, v, u), np.where(head == u, class_s, s), np.where(head == u, class_e, e)
+        for side, at, start, reaches in (("e", e, e, e > beyond["e"][other]), ("s", s, s - SHINGLE, s < beyond["s"][other])):
+            on = np.flatnonzero(reaches & (start >= 2 * SHINGLE) & (start + 3 * SHINGLE <= SIZE))
+            words = x["words"][other[on][:, None], start[on][:, None] + np.arange(SHINGLE)]
+            on, words = on[(words > 0).all(axis=1)], words[(words > 0).all(axis=1)]
+            sign = x["key"][other[on]].view(np.uint64) + head[on].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + at[on].astype(np.uint64) * np.uint64(2 + (side == "e"))
+            for k in range(SHINGLE):
+                sign = (sign ^ (sign >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + words[:, k]
+            rows.append(other[on])
+            signs.append(sign)
+    for u, v, s, e, class_s, class_e, _, _ in links.found[since:]:
+        for w, first, last in ((u, s, e), (v, class_s, class_e)):
+            np.maximum.at(beyond["e"], w, last)
+            np.minimum.at(beyond["s"], w, first)
+    rows, signs = (np.concatenate(z) if z else np.zeros(0, dtype=np.int64) for z in (rows, signs))
+    by = np.lexsort([rows, signs])
+    rows, signs = rows[by], signs[by]
+    new = np.append(True, (signs[1:] != signs[:-1]) | (rows[1:] != rows[:-1]))[: len(rows)]
+    rows, signs = rows[new], signs[new]
+    _, of, count = np.unique(signs, return_inverse=True, return_counts=True)
+    return rows[count[of] > 1], of[count[of] > 1]
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (WINDOW), in the order of key, doc_id and c: pairs (doc_id, c, class_doc, class_c) of windows of one group."""
+    """Rows (WINDOW), in the order of key, doc_id and c: stretches (STRETCH) of windows of one group."""
 
     def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        raw = {n: table.column(n).to_numpy() for n in table.column_names}
-        x = {n: raw[n] for n in ("doc_id", "c")} | {n: raw[n].astype(np.int64) for n in ("l", "r")}
+        table = table.combine_chunks()
+        x = {n: table.column(n).to_numpy() for n in ("key", "doc_id", "c", "l", "r")}
         for by in ("near", "side"):
-            x[by + "_raw"] = raw[by].view(np.uint64)
-            x[by] = np.stack([x[by + "_raw"] >> np.uint64(16 * k) & np.uint64(0xFFFF) for k in range(len(PLACES))], axis=1)
-        x["same"] = np.stack([raw[f"same_{'abc'[k // 2]}"].view(np.uint64) >> np.uint64(32 * (k % 2)) & np.uint64(0xFFFFFFFF) for k in range(len(STARTS))], axis=1)
-        key = raw["key"]
-        cuts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        sizes = np.diff(np.append(cuts, len(key)))
-        few = np.repeat(sizes <= SMALL, sizes)
-        found = []
-        for d in range(1, SMALL):
-            i = np.flatnonzero(few[d:] & (key[d:] == key[:-d])) + d
-            i = i[(x["doc_id"][i] != x["doc_id"][i - d]) & _fits(x, i, i - d)]
-            found.append((i, i - d))
-        for lo, n in zip(cuts[sizes > SMALL], sizes[sizes > SMALL], strict=True):
-            a, b = _pairs_of_group({k: v[lo : lo + n] for k, v in x.items()})
-            found.append((a + lo, b + lo))
-        a, b = (np.concatenate(z) for z in zip(*found, strict=True))
-        for lo in range(0, len(a), 100_000):
-            u, v = a[lo : lo + 100_000], b[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(z) for z in (x["doc_id"][u], x["c"][u], x["doc_id"][v], x["c"][v])], names=["doc_id", "c", "class_doc", "class_c"])
+            x[by] = list(np.ascontiguousarray(table.column(by).to_numpy()).view(np.uint16).reshape(-1, len(PLACES)).T)
+        words = [c.cast(pa.binary(2 * SIZE)) for c in table.column("words").chunks]
+        x["words"] = np.concatenate([np.frombuffer(c.buffers()[1], dtype=np.uint16)[c.offset * SIZE : (c.offset + len(c)) * SIZE] for c in words]).reshape(-1, SIZE)
+        del words
+        links = _Links(x)
+        rows, group = np.arange(len(x["key"])), x["key"]
+        beyond = {"e": np.full(len(rows), -1), "s": np.full(len(rows), SIZE + 1)}
+        while len(rows):
+            since = len(links.found)
+            _linked(links, rows, group)
+            rows, group = _further(links, since, beyond)
+        for u, v, s, e, class_s, class_e, alike, _ in links.found:
+            c, class_c = (x["c"][w].astype(np.int64) - REACH for w in (u, v))
+            columns = [x["doc_id"][u], x["doc_id"][v], c + s, c + e, class_c + class_s, class_c + class_e, alike]
+            yield pa.RecordBatch.from_arrays([pa.array(z) for z in columns], names=["doc_id", "class_doc", "s", "e", "class_s", "class_e", "alike"])
 
     held, rows = [], 0
     for batch in batches:
@@ -414,24 +482,27 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pairs(pa.Table.from_batches(held))
 
 
-def _thinned(paired: DataFrame) -> DataFrame:
-    """Pairs (doc_id, c, class_doc, class_c): the shift tells a diagonal; of a block's windows on it one is enough."""
-    pairs = paired.groupBy("doc_id", "class_doc", (F.col("class_c") - F.col("c")).alias("shift"), F.floor(F.col("c") / BLOCK).alias("block")).agg(F.min("c").alias("c"))
-    return pairs.select("doc_id", "c", "class_doc", (F.col("c") + F.col("shift")).alias("class_c"))
-
-
-def _compared(single: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Stretches (STRETCH) of the pairs that pass."""
-    none = F.lit(None).cast("long").alias("class_doc"), F.lit(None).cast("int").alias("class_c")
-    asked = pairs.select("doc_id", F.struct("c", "class_doc", "class_c").alias("p")).unionByName(pairs.select(F.col("class_doc").alias("doc_id"), F.col("class_c").alias("c")).distinct().select("doc_id", F.struct("c", *none).alias("p")))
-    places = written(asked.groupBy("doc_id").agg(F.collect_list("p").alias("places")), "places")
-    packed = single.mapInArrow(_packed, "doc_id long, packed binary").join(bounded(places, 20_000) if pairs.count() <= 300_000 else places, "doc_id").select("doc_id", "packed", "places")
-    around = written(packed.mapInArrow(_contexts, "doc_id long, c int, words binary, class_doc long, class_c int"), "contexts")
-    release(single.sparkSession)
-    other = around.where("class_doc is null").select(F.col("doc_id").alias("class_doc"), F.col("c").alias("class_c"), F.col("words").alias("other"))
-    both = around.where("class_doc is not null").join(other, ["class_doc", "class_c"])
-    checked = both.select("doc_id", "c", "words", "class_doc", "class_c", "other")
-    return checked.mapInArrow(_verify, STRETCH)
+def _shared(single: DataFrame) -> DataFrame:
+    """Windows (WINDOW) whose shingle another document has too, and few more; those of a group of over HOT are there once for
+    each tile of two of its parts, under a key of the tile's.
+    """
+    spark = single.sparkSession
+    ends = single.mapInArrow(lean(_windows()), "key long, doc_id long").groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.count(F.lit(1)).alias("n")).where("a <> z")
+    ends = written(ends.select("key", "n"), "ends")
+    release(spark)
+    bits = min(FILTER_BITS, max(12, (FILTER * ends.count()).bit_length()))
+    found = ends.select("key").mapInArrow(_filter_words(bits), "w long, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    let = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    let[found.column("w").to_numpy()] = found.column("b").to_numpy().view(np.uint64)
+    rows = single.mapInArrow(lean(_windows(spark.sparkContext.broadcast((bits, let)))), WINDOW)
+    hot = checkpoint(ends.where(F.col("n") > HOT).select("key", F.ceil(F.col("n") / HOT).cast("int").alias("k")))
+    if hot.count():
+        rows = rows.join(F.broadcast(hot), "key", "left").withColumn("p", F.pmod(F.xxhash64("doc_id"), "k"))
+        rows = rows.withColumn("q", F.explode(F.when(F.col("k").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("k") - 1))))
+        tile = F.when(F.col("k").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least("p", "q"), F.greatest("p", "q")))
+        rows = rows.select(tile.alias("key"), *[x.split()[0] for x in WINDOW.split(", ")[1:]])
+    drop(ends)
+    return rows
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -448,18 +519,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     copies = checkpoint(copies)
     gone = bounded(checkpoint(copies.where("doc_id <> first").select("doc_id").distinct()))
     single = rows.join(gone, "doc_id", "left_anti")
-    ends = single.mapInArrow(_windows, WINDOW).groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z")
-    ends = written(ends.select("key"), "ends")
-    release(spark)
-    shared = single.mapInArrow(_windows, WINDOW).join(bounded(ends), "key", "left_semi")
-    paired = shared.repartition("key").sortWithinPartitions("key", "doc_id", "c").mapInArrow(_met, "doc_id long, c int, class_doc long, class_c int")
-    pairs = written(_thinned(paired), "pairs")
-    drop(ends)
+    stretches = written(_shared(single).repartition("key").sortWithinPartitions("key", "doc_id", "c").mapInArrow(lean(_met), STRETCH), "stretches")
     release(spark)
-    stretches = _compared(single, pairs)
     found = stretches.groupBy("doc_id", "class_doc").agg(F.collect_set(F.struct("s", "e", "class_s", "class_e", "alike")).alias("x"))
     merged = found.select("doc_id", "class_doc", "x").mapInArrow(_joined, STRETCH)
     merged = checkpoint(merged.select("doc_id", "class_doc", F.col("s").alias("start_word"), F.col("e").alias("end_word"), F.col("class_s").alias("class_start"), F.col("class_e").alias("class_end"), F.round("alike", 4).alias("similarity")))
+    drop(stretches)
     own = merged.groupBy("class_doc", "class_start").agg(F.max("class_end").alias("end_word"))
     own = own.select(F.col("class_doc").alias("doc_id"), "class_doc", F.col("class_start").alias("start_word"), "end_word", "class_start", F.lit(1.0).alias("similarity"))
     merged = merged.drop("class_end")
