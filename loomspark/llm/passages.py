@@ -39,6 +39,8 @@ WIDTH = WORDS - SHINGLE + 1
 FUNCTIONS = 3
 #: Jaccard index of the shingles of two stretches of 50 words: 41 of 46 in common, or 42 of 46 and 47 after an insertion.
 LEAST = 0.8
+#: Shingles of WIDTH that agree at least where none is on a diagonal beside.
+MOST = 41
 #: Words by which insertions and deletions near a window may shift one text against the other.
 DRIFT = 4
 #: Of windows of one pair of documents on one diagonal, one in each BLOCK words is looked at.
@@ -55,6 +57,8 @@ TILE = 1_000
 #: Pairs that are compared at a time; windows of a group of which more are dealt out in tiles of two such parts; places
 #: between windows of a run.
 PAIRS, HOT = 2_000, 150_000
+#: Pairs whose words are laid on each other at a time, so that what this takes stays in a core's cache.
+TOGETHER = 250
 STEP = 40
 #: Bits of the filter of shared shingles: for each of these, and in all.
 FILTER, FILTER_BITS = 8, 28
@@ -64,23 +68,20 @@ _INDEX = np.uint64((1 << 24) - 1)
 #: Words around a window's shingle.
 SIZE = 2 * REACH + SHINGLE
 
-_hashes: dict[bytes, int] = {}
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word, 42)
+        return h
+
+
+_hashes = _Hashes()
 
 
 def word_hashes(text: bytes | None) -> np.ndarray:
-    get, of = _hashes.get, xxhash.xxh64_intdigest
     if len(_hashes) > 300_000:
         _hashes.clear()
     words = (text or b"").lower().split()
-
-    def every() -> Iterator[int]:
-        for w in words:
-            h = get(w)
-            if h is None:
-                h = _hashes[w] = of(w, 42)
-            yield h
-
-    return np.fromiter(every(), dtype=np.uint64, count=len(words))
+    return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def shingles(words: np.ndarray) -> np.ndarray:
@@ -91,35 +92,65 @@ def shingles(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def compact_windows(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions whose value is the smallest of WIDTH in a row, some for each run of it, and how far (at most REACH) it stays so on both sides.
+def _thinned(at: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Places ``at`` without those inside of a stretch of h that repeats with a period of up to STEP / 2, but for one in two STEP.
+
+    A passage in two such stretches that goes on beyond one end of both has the last, or the first, place in both; one that lies
+    inside of both is whole where the first place of one is laid on the first or the second place of the other. So the two
+    first and the two last places of a stretch stand for all, and the words around those between them, which overlap, for what lies between.
+    """
+    gap = np.diff(at)
+    gap[(gap > STEP // 2) | (h[at[1:]] != h[at[:-1]])] = 0
+    inner = np.flatnonzero((gap[:-3] > 0) & (gap[:-3] == gap[1:-2]) & (gap[1:-2] == gap[2:-1]) & (gap[2:-1] == gap[3:])) + 2
+    out, more = np.ones(len(at), dtype=bool), []
+    for d in np.unique(gap[inner]):
+        mine = inner[gap[inner] == d]
+        apart = np.flatnonzero(h[d:] != h[:-d])
+        place = np.searchsorted(apart, at[mine])
+        start, end = np.append(-1, apart)[place] + 1, np.append(apart, len(h) - d)[place]
+        inside = (start <= at[mine] - 2 * d) & (end >= at[mine] + d)
+        mine, start, end = mine[inside], start[inside], end[inside]
+        out[mine[(at[mine] - start) // d % (2 * STEP // d) > 0]] = False
+        last = at[mine] + (end + d - 1 - at[mine]) // d * d
+        more += [last, last - d]
+    return np.unique(np.concatenate([at[out], *more]))
+
+
+def _minima(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions whose value is the smallest of WIDTH in a row, some for each run or repetition of it, and the bare values.
 
     values: hashes with 24 low bits free; a zero parts one text from the next.
     """
-    n = len(values)
+    n, h = len(values), values & ~_INDEX
     if n < WIDTH:
-        empty = np.zeros(0, dtype=np.int64)
-        return empty, empty, empty
-    v = np.where(values > 0, (values & ~_INDEX) | np.arange(n, dtype=np.uint64), 0)
-    low, span = v, 1
-    while 2 * span <= WIDTH:
-        low = np.minimum(low[: len(low) - span], low[span:])
-        span *= 2
-    low = np.minimum(low[: n - WIDTH + 1], low[WIDTH - span : n - span + 1])
-    at = np.unique(low[low > 0] & _INDEX).astype(np.int64)
+        return np.zeros(0, dtype=np.int64), h
+    v = np.where(values > 0, h | np.arange(n, dtype=np.uint64), 0)
+    low = _least_of(v, WIDTH)
+    at = low[np.append(True, low[1:] != low[:-1])]
+    at = np.unique(at[at > 0] & _INDEX).astype(np.int64)
     # Of a run of one value its first, its last and one in each STEP stand for all: runs in two texts are laid on each other
     # at their starts or ends.
-    h = v & ~_INDEX
     starts = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
     run = np.searchsorted(starts, at, side="right") - 1
     last = np.append(starts[1:], n)[run] - 1
-    at = np.unique(np.concatenate([starts[run], last, at[(at - starts[run]) % STEP == 0]]))
+    return _thinned(np.unique(np.concatenate([starts[run], last, at[(at - starts[run]) % STEP == 0]])), h), h
+
+
+def _sides(h: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """How far (at most REACH) the values before and behind each place are no smaller than its own."""
     padded = np.concatenate([np.zeros(REACH, dtype=np.uint64), h, np.zeros(REACH, dtype=np.uint64)])
-    sides = []
-    for shift in (range(-1, -REACH - 1, -1), range(1, REACH + 1)):
-        around = padded[(at + REACH)[:, None] + np.array(shift)[None, :]] < h[at][:, None]
-        sides.append(np.where(around.any(axis=1), around.argmax(axis=1), REACH))
-    return at, sides[0], sides[1]
+    around, sides = np.lib.stride_tricks.sliding_window_view(padded, REACH), [np.zeros(len(at), dtype=np.int64) for _ in range(2)]
+    for i in range(0, len(at), 1_000):
+        p = at[i : i + 1_000]
+        for side, smaller in zip(sides, (around[p][:, ::-1] < h[p][:, None], around[p + REACH + 1] < h[p][:, None]), strict=True):
+            side[i : i + 1_000] = np.where(smaller.any(axis=1), smaller.argmax(axis=1), REACH)
+    return sides
+
+
+def compact_windows(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places of _minima and how far these stay the smallest on both sides (_sides)."""
+    at, h = _minima(values)
+    return at, *_sides(h, at)
 
 
 def _least_of(values: np.ndarray, width: int) -> np.ndarray:
@@ -189,18 +220,19 @@ def _windows(shared=None) -> Callable:  # noqa: ANN001
             mixed = mixed * np.uint64(0xD6E8FEB86659FD93)
             values = np.where(real, (mixed ^ (mixed >> np.uint64(29))) | (_INDEX + np.uint64(1)), 0)
             for s in range(0, len(values), 1 << 23):
-                at, left, right = compact_windows(values[max(0, s - REACH) : s + (1 << 23) + REACH])
+                at, h = _minima(values[max(0, s - REACH) : s + (1 << 23) + REACH])
                 at = at + max(0, s - REACH)
                 own = (at >= s) & (at < s + (1 << 23))
                 key = flat[at] * np.uint64(2 * k + 1) + np.uint64(SEEDS[k])
                 if shared is not None:
                     place = _filter_places(key, bits)
                     own &= (let[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) > 0
-                at, left, right, key = at[own], left[own], right[own], key[own]
+                at, key = at[own], key[own]
                 of = np.searchsorted(starts, at, side="right") - 1
                 if shared is None:
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[of])], names=["key", "doc_id"])
                     continue
+                left, right = _sides(h, at - max(0, s - REACH))
                 near, side = np.zeros(len(at), dtype=np.uint64), np.zeros(len(at), dtype=np.uint64)
                 for bit, place in enumerate(PLACES):
                     there = at + place
@@ -220,35 +252,46 @@ def _windows(shared=None) -> Callable:  # noqa: ANN001
     return run
 
 
-def _sames(words: np.ndarray) -> np.ndarray:
-    """A number for each SHINGLE words in a row of each row of 16-bit words; zero where a word is missing."""
-    n = words.shape[1] - SHINGLE + 1
-    out, whole = np.zeros((len(words), n), dtype=np.uint64), np.ones((len(words), n), dtype=bool)
-    for k in range(SHINGLE):
-        out = (out ^ (out >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93) + words[:, k : k + n]
-        whole &= words[:, k : k + n] > 0
-    return np.where(whole, out | np.uint64(1), np.uint64(0))
+def _stretches(ok: np.ndarray, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last shingle that agrees within the stretches that are ok."""
+    n = same.shape[1]
+    first, last = ok.argmax(axis=1), ok.shape[1] - 1 - ok[:, ::-1].argmax(axis=1) + WIDTH
+    place = np.arange(n, dtype=np.int16)[None, :]
+    within = same & (place >= first.astype(np.int16)[:, None]) & (place < last.astype(np.int16)[:, None])
+    return within.argmax(axis=1), n - 1 - within[:, ::-1].argmax(axis=1)
+
+
+def _sums(same: np.ndarray) -> np.ndarray:
+    """How many of WIDTH shingles in a row agree, from each on whose stretch holds a shingle of this one's block."""
+    sums = np.zeros((len(same), same.shape[1] + 1), np.int16)
+    np.cumsum(same, axis=1, dtype=np.int16, out=sums[:, 1:])
+    return (sums[:, WIDTH:] - sums[:, :-WIDTH])[:, : REACH + BLOCK]
+
 
+def _straight(same: np.ndarray) -> list[np.ndarray]:
+    """Whether a stretch agrees on the diagonal alone, its start and end in both texts, its similarity."""
+    agree = _sums(same)
+    most = agree.max(axis=1).astype(np.int64)
+    alike = most / (2 * WIDTH - most)
+    head, tail = _stretches(agree >= MOST, same)
+    s, e = head, tail + SHINGLE
+    return [(alike >= LEAST) & (e - s >= WORDS), s, e, s, e, alike]
 
-def _spans(drift: np.ndarray, most: int) -> list[np.ndarray]:
-    """Whether a stretch agrees by the diagonals up to ``most`` beside, its start and end in both texts, its similarity."""
+
+def _spans(drift: np.ndarray) -> list[np.ndarray]:
+    """Whether a stretch agrees by the diagonals up to DRIFT beside, its start and end in both texts, its similarity."""
     m, n = drift.shape
-    same = np.abs(drift) <= most
-    sums = np.concatenate([np.zeros((m, 1), np.int32), np.cumsum(same, axis=1, dtype=np.int32)], axis=1)
-    agree = sums[:, WIDTH:] - sums[:, :-WIDTH]
+    same = drift <= DRIFT
+    agree = _sums(same)
+    k = agree.shape[1]
     place, row = np.arange(n)[None, :], np.arange(m)[:, None]
-    longer = 0
-    if most:
-        behind = np.maximum.accumulate(np.where(same, place, -1), axis=1)[:, WIDTH - 1 :]
-        ahead = np.minimum.accumulate(np.where(same, place, n)[:, ::-1], axis=1)[:, ::-1][:, : n - WIDTH + 1]
-        longer = np.where(agree > 0, drift[row, np.maximum(behind, 0)] - drift[row, np.minimum(ahead, n - 1)], 0)
+    behind = np.maximum.accumulate(np.where(same, place, -1), axis=1)[:, WIDTH - 1 :][:, :k]
+    ahead = np.minimum.accumulate(np.where(same, place, n)[:, ::-1], axis=1)[:, ::-1][:, :k]
+    longer = np.where(agree > 0, drift[row, np.maximum(behind, 0)] - drift[row, np.minimum(ahead, n - 1)], 0)
     agree = np.minimum(agree, WIDTH + longer)
     alike = agree / (2 * WIDTH + longer - agree)
-    # Stretches that hold a shingle of this one's block.
-    ok = (alike >= LEAST) & (np.arange(agree.shape[1]) <= REACH + BLOCK - 1)[None, :]
-    first, last = ok.argmax(axis=1), ok.shape[1] - 1 - ok[:, ::-1].argmax(axis=1) + WIDTH
-    within = same & (place >= first[:, None]) & (place < last[:, None])
-    head, tail, row = within.argmax(axis=1), n - 1 - within[:, ::-1].argmax(axis=1), row[:, 0]
+    ok = alike >= LEAST
+    (head, tail), row = _stretches(ok, same), row[:, 0]
     s, e, class_s, class_e = head, tail + SHINGLE, head + drift[row, head], tail + SHINGLE + drift[row, tail]
     return [ok.any(axis=1) & (e - s >= WORDS) & (class_e - class_s >= WORDS), s, e, class_s, class_e, np.where(ok, alike, 0).max(axis=1)]
 
@@ -260,19 +303,34 @@ def _alike(x: dict[str, np.ndarray], u: np.ndarray, v: np.ndarray) -> Iterator[t
     A shingle agrees if the other text has it on the same diagonal or one up to DRIFT beside it. The other text's stretch
     runs from the partner of the first shingle to that of the last, and the two are compared as sets.
     """
-    for lo in range(0, len(u), PAIRS):
-        a, b = _sames(x["words"][u[lo : lo + PAIRS]]), _sames(x["words"][v[lo : lo + PAIRS]])
-        m, n = a.shape
-        drift = np.full((m, n), DRIFT + 1, dtype=np.int64)
-        padded = np.concatenate([np.zeros((m, DRIFT), np.uint64), b, np.zeros((m, DRIFT), np.uint64)], axis=1)
+    for lo in range(0, len(u), TOGETHER):
+        a, b = x["words"][u[lo : lo + TOGETHER]], x["words"][v[lo : lo + TOGETHER]]
+        m, n = len(a), SIZE - SHINGLE + 1
+        padded = np.zeros((m, SIZE + 2 * DRIFT), dtype=np.uint16)
+        padded[:, DRIFT : DRIFT + SIZE] = b
+        some, drift, beside = a > 0, np.full((m, n), DRIFT + 1, dtype=np.int8), np.zeros(m, dtype=bool)
         for d in sorted(range(-DRIFT, DRIFT + 1), key=abs, reverse=True):
-            drift[(a == padded[:, DRIFT + d : DRIFT + d + n]) & (a > 0)] = d
-        wide, one = _spans(drift, DRIFT), _spans(drift, 0)
-        # Where chance repeats beside the diagonal spoil the joined stretch, the diagonal alone counts.
-        one[0] &= ~(wide[0] & (wide[1] <= one[1]) & (wide[2] >= one[2]))
-        for hit, *ends in (wide, one):
+            word = (a == padded[:, DRIFT + d : DRIFT + d + SIZE]) & some
+            two = word[:, 1:] & word[:, :-1]
+            same = two[:, 2:-1] & two[:, :-3] & word[:, SHINGLE - 1 :]
+            if d:
+                hit = same.any(axis=1)
+                if hit.any():
+                    beside |= hit
+                    np.copyto(drift, np.int8(d), where=same)
+        one = _straight(same)
+        found = [(np.arange(m), one)]
+        beside = np.flatnonzero(beside)
+        if len(beside):
+            # Where chance repeats beside the diagonal spoil the joined stretch, the diagonal alone counts.
+            drift = drift[beside]
+            drift[same[beside]] = 0
+            wide = _spans(drift.astype(np.int64))
+            found.append((beside, wide))
+            one[0][beside] &= ~(wide[0] & (wide[1] <= one[1][beside]) & (wide[2] >= one[2][beside]))
+        for rows, (hit, *ends) in found:
             at = np.flatnonzero(hit)
-            yield at + lo, [e[at] for e in ends]
+            yield rows[at] + lo, [e[at] for e in ends]
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -441,6 +499,33 @@ def _further(links: _Links, since: int, beyond: dict[str, np.ndarray]) -> tuple[
     return rows[count[of] > 1], of[count[of] > 1]
 
 
+def _copies(links: _Links, rows: np.ndarray) -> np.ndarray:
+    """Whether windows (in the order of groups and documents) stand for those of their group with the same words around.
+
+    The others have a row with the first or the second, which is the first of another document, and what is alike to them
+    is alike to these two.
+    """
+    x, m = links.x, len(rows)
+    sign, by = x["key"][rows].view(np.uint64).copy(), np.random.default_rng(1).integers(1 << 62, size=SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    for i in range(0, m, 2_000):
+        sign[i : i + 2_000] += (x["words"][rows[i : i + 2_000]] * by).sum(axis=1, dtype=np.uint64)
+    order = np.argsort(sign, kind="stable")
+    starts = np.flatnonzero(np.append(True, sign[order[1:]] != sign[order[:-1]]))
+    doc, sizes = x["doc_id"][rows[order]], np.diff(np.append(starts, m))
+    first = np.repeat(starts, sizes)
+    second = np.repeat(np.minimum.reduceat(np.where(doc != doc[first], np.arange(m), m), starts), sizes)
+    own = np.flatnonzero((np.arange(m) != first) & (np.arange(m) != second) & (second < m))
+    of = np.where(doc[own] != doc[first[own]], first[own], second[own])
+    a, b = rows[order[own]], rows[order[of]]
+    stands = np.ones(m, dtype=bool)
+    for i in range(0, len(a), 2_000):
+        j = slice(i, i + 2_000)
+        same = (x["key"][a[j]] == x["key"][b[j]]) & (x["words"][a[j]] == x["words"][b[j]]).all(axis=1) & _fits(x, a[j], b[j])
+        hit = np.flatnonzero(same)
+        stands[order[own[j][hit[links.compare(a[j][hit], b[j][hit])]]]] = False
+    return stands
+
+
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (WINDOW), in the order of key, doc_id and c: stretches (STRETCH) of windows of one group."""
 
@@ -453,8 +538,10 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x["words"] = np.concatenate([np.frombuffer(c.buffers()[1], dtype=np.uint16)[c.offset * SIZE : (c.offset + len(c)) * SIZE] for c in words]).reshape(-1, SIZE)
         del words
         links = _Links(x)
-        rows, group = np.arange(len(x["key"])), x["key"]
-        beyond = {"e": np.full(len(rows), -1), "s": np.full(len(rows), SIZE + 1)}
+        rows = np.arange(len(x["key"]))
+        rows = rows[_copies(links, rows)]
+        group = x["key"][rows]
+        beyond = {"e": np.full(len(x["key"]), -1), "s": np.full(len(x["key"]), SIZE + 1)}
         while len(rows):
             since = len(links.found)
             _linked(links, rows, group)
