@@ -59,8 +59,16 @@ def _unpack(blob: bytes) -> object:
 
 def _planes(x: np.ndarray) -> list[bytes]:
     """Bytes of 32-bit numbers, plane by plane, without those that are all zero."""
-    planes = x.astype("<i4").view(np.uint8).reshape(-1, 4).T
-    return [p.tobytes() if p.any() else b"" for p in planes]
+    x = x.astype(np.int32, copy=False)
+    low, top = (int(x.min()), int(x.max())) if len(x) else (0, 0)
+    return [(x >> np.int32(8 * k)).astype(np.uint8).tobytes() if low < 0 or top >> 8 * k else b"" for k in range(4)]
+
+
+def _places(x: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers of x, all below n, in order, and the place of each of the n among them."""
+    used = np.zeros(n, dtype=bool)
+    used[x] = True
+    return np.flatnonzero(used), np.cumsum(used, dtype=np.int32) - np.int32(1)
 
 
 def _whole(planes: list[bytes], n: int) -> np.ndarray:
@@ -95,6 +103,17 @@ class Words:
                 out[hit] = value(at[hit])
         return out
 
+    def parted(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The codes of hashes, and those that aren't frequent words', in order."""
+        by, out = np.argsort(hashes), np.empty(len(hashes), dtype=np.int64)
+        h = hashes[by]
+        at = np.searchsorted(self.sorted, h)
+        hit = self.sorted[np.minimum(at, self.n - 1)] == h if self.n else np.zeros(len(h), dtype=bool)
+        rare = np.unique(h[~hit])
+        out[by[hit]] = self.order[at[hit]]
+        out[by[~hit]] = self.n + np.searchsorted(rare, h[~hit])
+        return out, rare
+
     def hashes(self, codes: np.ndarray, rare: np.ndarray) -> np.ndarray:
         return np.concatenate([self.by_rank, rare])[codes]
 
@@ -130,14 +149,14 @@ def _dealer(shared, order: int, parts: int) -> Callable:
         def out() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
-            token, sizes = np.concatenate([t.astype(np.int32) for t, _ in held]), np.concatenate([n for _, n in held])
+            token, sizes = np.concatenate([t for t, _ in held]), np.concatenate([n for _, n in held])
             doc_ids, trained = pa.concat_arrays(ids), np.concatenate(train)
             hashes = np.append(words.hashes(), np.uint64(katz.START))
             for x in (held, ids, train):
                 x.clear()
             words.__init__()
-            rare = np.setdiff1d(hashes, known.sorted)
-            code = known.codes(hashes, rare).astype(np.int32)
+            code, rare = known.parted(hashes)
+            code = code.astype(np.int32)
             first = np.cumsum(sizes) - sizes
             doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
             before, last = [], token
@@ -147,7 +166,7 @@ def _dealer(shared, order: int, parts: int) -> Callable:
                 here[first] = len(hashes) - 1
                 before.append(here)
                 last = here
-            home = (katz.mix(hashes, hashes) % np.uint64(parts)).astype(np.int64)
+            home = (katz.mix(hashes, hashes) % np.uint64(parts)).astype(np.int32)
             part = home[before[0]]
             if len(split[0]):
                 at = np.minimum(np.searchsorted(split[0], hashes), len(split[0]) - 1)
@@ -156,29 +175,35 @@ def _dealer(shared, order: int, parts: int) -> Callable:
                 by = before[1] if order > 2 else token
                 many = np.flatnonzero(over[before[0]] > 1)
                 part[many] = (part[many] + (spread[by[many]] % over[before[0][many]]).astype(np.int64)) % parts
-            y = code[before[0]].astype(np.int64)
-            key = (part << 48) | (y << 24) | (code[before[1]] if depth > 1 else 0)
-            by_part = np.argsort(key)
+            # In place and in 32 bits where they do, as a worker holds this beside the other's and the JVM's.
+            key = code[before[0]].astype(np.int64)
+            key <<= 24
+            if depth > 1:
+                key |= code[before[1]]
+            key |= np.left_shift(part, 48, dtype=np.int64)
+            by_part = np.argsort(key).astype(np.int32)
+            del key
             part = part[by_part]
             edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
                 at = by_part[lo:hi]
                 columns = [code[b[at]] for b in [*before, token]]
-                used = np.unique(np.concatenate([c[c >= known.n] for c in columns]))
-                place = np.zeros(len(rare), dtype=np.int32)
-                place[used - known.n] = np.arange(len(used), dtype=np.int32) + known.n
-                columns = [np.where(c >= known.n, place[np.maximum(c - known.n, 0)], c) if len(rare) else c for c in columns]
-                docs, of = np.unique(doc[at], return_inverse=True)
+                used, place = _places(np.concatenate([c[c >= known.n] for c in columns]) - known.n, len(rare))
+                columns = [np.where(c >= known.n, place[np.maximum(c - known.n, 0)] + np.int32(known.n), c) if len(rare) else c for c in columns]
+                mine = doc[at]
+                docs, of = _places(mine, len(sizes))
+                of = of[mine]
                 batch = pa.RecordBatch.from_arrays([doc_ids.take(pa.array(docs))], names=["doc_id"])
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, batch.schema) as w:
                     w.write_batch(batch)
                 columns[:2] = [_steps(c) for c in columns[:2]] if depth > 1 else [_steps(columns[0]), columns[1]]
-                blob = _pack((hi - lo, sink.getvalue().to_pybytes(), np.packbits(trained[docs]).tobytes(), rare[used - known.n].tobytes(), [_planes(c) for c in columns], _planes(of)))
+                blob = _pack((hi - lo, sink.getvalue().to_pybytes(), np.packbits(trained[docs]).tobytes(), rare[used].tobytes(), [_planes(c) for c in columns], _planes(of)))
                 yield pa.RecordBatch.from_arrays([pa.array([int(part[lo])], pa.int32()), pa.array([blob], pa.binary())], names=["part", "blob"])
 
         for batch in batches:
-            held.append(words.tokens(batch.column("b").to_pylist()))
+            token, sizes = words.tokens(batch.column("b").to_pylist())
+            held.append((token.astype(np.int32), sizes))
             ids.append(batch.column("doc_id"))
             train.append(batch.column("train").to_numpy(zero_copy_only=False).astype(bool))
             if sum(len(x[0]) for x in held) >= katz.BUFFER:
@@ -231,6 +256,24 @@ def _same(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order[new], of
 
 
+def _sorted(columns: list[np.ndarray], of: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Events in the order of their words from the first on, then of documents; in whole numbers of 63 bits where these fit."""
+    bits = [int(c.max(initial=0)).bit_length() for c in columns]
+    if sum(bits) > 63:
+        by = np.lexsort([of, *reversed(columns)])
+        return [c[by] for c in columns], of[by]
+    key = np.zeros(len(of), dtype=np.int64)
+    for c, b in zip(columns, bits, strict=True):
+        key = (key << b) | c
+    by = np.argsort(key)
+    key = key[by]
+    # Events of one key have the same words, so that their documents alone are still to be put in order.
+    rank, size = np.cumsum(np.append(False, key[1:] != key[:-1])[: len(key)], dtype=np.int64), int(of.max(initial=0)).bit_length()
+    of = (np.sort((rank << size) | of[by]) & ((1 << size) - 1)).astype(of.dtype)
+    del key, rank
+    return [c[by] for c in columns], of
+
+
 def _slices(y: np.ndarray) -> Iterator[slice]:
     """Slices of events, in the order of y, with whole words y: of at most SLICE events, or of one word with more."""
     ends, lo = np.append(np.flatnonzero(y[1:] != y[:-1]) + 1, len(y)), 0
@@ -265,10 +308,7 @@ def _counter(shared, order: int) -> Callable:
         out: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
         del blobs
         # Sorted by history; documents as places among the distinct ids.
-        by = np.lexsort([of, columns[-1], *reversed(columns[:-1])])
-        for k, c in enumerate(columns):
-            columns[k] = c[by]
-        of = of[by]
+        columns, of = _sorted(columns, of)
         hashes = np.concatenate([known.by_rank, rare])
         over = np.isin(hashes, split[0])
         found = np.zeros((order + 1, katz.K + 1), dtype=np.int64)

@@ -74,3 +74,18 @@ def test_memory_of_a_part():
             katz_parts.SLICE = before
     assert out[50_000][1].equals(out[10**9][1])
     assert out[50_000][0] < 70
+
+
+@pytest.mark.parametrize("most", [40, 2**24])
+def test_order_of_events(most):
+    """Events went through one sort for each column; in numbers that hold all words they come in the same order."""
+    import numpy as np
+
+    rnd = np.random.default_rng(7)
+    columns, of = [rnd.integers(0, most, 3000, dtype=np.int32) for _ in range(3)], rnd.integers(0, 50, 3000, dtype=np.int32)
+    by = np.lexsort([of, *reversed(columns)])
+    got, docs = katz_parts._sorted(columns, of)
+    assert all((g == c[by]).all() for g, c in zip(got, columns, strict=True)) and (docs == of[by]).all()
+    steps = np.diff(columns[1], prepend=np.int32(0))
+    for x in (steps, of, of[:0]):
+        assert (katz_parts._whole(katz_parts._planes(x), len(x)) == x).all()
