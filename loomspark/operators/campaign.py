@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -106,9 +108,11 @@ def selected(packets: DataFrame, statuses: list[str] | None = None, scenarios: l
     return rows if not campaigns else rows.where(F.arrays_overlap("campaign_ids", F.array(*(F.lit(c) for c in campaigns))))
 
 
-def scenarios(items: DataFrame, names: list[str] | None = None, size: int = 25) -> DataFrame:
+def scenarios(items: DataFrame | None, names: list[str] | None = None, size: int = 25, groups_of: Callable[[str], DataFrame] | None = None) -> DataFrame:
     """(scenario, anchor, batch, turn, ...) of the groups that each scenario of a campaign samples from a queue of items.
 
+    groups_of: the groups of a relation's entries, where these come from elsewhere than from items.
+
     A scenario's groups are those of one relation, in batches; of the batches that hold a group of its bucket it takes a
     window, and from that its groups in turn. Names that repeat count once; an unknown one raises.
     """
@@ -120,7 +124,8 @@ def scenarios(items: DataFrame, names: list[str] | None = None, size: int = 25)
     for name in dict.fromkeys(names or SCENARIOS):
         kind, bucket, groups, take, offset = SCENARIOS[name]
         if kind not in held:
-            held[kind] = guidance(review.batches(review.anchors(review.entries(items, [kind])), size))
+            found = groups_of(kind) if groups_of else review.anchors(review.entries(items, [kind]))
+            held[kind] = guidance(review.batches(found, size))
         one = review.sampled(held[kind].where(F.col("bucket") == bucket), groups, take, offset).withColumn("scenario", F.lit(name))
         out = one if out is None else out.unionByName(one)
     return out

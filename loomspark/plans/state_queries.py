@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomspark.functions import text as T
-from loomspark.operators import campaign, canon, contracts, evaluate, federation, lifecycle, review, search
+from loomspark.operators import campaign, canon, contracts, evaluate, federation, labelpairs, lifecycle, review, search
 from loomspark.plans import sqltext as S
 from loomspark.plans.search_queries import CONTRADICTION_SQL, FAMILY_SQL, entity_records, entity_sql, family_records
 from loomspark.plans.search_queries import SQL as SEARCH
@@ -174,8 +174,8 @@ def _scenario(name: str, bucket: str, groups: int, take: int, offset: int) -> st
 {_scenario('likely_front', 'likely-reject', 12, 5, 0)} UNION ALL {_scenario('likely_mid', 'likely-reject', 12, 5, 5)} UNION ALL {_scenario('likely_late', 'likely-reject', 12, 5, 10)} UNION ALL {_scenario('needs_context', 'needs-context', 8, 10, 0)}""")
 def campaign_scenarios(spark: SparkSession, d: str) -> DataFrame:
     """What a campaign samples; with a threshold so low that labels which share stop words alone are in the queue."""
-    items = canon.suggestions(entity_records(spark, d), "entity-alias", threshold=0.12)
-    return campaign.scenarios(written(items, "items")).select("scenario", "anchor", F.col("batch").cast("long").alias("batch"), F.col("turn").cast("long").alias("turn"))
+    records = written(entity_records(spark, d), "records")
+    return campaign.scenarios(None, groups_of=lambda kind: labelpairs.anchors(records, 0.12, [kind])).select("scenario", "anchor", F.col("batch").cast("long").alias("batch"), F.col("turn").cast("long").alias("turn"))
 
 
 @query("""
