@@ -156,7 +156,7 @@ def assist_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {_ENTRIES} SELECT anchor, place, review_id, score, relation FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, relation, title, review_id) AS place FROM n) WHERE place <= 3""")
 def assist_examples(spark: SparkSession, d: str) -> DataFrame:
-    return review.examples(_assist(spark, d)).select("anchor", F.col("place").cast("long").alias("place"), "review_id", "score", "relation")
+    return labelpairs.examples(written(entity_records(spark, d), "records"), 0.3).select("anchor", F.col("place").cast("long").alias("place"), "review_id", "score", "relation")
 
 
 @query(f"WITH RECURSIVE {_ENTRIES.strip()}, {_anchors()}, {_PACKED} SELECT anchor, item_count, batch::BIGINT AS batch FROM w")
