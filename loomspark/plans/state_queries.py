@@ -136,6 +136,10 @@ def _assist(spark: SparkSession, d: str) -> DataFrame:
     return review.entries(canon.suggestions(entity_records(spark, d), "entity-alias", threshold=0.3))
 
 
+def _assist_anchors(spark: SparkSession, d: str) -> DataFrame:
+    return labelpairs.anchors(written(entity_records(spark, d), "records"), 0.3)
+
+
 @query(f"WITH {_ENTRIES}, {_anchors()} SELECT *, {_BUCKET} AS bucket, {_FLAGS} AS flags FROM a")
 def assist_groups(spark: SparkSession, d: str) -> DataFrame:
     return campaign.guidance(review.anchors(_assist(spark, d))).withColumn("flags", F.array_join("flags", ","))
@@ -161,7 +165,7 @@ def assist_examples(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {_ENTRIES.strip()}, {_anchors()}, {_PACKED} SELECT anchor, item_count, batch::BIGINT AS batch FROM w")
 def assist_batches(spark: SparkSession, d: str) -> DataFrame:
-    packed = review.batches(review.anchors(_assist(spark, d)))
+    packed = review.batches(_assist_anchors(spark, d))
     return packed.select("anchor", "item_count", F.col("batch").cast("long").alias("batch"))
 
 
