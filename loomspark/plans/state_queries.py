@@ -142,7 +142,7 @@ def _assist_anchors(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_ENTRIES}, {_anchors()} SELECT *, {_BUCKET} AS bucket, {_FLAGS} AS flags FROM a")
 def assist_groups(spark: SparkSession, d: str) -> DataFrame:
-    return campaign.guidance(review.anchors(_assist(spark, d))).withColumn("flags", F.array_join("flags", ","))
+    return campaign.guidance(_assist_anchors(spark, d)).withColumn("flags", F.array_join("flags", ","))
 
 
 @query(f"""WITH {_ENTRIES} SELECT 'relation' AS field, relation AS value, count(*) AS items FROM n GROUP BY 2 UNION ALL SELECT 'priority', priority, count(*) FROM n GROUP BY 2

@@ -37,7 +37,7 @@ def test_entries_are_summed_as_if_they_were_written(spark, monkeypatch, more):
         same(labelpairs.examples(rows, threshold), review.examples(entries), ["anchor", "place", "review_id", "score", "relation"])
 
 
-@pytest.mark.parametrize("query", ["campaign_scenarios", "assist_examples", "assist_batches"])
+@pytest.mark.parametrize("query", ["campaign_scenarios", "assist_examples", "assist_batches", "assist_groups"])
 def test_no_pair_of_members_is_formed(spark, monkeypatch, query):
     def formed(*_, **__):
         raise AssertionError("pairs of members are formed")
